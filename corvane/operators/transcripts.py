@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, name_key, speaker_line
+from ..functions.text import any_of, name_key, quote_key, speaker_line
 
 # What marks the parts of a call and who speaks.
 QA_OPENERS = (
@@ -185,3 +185,39 @@ def quarter_coverage(candidates: DataFrame, n: int = 4) -> DataFrame:
 def availability(coverage: DataFrame) -> DataFrame:
     c = coverage.groupBy("symbol").agg(F.count_if(F.col("status") == "found").alias("found"), F.count(F.lit(1)).alias("wanted"))
     return c.withColumn("availability", F.when(F.col("found") == 0, "missing").when(F.col("found") < F.col("wanted"), "partial").otherwise("available"))
+
+
+# Headings that open a transcript on a page and phrases that end it.
+PAGE_STARTS = r"(?i)^(prepared remarks|questions and answers|q&a|call participants|full conference call transcript)\b.*$"
+PAGE_STOPS = ("read next", "stocks mentioned", "motley fool returns", "our analyst disclosure policy", "related articles", "join stock advisor")
+
+
+def transcript_slice(lines: DataFrame, keys: list[str], stops: tuple[str, ...] = PAGE_STOPS) -> DataFrame:
+    """keys, start, stop, reason: the lines of a page that are transcript (start included, stop not).
+
+    It starts at the first heading (after it, if that is the whole transcript's), else at the first speaker, and ends before the first
+    line with a stop phrase or after the last line. Pages without either have null bounds.
+    """
+    low = F.lower(F.trim("line"))
+    head = F.when(low.rlike(PAGE_STARTS), F.col("line_no") + F.when(low.startswith("full conference call transcript"), 1).otherwise(0))
+    who = F.when(speaker_line(F.col("line")).isNotNull(), F.col("line_no"))
+    starts = lines.groupBy(*keys).agg(F.min(head).alias("h"), F.min(who).alias("s"), F.max("line_no").alias("last"))
+    starts = starts.withColumn("start", F.coalesce("h", "s")).withColumn("reason", F.when(F.col("h").isNotNull(), "marker").when(F.col("s").isNotNull(), "speaker").otherwise("not_found"))
+    ends = lines.join(starts.select(*keys, "start"), keys).where(F.col("line_no") > F.col("start")).groupBy(*keys).agg(F.min(F.when(any_of(F.col("line"), stops), F.col("line_no"))).alias("e"))
+    out = starts.join(ends, keys, "left").withColumn("stop", F.when(F.col("start").isNotNull(), F.coalesce(F.col("e"), F.col("last") + 1)))
+    return out.select(*keys, "start", "stop", "reason")
+
+
+def enriched(blocks: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    """Blocks with section_type and the speaker's resolved role."""
+    typed = typed_sections(blocks)
+    return typed.join(resolve_roles(speaker_stats(typed), roster), ["doc_id", "speaker"], "left")
+
+
+def attribute_quotes(quotes: DataFrame, blocks: DataFrame, least: int = 24) -> DataFrame:
+    """Who said a quote (doc_id, quote): the first block equal to it, else the first that holds it or (from ``least`` characters on) is held by it, else Management."""
+    q = quotes.select("doc_id", "quote", quote_key(F.col("quote")).alias("q")).distinct()
+    b = blocks.select("doc_id", "order_index", "speaker", quote_key(F.col("text")).alias("b"))
+    near = (F.col("b") == F.col("q")) | F.contains("b", F.col("q")) | ((F.length("b") >= least) & F.contains("q", F.col("b")))
+    hit = q.join(b, "doc_id").where(near).groupBy("doc_id", "quote").agg(F.min_by("speaker", F.struct(F.col("b") != F.col("q"), "order_index")).alias("speaker"))
+    return quotes.join(hit, ["doc_id", "quote"], "left").withColumn("speaker", F.coalesce("speaker", F.lit("Management")))

@@ -72,3 +72,20 @@ def money_text(value: Column) -> Column:
     size = F.abs(value)
     scaled = lambda by, unit: F.format_string(f"%.2f{unit}", value / by)
     return F.when(value.isNull(), "n/a").when(size >= 1e12, scaled(1e12, "T")).when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).otherwise(F.format_string("%.2f", value))
+
+
+def company_reports(scores: DataFrame, speakers: DataFrame, quarters: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One nested report per symbol: scores, speakers by mentions, latest quarters, best quotes.
+
+    Each part is reduced to its few rows per symbol before the join, so that no list grows with the input.
+    """
+    def best(df: DataFrame, name: str, n: int) -> DataFrame:
+        """Rows ranked 1 to n as an array."""
+        cols = [c for c in df.columns if c != "symbol"]
+        top = df.where(F.col("rank") <= n).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in cols if c != "rank"]))).alias(name))
+        return top
+
+    out = scores
+    for part in (best(speakers, "speakers", 5), best(quarters, "quarters", 4), best(quotes, "quotes", 10)):
+        out = out.join(part, "symbol", "left")
+    return out

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import scoring as S
 from .functions import text as T
-from .operators import audit, candidates, metrics, neardup, pages, people, transcripts
+from .operators import audit, candidates, feeds, metrics, neardup, pages, people, transcripts
 from .plans import report
-from .queries import BLOCK, LINES, MEANS, METRIC, corpus_metrics, corpus_posts, query, shaped
+from .queries import BLOCK, LINES, MEANS, METRIC, STATS, all_signals, corpus_metrics, corpus_posts, merged_quarters, query, shaped
 from .sources import domain
 
 TICKER, COMPANY = "fr", "Tionsh Example Inc"
@@ -188,3 +188,67 @@ def participants_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = F.concat(F.lit("<urlset><url><loc> https://x.org/p/"), "page_id", F.lit("?a=1&amp;b=2</loc></url></urlset>"))
     return domain.read(spark, sf_dir, "pages").select("page_id", F.explode(candidates.sitemap_urls(xml)).alias("url"))
+
+
+SLICED = f"""{LINES}, pl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line_no, CASE WHEN doc_id % 4 = 3 AND regexp_matches(line, '^(Prepared|Questions)') THEN 'x' WHEN doc_id % 5 = 1 AND line_no % 1000000 = 3 THEN 'Stocks Mentioned here' ELSE line END AS line FROM line),
+st AS (SELECT doc_id, min(CASE WHEN regexp_matches(lower(line), '^(prepared remarks|questions and answers)') THEN line_no END) AS h, min(CASE WHEN regexp_matches(line, '^[A-Za-z][A-Za-z .,''&()\\-/]{{1,80}}:\\s*.{{2,}}$') THEN line_no END) AS s, max(line_no) AS last FROM pl GROUP BY doc_id)"""
+
+
+@query(f"""WITH {SLICED} SELECT doc_id, coalesce(h, s) AS start, CASE WHEN coalesce(h, s) IS NOT NULL THEN coalesce((SELECT min(line_no) FROM pl WHERE pl.doc_id = st.doc_id AND pl.line_no > coalesce(h, s) AND contains(lower(line), 'stocks mentioned')), last + 1) END AS stop,
+  CASE WHEN h IS NOT NULL THEN 'marker' WHEN s IS NOT NULL THEN 'speaker' ELSE 'not_found' END AS reason FROM st""")
+def transcript_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = domain.transcript_lines(spark, sf_dir)  # noqa: E741
+    line = F.when((F.col("doc_id") % 4 == 3) & F.col("line").rlike("^(Prepared|Questions)"), "x").when((F.col("doc_id") % 5 == 1) & (F.col("line_no") % 1_000_000 == 3), "Stocks Mentioned here").otherwise(F.trim("line"))
+    l = l.withColumn("line", line).selectExpr("doc_id", "row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line_no", "line")  # noqa: E741
+    return shaped(transcripts.transcript_slice(l, ["doc_id"]))
+
+
+@query(f"""WITH {STATS}, pt AS (SELECT *, CASE WHEN routing > 0 THEN 3.5 ELSE 0 END AS h, CASE WHEN answers > 0 THEN 2.5 ELSE 0 END + CASE WHEN prepared > 0 AND questions = 0 THEN 1.5 ELSE 0 END AS m,
+  CASE WHEN questions > 0 THEN 2.5 ELSE 0 END + CASE WHEN qa > 0 AND questions = qa THEN 1 ELSE 0 END AS a FROM stat),
+  r AS (SELECT doc_id, speaker, CASE WHEN greatest(h, m, a) < 2 THEN 'unknown' WHEN h >= m AND h >= a THEN 'host_ir' WHEN m >= a THEN 'management' ELSE 'analyst' END AS role FROM pt)
+  SELECT doc_id, CAST(order_index AS BIGINT) AS order_index, speaker, section_type, role FROM typed JOIN r USING (doc_id, speaker)""")
+def speaker_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaped(transcripts.enriched(transcripts.speaker_blocks(domain.transcript_lines(spark, sf_dir))), "doc_id", "order_index", "speaker", "section_type", "role")
+
+
+QK = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {METRIC}, q AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN 'not said by anyone at all' ELSE sents[1] END AS quote FROM metric WHERE len(sents) > 0 AND order_index % 2 = 1),
+  h AS (SELECT q.doc_id, q.quote, b.speaker, row_number() OVER (PARTITION BY q.doc_id, q.quote ORDER BY {QK.format("b.text")} <> {QK.format("q.quote")}, b.order_index) AS n FROM q JOIN metric b ON b.doc_id = q.doc_id
+    AND (contains({QK.format("b.text")}, {QK.format("q.quote")}) OR (length({QK.format("b.text")}) >= 24 AND contains({QK.format("q.quote")}, {QK.format("b.text")}))))
+  SELECT q.doc_id, q.quote, coalesce(h.speaker, 'Management') AS speaker FROM q LEFT JOIN h ON h.doc_id = q.doc_id AND h.quote = q.quote AND h.n = 1""")
+def quote_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = corpus_metrics(spark, sf_dir)
+    first = F.get(T.sentences(F.col("text")), F.lit(0))
+    q = m.where(first.isNotNull() & (F.col("order_index") % 2 == 1)).select(
+        "doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, "not said by anyone at all").otherwise(first).alias("quote")
+    )
+    return transcripts.attribute_quotes(q.distinct(), m).select("doc_id", "quote", "speaker")
+
+
+AI = {"forward": 3, "risk": 5, "hedge": 7, "specificity": 11}
+TOWARDS = {"forward": "forward", "forward_counter": "risk", "risk": "risk", "hedge": "hedge", "specificity": "specificity", "confidence": "specificity", "confidence_counter": "hedge", "specificity_counter": "hedge", "directness": "specificity"}
+
+
+@query(f"WITH {METRIC}, w AS (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN 0.3::DOUBLE * (order_index % 5) / 4.0::DOUBLE ELSE 0 END AS w FROM metric) SELECT doc_id, order_index, " + ", ".join(f"round(CASE WHEN doc_id % 3 <> 0 THEN d_{k} * (1 - w) + ((doc_id * {AI[m]} % 10) / 10.0::DOUBLE) * w ELSE d_{k} END, 4) AS d_{k}" for k, m in TOWARDS.items()) + " FROM w")
+def block_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densities moved towards a feature model's, where it has a row."""
+    m = corpus_metrics(spark, sf_dir)
+    ai = m.where("doc_id % 3 != 0").select("doc_id", "order_index", (F.col("order_index") % 5 / 4.0).alias("sure"), *[(F.col("doc_id") * k % 10 / 10.0).alias(f"ai_{n}") for n, k in AI.items()])
+    rows = m.join(ai, ["doc_id", "order_index"], "left")
+    out = S.blended({n: F.col(f"d_{n}") for n in domain.CORPUS_LEXICON}, {n: F.col(f"ai_{n}") for n in AI}, F.col("sure"), 0.3)
+    return shaped(rows.select("doc_id", "order_index", *[c.alias(f"d_{n}") for n, c in out.items()]))
+
+
+@query()
+def snapshot_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested report per symbol."""
+    m = corpus_metrics(spark, sf_dir).withColumn("symbol", F.concat(F.lit("SYM"), (F.col("doc_id") % domain.SYMBOLS).cast("string")))
+    speakers = metrics.speaker_rollup(m, ("symbol", "speaker"))
+    speakers = feeds.top(speakers, ["symbol"], [F.desc("mention_count"), F.col("speaker")], 5).select("symbol", "rank", "speaker", "mention_count", F.round("avg_direction", 4).alias("avg_direction"), "dominant_topic")
+    q = merged_quarters(spark, sf_dir).withColumn("symbol", F.concat(F.lit("SYM"), (F.length("symbol") % domain.SYMBOLS).cast("string")))
+    q = feeds.top(q.drop("rank"), ["symbol"], [F.desc("year"), F.desc("quarter"), F.col("revenue")], 4).select("symbol", "rank", "year", "quarter", F.round("revenue", 1).alias("revenue"))
+    quotes = metrics.key_quotes(m, ("symbol",)).select("symbol", "rank", "quote")
+    scores = report.snapshot_scores(report.company_scores(all_signals(spark, sf_dir))).select("symbol", F.round("overall_score", 4).alias("overall_score"), "label", "stance")
+    return report.company_reports(scores, speakers, q, quotes)
