@@ -202,12 +202,13 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     member = each.join(linked, "fp")
     least = member.groupBy("component").agg(F.min("first").alias("least"))
     moved = member.join(least, "component").select("fp", "least")
-    ids = each.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that the last join is between two plain exchanges, of which adaptive execution can split a hot fingerprint's
+    ids = materialize(each.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "fingerprint-classes")
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each class, the least doc_id; columns unchanged (rows of that id all stay)."""
     classes = near_classes(docs, doc_id=doc_id, text=text)
-    gone = classes.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = sized(classes.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
     return docs.join(gone, docs[doc_id].cast("bigint") == gone["__gone"], "left_anti")
