@@ -117,7 +117,8 @@ KINDS = {
     "iso_date": r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
     "day_date": r"(?<![0-9./])[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]|[./][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3}(?P<dash>[ .\-])[0-9]{3}(?P=dash)[0-9]{4}|0[0-9](?:[ .\-][0-9]{2}){4})(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<hidden>[A-Za-z0-9+/_.\-]{8,256})",
     "hex_key": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.\-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4})(?![0-9A-Za-z]|[.\-][0-9])",
 }
@@ -134,6 +135,11 @@ def _swap(m: re.Match, key: bytes, inverse: bool) -> tuple[str, str | None]:
     if kind == "email":
         local = m["local"]
         return _characters(local, key, b"email", inverse) + value[len(local) :], kind
+    if kind == "secret":
+        hidden = m["hidden"]
+        if not any(c.isdigit() for c in hidden):
+            return value, None
+        return value[: -len(hidden)] + _characters(hidden, key, b"secret", inverse), kind
     if kind == "iban":
         plain = value.replace(" ", "")
         if _iban_check(plain[4:], plain[:2]) != plain[2:4]:
@@ -198,7 +204,7 @@ def pseudonymise(text: str | None, key: bytes, inverse: bool = False) -> tuple[s
     return PATTERN.sub(one, text), kinds
 
 
-COUNTED = ("email", "iban", "ip", "date", "ssn", "phone", "hex_key", "card")
+COUNTED = ("email", "iban", "ip", "date", "ssn", "phone", "secret", "hex_key", "card")
 
 
 def pseudonyms(docs: DataFrame, *, key: str, text: str = "text", counts: str = "n_pii", inverse: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from helpers import awkward, empty
 from corvane.llm import pii
 
 KEY = hashlib.blake2b(b"k", digest_size=32).digest()
-TEXT = "mail a.b99@x.org or +1 (017) 555-7713, card 4111111111111111, 4111-1111-1111-1111, no 1234567890123456, ip 10.0.0.1. Born 1980-02-29 or 29.02.1980 or 12/31/1999; ssn 123-45-6789 iban GB82 WEST 1234 5698 7654 32 token \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\""
+TEXT = "mail a.b99@x.org or +1 (017) 555-7713, card 4111111111111111, 4111-1111-1111-1111, no 1234567890123456, ip 10.0.0.1. Born 1980-02-29 or 29.02.1980 or 12/31/1999; ssn 123-45-6789 iban GB82 WEST 1234 5698 7654 32 x \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\""
 
 
 @pytest.mark.parametrize("size", [2, 3, 7, 10, 100, 1000])
@@ -32,6 +32,14 @@ def test_round_trip_and_formats():
     assert pii.pseudonymise(TEXT, KEY)[0] == out and pii.pseudonymise(TEXT, KEY[::-1])[0] != out
 
 
+def test_more_phones_and_secrets():
+    t = "call 017-555-7713 or 017 555 7713 or (017) 555-7713 or 01 23 45 67 89 or +49 30 1234567; api_key=Ab1-xY9zQ4kk2 password: hunter2hunter"
+    out, kinds = pii.pseudonymise(t, KEY)
+    assert kinds.count("phone") == 5 and kinds.count("secret") == 2 and pii.pseudonymise(out, KEY, inverse=True)[0] == t
+    for secret in ("555-7713", "555 7713", "23 45 67", "1234567", "Ab1-xY9z", "hunter2"):
+        assert secret not in out
+
+
 def test_what_is_not_valid_stays():
     t = "ip 300.1.1.1 date 2023-02-30 iban GB00 WEST 1234 5698 7654 32 ssn 000-12-3456 version 3.1 CC BY-NC 4.0. year 2024, 12345"
     assert pii.pseudonymise(t, KEY) == (t, [])
