@@ -173,7 +173,7 @@ WEIGHTS = {"transcript": 40.0, "fundamentals": 35.0, "news": 15.0, "social": 10.
 
 def shares(weights: Mapping[str, float]) -> dict[str, float]:
     """Weights over their sum; invalid ones count 0, and if nothing is left the defaults hold."""
-    clean = {k: float(weights[k]) if math.isfinite(weights.get(k, 0)) and weights.get(k, 0) >= 0 else 0.0 for k in WEIGHTS}
+    clean = {k: float(w) if math.isfinite(w := weights.get(k, 0.0)) and w >= 0 else 0.0 for k in WEIGHTS}
     total = sum(clean.values())
     return {k: v / total for k, v in clean.items()} if total > 0 else shares(WEIGHTS)
 
