@@ -26,7 +26,8 @@ MAX_REPEATS = 3
 MIN_BLOCKS = 64
 #: Slots at most, so that k * g stays within 63 bits; block_tokens grows beyond.
 MAX_SLOTS = 2_000_000_000
-RANGE = 1 << 12
+#: Slots or documents in a range of the two-level sums, at least.
+RANGE = 1 << 10
 
 
 def size_of(text: Column) -> Column:
@@ -63,6 +64,11 @@ def stride(m: int) -> int:
     return next(x for d in range(m + 1) for x in (g + d, g - d) if 0 < x and math.gcd(x, m) == 1)
 
 
+def range_size(n: int) -> int:
+    """Of n rows, about as many ranges as rows in a range."""
+    return max(RANGE, math.isqrt(n))
+
+
 def _running(df: DataFrame, part: list[str], bucket: str, order: list[str], value: Column) -> DataFrame:
     """Adds ``before``: the sum of ``value`` over the rows of ``part`` that come earlier by bucket, then order."""
     sums = df.groupBy(*part, bucket).agg(F.sum(value).alias("__v"))
@@ -107,11 +113,12 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     points = docs.sparkSession.range(m).select(F.col("id").alias("slot"), point.alias("p")).withColumn("cell", _div("p", str(width)))
     shares = sources.where("slots > 0").select("source_no", "blocks", (F.col("upto") - F.col("slots")).alias("lo"), "upto")
     shares = shares.withColumn("cell", F.explode(F.sequence(_div("lo", str(width)), _div("upto - 1", str(width)))))
-    slotted = points.join(shares, "cell").where("p >= lo AND p < upto").select("slot", "source_no", "blocks", _div("slot", str(RANGE)).alias("range"))
+    slotted = points.join(shares, "cell").where("p >= lo AND p < upto").select("slot", "source_no", "blocks", _div("slot", str(range_size(m))).alias("range"))
     ranked = _running(slotted, ["source_no"], "range", ["slot"], F.lit(1))
     taken = ranked.select("slot", "source_no", (F.col("before") % F.col("blocks")).cast("bigint").alias("block"))
 
-    n_buckets = max(1, rows.count() // RANGE)
+    n_rows = rows.count()
+    n_buckets = max(1, n_rows // range_size(n_rows))
     placed = same(rows, sources.select("source", "source_no", "source_size", "target", "blocks"), ["source"], "inner")
     placed = placed.withColumn("bucket", F.floor((F.col("h") / 2.0**64 + 0.5) * n_buckets).cast("int"))
     placed = _running(placed, ["source_no"], "bucket", ["h", "doc_id", "size"], F.col("size"))
