@@ -21,30 +21,43 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
-def term_hits(text: Column, term: str) -> Column:
-    return F.least(F.regexp_count(F.lower(text), F.lit(phrase(term))), F.lit(MAX_HITS))
+def known(value: Column, low: float, high: float) -> Column:
+    """``clamp`` for a value that is never null: the value stands in the expression once."""
+    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
 
 
-def density(text: Column, terms: Mapping[str, float]) -> Column:
-    """Weighted hits (three per term count) over the most possible, 0 to 1."""
+def hits_sql(column: str, term: str) -> str:
+    """Occurrences of a term in a column, MAX_HITS at most, as SQL: one parse is far cheaper than hundreds of column calls."""
+    return f'least(regexp_count(lower({column}), r"{phrase(term)}"), {MAX_HITS})'
+
+
+def density_sql(column: str, terms: Mapping[str, float]) -> str:
     used = {t: float(w) for t, w in terms.items() if w > 0}
+    if not used:
+        return "0D"
     total = sum(used.values()) * MAX_HITS
-    if total <= 0:
-        return F.lit(0.0)
-    hits = reduce(lambda a, b: a + b, [F.lit(w) * term_hits(text, t) for t, w in used.items()])
-    return clamp(F.coalesce(hits, F.lit(0.0)) / F.lit(total), 0, 1)
+    hits = " + ".join(f"{w!r}D * {hits_sql(column, t)}" for t, w in used.items())
+    return f"coalesce(greatest(0D, least(1D, ({hits}) / {total!r}D)), 0D)"
+
+
+def term_hits(column: str, term: str) -> Column:
+    return F.expr(hits_sql(column, term))
+
+
+def density(column: str, terms: Mapping[str, float]) -> Column:
+    """Weighted hits (three per term count) over the most possible, 0 to 1; 0 for null."""
+    return F.expr(density_sql(column, terms))
 
 
-def matched_terms(text: Column, terms: Mapping[str, float], most: int = 8) -> Column:
-    found = F.array(*[F.when(term_hits(text, t) > 0, F.lit(t)) for t, w in terms.items() if w > 0])
-    return F.slice(F.array_compact(found), 1, most)
+def matched_terms(column: str, terms: Mapping[str, float], most: int = 8) -> Column:
+    found = ", ".join(f'CASE WHEN {hits_sql(column, t)} > 0 THEN r"{t}" END' for t, w in terms.items() if w > 0)
+    return F.expr(f"slice(array_compact(array({found})), 1, {most})")
 
 
-def topic(text: Column, topics: Mapping[str, Mapping[str, float]], least: float = 0.03) -> Column:
+def topic(column: str, topics: Mapping[str, Mapping[str, float]], least: float = 0.03) -> Column:
     """struct<topic, density>: the densest topic, the earlier one among equals; "general" below ``least``."""
-    scored = F.array(*[F.struct(density(text, t).alias("density"), F.lit(-k).alias("k"), F.lit(name).alias("topic")) for k, (name, t) in enumerate(topics.items())])
-    best = F.array_max(scored)
-    return F.struct(F.when(best["density"] < least, F.lit("general")).otherwise(best["topic"]).alias("topic"), best["density"].alias("density"))
+    scored = ", ".join(f"struct({density_sql(column, t)} AS density, -{k} AS k, '{name}' AS topic)" for k, (name, t) in enumerate(topics.items()))
+    return F.expr(f"transform(array(array_max(array({scored}))), b -> struct(if(b.density < {least!r}D, 'general', b.topic) AS topic, b.density AS density))[0]")
 
 
 def numeric_density(text: Column) -> Column:
@@ -53,17 +66,18 @@ def numeric_density(text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(s, lambda x: x.rlike(r"\d"))).cast("double"), F.size(s)), F.lit(0.0))
 
 
-def net(positive: Column, counter: Column, weight: Column | float) -> Column:
-    return clamp(positive - F.lit(weight) * counter if isinstance(weight, float) else positive - weight * counter, 0, 1)
+def net(positive: Column, counter: Column, weight: float) -> Column:
+    return known(positive - weight * counter, 0, 1)
 
 
 def bounded_percent(value: Column, smoothing: float) -> Column:
-    return clamp((F.lit(0.5) + F.lit(0.5) * F.tanh(clamp(value, -1, 1) * F.lit(1.9 + max(0.0, min(1.0, smoothing)) * 2.6))) * 100, 0, 100)
+    """100 * (0.5 + 0.5 * tanh(value * curve)) for a value from 0 to 1."""
+    return known((F.tanh(value * (1.9 + max(0.0, min(1.0, smoothing)) * 2.6)) * 0.5 + 0.5) * 100, 0, 100)
 
 
 def block_scores(d: Mapping[str, Column], numeric: Column, *, counter_weight: float = 0.65, smoothing: float = 0.35) -> dict[str, Column]:
-    """The five scores of a block (0 to 100) from its nine densities and its numeric density."""
-    n = clamp(numeric * 0.65 + d["specificity"] * 0.35, 0, 1)
+    """The five scores of a block (0 to 100) from its nine densities and its numeric density, none of them null."""
+    n = known(numeric * 0.65 + d["specificity"] * 0.35, 0, 1)
     cw = max(0.0, counter_weight)
     part = lambda x: bounded_percent(x, smoothing)
     outlook = part(net(d["forward"], d["forward_counter"], cw))
@@ -72,11 +86,11 @@ def block_scores(d: Mapping[str, Column], numeric: Column, *, counter_weight: fl
     evas = part(net(d["hedge"] + d["risk"] * 0.25, d["directness"] + d["specificity"] * 0.15, cw))
     risk = part(net(d["risk"], d["directness"] * 0.3, max(0.25, cw * 0.45)))
     return {
-        "confidence": clamp(F.lit(14.0) + conf * 0.68 + spec * 0.14 + n * 14 - evas * 0.10, 0, 100),
-        "evasiveness": clamp(F.lit(10.0) + evas * 0.72 + (F.lit(1.0) - n) * 14 + risk * 0.08 - spec * 0.10, 0, 100),
-        "specificity": clamp(F.lit(14.0) + spec * 0.72 + n * 18 - evas * 0.12, 0, 100),
-        "outlook": clamp(F.lit(12.0) + outlook * 0.78 - evas * 0.10, 0, 100),
-        "risk": clamp(F.lit(10.0) + risk * 0.80 + evas * 0.08, 0, 100),
+        "confidence": known(F.lit(14.0) + conf * 0.68 + spec * 0.14 + n * 14 - evas * 0.10, 0, 100),
+        "evasiveness": known(F.lit(10.0) + evas * 0.72 + (F.lit(1.0) - n) * 14 + risk * 0.08 - spec * 0.10, 0, 100),
+        "specificity": known(F.lit(14.0) + spec * 0.72 + n * 18 - evas * 0.12, 0, 100),
+        "outlook": known(F.lit(12.0) + outlook * 0.78 - evas * 0.10, 0, 100),
+        "risk": known(F.lit(10.0) + risk * 0.80 + evas * 0.08, 0, 100),
     }
 
 

@@ -28,14 +28,12 @@ def block_metrics(
     One narrow projection: no shuffle, all in the JVM. The direction stands in for a sentiment model: positive terms
     less negative ones, -1 to 1.
     """
-    out = scorable(blocks)
-    for name, terms in lexicons.items():
-        out = out.withColumn(f"d_{name}", S.density(F.col("text"), terms))
-    out = out.withColumn("numeric_density", S.numeric_density(F.col("text"))).withColumn("best", S.topic(F.col("text"), topics))
+    dense = {f"d_{name}": S.density("text", terms) for name, terms in lexicons.items()}
+    out = scorable(blocks).withColumns(dense | {"numeric_density": S.numeric_density(F.col("text")), "best": S.topic("text", topics)})
     d = {name: F.col(f"d_{name}") for name in lexicons}
-    out = out.withColumns(S.block_scores(d, F.col("numeric_density"), counter_weight=counter_weight, smoothing=smoothing))
-    direction = S.clamp((d["confidence"] + d["forward"] - d["hedge"] - d["risk"]) * 2, -1, 1)
-    return out.withColumns({"topic": F.col("best.topic"), "topic_density": F.col("best.density"), "direction": direction}).drop("best")
+    scores = S.block_scores(d, F.col("numeric_density"), counter_weight=counter_weight, smoothing=smoothing)
+    direction = S.known((d["confidence"] + d["forward"] - d["hedge"] - d["risk"]) * 2, -1, 1)
+    return out.withColumns(scores | {"topic": F.col("best.topic"), "topic_density": F.col("best.density"), "direction": direction}).drop("best")
 
 
 def role_of(value: Column) -> Column:

@@ -87,12 +87,12 @@ def trimmed_mean(scored: DataFrame, keys: list[str], value: str, order: str, wei
     )
 
 
-def lexical_direction(text: Column, positive: dict[str, float], negative: dict[str, float]) -> Column:
+def lexical_direction(column: str, positive: dict[str, float], negative: dict[str, float]) -> Column:
     """A deterministic scorer in place of a sentiment model."""
-    return S.clamp((S.density(text, positive) - S.density(text, negative)) * 2, -1, 1)
+    return S.clamp((S.density(column, positive) - S.density(column, negative)) * 2, -1, 1)
 
 
 def segmented_scores(docs: DataFrame, positive: dict[str, float], negative: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     pieces = docs.select(doc_id, F.posexplode(segments(compact(F.col(text)))).alias("i", "segment"))
-    scored = pieces.withColumn("direction", lexical_direction(F.col("segment"), positive, negative)).withColumn("w", weight(F.col("segment")))
+    scored = pieces.withColumn("direction", lexical_direction("segment", positive, negative)).withColumn("w", weight(F.col("segment")))
     return trimmed_mean(scored, [doc_id], "direction", "i", "w")

@@ -151,13 +151,13 @@ def block_numeric_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BLOCK}, b AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM block) SELECT doc_id, order_index, " + ", ".join(f"round({sql_density(t)}, 4) AS d_{n}" for n, t in METRICS.items()) + " FROM b")
 def block_lexicon_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default lexicons."""
-    return shaped(domain.blocks(spark, sf_dir).select("doc_id", "order_index", *[S.density(F.col("text"), t).alias(f"d_{n}") for n, t in METRICS.items()]))
+    return shaped(domain.blocks(spark, sf_dir).select("doc_id", "order_index", *[S.density("text", t).alias(f"d_{n}") for n, t in METRICS.items()]))
 
 
 @query(f"WITH {BLOCK}, base AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM block) SELECT doc_id, order_index, topic, round(best, 4) AS density FROM ({sql_topic(TOPICS)})")
 def block_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default topics."""
-    return shaped(domain.blocks(spark, sf_dir).withColumn("t", S.topic(F.col("text"), TOPICS)).select("doc_id", "order_index", "t.topic", "t.density"))
+    return shaped(domain.blocks(spark, sf_dir).withColumn("t", S.topic("text", TOPICS)).select("doc_id", "order_index", "t.topic", "t.density"))
 
 
 # --- blocks ---------------------------------------------------------------------------------------
