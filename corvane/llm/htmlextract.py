@@ -216,18 +216,21 @@ class Labeller:
 
 
 # The vocabulary of the layouts that the labeller is trained on.
-BAD_TAGS = "nav header footer aside form menu dialog button select fieldset address".split()
+BAD_TAGS = "nav header footer aside form menu dialog button select fieldset address noscript".split()
 BAD_NAMES = (
-    "ad ads advert advertisement adslot banner sponsor sponsored promo promotion sidebar widget menu navbar navigation nav breadcrumb breadcrumbs header masthead "
-    "footer foot copyright cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe signup login search share sharing social related "
-    "recommended comments comment respond disqus reply replies discussion tags toolbar pagination pager skip legal disclaimer"
+    "ad ads advert advertisement adslot banner sponsor sponsored promo promotion sidebar widget menu menubar navbar navigation navigation nav breadcrumb breadcrumbs header masthead topbar "
+    "footer foot copyright cookie cookies consent notice notices alert gdpr privacy popup modal overlay newsletter subscribe subscription signup login search share sharing social buttons related "
+    "recommended more comments comment commentlist respond disqus reply replies discussion reader user tags toolbar pagination pager skip legal disclaimer announcement warning complementary contentinfo"
 ).split()
 GOOD_TAGS = "article article article main section div".split()
-GOOD_NAMES = "content article post entry story text body main page text prose copy".split()
-NEUTRAL = "wrapper container page layout row col site root inner outer wrap grid".split()
-GOOD_LEAVES = "p p p p p p h1 h2 h3 li blockquote pre td figcaption dd".split()
-BAD_LEAVES = "p li li a div span label h3 h4 button td".split()
-INSIDE = {"li": ("ul", "li"), "td": ("table", "tr", "td"), "figcaption": ("figure", "figcaption"), "dd": ("dl", "dd")}
+GOOD_NAMES = "content article post entry story text body main page prose copy".split()
+NEUTRAL = "wrapper container page layout row col site root inner outer wrap grid box block section".split()
+LEAVES = "p p p p li li li div h2 h3 h4 h1 h5 h6 blockquote pre td th dd dt figcaption section span address".split()
+GOOD_LEAVES = [x for x in LEAVES if x not in ("span", "address")]
+INSIDE = {
+    "li": (("ul", "li"), ("ol", "li"), ("li",)), "td": (("table", "tr", "td"), ("table", "tbody", "tr", "td")), "th": (("table", "tr", "th"),),
+    "figcaption": (("figure", "figcaption"),), "dd": (("dl", "dd"),), "dt": (("dl", "dt"),), "span": ((),), "p": (("p",), ("p",), ("blockquote", "p"), ("li", "p"), ("div", "p")),
+}
 
 
 def drawn_page(rng: np.random.Generator) -> tuple[list[tuple[tuple[str, ...], str, float]], list[int]]:
@@ -240,15 +243,18 @@ def drawn_page(rng: np.random.Generator) -> tuple[list[tuple[tuple[str, ...], st
 
     blocks: list[tuple[tuple[str, ...], str, float]] = []
     labels: list[int] = []
+    same = words(1, 4) if rng.random() < 0.15 else ""  # pages of one short line again and again
     base: tuple[str, ...] = ("html", "body") if rng.random() < 0.9 else ()
     for _ in range(int(rng.integers(0, 3))):
         base += ("div", *([pick(NEUTRAL)] if rng.random() < 0.7 else []))
 
     def leaf(path: tuple[str, ...], name: str, good: int) -> None:
-        inner = tuple(t for t in INSIDE.get(name, (name,)) if t not in INLINE)
+        inner = pick(INSIDE[name]) if name in INSIDE and (name != "p" or rng.random() < 0.2) else (name,)
         long = good and name in ("p", "li", "blockquote", "td") and rng.random() < 0.8
         text = words(8, 90) if long else words(1, 14) if rng.random() < 0.8 else words(10, 60)
-        linked = float(rng.random() < 0.7) if not good and name in ("li", "a") else float(rng.random() < 0.05)
+        if same and rng.random() < 0.6:
+            text = same
+        linked = float(rng.random() < 0.6) if not good and name in ("li", "span") else float(rng.random() < 0.05)
         blocks.append((path + inner, text, linked))
         labels.append(good)
 
@@ -259,25 +265,29 @@ def drawn_page(rng: np.random.Generator) -> tuple[list[tuple[tuple[str, ...], st
         else:
             box = (pick(["div", "div", "section", "ul", "p", "aside", "span", "ol"]), pick(BAD_NAMES)) + ((pick(BAD_NAMES),) if rng.random() < 0.2 else ())
             box = tuple(t for t in box if t not in INLINE)
-        for _ in range(int(rng.integers(1, 7))):
-            leaf(path + box, pick(BAD_LEAVES), 0)
+        if rng.random() < 0.3:
+            box += (pick(["div", "div", "section", "p", "li"]), *((pick(BAD_NAMES if rng.random() < 0.6 else NEUTRAL),) if rng.random() < 0.7 else ()))
+        for _ in range(int(rng.integers(1, 5))):
+            leaf(path + box, pick(LEAVES), 0)
 
     for _ in range(int(rng.integers(0, 4))):
         bad(base)
-    n_good = int(rng.integers(1, 30)) if rng.random() < 0.93 else 0
+    n_good = int(rng.integers(1, 20)) if rng.random() < 0.9 else int(rng.integers(40, 160)) if rng.random() < 0.4 else 0
     if n_good:
         bare = rng.random() < 0.12
         box = () if bare else (pick(GOOD_TAGS),)
         if box and (box[0] in ("div", "section") or rng.random() < 0.3):
             box += (pick(GOOD_NAMES),)
-        if box and rng.random() < 0.25:
-            box += ("div", pick(GOOD_NAMES)) if rng.random() < 0.6 else ("section",)
+        if box and rng.random() < 0.4:
+            box += ("div", pick(GOOD_NAMES), pick(GOOD_NAMES)) if rng.random() < 0.7 else ("section",)
         if rng.random() < 0.8:
             leaf(base + box, "h1", 1)
         for _ in range(n_good):
-            if rng.random() < 0.06:
+            if rng.random() < 0.14:
                 bad(base + box)
-            leaf(base + box, pick(GOOD_LEAVES) if rng.random() < 0.5 else "p", 1)
+            name = pick(GOOD_LEAVES) if rng.random() < 0.6 else "p"
+            for _ in range(int(rng.integers(1, 5)) if name == "li" else 1):
+                leaf(base + box, name, 1)
         if rng.random() < 0.25:  # a container that is never closed
             bad(base + box)
     for _ in range(int(rng.integers(0, 4))):
@@ -286,13 +296,15 @@ def drawn_page(rng: np.random.Generator) -> tuple[list[tuple[tuple[str, ...], st
 
 
 @lru_cache(maxsize=4)
-def trained(n_pages: int = 768, epochs: int = 8, seed: int = 7) -> Labeller:
+def trained(n_pages: int = 2048, epochs: int = 6, seed: int = 7) -> Labeller:
     """A labeller fitted to ``n_pages`` drawn layouts by Adam; the same for the same arguments."""
     rng = np.random.default_rng(seed)
     pages = [p for p in (drawn_page(rng) for _ in range(n_pages)) if p[0]]
     model, moments, step = Labeller(seed), {}, 0
+    by_length = np.array(sorted(range(len(pages)), key=lambda k: len(pages[k][0])))
+    parts = np.array_split(by_length, len(pages) // 24)  # alike in length, so little is padding
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(pages)), len(pages) // 24):
+        for part in (parts[k] for k in rng.permutation(len(parts))):
             steps = max(len(pages[k][0]) for k in part)
             x = np.zeros((steps, len(part), PATH_DIM + WORD_DIM + COUNTS), np.float32)
             mask, y = np.zeros((steps, len(part)), np.float32), np.zeros((steps, len(part)), np.float32)
@@ -300,11 +312,12 @@ def trained(n_pages: int = 768, epochs: int = 8, seed: int = 7) -> Labeller:
                 for t, ((tokens, text, linked), good) in enumerate(zip(*pages[k], strict=True)):
                     x[t, col, :PATH_DIM], x[t, col, PATH_DIM:], mask[t, col], y[t, col] = path_vector(tokens), text_vector(text, linked), 1, good
             step += 1
+            rate = 0.02 * (1 - step / (epochs * len(parts))) + 0.0005
             for name, g in model.gradients(x, mask > 0, y).items():
                 m, v = moments.get(name, (0, 0))
                 m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
                 moments[name] = (m, v)
-                model.p[name] = (model.p[name] - 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                model.p[name] = (model.p[name] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return model
 
 
