@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -28,9 +29,7 @@ def _round(key: bytes, tweak: bytes, i: int, half: int, n: int) -> int:
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
     """A keyed permutation of range(size), ``size`` at least 2: alternating modular Feistel rounds, cycle-walked."""
-    a = max(2, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = max(2, math.isqrt(size - 1) + 1)
     while True:
         left, right = divmod(value, a)
         if not inverse:

@@ -40,6 +40,12 @@ def test_more_phones_and_secrets():
         assert secret not in out
 
 
+def test_long_secrets_take_no_longer():
+    t = "token = " + "aB3" * 80
+    out, kinds = pii.pseudonymise(t, KEY)
+    assert kinds == ["secret"] and out != t and len(out) == len(t) and pii.pseudonymise(out, KEY, inverse=True)[0] == t
+
+
 def test_what_is_not_valid_stays():
     t = "ip 300.1.1.1 date 2023-02-30 iban GB00 WEST 1234 5698 7654 32 ssn 000-12-3456 version 3.1 CC BY-NC 4.0. year 2024, 12345"
     assert pii.pseudonymise(t, KEY) == (t, [])
