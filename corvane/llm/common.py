@@ -66,3 +66,16 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFr
         cond = c if cond is None else cond & c
     out = left.join(renamed, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__{k}" for k in keys])
+
+
+#: Rows of a table of keys that may be broadcast (some tens of MB); a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(keys: DataFrame, name: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` written and counted, marked for broadcast if they have at most ``bound`` rows.
+
+    Documents that are joined with it then stay where they lie: no exchange of texts by a key that may be hot.
+    """
+    kept = materialize(keys, name)
+    return F.broadcast(kept) if kept.count() <= bound else kept

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, same
+from .common import lower_ascii, same, sized
 
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,14 +113,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, mode: str = "documents",
     keyed = docs.withColumn("__d", F.col(doc_id)).withColumn("__t", F.xxhash64(F.col(text).cast("string")))
     keys = [F.col("doc_id").alias("__d"), F.col("th").alias("__t")]
     if mode == "documents":
-        return same(keyed, hits.where("contaminated").select(*keys).distinct(), ["__d", "__t"], "left_anti").drop("__d", "__t")
+        gone = sized(hits.where("contaminated").select(*keys).distinct(), "contaminated")
+        return same(keyed, gone, ["__d", "__t"], "left_anti").drop("__d", "__t")
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
     cut = hits.where("n_hit > 0").select(*keys, "spans").dropDuplicates(["__d", "__t"])
     joined = same(keyed, cut.withColumnRenamed("spans", "__spans"), ["__d", "__t"], "left")
     whole = F.col(text).cast("string")
     parts = joined.withColumn("__w", F.regexp_extract_all(whole, F.lit(RAW_WORD), 0)).withColumn("__s", F.split(whole, RAW_WORD))
-    pieces = F.zip_with("__w", F.slice("__s", 2, F.size("__w")), F.concat)
+    pieces = F.zip_with("__w", F.slice("__s", F.lit(2), F.size("__w")), lambda w, s: F.concat(w, s))
     start = lambda k: F.coalesce(F.get("__spans", k - 1).b, F.lit(0))
     stop = lambda k: F.coalesce(F.get("__spans", k).a, F.size("__w"))
     kept = F.transform(F.sequence(F.lit(0), F.size("__spans")), lambda k: F.array_join(F.slice(pieces, start(k) + 1, stop(k) - start(k)), ""))

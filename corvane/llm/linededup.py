@@ -140,22 +140,22 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     docs = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").select("doc", "th", "text")
     lines = materialize(_lines(docs), "line-hashes")
     here = F.struct("doc", "th", "line")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.first("halves").alias("halves"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     firsts = materialize(firsts, "line-firsts")
-    many = firsts.where("first != last").select("h1", "h2", "first")
+    many = firsts.where("n > 1").select("h1", "h2", "first")
     copies = lines.join(many, ["h1", "h2"]).where(here != F.col("first")).select("doc", "th", "line")
 
     halves = firsts.select("first", F.explode("halves").alias("x")).select("first", "x.*")
-    shared = halves.groupBy("h").agg(F.min("first").alias("p"), F.max("first").alias("q")).where("p != q").select("h")
+    shared = halves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     near = halves.join(shared, "h").groupBy("first").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("first.*", "a", "b")
     held = _with_lists(docs, near, F.struct("line", "a", "b"), "want", "inner")
     cand = held.mapInArrow(_pick, "doc bigint, th bigint, line int, a int, b int, form string")
     cand = materialize(cand, "line-candidates")
 
     variants = cand.mapInArrow(_emit, "doc bigint, th bigint, line int, key bigint, place int")
-    earliest = materialize(variants.groupBy("key", "place").agg(F.min(here).alias("lo"), F.max(here).alias("hi")), "line-variants")
+    earliest = materialize(variants.groupBy("key", "place").agg(F.min(here).alias("lo"), F.count(F.lit(1)).alias("n")), "line-variants")
     # one place: all members are within one edit of the earliest
-    at_place = earliest.where("place >= 0 AND lo != hi").select("key", "place", F.col("lo").alias("other"))
+    at_place = earliest.where("place >= 0 AND n > 1").select("key", "place", F.col("lo").alias("other"))
     pairs = variants.join(at_place, ["key", "place"]).select(here.alias("me"), "other")
     # a line and those that have one word more
     whole = earliest.where("place < 0").select("key", F.col("lo").alias("whole"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, same
+from .common import materialize, same, sized
 
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -131,10 +131,10 @@ def keep_good(docs: DataFrame, *, max_rate: float = 0.5, doc_id: str = "doc_id",
     """``docs`` without the rows that ``judge`` rejects; columns unchanged.
 
     The base rule is applied where a row lies and only rejected hosts are joined, so texts move only
-    if the list of rejected hosts is too large to send whole (decided from its measured size).
+    if the rejected hosts are counted to be too many to broadcast.
     """
     stats = materialize(document_stats(docs, doc_id=doc_id, text=text, host=host), "quality-stats")
-    bad = host_verdicts(stats, max_rate=max_rate).where(~F.col("host_ok")).select(F.col("host").alias("__bad"))
+    bad = sized(host_verdicts(stats, max_rate=max_rate).where(~F.col("host_ok")).select(F.col("host").alias("__bad")), "quality-hosts")
     base_failed = F.pandas_udf(_base_failed, "boolean")
     good = docs.where(~base_failed(F.col(text).cast("string")))
     return good.join(bad, good[host].cast("string").eqNullSafe(bad["__bad"]), "left_anti")
