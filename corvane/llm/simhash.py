@@ -9,7 +9,8 @@ as the difference exceeds the budget. To spread the walk over a cluster, four tr
 with another quarter of the bits at its top: two fingerprints within 3 bits agree wholly on some
 quarter, so in that trie their paths part only below the top, and each subtree under a top can be
 walked by itself. A subtree of more than ``max_nodes`` fingerprints is divided once more in the same way
-(quarters of the bits left), until it is small or no bits are left. A walk returns, for the
+(quarters of the bits left), until it is small or MAX_BITS bits are left. Two parents can have the same
+child; its fingerprints are made distinct before it is counted and walked. A walk returns, for the
 fingerprints it connects, links to one of them: as many rows as nodes, never all pairs.
 """
 
@@ -68,6 +69,7 @@ def trie_join(fps: np.ndarray, roots: np.ndarray, budget: int = MAX_BITS) -> tup
 
     ``fps`` is sorted within each root (unsigned); ``roots`` holds the roots' bounds. A node is a range of
     rows, its children are the rows with a 0 and a 1 at the level's bit. All roots descend together.
+    Rows that hold one fingerprint are connected through the first of them instead of pair by pair.
     """
     a0, a1 = roots[:-1], roots[1:]
     wide = a1 - a0 > 1
@@ -101,7 +103,13 @@ def trie_join(fps: np.ndarray, roots: np.ndarray, budget: int = MAX_BITS) -> tup
         found_i.append(i[near])
         found_j.append(j[near])
         a0, a1, b0, b1, d = (x[~leaf] for x in (a0, a1, b0, b1, d))
+    # ranges of equal fingerprints never part: each row is tied to the first row of the other range
     empty = np.zeros(0, np.int64)
+    for start, end, to in ((a0, a1, b0), (b0, b1, a0)):
+        rows = np.concatenate([empty, *map(np.arange, start, end)])
+        firsts = np.repeat(to, end - start)
+        found_i.append(rows[rows != firsts])
+        found_j.append(firsts[rows != firsts])
     i, j = (np.concatenate([empty, *x]) for x in (found_i, found_j))
     return np.minimum(i, j), np.maximum(i, j)
 
@@ -162,6 +170,10 @@ def quarters(mask: int) -> list[int]:
     return [mask | sum(1 << b for b in free[cuts[q] : cuts[q + 1]]) for q in range(4)]
 
 
+#: With at most MAX_BITS bits left, any two fingerprints of a subtree are near: it is not divided again (2 ** MAX_BITS rows at most).
+UNDIVIDED = BITS - MAX_BITS
+
+
 def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -171,18 +183,20 @@ def near_links(fps: DataFrame, *, max_nodes: int = 2048) -> DataFrame:
     out = None
     masks, state = [0], fps.select(F.lit(0).cast("bigint").alias("mask"), "fp")
     while masks:
-        deeper = {m: quarters(m) for m in masks if m != 2**64 - 1}
+        deeper = {m: quarters(m) for m in masks}
         to = F.create_map(*[x for m, q in deeper.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(v)) for v in q]))])
         rows = state.select(F.explode(to[F.col("mask")]).alias("mask"), "fp")
-        rows = rows.withColumn("top", F.col("fp").bitwiseAND(F.col("mask")))
         masks = sorted({v for q in deeper.values() for v in q})
+        if len(masks) < 4 * len(deeper):  # a child of two parents would get the fingerprints in both twice
+            rows = materialize(rows.distinct(), "trie-rows")
+        rows = rows.withColumn("top", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "top").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = materialize(sizes, "trie-tops")
-        whole = signed(2**64 - 1)
-        walked = rows.join(sizes.where((F.col("n") <= max_nodes) | (F.col("mask") == whole)).select("mask", "top"), ["mask", "top"])
+        small = (F.col("n") <= max_nodes) | (F.bit_count("mask") >= UNDIVIDED)
+        walked = rows.join(sizes.where(small).select("mask", "top"), ["mask", "top"])
         links = walked.repartition("mask", "top").sortWithinPartitions("mask", "top").mapInArrow(_walk, "a bigint, b bigint")
         out = links if out is None else out.unionByName(links)
-        large = sizes.where((F.col("n") > max_nodes) & (F.col("mask") != whole))
+        large = sizes.where(~small)
         masks = [r["mask"] % 2**64 for r in large.select("mask").distinct().collect()]  # few: 4 ** depth at most
         if masks:
             state = materialize(rows.join(large.select("mask", "top"), ["mask", "top"]).select("mask", "fp"), "trie-large")

@@ -57,6 +57,38 @@ def test_links_connect_what_is_near(spark):
         assert classes(links, fps) == want and all((a ^ b).bit_count() or a == b for a, b in links)
 
 
+def test_equal_rows_are_connected():
+    x, y, far = 5, 5 ^ (1 << 40) ^ 3, 5 ^ (0xFFFF << 20)
+    fps = np.array(sorted([x, x, y, y, y, far, far]), np.uint64)
+    i, j = S.trie_join(fps, np.array([0, len(fps)]))
+    got = classes(list(zip(i.tolist(), j.tolist(), strict=True)), range(len(fps)))
+    assert len({got[k] for k in range(len(fps)) if fps[k] in (x, y)}) == 1 and len(set(got.values())) == 2 and (i < j).all()
+
+
+def test_hot_subtrees_of_two_parents_keep_their_links(spark):
+    rng = random.Random(12)
+    x = rng.getrandbits(64)
+    for bits in ((0, 12, 24), (63, 51, 39)):  # the second is the mirror case
+        low = bits[0] == 0
+        fps = [x, x ^ sum(1 << b for b in bits)]
+        while len(fps) < 60:  # nothing else is near anything: the pair's link is the only one
+            new = x ^ (rng.getrandbits(27) << (0 if low else 37))
+            if all((new ^ f).bit_count() > 3 for f in fps):
+                fps.append(new)
+        df = spark.createDataFrame([(S.signed(f),) for f in fps], "fp bigint")
+        links = [(r.a % 2**64, r.b % 2**64) for r in S.near_links(df, max_nodes=16).collect()]
+        assert classes(links, fps) == classes(near(fps), fps) and len(near(fps)) == 1
+
+
+def test_dense_cluster_is_divided_to_the_end(spark):
+    rng = random.Random(13)
+    x = rng.getrandbits(64)
+    fps = sorted({x ^ rng.getrandbits(4) ^ (rng.getrandbits(3) << 30) for _ in range(90)} | set(clustered(rng, 60)))
+    df = spark.createDataFrame([(S.signed(f),) for f in fps], "fp bigint")
+    links = [(r.a % 2**64, r.b % 2**64) for r in S.near_links(df, max_nodes=12).collect()]
+    assert classes(links, fps) == classes(near(fps), fps)
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(300, 300), (1, 0)]
     got = {r.node: r.component for r in C.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
