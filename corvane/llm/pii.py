@@ -3,7 +3,8 @@
 Numbers, dates, addresses and keys are found, validated, and permuted within their own format by a keyed
 Feistel network: a card number becomes another card number that passes the same check, a date another
 date. A permutation maps equal values to equal pseudonyms, so records stay linked across documents
-without any table, and the holder of the key can undo it.
+without any table, and the holder of the key can undo it. Secrets and keys of any length are taken whole; where the
+values of a format exceed SHORT, the rounds run over its symbols instead of one number, in time linear in the length.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ import math
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Values of a format up to which they are permuted as one number: a half is at most 128 bits, well within a round's 192.
+SHORT = 2**256
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -43,6 +47,22 @@ def feistel(value: int, size: int, key: bytes, tweak: bytes, inverse: bool = Fal
             return value
 
 
+def _long(symbols: list[int], radix: list[int], key: bytes, tweak: bytes, inverse: bool) -> list[int]:
+    """A keyed permutation of sequences of symbols, each below its radix (256 at most).
+
+    Alternating Feistel rounds: the symbols of one half are shifted by a key stream that hangs on the other half.
+    """
+    cut = len(symbols) // 2
+    halves, radices = np.split(np.array(symbols, np.int64), [cut]), np.split(np.array(radix, np.int64), [cut])
+    for i in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+        t = i % 2
+        seed = hashlib.blake2b(b"%s|%d|" % (tweak, i) + halves[1 - t].astype(np.uint8).tobytes(), key=key).digest()
+        stream = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(halves[t])), "<u8")
+        shift = (stream % radices[t].astype(np.uint64)).astype(np.int64)
+        halves[t] = (halves[t] - shift if inverse else halves[t] + shift) % radices[t]
+    return np.concatenate(halves).tolist()
+
+
 def _walk(value: int, size: int, ok: Callable[[int], bool], key: bytes, tweak: bytes, inverse: bool) -> int:
     """The permutation kept inside the values that are ok."""
     while True:
@@ -75,12 +95,19 @@ def _characters(text: str, key: bytes, kind: bytes, inverse: bool) -> str:
     for c in text:
         base = next((b for b in ("09", "AZ", "az") if b[0] <= c <= b[1]), None)
         radix.append(base)
-        if base:
+        if base and size <= SHORT:
             n = ord(base[1]) - ord(base[0]) + 1
             value, size = value * n + ord(c) - ord(base[0]), size * n
     if size == 1:
         return text
     shape = "".join({None: "-", "09": "9", "AZ": "A", "az": "a"}[b] for b in radix).encode()
+    if size > SHORT:
+        at = [k for k, b in enumerate(radix) if b]
+        new = _long([ord(text[k]) - ord(radix[k][0]) for k in at], [ord(radix[k][1]) - ord(radix[k][0]) + 1 for k in at], key, kind + shape, inverse)
+        out = list(text)
+        for k, v in zip(at, new, strict=True):
+            out[k] = chr(ord(radix[k][0]) + v)
+        return "".join(out)
     value = feistel(value, size, key, kind + shape, inverse)
     out = []
     for c, base in zip(reversed(text), reversed(radix), strict=True):
@@ -91,6 +118,18 @@ def _characters(text: str, key: bytes, kind: bytes, inverse: bool) -> str:
     return "".join(reversed(out))
 
 
+def _hex(digits: str, key: bytes, tweak: bytes, inverse: bool) -> str:
+    """Small hex digits, some of them numbers and some letters, to such ones."""
+    n = len(digits)
+    while True:
+        if 16**n > SHORT:
+            digits = "".join(f"{v:x}" for v in _long([int(c, 16) for c in digits], [16] * n, key, tweak, inverse))
+        else:
+            digits = f"{feistel(int(digits, 16), 16**n, key, tweak, inverse):0{n}x}"
+        if not (digits.isdigit() or digits.isalpha()):
+            return digits
+
+
 def _date(y: int, m: int, d: int) -> datetime.date | None:
     try:
         day = datetime.date(y, m, d)
@@ -117,8 +156,8 @@ KINDS = {
     "day_date": r"(?<![0-9./])[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]|[./][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3}(?P<dash>[ .\-])[0-9]{3}(?P=dash)[0-9]{4}|0[0-9](?:[ .\-][0-9]{2}){4})(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<hidden>[A-Za-z0-9+/_.\-]{8,256})",
-    "hex_key": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<hidden>[A-Za-z0-9+/_.\-]{8,})",
+    "hex_key": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.\-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4})(?![0-9A-Za-z]|[.\-][0-9])",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
@@ -181,9 +220,7 @@ def _swap(m: re.Match, key: bytes, inverse: bool) -> tuple[str, str | None]:
         return _fit(value, code + _characters(rest, key, b"phone" + code.encode(), inverse)), kind
     if kind == "hex_key":
         upper = value.upper() == value
-        mixed = lambda v: not (f"{v:0{len(value)}x}".isdigit() or f"{v:0{len(value)}x}".isalpha())
-        n = _walk(int(value, 16), 16 ** len(value), mixed, key, b"hex%d%d" % (len(value), upper), inverse)
-        out = f"{n:0{len(value)}x}"
+        out = _hex(value.lower(), key, b"hex%d%d" % (len(value), upper), inverse)
         return (out.upper() if upper else out), kind
     return _fit(value, _number(digits, key, b"card", inverse)), kind
 

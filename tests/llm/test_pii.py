@@ -46,6 +46,28 @@ def test_long_secrets_take_no_longer():
     assert kinds == ["secret"] and out != t and len(out) == len(t) and pii.pseudonymise(out, KEY, inverse=True)[0] == t
 
 
+@pytest.mark.parametrize("n", [44, 128, 256, 257, 1000, 20_000])
+def test_long_secrets_are_replaced_whole(n):
+    rng = random.Random(n)
+    hidden = "".join(rng.choices("ABCdefghi0123456789+/_.-", k=n - 2)) + "9z"
+    out, kinds = pii.pseudonymise(f"token={hidden} end", KEY)
+    new = out[len("token=") : -len(" end")]
+    assert kinds == ["secret"] and len(new) == n and pii.pseudonymise(out, KEY, inverse=True)[0] == f"token={hidden} end"
+    assert not any(hidden[k : k + 16] == new[k : k + 16] for k in range(n - 15))
+    other = pii.pseudonymise(f"token={hidden[:-1]}q end", KEY)[0][len("token=") : -len(" end")]
+    assert not any(other[k : k + 16] == new[k : k + 16] for k in range(n - 15))  # an equal head is no link
+
+
+@pytest.mark.parametrize("n", [32, 64, 65, 128, 129, 1000, 20_000])
+def test_long_hex_keys_are_replaced_whole(n):
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        value = "".join(random.Random(n).choices(digits, k=n))
+        out, kinds = pii.pseudonymise(f"x {value} y", KEY)
+        assert kinds == ["hex_key"] and len(out) == n + 4 and set(out[2:-2]) <= set(digits)
+        assert pii.pseudonymise(out, KEY, inverse=True)[0] == f"x {value} y"
+        assert not any(value[k : k + 16] == out[k + 2 : k + 18] for k in range(n - 15))
+
+
 def test_what_is_not_valid_stays():
     t = "ip 300.1.1.1 date 2023-02-30 iban GB00 WEST 1234 5698 7654 32 ssn 000-12-3456 version 3.1 CC BY-NC 4.0. year 2024, 12345"
     assert pii.pseudonymise(t, KEY) == (t, [])
