@@ -83,31 +83,50 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], limit: int, rank:
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
 
 
-def greedy_distinct(rows: DataFrame, scope: list[str], order: str, marks: list[str]) -> DataFrame:
+def greedy_distinct(rows: DataFrame, scope: list[str], order: str, marks: list[str], near: DataFrame | None = None) -> DataFrame:
     """First-wins deduplication by several marks at once: a row stays if no earlier *kept* row shares any mark.
 
-    ``order`` is a unique sort key per scope. In each round every undecided row that comes first under all its marks is
+    ``order`` is a unique sort key per scope. A null mark is shared with no row; nulls of a scope are one scope. ``near``
+    (scope, the last mark, near) adds values of the last mark by which a row goes as well if an earlier kept row has one.
+    In each round every undecided row that comes first under all its marks is
     kept, and rows that share a mark with a kept row go. Minima are combined map-side, so a mark that very many rows share is
     no hot spot, and nothing is gathered per scope; rounds end when no row is undecided. Each round's rows
     (keys only) are written to shared storage.
     """
-    keys = [*scope, order]
-    left = store(rows.select(*keys, *marks))
+    # structs are never null, and equal where their fields are, nulls included
+    within, at = F.struct(*scope).alias("__scope"), F.struct(order).alias("__order")
+    left = store(rows.select(within, at, *marks))
+    if near is not None:
+        near = store(near.select(within, marks[-1], "near"))
+
+    def least(of: DataFrame, m: str, name: str) -> DataFrame:
+        return of.where(F.col(m).isNotNull()).groupBy("__scope", m).agg(F.min("__order").alias(name))
+
+    def nearest(of: DataFrame, name: str) -> DataFrame:
+        """The first row among those near each value."""
+        firsts = least(of, marks[-1], name).withColumnRenamed(marks[-1], "near")
+        return near.join(firsts, ["__scope", "near"]).groupBy("__scope", marks[-1]).agg(F.min(name).alias(name))
+
     kept = None
     while not left.isEmpty():
-        first = left
+        first, free = left, F.lit(True)
         for m in marks:
-            least = left.groupBy(*scope, m).agg(F.min(order).alias(f"__{m}"))
-            first = first.join(least, [*scope, m])
-        chosen = store(first.where(reduce(lambda a, m: a & (F.col(order) == F.col(f"__{m}")), marks, F.lit(True))).select(*keys, *marks))
+            first = first.join(least(left, m, f"__{m}"), ["__scope", m], "left")
+            free = free & (F.col(m).isNull() | (F.col("__order") == F.col(f"__{m}")))
+        if near is not None:
+            first = first.join(nearest(left, "__near"), ["__scope", marks[-1]], "left")
+            free = free & (F.col("__near").isNull() | (F.col("__order") <= F.col("__near")))
+        chosen = store(first.where(free).select("__scope", "__order", *marks))
         kept = chosen if kept is None else kept.unionByName(chosen)
-        rest = left
+        rest = left.join(chosen.select("__scope", "__order"), ["__scope", "__order"], "left_anti")
         for m in marks:
-            rest = rest.join(chosen.select(*scope, m).distinct(), [*scope, m], "left_anti")
-        left = store(rest)
+            rest = rest.join(chosen.where(F.col(m).isNotNull()).select("__scope", m).distinct(), ["__scope", m], "left_anti")
+        if near is not None:
+            rest = rest.join(nearest(chosen, "__near"), ["__scope", marks[-1]], "left").where(F.col("__near").isNull() | (F.col("__order") < F.col("__near"))).drop("__near")
+        left = store(rest.select("__scope", "__order", *marks))
     if kept is None:
         return rows.limit(0)
-    return rows.join(kept.select(*keys), keys, "left_semi")
+    return rows.withColumns({"__scope": within, "__order": at}).join(kept.select("__scope", "__order"), ["__scope", "__order"], "left_semi").select(*rows.columns)
 
 
 def interleave(rows: DataFrame, keys: list[str], source: str, order: list[Column], limit: int) -> DataFrame:

@@ -88,6 +88,11 @@ def test_greedy_distinct_against_a_loop(spark):
     assert sorted(r.ord for r in got.collect()) == want
 
 
+def test_greedy_distinct_keeps_rows_without_marks(spark):
+    rows = spark.createDataFrame([("s", 1, "u1", None), ("s", 2, "u1", None), ("s", 3, None, "t"), ("s", 4, None, "t"), (None, 5, "u1", None), (None, 6, "u1", "t"), ("s", 7, None, None)], "symbol string, ord int, url string, key string")
+    assert sorted(r.ord for r in feeds.greedy_distinct(rows, ["symbol"], "ord", ["url", "key"]).collect()) == [1, 3, 5, 7]
+
+
 def test_ladder_falls_through(spark):
     rows = spark.createDataFrame([("s", float(x)) for x in (2, 2, 2, 2, 1, 1, 0.5)], "symbol string, rank_score double")
     assert feeds.ladder(rows, ["symbol"], "rank_score", feeds.news_steps(12)).count() == 6
