@@ -1,15 +1,18 @@
-"""Near-duplicate posts among the best of a feed."""
+"""Near-duplicate posts of a feed."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import title_key
-from .feeds import top
+from ..sources.store import store
+from .feeds import greedy_distinct
 
 RATIO = 0.93
 
@@ -24,21 +27,68 @@ def alike(new: str, kept: str) -> bool:
     return m.quick_ratio() >= RATIO and m.ratio() >= RATIO
 
 
-def distinct_posts(posts: DataFrame, keys: list[str], pool: int = 260) -> DataFrame:
-    """The best ``pool`` posts per key and provider without those like a better one (same URL or title, or titles 0.93 alike).
+#: Distinct titles of a block; two blocks are compared in one group.
+BLOCK = 1000
+#: What title keys consist of.
+ALPHABET = b" 0123456789abcdefghijklmnopqrstuvwxyz"
 
-    The pool is the feed's own limit; it bounds each group that the sequential comparison runs on.
+
+def _near(new: pd.Series, kept: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, k) of alike, unequal titles; lengths and character counts rule out most pairs, exactly as ``alike`` does."""
+    size = kept.str.len().to_numpy()
+    kept_at = np.argsort(size, kind="stable")
+    size = size[kept_at]
+    counts = lambda s: np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128)[list(ALPHABET)] for t in s], np.int32)
+    have = counts(kept)[kept_at]
+    out_i, out_k = [], []
+    for i, (t, c) in enumerate(zip(new, counts(new), strict=True)):
+        n = len(t)
+        lo, hi = np.searchsorted(size, [int(n * 0.86), int(n / 0.86) + 2])  # a little wider than RATIO / (2 - RATIO)
+        both = np.minimum(have[lo:hi], c).sum(axis=1)
+        for k in kept_at[lo:hi][2.0 * both >= RATIO * (size[lo:hi] + n) - 1e-6]:
+            if t != kept.iat[k] and alike(t, kept.iat[k]):
+                out_i.append(i)
+                out_k.append(k)
+    return np.array(out_i, np.int64), np.array(out_k, np.int64)
+
+
+def near_titles(titles: DataFrame, scope: list[str], key: str, block: int = BLOCK) -> DataFrame:
+    """scope, key, near: all pairs of unequal titles where a row with ``key`` is like an earlier one with ``near``.
+
+    Distinct titles are dealt to blocks by hash and each pair of blocks is a group of at most some thousand rows, so no task holds
+    a scope. Comparisons still grow with the square of a scope's distinct titles.
     """
-    best = top(posts, [*keys, "provider"], [F.desc("score"), F.col("ord")], pool, "__rank").drop("__rank").withColumn("__key", title_key(F.col("title")))
+    each = store(titles.where(F.col(key).isNotNull()).select(*scope, key).distinct())
+    largest = each.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-largest // block))
+    own, other = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.col("__other")
+    dealt = each.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"__low": F.least("__own", other), "__high": F.greatest("__own", other)})
+    fields = [f for f in each.schema.fields if f.name in scope]
+    schema = StructType([*fields, StructField(key, StringType()), StructField("near", StringType())])
 
-    columns = posts.columns
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf["__own"] == pdf["__low"]
+        a, b = (pdf.loc[side, key].reset_index(drop=True) for side in (low, ~low))
+        parts = []
+        for new, kept in [(a, b), (b, a)] if pdf["__low"].iat[0] != pdf["__high"].iat[0] else [(a, a)]:
+            if len(new) and len(kept):
+                i, k = _near(new, kept)
+                parts.append(pd.DataFrame({key: new.to_numpy(object)[i], "near": kept.to_numpy(object)[k]}))
+        out = pd.concat(parts) if parts else pd.DataFrame({key: [], "near": []}, dtype=object)
+        for f in fields:
+            out[f.name] = pd.Series([pdf[f.name].iat[0]] * len(out), index=out.index, dtype=pdf[f.name].dtype)
+        return out[schema.names]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = pdf.sort_values(["score", "ord"], ascending=[False, True]).reset_index(drop=True)
-        for i in range(len(rows)):
-            if not any(rows.at[i, "url"] == rows.at[k, "url"] or alike(rows.at[i, "__key"], rows.at[k, "__key"]) for k in kept):
-                kept.append(i)
-        return rows.loc[kept, columns]
+    return dealt.groupBy(*scope, "__low", "__high").applyInPandas(compare, schema)
 
-    return best.groupBy(*keys).applyInPandas(run, posts.schema)
+
+def distinct_posts(posts: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """All posts, best first per key, without those like a better one that stays (same URL or title, or titles 0.93 alike).
+
+    A null URL or title is like no other; of rows equal in score, ord, URL and title one stays.
+    """
+    first = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("score"), "ord", "url", "title")
+    rows = posts.withColumns({"__first": first, "__key": title_key(F.col("title"))}).dropDuplicates([*keys, "__first"])
+    near = near_titles(rows, keys, "__key", block)
+    return greedy_distinct(rows, keys, "__first", ["url", "__key"], near).select(*posts.columns)

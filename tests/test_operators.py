@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scoring as S
 from corvane.functions import text as T
-from corvane.operators import feeds, fundamentals, metrics, segments, transcripts
+from corvane.operators import feeds, fundamentals, metrics, neardup, segments, transcripts
 from corvane.plans import report
 from corvane.streaming.feeds import daily_sentiment
 
@@ -93,6 +93,26 @@ def test_greedy_distinct_keeps_rows_without_marks(spark):
     assert sorted(r.ord for r in feeds.greedy_distinct(rows, ["symbol"], "ord", ["url", "key"]).collect()) == [1, 3, 5, 7]
 
 
+def test_distinct_posts_looks_at_all_posts(spark):
+    rng = random.Random(8)
+    bases = ["".join(rng.choices("abcde ", k=rng.randrange(8, 60))).strip() for _ in range(40)]
+    data = []
+    for i in range(400):
+        t = list(rng.choice(bases))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice("abcdexyz")
+        data.append(("s", "p", i, " ".join("".join(t).split()), f"u{rng.randrange(900)}", float(rng.randrange(50))))
+    kept = []
+    for r in sorted(data, key=lambda r: (-r[5], r[2])):
+        if not any(r[4] == k[4] or neardup.alike(r[3], k[3]) for k in kept):
+            kept.append(r)
+    posts = spark.createDataFrame([*data, ("s", "p", 900, None, None, None), ("s", "p", 901, None, None, 1.0)], "symbol string, provider string, ord int, title string, url string, score double")
+    got = {r.ord for r in neardup.distinct_posts(posts, ["symbol"], block=90).collect()}
+    assert got == {r[2] for r in kept} | {900, 901} and len(kept) < 300
+    far = spark.range(300).selectExpr("'s' AS symbol", "'p' AS provider", "id AS ord", "sha2(string(id), 256) AS title", "string(id) AS url", "1.0D AS score")
+    assert neardup.distinct_posts(far, ["symbol"]).count() == 300
+
+
 def test_ladder_falls_through(spark):
     rows = spark.createDataFrame([("s", float(x)) for x in (2, 2, 2, 2, 1, 1, 0.5)], "symbol string, rank_score double")
     assert feeds.ladder(rows, ["symbol"], "rank_score", feeds.news_steps(12)).count() == 6
