@@ -76,11 +76,23 @@ def luhn(digits: str) -> bool:
     return (sum(map(int, odd)) + sum(sum(divmod(2 * int(c), 10)) for c in even)) % 10 == 0
 
 
-def _number(digits: str, key: bytes, kind: bytes, inverse: bool) -> str:
-    """Numbers that pass the Luhn check stay such, the others stay others."""
-    n, valid = len(digits), luhn(digits)
-    good = lambda v: luhn(f"{v:0{n}d}") == valid
-    return f"{_walk(int(digits), 10**n, good, key, kind + b'%d%d' % (n, valid), inverse):0{n}d}"
+# First and last of the leading four digits that card issuers use, and how many digits such a number may have.
+ISSUERS = (
+    (2221, 2720, 16, 16), (3000, 3059, 14, 19), (3095, 3095, 14, 19), (3400, 3499, 15, 15), (3528, 3589, 16, 19), (3600, 3699, 14, 19), (3700, 3799, 15, 15),
+    (3800, 3999, 14, 19), (4000, 4999, 13, 19), (5000, 5099, 13, 19), (5100, 5599, 16, 16), (5600, 5899, 13, 19), (6000, 6999, 13, 19),
+)
+
+
+def card_number(digits: str) -> bool:
+    """The check digit is right and the number begins as an issuer's numbers of that length do."""
+    return luhn(digits) and any(lo <= int(digits[:4]) <= hi and least <= len(digits) <= most for lo, hi, least, most in ISSUERS)
+
+
+def _card(digits: str, key: bytes, inverse: bool) -> str:
+    """The digits after the issuer's four, so that the check digit stays right."""
+    head, n = digits[:4], len(digits) - 4
+    tail = _walk(int(digits[4:]), 10**n, lambda v: luhn(f"{head}{v:0{n}d}"), key, b"card" + head.encode(), inverse)
+    return f"{head}{tail:0{n}d}"
 
 
 def _fit(template: str, symbols: str) -> str:
@@ -130,6 +142,12 @@ def _hex(digits: str, key: bytes, tweak: bytes, inverse: bool) -> str:
             return digits
 
 
+def _cased(text: str, key: bytes, kind: bytes, inverse: bool) -> str:
+    """``_characters`` of the lower-cased text with the capitals where they were: spellings of one name stay linked."""
+    out = _characters("".join(c.lower() if "A" <= c <= "Z" else c for c in text), key, kind, inverse)
+    return "".join(n.upper() if "A" <= c <= "Z" else n for c, n in zip(text, out, strict=True))
+
+
 def _date(y: int, m: int, d: int) -> datetime.date | None:
     try:
         day = datetime.date(y, m, d)
@@ -149,13 +167,13 @@ def _iban_check(body: str, country: str) -> str:
 
 # What the kinds look like. The order is the order of precedence at one place.
 KINDS = {
-    "email": r"(?P<local>[A-Za-z0-9][A-Za-z0-9._%+\-]*)@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+\-])(?P<lead>[._%+\-]*+)(?P<local>[A-Za-z0-9][A-Za-z0-9._%+\-]*+)@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9\-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9])",
     "day_date": r"(?<![0-9./])[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]|[./][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3}(?P<dash>[ .\-])[0-9]{3}(?P=dash)[0-9]{4}|0[0-9](?:[ .\-][0-9]{2}){4})(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-][0-9]{3,4}|[0-9]{3}(?P<dash>[ .\-])[0-9]{3}(?P=dash)[0-9]{4}|0[0-9](?:[ .\-][0-9]{2}){4}|0[1-9][0-9]{1,4}[ /\-][0-9]{5,8}(?!-[0-9]))(?![0-9])|(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .\-]?|00[1-9][0-9]{0,2}[ .\-])[0-9]{2,6}(?:[ .\-]?[0-9]{2,6}){1,4}(?![0-9])|(?<![A-Za-z])(?i:tel|telephone|telefon|phone|mobile|fax)\.?\s{0,2}:?\s{0,2}(?P<short>[0-9]{3}[ .\-][0-9]{4})(?![0-9]|-[0-9])",
     "secret": r"(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<hidden>[A-Za-z0-9+/_.\-]{8,})",
     "hex_key": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.\-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4})(?![0-9A-Za-z]|[.\-][0-9])",
@@ -171,8 +189,8 @@ def _swap(m: re.Match, key: bytes, inverse: bool) -> tuple[str, str | None]:
     value = m[0]
     digits = re.sub(r"[^0-9]", "", value)
     if kind == "email":
-        local = m["local"]
-        return _characters(local, key, b"email", inverse) + value[len(local) :], kind
+        lead, local = m["lead"], m["local"]
+        return lead + _cased(local, key, b"email", inverse) + value[len(lead) + len(local) :], kind
     if kind == "secret":
         hidden = m["hidden"]
         if not any(c.isdigit() for c in hidden):
@@ -196,23 +214,28 @@ def _swap(m: re.Match, key: bytes, inverse: bool) -> tuple[str, str | None]:
     if kind == "day_date":
         sep = m["sep"]
         x, y, year = map(int, value.split(sep))
-        # month first only where it can't be the day: each of both forms is permuted in itself
+        # month first only where it can't be the day; each of both forms, and each width of its numbers, is permuted in itself
         day, first = (_date(year, y, x), True) if y <= 12 else (_date(year, x, y), False)
         if day is None:
             return value, None
+        wide = [len(n) for n in value.split(sep)[:2]]
         while True:
             day = _move_date(day, key, inverse)
-            if first or day.day > 12:
-                return (f"{day.day:02d}{sep}{day.month:02d}{sep}{day.year}" if first else f"{day.month:02d}{sep}{day.day:02d}{sep}{day.year}"), "date"
+            parts = (day.day, day.month) if first else (day.month, day.day)
+            if (first or day.day > 12) and all(n < 10**w for n, w in zip(parts, wide, strict=True)):
+                return sep.join(f"{n:0{w}d}" for n, w in zip((*parts, day.year), (*wide, 4), strict=True)), "date"
     if kind == "ssn":
         ok = lambda v: not (v // 10**6 in (0, 666) or v // 10**8 == 9 or v // 10**4 % 100 == 0 or v % 10**4 == 0)
         if not ok(int(digits)):
             return value, None
         return _fit(value, f"{_walk(int(digits), 10**9, ok, key, b'ssn', inverse):09d}"), kind
     if kind == "phone":
+        if m["short"] is not None:
+            return value[: -len(m["short"])] + _characters(m["short"], key, b"phone", inverse), kind
         if not 7 <= len(digits) <= 15:
             return value, None
-        head = re.match(r"\+[0-9]{1,3}(?![0-9])|\+[0-9]", value)
+        # the country's code, or the zero and digit before a national number, stays: it is what such a number is known by
+        head = re.match(r"(?:\+|00)[0-9]{1,3}(?![0-9])|\+[0-9]", value) or (m["dash"] is None and re.match("0[0-9]", value))
         code = re.sub(r"[^0-9]", "", head[0]) if head else ""
         rest = digits[len(code) :]
         if len(rest) < 4:
@@ -222,7 +245,9 @@ def _swap(m: re.Match, key: bytes, inverse: bool) -> tuple[str, str | None]:
         upper = value.upper() == value
         out = _hex(value.lower(), key, b"hex%d%d" % (len(value), upper), inverse)
         return (out.upper() if upper else out), kind
-    return _fit(value, _number(digits, key, b"card", inverse)), kind
+    if not card_number(digits):
+        return value, None
+    return _fit(value, _card(digits, key, inverse)), kind
 
 
 def pseudonymise(text: str | None, key: bytes, inverse: bool = False) -> tuple[str | None, list[str]]:
@@ -246,9 +271,10 @@ COUNTED = ("email", "iban", "ip", "date", "ssn", "phone", "secret", "hex_key", "
 def pseudonyms(docs: DataFrame, *, key: str, text: str = "text", counts: str = "n_pii", inverse: bool = False) -> DataFrame:
     """``docs`` with ``text`` pseudonymised and a column ``counts``: struct with the number replaced of each kind.
 
-    Null stays null, other columns stay, each row is treated by itself (no shuffle), and an
+    Null stays null, other columns stay, each row is treated by itself (no shuffle), so repeated rows get equal results, and an
     existing column called ``counts`` is refused. What fails its validation (an octet over 255, a date that
-    doesn't exist, a wrong IBAN check) is left alone.
+    doesn't exist, a wrong IBAN check, a card number of no issuer or without its check digit) is left alone. Where two kinds
+    begin at one place, the earlier one in KINDS is taken. Texts of any length are read in one pass, in time linear in the length.
     """
     if counts in docs.columns:
         raise ValueError(f"docs has a column {counts}")
