@@ -12,7 +12,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,23 +21,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, COUNTS = 512, 32, 4
+PATH_DIM, WORD_DIM, COUNTS = 512, 64, 4
 HIDDEN = 16
 
 # HTML's elements by how they break text.
-RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object"}
+RAW = {"script", "style", "textarea", "title", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br "
+    "math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot semantics annotation svg g text tspan object iframe".split()
+)
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: What a start tag ends if it is still open, and the elements that shield it.
+LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
+ENDS = (({"p"}, {"td", "th", "li", "div", "section", "article", "button"}), ({"li"}, LISTS), ({"dt", "dd"}, LISTS), ({"td", "th"}, LISTS), ({"tr"}, LISTS), ({"option"}, LISTS))
+ENDED_BY = {"li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "option": 5}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 SPACES = re.compile(r"\s+")
 
+#: A block: the set of its path's features as bits, its text, the share of it in links.
+Block = tuple[int, str, float]
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path tokens, text, share of it in links) of each block with text, in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[tuple[str, ...], str, float]] = []
+
+@lru_cache(maxsize=100_000)
+def _slot(token: str, size: int) -> int:
+    return zlib.crc32(token.encode()) % size
+
+
+def path_bits(tokens: Iterable[str], before: int = 0) -> int:
+    """``before`` and the bits of the tokens of one element."""
+    for t in tokens:
+        before |= 1 << _slot(t, PATH_DIM)
+    return before
+
+
+def leaf_bit(token: str) -> int:
+    return 1 << _slot(f"leaf {token}", PATH_DIM)
+
+
+def path_of(tokens: tuple[str, ...]) -> int:
+    """The features of a whole path; its last token counts as the leaf's as well."""
+    return path_bits(tokens) | (leaf_bit(tokens[-1]) if tokens else 0)
+
+
+@lru_cache(maxsize=20_000)
+def path_vector(path: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(path.to_bytes(PATH_DIM // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
+
+
+class _Open:
+    """The open elements. What a block needs of them is kept for each level, so neither depth nor breadth of a page matters."""
+
+    def __init__(self) -> None:
+        # name, bits of the path down to here, the leaf's bit, places of the elements that a start tag would end
+        self.levels: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.names: Counter[str] = Counter()
+
+    @property
+    def path(self) -> int:
+        return self.levels[-1][1] | self.levels[-1][2] if self.levels else 0
+
+    def push(self, name: str, marks: tuple[str, ...]) -> None:
+        _, bits, leaf, ends = self.levels[-1] if self.levels else ("", 0, 0, (-1,) * len(ENDS))
+        if name not in INLINE:
+            bits, leaf = path_bits((name, *marks), bits), leaf_bit(marks[-1] if marks else name)
+        at = len(self.levels)
+        ends = tuple(at if name in ended else -1 if name in shield else e for e, (ended, shield) in zip(ends, ENDS, strict=True))
+        self.levels.append((name, bits, leaf, ends))
+        self.names[name] += 1
+
+    def cut(self, at: int) -> None:
+        for level in self.levels[at:]:
+            self.names[level[0]] -= 1
+        del self.levels[at:]
+
+    def close(self, name: str) -> None:
+        """Ends the innermost element of this name, and all in it, if there is one."""
+        if self.names[name]:
+            at = len(self.levels) - 1
+            while self.levels[at][0] != name:
+                at -= 1
+            self.cut(at)
+
+    def end(self, kind: int) -> None:
+        if self.levels and (at := self.levels[-1][3][kind]) >= 0:
+            self.cut(at)
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks with text, in page order; time is linear in the page's length, whatever is nested or broken in it."""
+    opened = _Open()
+    out: list[Block] = []
     parts: list[str] = []
     linked = 0
 
@@ -45,26 +121,19 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                tokens = tuple(t for name, marks in stack if name not in INLINE for t in (name, *marks))
-                out.append((tokens, text, min(1.0, linked / len(text))))
+                out.append((opened.path, text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    def close_to(names: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None  # beyond the last > there is no tag
+        if at > last and (begun := page.find("<!--", at)) >= 0:
+            n = begun
         data = page[at : m.start() if m else n]
         if data:
             parts.append(data)
-            if any(name == "a" for name, _ in stack):
+            if opened.names["a"]:
                 linked += len(data)
         if not m:
             break
@@ -77,50 +146,36 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         elif name == "br":
             parts.append(" ")
         if m[1] or m[4]:
-            if any(x == name for x, _ in stack):
-                close_to({name}, set())
+            opened.close(name)
             continue
         attributes = m[3] or m[6] or ""
-        if name in RAW and not attributes.endswith("/"):
+        if (name in RAW or name == "xmp") and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if name == "xmp":  # shown as it is written
+                parts.append(html.escape(page[at : end.start() if end else n]))
+                flush()
             at = end.end() if end else n
             continue
         if name in VOID or attributes.endswith("/"):
             continue
         if name in CLOSES_P:
-            close_to({"p"}, {"td", "th", "li", "div", "section", "article", "button"})
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            close_to({"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name}, {"ul", "ol", "dl", "table", "menu", "select"})
+            opened.end(0)
+        if name in ENDED_BY:
+            opened.end(ENDED_BY[name])
         if name in ("article", "main"):  # neither stands in a menu: what was open was left open
-            close_to({"nav"}, set())
+            opened.close("nav")
         if name == "body":
-            stack[:] = [x for x in stack if x[0] == "html"]
-        marks = tuple(w for a in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", "".join(a).lower()) if w)
-        stack.append((name, marks))
+            opened.cut(1 if opened.levels and opened.levels[0][0] == "html" else 0)
+        opened.push(name, tuple(w for a in NAMES.findall(attributes) for w in re.split(r"[^a-z]+", "".join(a).lower()) if w))
     flush()
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _slot(token: str, size: int) -> int:
-    return zlib.crc32(token.encode()) % size
-
-
-@lru_cache(maxsize=20_000)
-def path_vector(tokens: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIM, np.float32)
-    for k, t in enumerate(tokens):
-        v[_slot(t, PATH_DIM)] = 1
-        if k == len(tokens) - 1:
-            v[_slot(f"leaf {t}", PATH_DIM)] = 1
-    return v
-
-
-def text_vector(text: str, linked: float, words_seen: int = 64) -> np.ndarray:
+def text_vector(text: str, linked: float) -> np.ndarray:
     v = np.zeros(WORD_DIM + COUNTS, np.float32)
     words = text.split(" ")
     for w in words:
-        v[_slot(w.lower(), WORD_DIM)] += 1
+        v[_slot(w.lower().strip(".,!?:;()|"), WORD_DIM) if len(w) < 40 else 0] += 1
     v[:WORD_DIM] /= len(words)
     v[WORD_DIM:] = (np.log1p(len(words)) / 4, linked, text[-1] in ".!?:;", any(c.isdigit() for c in text))
     return v
@@ -187,11 +242,11 @@ class Labeller:
             grads |= {f"x{k}": np.tensordot(x, dz_all, ((0, 1), (0, 1))), f"h{k}": gh, f"c{k}": dz_all.sum((0, 1))}
         return grads
 
-    def label(self, pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, which of its blocks are article."""
         done: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-        paths = {tokens: n for n, tokens in enumerate(dict.fromkeys(b[0] for k in order for b in pages[k]))}
+        paths = {path: n for n, path in enumerate(dict.fromkeys(b[0] for k in order for b in pages[k]))}
         if not paths:
             return done
         table = np.stack([path_vector(t) for t in paths])
@@ -207,8 +262,8 @@ class Labeller:
             which = np.zeros((steps, len(group)), np.int64)
             texts = np.zeros((steps, len(group), WORD_DIM + COUNTS), np.float32)
             for col, k in enumerate(group):
-                for t, (tokens, text, linked) in enumerate(pages[k]):
-                    mask[t, col], which[t, col], texts[t, col] = True, paths[tokens], text_vector(text, linked)
+                for t, (path, text, linked) in enumerate(pages[k]):
+                    mask[t, col], which[t, col], texts[t, col] = True, paths[path], text_vector(text, linked)
             s = self.scores({k: known[k][which] + texts @ self.p[f"x{k}"][PATH_DIM:] for k in "fb"}, mask)
             for col, k in enumerate(group):
                 done[k] = s[: len(pages[k]), col] > 0.5
@@ -233,15 +288,32 @@ INSIDE = {
 }
 
 
-def drawn_page(rng: np.random.Generator) -> tuple[list[tuple[tuple[str, ...], str, float]], list[int]]:
+#: What menus, notices and the like say, and common words of running text in some languages.
+BAD_WORDS = (
+    "home about contact login logout register sign menu search share tweet like follow subscribe newsletter email more read next previous back top skip content navigation "
+    "cookies cookie accept privacy policy terms conditions copyright rights reserved advertisement sponsored ad related posts popular recent comments comment reply leave tags "
+    "category categories archives author posted filed views print download app language english all help faq jobs careers press support sitemap powered"
+).split()
+TEXT_WORDS = (
+    "the of and to in a is that for was with as on by it from be at which are this had not have or an were their has but "
+    "le la les de des et en un une que qui dans pour sur pas est plus par il der die das und zu den von mit sich auf ist nicht ein eine als auch es an werden aus "
+    "el los las del se por con una para como su al lo más pero sus"
+).split()
+
+
+def drawn_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """A page layout with the label of each block: what the labeller learns from."""
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
 
-    def words(lo: int, hi: int) -> str:
+    def words(lo: int, hi: int, good: int = 1) -> str:
         n = int(rng.integers(lo, hi))
-        return " ".join("w%d" % rng.integers(100_000) for _ in range(n)) + pick([".", ".", "", "!"])
+        known, share = (TEXT_WORDS, 0.35) if good or rng.random() < 0.5 else (BAD_WORDS, 0.6)
+        if rng.random() < 0.3:  # in a language of which nothing is known
+            share = 0.0
+        said = [pick(known) if rng.random() < share else pick(BAD_WORDS) if rng.random() < 0.03 else "w%d" % rng.integers(100_000) for _ in range(n)]
+        return " ".join(said) + pick([".", ".", "", "!"] if good or share == 0 else ["", "", "."])
 
-    blocks: list[tuple[tuple[str, ...], str, float]] = []
+    blocks: list[Block] = []
     labels: list[int] = []
     same = words(1, 4) if rng.random() < 0.15 else ""  # pages of one short line again and again
     base: tuple[str, ...] = ("html", "body") if rng.random() < 0.9 else ()
@@ -251,11 +323,11 @@ def drawn_page(rng: np.random.Generator) -> tuple[list[tuple[tuple[str, ...], st
     def leaf(path: tuple[str, ...], name: str, good: int) -> None:
         inner = pick(INSIDE[name]) if name in INSIDE and (name != "p" or rng.random() < 0.2) else (name,)
         long = good and name in ("p", "li", "blockquote", "td") and rng.random() < 0.8
-        text = words(8, 90) if long else words(1, 14) if rng.random() < 0.8 else words(10, 60)
+        text = words(8, 90) if long else words(1, 14, good) if rng.random() < 0.8 else words(10, 60, good)
         if same and rng.random() < 0.6:
             text = same
         linked = float(rng.random() < 0.6) if not good and name in ("li", "span") else float(rng.random() < 0.05)
-        blocks.append((path + inner, text, linked))
+        blocks.append((path_of(path + inner), text, linked))
         labels.append(good)
 
     def bad(path: tuple[str, ...]) -> None:
@@ -309,8 +381,8 @@ def trained(n_pages: int = 2048, epochs: int = 6, seed: int = 7) -> Labeller:
             x = np.zeros((steps, len(part), PATH_DIM + WORD_DIM + COUNTS), np.float32)
             mask, y = np.zeros((steps, len(part)), np.float32), np.zeros((steps, len(part)), np.float32)
             for col, k in enumerate(part):
-                for t, ((tokens, text, linked), good) in enumerate(zip(*pages[k], strict=True)):
-                    x[t, col, :PATH_DIM], x[t, col, PATH_DIM:], mask[t, col], y[t, col] = path_vector(tokens), text_vector(text, linked), 1, good
+                for t, ((path, text, linked), good) in enumerate(zip(*pages[k], strict=True)):
+                    x[t, col, :PATH_DIM], x[t, col, PATH_DIM:], mask[t, col], y[t, col] = path_vector(path), text_vector(text, linked), 1, good
             step += 1
             rate = 0.02 * (1 - step / (epochs * len(parts))) + 0.0005
             for name, g in model.gradients(x, mask > 0, y).items():

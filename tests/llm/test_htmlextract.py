@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,31 @@ def test_held_out_layouts(model):
     assert right / total > 0.98
 
 
+def test_only_scripts_forms_and_the_head_are_unseen():
+    page = "<head><title>t</title><style>s</style></head><article><p>We know <math><mi>x</mi></math> holds.</p><xmp>a <b> sample &amp;</xmp><object>Fallback <i>text</i></object><svg><text>Label</text></svg><script>no</script></article>"
+    assert [b[1] for b in H.blocks_of(page)] == ["We know x holds.", "a <b> sample &amp;", "Fallback textLabel"]
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<blockquote>x", "<p><button><blockquote>", "<a b ", "<a ' ", '<a "x>', "<!", "<!-- ", "</p>", "<li>x", "<b>", "<i></u>", "<table><td>x", "<nav><article>", "<script>"])
+def test_time_is_linear(unit):
+    began = time.process_time()
+    H.blocks_of(unit * 50_000)
+    assert time.process_time() - began < 10
+
+
+def test_words_are_learned(model):
+    """On one neutral path, what a block says makes a difference."""
+    body = H.path_of(("html", "body", "div"))
+    page = lambda said: [(body, "the story of the day as it was told by those who were there and saw all of it from the start .", 0.0)] * 3 + [(body, said, 0.0)]
+    score = lambda said: float(_scores(model, page(said))[-1])
+    assert score("subscribe newsletter share comments") < score("the end of it was not that far from")
+
+
+def _scores(model, blocks):
+    x = np.stack([np.concatenate([H.path_vector(p), H.text_vector(t, linked)]) for p, t, linked in blocks])[:, None]
+    return model.scores({k: x @ model.p[f"x{k}"] + model.p[f"c{k}"] for k in "fb"}, np.ones((len(blocks), 1), bool))[:, 0]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     m = H.Labeller(1)
