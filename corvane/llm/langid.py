@@ -36,7 +36,9 @@ FAMILIES = {
     "dravidian": "kn ml ta te",
 }
 FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs.split()}
-LETTER = re.compile(r"[^\W\d_]")
+def has_letter(text: str) -> bool:
+    """Whether any character is of the Unicode categories L; digits, fractions, marks and symbols are not."""
+    return any(map(str.isalpha, text))
 
 
 def features(text: str) -> np.ndarray:
@@ -163,7 +165,7 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     """doc_id, lang_pred and score (0 to 1) of every whole text.
 
     Null, empty and letterless texts, and all texts if the model has learned nothing, are ``und`` with
-    score 0. Rows are independent: repeated rows get equal results; other columns are ignored.
+    score 0. Rows are independent: repeated rows get equal results; other columns are ignored; a very long text is one vector like any other.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages squared times DIM at most
 
@@ -173,7 +175,7 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
             out = [("und", 0.0)] * b.num_rows
             texts = b.column("text")
             for lo in range(0, b.num_rows, 256):
-                at = [(i, t) for i in range(lo, min(lo + 256, b.num_rows)) if (t := texts[i].as_py()) and m.families and LETTER.search(t)]
+                at = [(i, t) for i in range(lo, min(lo + 256, b.num_rows)) if (t := texts[i].as_py()) and m.families and has_letter(t)]
                 if at:
                     for (i, _), got in zip(at, m.predict(np.stack([features(t) for _, t in at])), strict=True):
                         out[i] = got
