@@ -78,4 +78,6 @@ def sized(keys: DataFrame, name: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     Documents that are joined with it then stay where they lie: no exchange of texts by a key that may be hot.
     """
     kept = materialize(keys, name)
-    return F.broadcast(kept) if kept.count() <= bound else kept
+    out = F.broadcast(kept) if kept.count() <= bound else kept
+    out._corvane_path = kept._corvane_path
+    return out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import materialize, same, sized
 from .components import components
 
 MAX_BITS = 3
@@ -55,13 +55,14 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.astype(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp.astype(np.int64))], names=["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed bigint) of every whole text."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    """doc_id, th (hash of the text) and fp (the fingerprint as a signed bigint) of every whole text."""
+    whole = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("th"), whole.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id bigint, th bigint, fp bigint")
 
 
 def trie_join(fps: np.ndarray, roots: np.ndarray, budget: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +205,7 @@ def near_links(fps: DataFrame, *, max_nodes: int = 2048) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_nodes: int = 2048) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id of the class) of every row of ``docs``.
+    """doc_id, th (hash of the text), fp and component_id (the least doc_id of the class) of every row of ``docs``.
 
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows get a row
     each; a null doc_id is linked but never names a class unless it is alone; other columns are
@@ -218,11 +219,27 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     moved = member.join(least, "component").select("fp", "least")
     # written, so that the last join is between two plain exchanges, of which adaptive execution can split a hot fingerprint's
     ids = materialize(each.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "fingerprint-classes")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(ids, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, the least doc_id; columns unchanged (rows of that id all stay)."""
-    classes = near_classes(docs, doc_id=doc_id, text=text)
-    gone = sized(classes.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["__gone"], "left_anti")
+    """``docs`` with one row of each class: that of the least doc_id, a null one last; among equal ids the one with the least text hash.
+
+    Columns are unchanged. Rows are told apart by id and text, so a text that shares its id with a near copy of another stays, and of
+    rows that agree in both one stays. Only rows that repeat others wholly are moved by key.
+    """
+    classes = materialize(near_classes(docs, doc_id=doc_id, text=text), "near-classes")
+    # every class holds its component_id, so a class is named by it, and one without any id by its fingerprints' least
+    name = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    each = classes.select(name.alias("class"), rank.alias("rank"))
+    first = each.groupBy("class").agg(F.min("rank").alias("first"))
+    gone = each.join(first, "class").where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("rank.doc_id").alias("__d"), F.col("rank.th").alias("__t"))
+    gone = sized(gone.distinct(), "near-copies")
+    again = classes.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).count().where("count > 1").select("__d", "__t")
+    again = sized(same(again, gone, ["__d", "__t"], "left_anti"), "near-repeats")
+    keyed = docs.withColumn("__d", F.col(doc_id).cast("bigint")).withColumn("__t", F.xxhash64(F.col(text).cast("string")))
+    left = same(keyed, gone, ["__d", "__t"], "left_anti")
+    if not again.isEmpty():
+        left = same(left, again, ["__d", "__t"], "left_anti").unionByName(same(left, again, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]))
+    return left.drop("__d", "__t")
