@@ -7,6 +7,7 @@ documents. Every statistic covers the whole table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,24 +118,21 @@ def judge(docs: DataFrame, *, max_rate: float = 0.5, doc_id: str = "doc_id", tex
     )
 
 
-def _base_failed(text: pd.Series) -> pd.Series:
-    """The base rule on whole texts."""
-
-    def failed(t: str | None) -> bool:
-        words = (t or "").encode().split()
-        return len(words) < 20 or 100 * repeat_words(words) > 30 * len(words)
-
-    return text.map(failed).astype(bool)
+def _stats_of(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([text_stats(t) for t in text], columns=[*STATS, "n_lines"])
 
 
 def keep_good(docs: DataFrame, *, max_rate: float = 0.5, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """``docs`` without the rows that ``judge`` rejects; columns unchanged.
 
-    The base rule is applied where a row lies and only rejected hosts are joined, so texts move only
-    if the rejected hosts are counted to be too many to broadcast.
+    Every text is counted once: rows are written with their statistics (the columns of those that fail the base rule as nulls), hosts
+    are judged on the written statistics, and what was written is read without the rejected rows. Only rejected hosts are
+    joined, so texts move only if these are counted to be too many to broadcast.
     """
-    stats = materialize(document_stats(docs, doc_id=doc_id, text=text, host=host), "quality-stats")
-    bad = sized(host_verdicts(stats, max_rate=max_rate).where(~F.col("host_ok")).select(F.col("host").alias("__bad")), "quality-hosts")
-    base_failed = F.pandas_udf(_base_failed, "boolean")
-    good = docs.where(~base_failed(F.col(text).cast("string")))
-    return good.join(bad, good[host].cast("string").eqNullSafe(bad["__bad"]), "left_anti")
+    stats_of = F.pandas_udf(_stats_of, ", ".join(f"{c} bigint" for c in (*STATS, "n_lines")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), stats_of(F.col(text).cast("string")).alias("s"))
+    failed = F.expr(re.sub(r"\b(n_words|n_repeat_words)\b", r"s.\1", RULES["base"]))
+    rows = materialize(rows.select(F.when(~failed, F.col("row")).alias("row"), "host", "s"), "quality-rows")
+    verdicts = host_verdicts(rows.select("host", "s.*"), max_rate=max_rate)
+    bad = sized(verdicts.where(~F.col("host_ok")).select("host"), "quality-hosts")
+    return same(rows.where("row IS NOT NULL").select("row", "host"), bad, ["host"], "left_anti").select("row.*")
