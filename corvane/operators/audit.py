@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of
+from ..functions.text import any_of, compact
 
 # Phrases that make a message a diagnostic or a notice.
 DIAGNOSTICS = ("openai feature classification batch diagnostics:", "openai not needed parser high confidence", "openai_not_needed_parser_high_confidence", "regex_from_page_text")
@@ -49,19 +49,92 @@ def progress(stages: DataFrame, keys: list[str]) -> DataFrame:
     return stages.groupBy(*keys).agg((F.sum(F.col("weight") * F.col("part")) / F.sum("weight") * 100).alias("percent"))
 
 
-def parse_quality(blocks: DataFrame) -> DataFrame:
-    """Per document: ratios of a speaker parse and the first reason to distrust it, if any."""
+# Labels that stand for a speaker without naming one, and words that are no speaker.
+GENERIC_LABELS = ("operator", "analyst", "management", "unknown", "unidentified speaker", "unidentified analyst", "participant")
+BAD_LABELS = (
+    "greetings", "hello", "hi", "thanks", "thank you", "good afternoon", "good morning", "duration", "prepared", "prepared remarks", "other", "questions and answers", "q&a", "call participants",
+)
+PERSON = r"^[A-Z][A-Za-z.'\-]+(?: [A-Z][A-Za-z.'\-]+){0,5}$"
+
+
+def plausible_label(label: Column) -> Column:
+    """Whether a label may be a speaker's: a generic one, or up to six capitalised words."""
+    c = compact(F.coalesce(label, F.lit("")))
+    low = F.lower(c)
+    return F.when(c == "", False).when(low.isin(*GENERIC_LABELS), True).when(low.isin(*BAD_LABELS) | c.rlike("[0-9]") | (F.length(c) > 80) | F.contains(c, F.lit(":")), False).otherwise(c.rlike(PERSON))
+
+
+def parse_quality(blocks: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Per document: ratios of a speaker parse, the first reason to distrust it, that of a structured one, and whether to normalise it again.
+
+    ``facts`` (doc_id, confidence, warnings array<string>) add their gates; documents there without any block have no_sections.
+    """
     who = F.lower(F.trim(F.coalesce("speaker", F.lit(""))))
     unknown = who.isin("", "unknown")
-    plausible = F.col("speaker").rlike(r"^[A-Z][A-Za-z.'\-]*( [A-Z][A-Za-z.'\-]*){0,5}$") | who.isin("operator", "unknown", "moderator")
-    script = F.contains("text", F.lit("self.__next_f.push")) | F.contains("text", F.lit("\\u003c"))
+    plausible = plausible_label(F.col("speaker"))
+    script = F.contains("text", F.lit("self.__next_f.push")) | F.contains("text", F.lit('\\"children\\":')) | F.contains("text", F.lit("\\u003c"))
     q = blocks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("sections"), F.count_if(unknown).alias("unknown"), F.count_if(~F.coalesce(plausible, F.lit(False))).alias("implausible"), F.count_if(script).alias("script"),
         F.avg(F.when(F.col("section_type") == "other", 1.0).otherwise(0.0)).alias("other_share"), F.avg(F.when(F.coalesce(F.trim("speaker_role"), F.lit("")) == "", 1.0).otherwise(0.0)).alias("no_role_share"),
     )
+    if facts is not None:
+        q = facts.select("doc_id", "confidence", "warnings").join(q, "doc_id", "left").fillna(0, ["sections", "unknown", "implausible", "script"]).fillna(0.0, ["other_share", "no_role_share"])
+    else:
+        q = q.withColumns({"confidence": F.lit(1.0), "warnings": F.array().cast("array<string>")})
     reason = (
-        F.when(F.col("script") > 0, "script_wrapped_text").when((F.col("sections") == 1) & (F.col("unknown") == 1), "single_unknown_section").when(F.col("unknown") == F.col("sections"), "all_unknown_speakers")
+        F.when(F.col("sections") == 0, "no_sections").when(F.col("script") > 0, "script_wrapped_text").when((F.col("sections") == 1) & (F.col("unknown") == 1), "single_unknown_section").when(F.col("unknown") == F.col("sections"), "all_unknown_speakers")
         .when(F.col("implausible") / F.col("sections") > 0.25, "implausible_speaker_labels")
     )
-    retry = (F.col("sections") <= 2) | (F.col("unknown") / F.col("sections") >= 0.35) | (F.col("no_role_share") >= 0.5) | (F.col("other_share") >= 0.75)
-    return q.withColumn("reason", reason).withColumn("normalise_again", retry)
+    structured = (
+        F.when(F.col("sections") == 0, "no_sections").when(F.col("sections") < 2, "too_few_sections").when(F.col("unknown") == F.col("sections"), "all_unknown_speakers")
+        .when(F.col("unknown") / F.col("sections") > 0.9, "mostly_unknown_speakers").when(F.col("implausible") / F.col("sections") > 0.25, "implausible_speaker_labels")
+    )
+    sparse = F.exists("warnings", lambda w: any_of(w, ("sparse", "empty", "could not")))
+    retry = (F.col("sections") <= 2) | (F.col("confidence") < 0.55) | sparse | (F.col("unknown") / F.col("sections") >= 0.35) | (F.col("no_role_share") >= 0.5) | (F.col("other_share") >= 0.75)
+    return q.withColumns({"reason": reason, "structured_reason": structured, "normalise_again": retry})
+
+
+def parse_confidence(method: Column, low: Column) -> Column:
+    """How far a parse is trusted, by how it was made."""
+    return F.when(method.isin("openai", "openai_page_text"), 0.92).when(low, 0.52).when(method.startswith("regex"), 0.78).otherwise(0.70)
+
+
+def retry_kind(error: Column) -> Column:
+    """What an error was and, with it, whether a retry may help."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    kind = (
+        F.when(low.rlike("timeout|timed out"), "timeout").when(low.rlike(r"\b429\b|rate limit"), "rate_limited").when(low.rlike(r"\b5[0-9]{2}\b"), "server_error").when(low.rlike("connection|reset|dns|ssl"), "network_error")
+        .when(low.rlike(r"\b(401|403)\b|forbidden|unauthori"), "blocked").when(low.rlike(r"\b404\b|not found"), "not_found").otherwise("unknown_error")
+    )
+    return F.struct(kind.alias("kind"), kind.isin("timeout", "rate_limited", "server_error", "network_error").alias("retry"))
+
+
+def discovery_totals(phases: DataFrame, failures: DataFrame, keys: list[str], most: int = 50) -> DataFrame:
+    """Per key the pages scanned over all phases (a sitemap's months count as pages), and its first failures as phase:category: error."""
+    pages = phases.groupBy(*keys).agg(F.sum(F.when(F.col("phase") == "sitemap", F.coalesce("months_scanned", F.lit(0))).otherwise(F.coalesce("pages_scanned", F.lit(0)))).alias("pages"))
+    f = failures.where(F.trim(F.coalesce("error", F.lit(""))) != "").withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where(F.col("n") <= most)
+    said = F.concat(F.coalesce("phase", F.lit("unknown")), F.lit(":"), F.coalesce("category", F.lit("unknown_error")), F.lit(": "), F.trim("error"))
+    lists = f.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("said")))), lambda x: x["said"]).alias("failures"))
+    return pages.join(lists, keys, "left").withColumn("failures", F.coalesce("failures", F.array().cast("array<string>")))
+
+
+def document_totals(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: documents, mean confidence, and the mode (openai only if all documents are)."""
+    return documents.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("documents"), F.avg("confidence").alias("confidence"),
+        F.when(F.bool_and(F.col("mode") == "openai"), "openai").otherwise("deterministic_degraded").alias("mode"),
+    )
+
+
+def job_states(jobs: DataFrame, as_of: Column, ttl_seconds: int = 900) -> DataFrame:
+    """Jobs (job_id, status, finished_ts) still held at ``as_of``: finished ones leave after ``ttl_seconds``."""
+    done = F.col("status").isin("done", "error")
+    age = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("finished_ts")
+    return jobs.where(~done | F.col("finished_ts").isNull() | (age <= ttl_seconds))
+
+
+def last_messages(messages: DataFrame, keys: list[str], most: int = 80) -> DataFrame:
+    """The newest ``most`` progress messages of each key, oldest first."""
+    w = Window.partitionBy(*keys)
+    newest = messages.withColumn("__n", F.row_number().over(w.orderBy(F.desc("ord")))).where(F.col("__n") <= most)
+    return newest.withColumn("place", F.row_number().over(w.orderBy("ord"))).drop("__n")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import company_tokens, mentions, phrase
+from ..functions.text import company_tokens, mentions, phrase, title_key
 from ..sources.store import store
+from .distinct import greedy_distinct
+from .neardup import distinct_posts
 
 #: Words of finance news.
 FINANCE = ("stock", "shares", "earnings", "eps", "revenue", "guidance", "valuation", "market cap", "dividend", "buyback", "analyst", "quarter")
@@ -54,6 +56,15 @@ def post_relevance(title: Column, body: Column, symbol: str, forum: Column | Non
     return F.when((words + cash == 0) & (named == 0), 0.0).otherwise(F.greatest(score, F.lit(0.0)))
 
 
+def is_related(title: Column, body: Column, symbol: str, company: str | None = None, finance: tuple[str, ...] = FINANCE) -> Column:
+    """A post names the symbol or the company, or two of the company's words and a word of finance."""
+    text = F.lower(F.concat_ws(" ", title, body))
+    named = mentions(text, symbol)
+    if company:
+        named = named | F.contains(text, F.lit(company.lower().strip())) | ((_hits(text, company_tokens(company)) >= 2) & (_hits(text, finance) >= 1))
+    return named
+
+
 def within_lookback(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
     """Rows of the last days; rows of unknown time stay."""
     return rows.where(F.coalesce(F.col(at) >= as_of - F.expr(f"INTERVAL {max(days, 1)} DAYS"), F.lit(True)))
@@ -62,13 +73,13 @@ def within_lookback(rows: DataFrame, at: str, as_of: Column, days: int) -> DataF
 def ladder(rows: DataFrame, keys: list[str], score: str, steps: list[tuple[float, int]]) -> DataFrame:
     """The strictest tier with enough rows, per key.
 
-    ``steps`` are (least score, rows it must give); a tier with fewer gives way to the next, the last step to all
-    rows. Each gate looks at what the step before it gave. Counts are summed map-side and joined back.
+    ``steps`` are (least score, rows it must give). Each gate looks at what was chosen so far: with fewer rows than the gate asks
+    for, the next step is taken, after the last one all rows. Counts are summed map-side and joined back.
     """
-    counts = rows.groupBy(*keys).agg(*[F.count_if(F.col(score) >= t).alias(f"__n{k}") for k, (t, _) in enumerate(steps)])
-    tier = F.lit(len(steps))
-    for k in reversed(range(len(steps))):
-        tier = F.when(F.col(f"__n{k}") >= steps[k][1], k).otherwise(tier)
+    counts = rows.groupBy(*keys).agg(*[F.count_if(F.col(score) >= t).alias(f"__n{k}") for k, (t, _) in enumerate(steps)], F.count(F.lit(1)).alias(f"__n{len(steps)}"))
+    tier, n = F.lit(0), F.col("__n0")
+    for k, (_, must) in enumerate(steps):
+        tier, n = F.when(n < must, k + 1).otherwise(tier), F.when(n < must, F.col(f"__n{k + 1}")).otherwise(n)
     least = reduce(lambda c, k: c.when(F.col("__tier") == k, F.lit(steps[k][0])), range(1, len(steps)), F.when(F.col("__tier") == 0, F.lit(steps[0][0])))
     picked = counts.select(*keys, tier.alias("__tier"))
     return rows.join(picked, keys).where((F.col("__tier") == len(steps)) | (F.col(score) >= least)).drop("__tier")
@@ -78,55 +89,70 @@ def news_steps(limit: int) -> list[tuple[float, int]]:
     return [(1.2, max(4, limit // 2)), (0.75, max(3, limit // 3))]
 
 
+def post_steps(source: str, limit: int) -> list[tuple[float, int]]:
+    """The ladder of a post provider; its second gate may be the higher one."""
+    high, low = {"reddit": (2.6, 1.8), "stocktwits": (2.1, 1.0)}[source]
+    return [(high, max(3, min(limit, 5))), (low, max(2, limit // 3))]
+
+
 def top(rows: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str = "rank") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
 
 
-def greedy_distinct(rows: DataFrame, scope: list[str], order: str, marks: list[str], near: DataFrame | None = None) -> DataFrame:
-    """First-wins deduplication by several marks at once: a row stays if no earlier *kept* row shares any mark.
+#: Share of recency in a post's score, by provider.
+FRESH = {"reddit": 2.4, "stocktwits": 1.8}
 
-    ``order`` is a unique sort key per scope. A null mark is shared with no row; nulls of a scope are one scope. ``near``
-    (scope, the last mark, near) adds values of the last mark by which a row goes as well if an earlier kept row has one.
-    In each round every undecided row that comes first under all its marks is
-    kept, and rows that share a mark with a kept row go. Minima are combined map-side, so a mark that very many rows share is
-    no hot spot, and nothing is gathered per scope; rounds end when no row is undecided. Each round's rows
-    (keys only) are written to shared storage.
-    """
-    # structs are never null, and equal where their fields are, nulls included
-    within, at = F.struct(*scope).alias("__scope"), F.struct(order).alias("__order")
-    left = store(rows.select(within, at, *marks))
-    if near is not None:
-        near = store(near.select(within, marks[-1], "near"))
-
-    def least(of: DataFrame, m: str, name: str) -> DataFrame:
-        return of.where(F.col(m).isNotNull()).groupBy("__scope", m).agg(F.min("__order").alias(name))
-
-    def nearest(of: DataFrame, name: str) -> DataFrame:
-        """The first row among those near each value."""
-        firsts = least(of, marks[-1], name).withColumnRenamed(marks[-1], "near")
-        return near.join(firsts, ["__scope", "near"]).groupBy("__scope", marks[-1]).agg(F.min(name).alias(name))
-
-    kept = None
-    while not left.isEmpty():
-        first, free = left, F.lit(True)
-        for m in marks:
-            first = first.join(least(left, m, f"__{m}"), ["__scope", m], "left")
-            free = free & (F.col(m).isNull() | (F.col("__order") == F.col(f"__{m}")))
-        if near is not None:
-            first = first.join(nearest(left, "__near"), ["__scope", marks[-1]], "left")
-            free = free & (F.col("__near").isNull() | (F.col("__order") <= F.col("__near")))
-        chosen = store(first.where(free).select("__scope", "__order", *marks))
-        kept = chosen if kept is None else kept.unionByName(chosen)
-        rest = left.join(chosen.select("__scope", "__order"), ["__scope", "__order"], "left_anti")
-        for m in marks:
-            rest = rest.join(chosen.where(F.col(m).isNotNull()).select("__scope", m).distinct(), ["__scope", m], "left_anti")
-        if near is not None:
-            rest = rest.join(nearest(chosen, "__near"), ["__scope", marks[-1]], "left").where(F.col("__near").isNull() | (F.col("__order") < F.col("__near"))).drop("__near")
-        left = store(rest.select("__scope", "__order", *marks))
-    if kept is None:
-        return rows.limit(0)
-    return rows.withColumns({"__scope": within, "__order": at}).join(kept.select("__scope", "__order"), ["__scope", "__order"], "left_semi").select(*rows.columns)
+
+def provider_news(rows: DataFrame, symbol: str, as_of: Column, *, days: int = 30, limit: int = 200, company: str | None = None, finance: tuple[str, ...] = FINANCE) -> tuple[DataFrame, DataFrame]:
+    """(fetched, kept) of one provider's rows: lookback, relevance, ladder; then first wins, best first, ``limit`` per symbol."""
+    r = within_lookback(store(rows), "published_ts", as_of, days)  # payloads are parsed once
+    r = r.withColumn("relevance", news_relevance(F.col("title"), F.col("summary"), symbol, company, finance, F.col("tagged"), F.col("related"))).where("relevance > 0")
+    r = store(r).withColumn("rank_score", F.round(F.col("relevance") * 0.72 + S.recency(F.col("published_ts"), as_of, days) * 1.28, 4))
+    fetched = ladder(r, ["symbol"], "rank_score", news_steps(limit)).withColumn("key", title_key(F.col("title"))).withColumn("place", F.struct((-F.col("rank_score")).alias("score"), "ord"))
+    fetched = store(fetched)
+    kept = greedy_distinct(fetched, ["symbol"], "place", ["url", "key"])
+    return fetched, top(kept, ["symbol"], [F.col("place")], limit)
+
+
+def combined_news(providers: list[tuple[DataFrame, DataFrame]], limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fetched, deduped, shown) of several providers' (fetched, kept): united in their order, first wins, then by relevance and time."""
+    fetched = reduce(DataFrame.unionByName, [f for f, _ in providers])
+    union = reduce(DataFrame.unionByName, [k.withColumn("place", F.struct(F.lit(n).alias("provider"), F.col("rank").alias("rank"))) for n, (_, k) in enumerate(providers)])
+    deduped = store(greedy_distinct(store(union), ["symbol"], "place", ["url", "key"]))
+    order = [F.desc("relevance"), F.desc(F.coalesce("published_ts", F.timestamp_seconds(F.lit(0)))), F.col("place")]
+    return fetched, deduped, top(deduped.drop("rank"), ["symbol"], order, limit)
+
+
+def provider_posts(rows: DataFrame, symbol: str, as_of: Column, *, days: int = 30, limit: int = 200, company: str | None = None, finance: tuple[str, ...] = FINANCE) -> tuple[DataFrame, DataFrame]:
+    """(fetched, kept) of one provider's posts: lookback, related ones, scored; then without near copies, the ladder, ``limit`` per symbol."""
+    rows = store(rows)
+    source = rows.select("source").first()
+    source = "reddit" if source is None else source[0]
+    r = within_lookback(rows, "created_ts", as_of, days).where(is_related(F.col("title"), F.col("body"), symbol, company, finance))
+    r = r.withColumn("relevance", post_relevance(F.col("title"), F.col("body"), symbol, F.col("forum"), company, finance)).where("relevance > 0")
+    fetched = store(r.withColumn("score", F.round(F.col("relevance") + S.recency(F.col("created_ts"), as_of, days) * FRESH[source], 3)))
+    kept = ladder(distinct_posts(fetched, ["symbol"]), ["symbol"], "score", post_steps(source, limit))
+    return fetched, top(kept, ["symbol"], post_order(), limit)
+
+
+def post_order() -> list[Column]:
+    return [F.desc("score"), F.desc(F.coalesce("created_ts", F.timestamp_seconds(F.lit(0)))), F.col("ord")]
+
+
+def combined_posts(providers: list[tuple[DataFrame, DataFrame]], limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fetched, deduped, shown): united, without near copies, dealt round robin by provider."""
+    fetched = reduce(DataFrame.unionByName, [f for f, _ in providers])
+    deduped = store(distinct_posts(store(reduce(DataFrame.unionByName, [k.drop("rank") for _, k in providers])), ["symbol"]))
+    return fetched, deduped, interleave(deduped, ["symbol"], "source", post_order(), limit)
+
+
+def pool_audit(fetched: DataFrame, deduped: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Per key: rows fetched, left after deduplication, displayed, and the percent that repeated others."""
+    a = fetched.groupBy(*keys).agg(F.count(F.lit(1)).alias("fetched"))
+    b = deduped.groupBy(*keys).agg(F.count(F.lit(1)).alias("deduped"))
+    out = a.join(b, keys, "left").withColumn("deduped", F.coalesce("deduped", F.lit(0).cast("bigint"))).withColumn("displayed", F.least("deduped", F.lit(limit).cast("bigint")))
+    return out.withColumn("repeat_pct", (F.col("fetched") - F.col("deduped")) * 100.0 / F.col("fetched"))
 
 
 def interleave(rows: DataFrame, keys: list[str], source: str, order: list[Column], limit: int) -> DataFrame:

@@ -67,3 +67,36 @@ def validate(a: DataFrame, b: DataFrame, fields: tuple[str, ...], threshold: flo
 
 def severity_counts(validated: DataFrame) -> DataFrame:
     return validated.groupBy("symbol").agg(F.count(F.lit(1)).alias("compared"), F.count_if("filled").alias("filled"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])
+
+
+def eps_calendar(rows: DataFrame, last: int = 12) -> DataFrame:
+    """Per company and quarter, of its ``last`` announcements (symbol, announced, ord, reported_eps, eps_estimate) the newest non-null EPS and estimate."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("announced"), "ord")
+    recent = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= last)
+    recent = recent.withColumns({"year": F.year("announced"), "quarter": F.quarter("announced"), "announced": -F.col("n")})
+    return first_reported(recent)
+
+
+def series_row(rows: DataFrame, names: tuple[str, ...], columns: int = 4) -> DataFrame:
+    """symbol, year, quarter, value: of a statement (symbol, metric, period_end, value) the first of ``names`` it has, its newest columns.
+
+    Of two columns in one quarter the later listed one (the older) counts.
+    """
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("metric"))
+    known = rows.withColumn("place", place).where("place > 0")
+    best = known.withColumn("first", F.min("place").over(Window.partitionBy("symbol"))).where("place = first")
+    cols = best.withColumn("col", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("period_end")))).where(F.col("col") <= columns)
+    return cols.groupBy("symbol", F.year("period_end").alias("year"), F.quarter("period_end").alias("quarter")).agg(F.max_by("value", "col").alias("value"))
+
+
+def price_targets(rows: DataFrame) -> DataFrame:
+    """Adds upside_pct (mean_target over price), spread_pct (high less low over mean_target) and the spread's kind."""
+    of = lambda part, whole: F.try_divide(part, whole) * 100
+    out = rows.withColumns({"upside_pct": of(F.col("mean_target") - F.col("price"), F.col("price")), "spread_pct": of(F.col("high") - F.col("low"), F.col("mean_target"))})
+    return out.withColumn("spread", F.when(F.col("spread_pct").isNull(), "unknown").when(F.col("spread_pct") < 15, "tight").when(F.col("spread_pct") < 35, "moderate").otherwise("wide"))
+
+
+def trend(rows: DataFrame, key: str, at: str, last: int, enough: int) -> DataFrame:
+    """The newest ``last`` rows of a key, oldest first (position), and whether it has ``enough`` rows for a chart."""
+    newest = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return newest.where(F.col("n") <= last).withColumn("position", F.lit(last + 1) - F.col("n")).withColumn("charted", F.col("all") >= enough).drop("n", "all")

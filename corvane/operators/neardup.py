@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import title_key
 from ..sources.store import store
-from .feeds import greedy_distinct
+from .distinct import greedy_distinct
 
 RATIO = 0.93
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
@@ -15,43 +17,36 @@ SHORT = 700
 
 
 def _wrapped(text: str, target: int, most: int) -> list[str]:
-    """Cuts at the last space before ``most`` characters, if one lies beyond half the target."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + most)
-        if end < len(text):
-            space = text.rfind(" ", at + max(80, target // 2), end)
-            end = space if space > at else end
-        piece = text[at:end].strip()
-        if piece:
-            out.append(piece)
-        at = end
-    return out
+    """Pieces of ``most`` characters, ended at the last space if that leaves more than half the target."""
+    pieces = re.findall(rf".{{1,{most}}}\Z|.{{{max(80, target // 2)},{most - 1}}}(?= )|.{{1,{most}}}", text, re.S)
+    return [p for p in map(str.strip, pieces) if p]
 
 
 def segments_of(text: str | None, target: int = 650, most: int = 1000, least: int = 180, overlap: int = 1) -> list[str]:
-    """Sentences packed up to ``target`` characters (never over ``most``), each segment starting with the last one's final sentence."""
-    whole = re.sub(r"\s+", " ", text or "").strip()
+    """Sentences packed up to ``target`` characters (never over ``most``), each segment starting with the last one's final sentence.
+
+    ends[k] is where sentence k would end if all stood in one line, so the cut after any start is found by search in it: the last
+    sentence within the target, or, if that leaves under ``least`` characters, the first to reach them within ``most``.
+    """
+    whole = " ".join((text or "").split())
     if len(whole) < SHORT:
-        return [whole] if whole else []
+        return [whole] * bool(whole)
     target, most = max(250, target), max(target, most, 250)
     least = max(120, min(least, target))
-    said = [s for s in re.split(r"(?<=[.!?])\s+", whole) if s]
-    if len(said) < 2 or max(map(len, said)) > most:
+    said = re.split(r"(?<=[.!?])\s+", whole)
+    if len(said) == 1 or max(map(len, said)) > most:
         return _wrapped(whole, target, most) or [whole]
-    out, i = [], 0
-    while i < len(said):
-        first, size = i, len(said[i])
-        i += 1
-        while i < len(said):
-            grown = size + 1 + len(said[i])
-            if grown > most or (size >= least and grown > target):
-                break
-            size, i = grown, i + 1
-        out.append(" ".join(said[first:i]))
-        if i < len(said):
-            i = max(first + 1, i - overlap)
-    return out
+    ends = list(accumulate(len(s) + 1 for s in said))
+    out, start = [], 0
+    while True:
+        base = ends[start - 1] if start else 0
+        within = lambda size: bisect_right(ends, base + size + 1)  # noqa: B023, E731
+        enough = bisect_left(ends, base + least + 1) + 1
+        cut = max(start + 1, min(within(most), max(within(target), enough)))
+        out.append(" ".join(said[start:cut]))
+        if cut >= len(said):
+            return out
+        start = max(start + 1, cut - overlap)
 
 
 def segments(text: Column, **sizes: int) -> Column:
@@ -71,19 +66,20 @@ def weight(text: Column) -> Column:
 def trimmed_mean(scored: DataFrame, keys: list[str], value: str, order: str, weight_col: str) -> DataFrame:
     """Weighted mean per key; with eight values or more, a tenth (one at least) is dropped at each end.
 
-    ``best`` and ``worst`` are the kept row's ``order`` with the highest and lowest value, the first among equals.
+    ``best`` and ``worst`` are the kept row's ``order`` with the highest and lowest value, the first among equals. A key's
+    values (three numbers a segment of one text) are sorted as one array, so a single exchange does.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    up = F.row_number().over(Window.partitionBy(*keys).orderBy(value, order))
-    rows = scored.withColumn("__n", n).withColumn("__up", up)
-    k = F.when(F.col("__n") >= 8, F.greatest(F.lit(1), F.floor(F.col("__n") * 0.1))).otherwise(0)
-    kept = rows.where((F.col("__up") > k) & (F.col("__up") <= F.col("__n") - k))
-    return kept.groupBy(*keys).agg(
-        F.first("__n").alias("n"),
-        F.count(F.lit(1)).alias("n_kept"),
-        (F.sum(F.col(value) * F.col(weight_col)) / F.sum(weight_col)).alias("mean"),
-        F.max_by(order, F.struct(F.col(value), -F.col(order))).alias("best"),
-        F.min_by(order, F.struct(value, order)).alias("worst"),
+    each = scored.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(order).alias("o"), F.col(weight_col).alias("w")))).alias("all"))
+    n = F.size("all")
+    k = F.when(n >= 8, F.greatest(F.lit(1), F.floor(n * 0.1))).otherwise(0).cast("int")
+    total = lambda f: F.aggregate("kept", F.lit(0.0), lambda s, x: s + f(x))
+    return each.withColumn("n", n).withColumn("kept", F.slice("all", k + 1, n - 2 * k)).select(
+        *keys,
+        "n",
+        F.size("kept").alias("n_kept"),
+        (total(lambda x: x.v * x.w) / total(lambda x: x.w)).alias("mean"),
+        (-F.array_max(F.transform("kept", lambda x: F.struct(x.v, -x.o)))["col2"]).alias("best"),
+        F.element_at("kept", 1)["o"].alias("worst"),
     )
 
 

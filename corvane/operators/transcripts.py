@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, name_key, quote_key, speaker_line
+from ..functions.text import any_of, name_key, quote_key, sentences, speaker_line, word_count
+from .people import canonical_names, with_canonical
 
 # What marks the parts of a call and who speaks.
 QA_OPENERS = (
@@ -30,6 +31,7 @@ TITLES = {
         "chief", "ceo", "cfo", "coo", "cao", "cto", "chairman", "chairwoman", "president", "executive", "founder", "vice president", "svp", "evp", "treasurer", "director",
     ),
 }
+BOILERPLATE = ("forward-looking statements", "safe harbor", "copyright", "transcript by")
 HEADINGS = {
     "prepared_remarks": r"(?i)^\s*prepared remarks\s*$",
     "qa": r"(?i)^\s*(q\s*&\s*a|question(?:s)?\s*(?:and|&)\s*answer(?:s)?)\s*$",
@@ -46,6 +48,18 @@ def is_question(text: Column) -> Column:
     return F.contains(text, F.lit("?")) | any_of(text, QUESTIONS)
 
 
+def boilerplate(text: Column) -> Column:
+    return any_of(text, BOILERPLATE)
+
+
+def ends_in_transition(text: Column, markers: tuple[str, ...] = QA_OPENERS) -> Column:
+    """A long remark (80 words, four sentence ends) that only its last two fifths turn to the questions."""
+    low = F.lower(text)
+    last = lambda m: F.when(F.contains(low, F.lit(m)), F.length(low) - (F.locate(m[::-1], F.reverse(low)) - 1) - len(m))
+    place = F.greatest(*[last(m) for m in markers])
+    return F.coalesce((place >= F.floor(F.length(low) * 0.6)) & (word_count(text) >= 80) & (F.regexp_count(text, F.lit("[.!?]")) >= 4), F.lit(False))
+
+
 def title_role(title: Column) -> Column:
     """Role by title words, operator first, then investor relations, analyst, management (plain substrings)."""
     return reduce(lambda c, kv: c.when(any_of(title, kv[1]), F.lit(kv[0])), list(TITLES.items())[1:], F.when(any_of(title, TITLES["operator"]), F.lit("operator")))
@@ -78,9 +92,12 @@ def speaker_blocks(lines: DataFrame) -> DataFrame:
 
 
 def qa_bounds(blocks: DataFrame) -> DataFrame:
-    """doc_id, qa_start, qa_end: the first block that is or opens questions (else the first question by no known manager), and the first close after it."""
+    """doc_id, qa_start, qa_end: the first block that is or opens questions (else the first question by no known manager), and the first close after it.
+
+    A long remark that only ends in a transition opens nothing.
+    """
     t = F.col("text")
-    opens = (F.col("base_section") == "qa") | any_of(t, QA_OPENERS)
+    opens = (F.col("base_section") == "qa") | (any_of(t, QA_OPENERS) & ~ends_in_transition(t))
     asks = is_question(t) & ~F.coalesce(name_role(F.col("speaker")).isin("management", "operator", "host_ir"), F.lit(False))
     start = blocks.groupBy("doc_id").agg(F.coalesce(F.min(F.when(opens, F.col("order_index"))), F.min(F.when(asks, F.col("order_index")))).alias("qa_start"))
     ends = blocks.join(start, "doc_id").where(F.col("order_index") >= F.col("qa_start")).groupBy("doc_id").agg(F.min(F.when(any_of(t, QA_CLOSERS), F.col("order_index"))).alias("qa_end"))
@@ -88,9 +105,15 @@ def qa_bounds(blocks: DataFrame) -> DataFrame:
 
 
 def typed_sections(blocks: DataFrame) -> DataFrame:
-    """Blocks with section_type by their document's bounds: before the start prepared, from it questions, after the end other."""
+    """Blocks with section_type by their document's bounds.
+
+    Before the start (everywhere, if there is none) boilerplate is other and the rest prepared; from it on all are questions, but
+    closing words and what follows the end are other. Without a start, blocks under a closing heading are other as well.
+    """
     b = blocks.join(qa_bounds(blocks), "doc_id")
-    section = F.when(F.col("qa_start").isNull() | (F.col("order_index") < F.col("qa_start")), "prepared_remarks").when(F.col("order_index") > F.col("qa_end"), "other").otherwise("qa")
+    at, legal = F.col("order_index"), boilerplate(F.col("text"))
+    before = F.when(legal | (F.col("qa_start").isNull() & (F.col("base_section") == "other")), "other").otherwise("prepared_remarks")
+    section = F.when(F.col("qa_start").isNull() | (at < F.col("qa_start")), before).when((at > F.col("qa_end")) | any_of(F.col("text"), QA_CLOSERS), "other").otherwise("qa")
     return b.withColumn("section_type", section)
 
 
@@ -208,6 +231,87 @@ def transcript_slice(lines: DataFrame, keys: list[str], stops: tuple[str, ...] =
     return out.select(*keys, "start", "stop", "reason")
 
 
+def with_unparsed(lines: DataFrame, blocks: DataFrame, most: int = 300) -> DataFrame:
+    """``blocks`` and, for documents whose lines name no speaker, one block of their first lines by nobody."""
+    rest = lines.withColumn("line", F.trim("line")).where("line != ''").join(blocks.select("doc_id").distinct(), "doc_id", "left_anti")
+    first = rest.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).where(F.col("n") <= most)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ")
+    one = first.groupBy("doc_id").agg(text.alias("text"))
+    return blocks.unionByName(one.select("doc_id", F.lit(0).cast("bigint").alias("order_index"), F.lit("unknown").alias("speaker"), F.lit("other").alias("base_section"), "text"))
+
+
+def assembled(lines: DataFrame, roster: DataFrame) -> DataFrame:
+    """Transcript sections of (doc_id, line_no, line) with a roster (doc_id, name, title).
+
+    doc_id, order_index, section_type, speaker (canonical), role (null if unknown), text, evidence (its first two sentences).
+    """
+    blocks = with_unparsed(lines, speaker_blocks(lines))
+    said = blocks.groupBy("doc_id", F.col("speaker").alias("name")).agg(F.min("order_index").alias("ord")).withColumn("priority", F.lit(1))
+    listed = roster.select("doc_id", "name", F.lit(0).cast("bigint").alias("ord"), F.lit(3).alias("priority"))
+    aliases = canonical_names(listed.unionByName(said.select("doc_id", "name", "ord", "priority")))
+    named = with_canonical(blocks, aliases)
+    known = roster.withColumnRenamed("name", "speaker")
+    titled = with_canonical(known, aliases).select("doc_id", F.col("speaker").alias("name"), "title")
+    out = enriched(named, titled)
+    role = F.when(F.col("role") != "unknown", F.col("role"))
+    return out.select("doc_id", "order_index", "section_type", "speaker", role.alias("role"), "text", F.slice(sentences(F.col("text")), 1, 2).alias("evidence"))
+
+
+def document_quotes(sections: DataFrame, most: int = 6, chars: int = 70) -> DataFrame:
+    """doc_id, rank, quote: the first sentences of enough characters, in order."""
+    s = sections.select("doc_id", "order_index", F.posexplode(sentences(F.col("text"))).alias("pos", "quote")).where(F.length("quote") >= chars)
+    w = Window.partitionBy("doc_id").orderBy("order_index", "pos")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("doc_id", "rank", "quote")
+
+
+def document_records(sections: DataFrame) -> DataFrame:
+    """Per document: sections, speakers, characters, whether it is a full transcript (two sections or more)."""
+    return sections.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("sections"), F.count_distinct("speaker").alias("speakers"), F.sum(F.length("text")).alias("chars"), (F.count(F.lit(1)) >= 2).alias("full_transcript")
+    )
+
+
+# What the page parser takes as a turn to questions, as a question, and as a manager's title.
+PAGE_TRANSITIONS = (
+    "questions and answers", "q&a", "we'll now move over to q and a", "we'll now move to q and a", "let's open the call to questions", "let's open the line for questions", "open the call to questions",
+    "open the line for questions", "may we have the first question", "we ask that you limit yourself", "first question", "next question", "our next question", "question comes from",
+)
+PAGE_QUESTIONS = ("i have two", "i have one", "i have a question", "my question", "thanks for taking", "thank you for taking", "can you comment", "could you comment", "help us understand")
+PAGE_MANAGERS = ("chief", "ceo", "cfo", "president", "investor relations", "director", "vice president", "vp")
+
+
+def page_roles(sections: DataFrame, participants: DataFrame) -> DataFrame:
+    """Adds role and section to a page's sections (doc_id, order_index, speaker, text; dense order) by place and wording.
+
+    Questions start at the first transition, else one block before the first question from the third block on. Participants with
+    a manager's title and everyone who speaks before the start are management, and if there is nobody, the first two
+    speakers; after the start askers and who follows the operator are analysts; without a start all are management.
+    """
+    t, who = F.col("text"), F.lower(F.trim("speaker"))
+    nobody = who.isin("", "unknown", "operator")
+    asks = F.contains(t, F.lit("?")) | any_of(t, PAGE_QUESTIONS)
+    turns = any_of(t, PAGE_TRANSITIONS) & ~(ends_in_transition(t, PAGE_TRANSITIONS) & ~any_of(t, ("questions and answers", "q&a")))
+    b = sections.withColumns({"who": who, "asks": asks})
+    first = F.min(F.when(turns, F.col("order_index")))
+    second = F.min(F.when(asks & ~nobody & (F.col("order_index") >= 2), F.col("order_index") - 1))
+    start = b.groupBy("doc_id").agg(F.coalesce(first, second).alias("qa_start"))
+    titled = participants.where(any_of(F.col("role"), PAGE_MANAGERS)).select("doc_id", F.lower(F.trim("name")).alias("who"))
+    b = b.join(start, "doc_id")
+    early = b.where(~nobody & (F.col("qa_start").isNull() | (F.col("order_index") < F.col("qa_start")))).select("doc_id", "who")
+    managers = titled.unionByName(early).distinct()
+    places = b.where(~nobody).groupBy("doc_id", "who").agg(F.min("order_index").alias("at"))
+    two = places.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))).where("n <= 2")
+    managers = managers.unionByName(two.join(managers.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "who")).withColumn("manager", F.lit(True))
+    w = Window.partitionBy("doc_id").orderBy("order_index")
+    b = b.withColumn("before", F.lag("who").over(w)).join(managers, ["doc_id", "who"], "left")
+    after = F.col("qa_start").isNotNull() & (F.col("order_index") >= F.col("qa_start"))
+    role = (
+        F.when(F.contains("who", F.lit("operator")), "operator").when(F.col("manager"), "management").when(after & (F.col("asks") | (F.col("before") == "operator")), "analyst")
+        .when(~after & ~F.col("who").isin("", "unknown"), "management")
+    )
+    return b.withColumns({"role": role, "section": F.when(after, "qa").otherwise("prepared_remarks")}).drop("who", "asks", "before", "manager")
+
+
 def enriched(blocks: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     """Blocks with section_type and the speaker's resolved role."""
     typed = typed_sections(blocks)

@@ -7,16 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scoring as S
 from .functions import text as T
 from .functions.lexicons import METRICS, TOPICS
 from .operators import feeds, fundamentals, metrics, segments, transcripts
+from .operators.scorers import lexical_scorer, score_text
 from .plans import report
 from .sources import domain, reports
-from .sources.store import store
+from .sources.store import base_path, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +47,7 @@ BLOCK = """block AS (SELECT conv_id AS doc_id, turn AS order_index,
   CASE role WHEN 'system' THEN 'Operator' WHEN 'user' THEN 'Analyst ' || conv_id % 7 ELSE 'Exec ' || conv_id % 11 END AS speaker,
   CASE role WHEN 'system' THEN 'operator' WHEN 'user' THEN 'analyst' ELSE 'management' END AS speaker_role,
   CASE WHEN turn < 2 THEN 'prepared_remarks' ELSE 'qa' END AS section_type, text FROM conversations)"""
-NEWS = """news AS (SELECT 'SYM' || d.doc_id % 5 AS symbol, d.source AS provider, d.doc_id AS ord, substr(d.text, 1, 80) AS title, substr(d.text, 81, 400) AS summary,
+NEWS = """news AS (SELECT 'SYM' || d.doc_id % 5 AS symbol, d.source AS provider, d.doc_id AS ord, substr(d.text, 1, 80) AS title, substr(d.text, 81) AS summary,
   'doc://' || (d.doc_id - d.doc_id % 2) AS url, e.ts AS published_ts FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id)"""
 POST = """post AS (SELECT 'SYM' || c.conv_id % 5 AS symbol, ['reddit', 'stocktwits', 'forum'][c.turn % 3 + 1] AS provider, c.conv_id * 1000 + c.turn AS ord,
   substr(c.text, 1, 96) AS title, c.text AS body, 'post://' || c.conv_id || '/' || c.turn AS url, e.ts AS created_ts
@@ -57,6 +58,7 @@ fa AS (SELECT symbol, year, quarter, sum(o_totalprice) AS revenue, sum(o_totalpr
   CASE WHEN (year + quarter) % 3 <> 0 THEN avg(o_totalprice) / 1000 END AS reported_eps, avg(o_totalprice) / 1000 * 0.97::DOUBLE AS eps_estimate FROM o GROUP BY symbol, year, quarter),
 fb AS (SELECT symbol, year, quarter, sum(l_extendedprice * (1 - l_discount)) AS revenue, avg(l_extendedprice * (1 - l_discount)) / 250 AS reported_eps
   FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY symbol, year, quarter)"""
+SEEDED = BLOCK + ", seeded AS (SELECT * FROM block UNION ALL SELECT -1, k, 'Seed ' || (k % 3), ['management', 'analyst'][k % 2 + 1], 'qa', t FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(domain.SEED_BLOCKS)) + ") v(k, t))"
 MERGED = """merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC, quarter DESC) AS rank FROM (
   SELECT symbol, year, quarter, fa.revenue, fa.net_income, coalesce(fa.reported_eps, fb.reported_eps) AS reported_eps, fa.eps_estimate
   FROM fa FULL OUTER JOIN fb USING (symbol, year, quarter))) WHERE rank <= 4)"""
@@ -143,21 +145,21 @@ def text_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {BLOCK}, b AS (SELECT doc_id, order_index, {SENTENCES} AS s FROM block) SELECT doc_id, order_index, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '[0-9]')))::DOUBLE / len(s) ELSE 0.0 END, 4) AS numeric_density FROM b")
+@query(f"WITH {SEEDED}, b AS (SELECT doc_id, order_index, {SENTENCES} AS s FROM seeded) SELECT doc_id, order_index, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '[0-9]')))::DOUBLE / len(s) ELSE 0.0 END, 4) AS numeric_density FROM b")
 def block_numeric_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(domain.blocks(spark, sf_dir).select("doc_id", "order_index", S.numeric_density(F.col("text")).alias("numeric_density")))
+    return shaped(domain.seeded_blocks(spark, sf_dir).select("doc_id", "order_index", S.numeric_density(F.col("text")).alias("numeric_density")))
 
 
-@query(f"WITH {BLOCK}, b AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM block) SELECT doc_id, order_index, " + ", ".join(f"round({sql_density(t)}, 4) AS d_{n}" for n, t in METRICS.items()) + " FROM b")
+@query(f"WITH {SEEDED}, b AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM seeded) SELECT doc_id, order_index, " + ", ".join(f"round({sql_density(t)}, 4) AS d_{n}" for n, t in METRICS.items()) + " FROM b")
 def block_lexicon_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default lexicons."""
-    return shaped(domain.blocks(spark, sf_dir).select("doc_id", "order_index", *[S.density("text", t).alias(f"d_{n}") for n, t in METRICS.items()]))
+    return shaped(domain.seeded_blocks(spark, sf_dir).select("doc_id", "order_index", *[S.density("text", t).alias(f"d_{n}") for n, t in METRICS.items()]))
 
 
-@query(f"WITH {BLOCK}, base AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM block) SELECT doc_id, order_index, topic, round(best, 4) AS density FROM ({sql_topic(TOPICS)})")
+@query(f"WITH {SEEDED}, base AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM seeded) SELECT doc_id, order_index, topic, round(best, 4) AS density FROM ({sql_topic(TOPICS)})")
 def block_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default topics."""
-    return shaped(domain.blocks(spark, sf_dir).withColumn("t", S.topic("text", TOPICS)).select("doc_id", "order_index", "t.topic", "t.density"))
+    return shaped(domain.seeded_blocks(spark, sf_dir).withColumn("t", S.topic("text", TOPICS)).select("doc_id", "order_index", "t.topic", "t.density"))
 
 
 # --- blocks ---------------------------------------------------------------------------------------
@@ -247,7 +249,9 @@ def role_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(transcripts.hydrate_roles(holed, holed), "doc_id", "order_index", "speaker_role", "hydrated_role")
 
 
+CALLS = ", ".join("({}, {}, '{}')".format(-k, n, t.replace("'", "''")) for k, call in ((1, domain.SEED_CALL), (2, domain.SEED_BAD_CALL), (3, domain.SEED_PLAIN)) for n, t in enumerate(call))
 LINES = """line AS (
+  SELECT * FROM (VALUES """ + CALLS + """) seed(doc_id, line_no, line) UNION ALL
   SELECT conv_id AS doc_id, turn * 1000000 + part AS line_no, trim(l[part]) AS line FROM (SELECT conv_id, turn, string_split(role || ': ' || text, chr(10)) AS l,
     unnest(range(1, len(string_split(text, chr(10))) + 1)) AS part FROM conversations)
   UNION ALL SELECT conv_id, turn * 1000000, CASE turn WHEN 0 THEN 'Prepared Remarks' ELSE 'Questions and Answers' END FROM conversations WHERE turn IN (0, 2)),
@@ -270,12 +274,15 @@ def sql_any(text: str, markers: tuple[str, ...]) -> str:
     return "(" + " OR ".join("contains(lower({}), '{}')".format(text, m.replace("'", "''")) for m in markers) + ")"
 
 
+TRAILING = "coalesce(greatest(" + ", ".join(f"CASE WHEN contains(lower(text), '{m}') THEN length(text) - (strpos(reverse(lower(text)), '{m[::-1]}') - 1) - {len(m)} END" for m in transcripts.QA_OPENERS) + rf""") >= floor(length(text) * 0.6)
+  AND {WORDS.format(t="text")} >= 80 AND len(regexp_extract_all(text, '[.!?]')) >= 4, FALSE)"""
 ASKS = f"(contains(text, '?') OR {sql_any('text', transcripts.QUESTIONS)})"
-QA = f"""{LINES}, marked AS (SELECT *, base_section = 'qa' OR {sql_any("text", transcripts.QA_OPENERS)} AS opens, {ASKS} AS asks, {sql_any("text", transcripts.QA_OPENERS)} AS routes,
+QA = f"""{LINES}, marked AS (SELECT *, base_section = 'qa' OR ({sql_any("text", transcripts.QA_OPENERS)} AND NOT {TRAILING}) AS opens, {ASKS} AS asks, {sql_any("text", transcripts.QA_OPENERS)} AS routes,
   {sql_any("text", transcripts.QA_CLOSERS)} AS closes FROM tblock),
 start AS (SELECT doc_id, coalesce(min(order_index) FILTER (opens), min(order_index) FILTER (asks AND NOT regexp_matches(lower(speaker), 'operator|moderator|investor relations|ceo|cfo|chief|president'))) AS qa_start FROM marked GROUP BY doc_id),
 bound AS (SELECT s.doc_id, s.qa_start, (SELECT min(order_index) FROM marked m WHERE m.doc_id = s.doc_id AND m.order_index >= s.qa_start AND m.closes) AS qa_end FROM start s),
-typed AS (SELECT m.*, CASE WHEN qa_start IS NULL OR order_index < qa_start THEN 'prepared_remarks' WHEN order_index > qa_end THEN 'other' ELSE 'qa' END AS section_type FROM marked m JOIN bound USING (doc_id))"""
+typed AS (SELECT m.*, CASE WHEN qa_start IS NULL OR order_index < qa_start THEN CASE WHEN {sql_any("text", ("forward-looking statements", "safe harbor", "copyright", "transcript by"))} OR (qa_start IS NULL AND base_section = 'other') THEN 'other' ELSE 'prepared_remarks' END
+  WHEN order_index > qa_end OR closes THEN 'other' ELSE 'qa' END AS section_type FROM marked m JOIN bound USING (doc_id))"""
 
 
 @query(f"WITH {QA} SELECT doc_id, CAST(qa_start AS BIGINT) AS qa_start, CAST(qa_end AS BIGINT) AS qa_end FROM bound")
@@ -294,11 +301,18 @@ def speaker_role_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(transcripts.speaker_stats(blocks))
 
 
-@query(f"""WITH {STATS}, pt AS (SELECT *, CASE WHEN routing > 0 THEN 3.5 ELSE 0 END AS h, CASE WHEN answers > 0 THEN 2.5 ELSE 0 END + CASE WHEN prepared > 0 AND questions = 0 THEN 1.5 ELSE 0 END AS m,
-  CASE WHEN questions > 0 THEN 2.5 ELSE 0 END + CASE WHEN qa > 0 AND questions = qa THEN 1 ELSE 0 END AS a FROM stat)
-  SELECT doc_id, speaker, CASE WHEN greatest(h, m, a) < 2 THEN 'unknown' WHEN h >= m AND h >= a THEN 'host_ir' WHEN m >= a THEN 'management' ELSE 'analyst' END AS role FROM pt""")
+NAMED = """CASE WHEN contains(lower(speaker), 'operator') OR contains(lower(speaker), 'moderator') THEN 'operator' WHEN contains(lower(speaker), 'investor relations') THEN 'host_ir' WHEN contains(lower(speaker), 'analyst') THEN 'analyst'
+  WHEN contains(lower(speaker), 'ceo') OR contains(lower(speaker), 'cfo') OR contains(lower(speaker), 'chief') OR contains(lower(speaker), 'president') THEN 'management' ELSE '' END"""
+ROLES = f"""{STATS}, hs AS (SELECT *, {NAMED} AS hint FROM stat),
+pt AS (SELECT *, CASE WHEN hint = 'host_ir' THEN 5 ELSE 0 END + CASE WHEN routing > 0 AND NOT (hint = 'management' AND answers > 0) THEN 3.5 ELSE 0 END AS h,
+  CASE WHEN hint = 'management' THEN 5 ELSE 0 END + CASE WHEN routing > 0 AND hint = 'management' AND answers > 0 THEN 1 ELSE 0 END + CASE WHEN answers > 0 THEN 2.5 ELSE 0 END + CASE WHEN prepared > 0 AND questions = 0 THEN 1.5 ELSE 0 END AS m,
+  CASE WHEN hint = 'analyst' THEN 5 ELSE 0 END + CASE WHEN questions > 0 THEN 2.5 ELSE 0 END + CASE WHEN qa > 0 AND questions = qa THEN 1 ELSE 0 END AS a FROM hs),
+resolved AS (SELECT doc_id, speaker, CASE WHEN hint = 'operator' THEN 'operator' WHEN greatest(h, m, a) < 2 THEN 'unknown' WHEN h >= m AND h >= a THEN 'host_ir' WHEN m >= a THEN 'management' ELSE 'analyst' END AS role FROM pt)"""
+
+
+@query(f"WITH {ROLES} SELECT * FROM resolved")
 def speaker_role_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers here are called user, assistant and system: names give no hints."""
+    """Names give hints in the seeds; other speakers here are called user, assistant and system."""
     blocks = transcripts.typed_sections(transcripts.speaker_blocks(domain.transcript_lines(spark, sf_dir)))
     return shaped(transcripts.resolve_roles(transcripts.speaker_stats(blocks)))
 
@@ -360,7 +374,30 @@ def feed_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.within_lookback(domain.news(spark, sf_dir), "published_ts", domain.as_of(), 29).select("ord", "symbol", "published_ts")
 
 
-@query()
+#: First-wins removal as a recursion over a symbol's rows; small enough for SQL on a seed only.
+DEDUPE_SEED = (
+    ("A", 1, "u1", "t1"), ("A", 2, "u2", "t1"), ("A", 3, "u2", "t2"), ("A", 4, None, "t2"), ("A", 5, None, "t3"), ("A", 6, "u9", None), ("A", 7, "u9", None), ("B", 1, "u1", "t1"), ("B", 2, None, None), ("B", 3, None, None),
+    *(("C", k, f"c{k // 2}", f"d{(k + 1) // 2}") for k in range(1, 400)),
+)
+TITLE_KEY = r"regexp_replace(regexp_replace(regexp_replace(lower({}), '^\s+|\s+$', '', 'g'), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')"
+
+
+def first_wins(rows: str, order: str = "ord", name: str = "") -> str:
+    """SQL for the rows (symbol, ord, url, key) that stay: one step of the recursion decides each symbol's next row."""
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {order}) AS step FROM {rows}),
+walk AS (SELECT symbol, CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS urls, CAST([] AS VARCHAR[]) AS keys, CAST(NULL AS BIGINT) AS ord, FALSE AS stays FROM (SELECT DISTINCT symbol FROM ordered)
+  UNION ALL SELECT o.symbol, o.step, CASE WHEN ok AND o.url IS NOT NULL THEN list_append(urls, o.url) ELSE urls END, CASE WHEN ok AND o.key IS NOT NULL THEN list_append(keys, o.key) ELSE keys END, o.ord, ok
+  FROM (SELECT o.*, w.urls, w.keys, NOT coalesce(list_contains(w.urls, o.url), FALSE) AND NOT coalesce(list_contains(w.keys, o.key), FALSE) AS ok FROM walk w JOIN ordered o ON o.symbol IS NOT DISTINCT FROM w.symbol AND o.step = w.step + 1) o)""".replace("ordered", f"ordered{name}").replace("walk", f"walk{name}")
+
+
+@query("WITH RECURSIVE seed AS (SELECT symbol, CAST(ord AS BIGINT) AS ord, url, key FROM (VALUES " + ", ".join("('{}', {}, {}, {})".format(s, o, *("NULL" if x is None else f"'{x}'" for x in (u, k))) for s, o, u, k in DEDUPE_SEED) + f") t(symbol, ord, url, key)), {first_wins('seed')} SELECT symbol, ord FROM walk WHERE stays")
+def news_dedupe_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null marks, a row that only a dropped row repeats, and a chain of 400 rows."""
+    rows = spark.createDataFrame(DEDUPE_SEED, "symbol string, ord bigint, url string, key string")
+    return feeds.greedy_distinct(rows, ["symbol"], "ord", ["url", "key"]).select("symbol", "ord")
+
+
+@query(f"WITH RECURSIVE {NEWS}, keyed AS (SELECT symbol, ord, url, title, {TITLE_KEY.format('title')} AS key FROM news), {first_wins('keyed')} SELECT k.symbol, k.ord, k.url, k.title FROM walk w JOIN keyed k USING (symbol, ord) WHERE w.stays")
 def news_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = domain.news(spark, sf_dir).withColumn("key", T.title_key(F.col("title")))
     return feeds.greedy_distinct(n, ["symbol"], "ord", ["url", "key"]).select("symbol", "ord", "url", "title")
@@ -389,43 +426,54 @@ def social_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(feeds.interleave(corpus_posts(spark, sf_dir), ["symbol"], "provider", [F.desc("score"), F.col("ord")], 24), "symbol", "position", "provider", "ord")
 
 
-@query(f"""WITH {RANKED}, l AS ({ladder_sql("nrank", "rank_score", feeds.news_steps(50))}), a AS (SELECT symbol, count(*) AS pool FROM nrank GROUP BY symbol), b AS (SELECT symbol, count(*) AS ranked, count(DISTINCT url) AS urls FROM l GROUP BY symbol)
-  SELECT symbol, pool, ranked, urls, round((ranked - urls) * 100.0::DOUBLE / ranked, 4) AS repeat_pct, least(ranked, 50) AS displayed FROM a JOIN b USING (symbol)""")
+@query(f"""WITH RECURSIVE {RANKED}, l AS ({ladder_sql("nrank", "rank_score", feeds.news_steps(200))}), keyed AS (SELECT symbol, ord, url, {TITLE_KEY.format("title")} AS key FROM l), {first_wins("keyed")},
+  u AS (SELECT symbol, count(*) AS deduped FROM walk WHERE stays GROUP BY symbol), a AS (SELECT symbol, count(*) AS fetched FROM l GROUP BY symbol)
+  SELECT symbol, 'news' AS feed, fetched, deduped, least(deduped, 50) AS displayed, round((fetched - deduped) * 100.0::DOUBLE / fetched, 4) AS repeat_pct FROM a JOIN u USING (symbol)
+  UNION ALL SELECT symbol, 'social', count(*), count(DISTINCT (url, ord)), least(count(DISTINCT (url, ord)), 50), 0.0 FROM post GROUP BY symbol""".replace("WITH RECURSIVE", f"WITH RECURSIVE {POST},", 1))
 def feed_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = corpus_news(spark, sf_dir)
-    kept = feeds.ladder(n, ["symbol"], "rank_score", feeds.news_steps(50)).groupBy("symbol").agg(F.count(F.lit(1)).alias("ranked"), F.count_distinct("url").alias("urls"))
-    rows = n.groupBy("symbol").agg(F.count(F.lit(1)).alias("pool")).join(kept, "symbol")
-    repeat = (F.col("ranked") - F.col("urls")) * 100.0 / F.col("ranked")
-    return shaped(rows.withColumn("repeat_pct", repeat).withColumn("displayed", F.least(F.col("ranked"), F.lit(50))))
+    """Rows fetched (news: those the ladder gives), left after first-wins removal, and displayed. Posts have a URL each; their titles aren't compared here."""
+    n = feeds.ladder(corpus_news(spark, sf_dir), ["symbol"], "rank_score", feeds.news_steps(200)).withColumn("key", T.title_key(F.col("title")))
+    p = domain.posts(spark, sf_dir)
+    news = feeds.pool_audit(n, feeds.greedy_distinct(n, ["symbol"], "ord", ["url", "key"]), ["symbol"], 50).withColumn("feed", F.lit("news"))
+    social = feeds.pool_audit(p, feeds.greedy_distinct(p, ["symbol"], "ord", ["url"]), ["symbol"], 50).withColumn("feed", F.lit("social"))
+    return shaped(news.unionByName(social), "symbol", "feed", "fetched", "deduped", "displayed", "repeat_pct")
+
+
+def sql_direction(text: str) -> str:
+    """A feed item's score: the positive density less the negative one, twice, -1 to 1."""
+    dbl = DOUBLED.replace("lower(text)", f"lower({text})")
+    pos, neg = (sql_density(domain.CORPUS_LEXICON[k], dbl) for k in ("forward", "hedge"))
+    return f"greatest(-1.0, least(1.0, ({pos} - {neg}) * 2))::DOUBLE"
 
 
-SENT = """nsent AS (SELECT published_ts AS at_ts, symbol, (doc_id * 37 % 201 - 100) / 100.0::DOUBLE AS score FROM (SELECT *, ord AS doc_id FROM news)),
-psent AS (SELECT created_ts AS at_ts, symbol, (ord * 53 % 201 - 100) / 100.0::DOUBLE AS score FROM post)"""
+SENT = f"""nsent AS (SELECT published_ts AS at_ts, symbol, coalesce({sql_direction("concat_ws('. ', title, summary)")}, 0.0) AS score FROM news),
+psent AS (SELECT created_ts AS at_ts, symbol, coalesce({sql_direction("concat_ws('. ', title, body)")}, 0.0) AS score FROM post)"""
 
 
-def scored(rows: DataFrame, at: str, factor: int) -> DataFrame:
-    """A fixed stand-in for model scores."""
-    return rows.select(F.col(at).alias("at"), "symbol", ((F.col("ord") * factor % 201 - 100) / 100.0).alias("score"))
+def scored(rows: DataFrame, at: str, body: str) -> DataFrame:
+    """Items scored by what they say (title. body); what can't be scored is neutral."""
+    said = rows.select(F.col(at).alias("at"), "symbol", F.concat_ws(". ", "title", body).alias("said"))
+    return score_text(said, lexical_scorer(domain.CORPUS_LEXICON["forward"], domain.CORPUS_LEXICON["hedge"]), "said").select("at", "symbol", "score")
 
 
 @query(f"""WITH {NEWS}, {POST}, {SENT}, d AS (SELECT CAST(at_ts AS DATE) AS day, score AS n, NULL::DOUBLE AS p FROM nsent UNION ALL SELECT CAST(at_ts AS DATE), NULL, score FROM psent)
   SELECT day, round(coalesce(avg(n), 0.0), 4) AS news_avg, round(coalesce(avg(p), 0.0), 4) AS social_avg, round(coalesce((avg(n) + avg(p)) / 2, avg(n), avg(p), 0.0), 4) AS blended FROM d WHERE day IS NOT NULL GROUP BY day""")
 def sentiment_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(feeds.day_sentiment(scored(domain.news(spark, sf_dir), "published_ts", 37), scored(domain.posts(spark, sf_dir), "created_ts", 53)))
+    return shaped(feeds.day_sentiment(scored(domain.news(spark, sf_dir), "published_ts", "summary"), scored(domain.posts(spark, sf_dir), "created_ts", "body")))
 
 
 @query(f"""WITH {NEWS}, {POST}, {SENT}, c AS (SELECT symbol, count(*) AS items, avg(score) AS mean, count(*) FILTER (score >= 0.12) AS bullish, count(*) FILTER (score <= -0.12) AS bearish FROM nsent GROUP BY symbol)
   SELECT symbol, items, round(mean, 4) AS mean, bullish, bearish, CASE WHEN mean >= 0.12 THEN 'bullish' WHEN mean <= -0.12 THEN 'bearish' ELSE 'mixed' END AS stance,
   round(bullish * 100.0::DOUBLE / items, 4) AS bullish_pct, round(bearish * 100.0::DOUBLE / items, 4) AS bearish_pct, round(100.0 - bullish * 100.0::DOUBLE / items - bearish * 100.0::DOUBLE / items, 4) AS neutral_pct FROM c""")
 def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(feeds.sentiment_shares(scored(domain.news(spark, sf_dir), "published_ts", 37), ["symbol"]))
+    return shaped(feeds.sentiment_shares(scored(domain.news(spark, sf_dir), "published_ts", "summary"), ["symbol"]))
 
 
-@query(f"""WITH {NEWS}, p AS (SELECT symbol, ord, row_number() OVER (PARTITION BY symbol ORDER BY ord DESC) AS place FROM news WHERE ord % 4 = 0)
+@query(f"""WITH {NEWS}, p AS (SELECT * FROM (SELECT symbol, ord, row_number() OVER (PARTITION BY symbol ORDER BY ord DESC) AS place FROM news) WHERE place <= 30)
   SELECT symbol, rank, ord FROM (SELECT n.symbol, n.ord, row_number() OVER (PARTITION BY n.symbol ORDER BY p.place IS NULL, p.place, n.ord) AS rank FROM news n LEFT JOIN p USING (symbol, ord)) WHERE rank <= 80""")
 def rerank_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = domain.news(spark, sf_dir)
-    order = n.where("ord % 4 = 0").select("symbol", "ord", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ord"))).alias("place"))
+    order = feeds.top(n, ["symbol"], [F.desc("ord")], 30, "place").select("symbol", "ord", "place")
     return shaped(feeds.rerank(n, order, ["symbol"], "ord", 80), "symbol", "rank", "ord")
 
 
@@ -501,7 +549,7 @@ def price_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CL = "greatest(-1.0, least(1.0, {}))"
 SIGNAL = f"""{GROWTH}, sig AS (SELECT symbol, {CL.format("(coalesce(revenue_growth_pct, 0) * 0.55::DOUBLE + coalesce(reported_eps_growth_pct, 0) * 0.45::DOUBLE) / 50")} AS growth_signal,
-  CASE WHEN symbol <> 'BUILDING' THEN {CL.format("(3.0 - (1.0 + length(symbol) % 4)) / 2")} END AS rec, CASE WHEN symbol <> 'MACHINERY' THEN {CL.format("coalesce(revenue_growth_pct, 0) / 30")} END AS up FROM growth),
+  CASE WHEN symbol <> 'BUILDING' THEN {CL.format("(3.0 - (1.0 + length(symbol) % 4)) / 2")} END AS rec, CASE WHEN symbol <> 'MACHINERY' THEN {CL.format("coalesce(revenue_growth_pct, 0) / 30")} END AS up, revenue_growth_pct, reported_eps_growth_pct FROM growth),
 sig2 AS (SELECT *, CASE WHEN rec IS NULL THEN up WHEN up IS NULL THEN rec ELSE {CL.format("rec * 0.65::DOUBLE + up * 0.35::DOUBLE")} END AS analyst FROM sig),
 signal AS (SELECT *, CASE WHEN analyst IS NULL THEN growth_signal ELSE {CL.format("growth_signal * 0.8::DOUBLE + analyst * 0.2::DOUBLE")} END AS fundamentals FROM sig2)"""
 
@@ -535,16 +583,19 @@ def transcript_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL_SIGNALS = f"""{COMPONENT}, {NEWS}, {POST}, {SENT},
 tr AS (SELECT 'SYM' || doc_id % 5 AS symbol, avg(CASE WHEN n = 0 THEN 0.0 ELSE 2 * p - 1 END) AS transcript FROM comp GROUP BY ALL),
-ns AS (SELECT symbol, avg(score) AS news FROM nsent GROUP BY symbol), ps AS (SELECT symbol, avg(score) AS social FROM psent WHERE symbol <> 'SYM3' GROUP BY symbol),
-allsig AS (SELECT tr.symbol, transcript, news, social, news * 0.5 AS fundamentals FROM tr LEFT JOIN ns USING (symbol) LEFT JOIN ps USING (symbol))"""
+ns AS (SELECT symbol, avg(score) AS news FROM nsent GROUP BY symbol), ps AS (SELECT symbol, avg(CASE WHEN symbol <> 'SYM3' THEN score END) AS social FROM psent GROUP BY symbol),
+{SIGNAL.replace("WITH ", "")}, fu AS (SELECT 'SYM' || length(symbol) % 5 AS symbol, avg(fundamentals) AS fundamentals, avg(revenue_growth_pct) AS revenue_growth, avg(reported_eps_growth_pct) AS eps_growth FROM signal GROUP BY ALL),
+allsig AS (SELECT tr.symbol, transcript, news, social, fundamentals, revenue_growth, eps_growth FROM tr LEFT JOIN ns USING (symbol) LEFT JOIN ps USING (symbol) LEFT JOIN fu USING (symbol))"""
 
 
 def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = metrics.management_means(corpus_metrics(spark, sf_dir))
     tr = report.transcript_component(means).groupBy(F.concat(F.lit("SYM"), (F.col("doc_id") % domain.SYMBOLS).cast("string")).alias("symbol")).agg(F.avg("component").alias("transcript"))
-    ns = scored(domain.news(spark, sf_dir), "published_ts", 37).groupBy("symbol").agg(F.avg("score").alias("news"))
-    ps = scored(domain.posts(spark, sf_dir), "created_ts", 53).where("symbol != 'SYM3'").groupBy("symbol").agg(F.avg("score").alias("social"))
-    return tr.join(ns, "symbol", "left").join(ps, "symbol", "left").withColumn("fundamentals", F.col("news") * 0.5)
+    ns = scored(domain.news(spark, sf_dir), "published_ts", "summary").groupBy("symbol").agg(F.avg("score").alias("news"))
+    ps = scored(domain.posts(spark, sf_dir), "created_ts", "body").groupBy("symbol").agg(F.avg(F.when(F.col("symbol") != "SYM3", F.col("score"))).alias("social"))
+    fu = corpus_signals(spark, sf_dir).groupBy(F.concat(F.lit("SYM"), (F.length("symbol") % domain.SYMBOLS).cast("string")).alias("symbol"))
+    fu = fu.agg(F.avg("fundamentals").alias("fundamentals"), F.avg("revenue_growth_pct").alias("revenue_growth"), F.avg("reported_eps_growth_pct").alias("eps_growth"))
+    return tr.join(ns, "symbol", "left").join(ps, "symbol", "left").join(fu, "symbol", "left")
 
 
 def sql_overall(weights: dict[str, float]) -> str:
@@ -570,9 +621,9 @@ def recompute_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(report.company_scores(kept, OTHER_WEIGHTS), "symbol", "overall_score", "label")
 
 
-@query(f"WITH {ALL_SIGNALS} SELECT symbol, round(greatest(0.0, least(100.0, 52.0 + transcript * 32 + news * 10 + coalesce(social, 0) * 6 + fundamentals * 0.18::DOUBLE)), 4) AS strength FROM allsig")
+@query(f"WITH {ALL_SIGNALS} SELECT symbol, round(greatest(0.0, least(100.0, 52.0 + transcript * 32 + coalesce(news, 0) * 10 + coalesce(social, 0) * 6 + coalesce(revenue_growth, 0) * 0.18::DOUBLE + coalesce(eps_growth, 0) * 0.20::DOUBLE)), 4) AS strength FROM allsig")
 def company_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = report.strength(F.col("transcript"), F.col("news"), F.coalesce("social", F.lit(0.0)), F.col("fundamentals"), F.lit(None).cast("double"))
+    s = report.strength(F.col("transcript"), F.coalesce("news", F.lit(0.0)), F.coalesce("social", F.lit(0.0)), F.col("revenue_growth"), F.col("eps_growth"))
     return shaped(all_signals(spark, sf_dir).withColumn("strength", s), "symbol", "strength")
 
 
@@ -595,15 +646,15 @@ def segmented_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(segments.segmented_scores(domain.read(spark, sf_dir, "documents"), lex["forward"], lex["hedge"]))
 
 
-CAND = """cand AS (SELECT 'SYM' || page_id % 5 AS symbol, 2020 + page_id % 3 AS year, page_id % 4 + 1 AS quarter, (page_id * 31 % 17)::DOUBLE AS quality, DATE '2020-01-01' + CAST(page_id % 900 AS INTEGER) AS date, url FROM pages WHERE page_id % 5 <> 2 OR page_id % 4 = 1),
+CAND = """cand AS (SELECT 'SYM' || page_id % 5 AS symbol, 2020 + page_id % 3 AS year, CASE WHEN page_id % 5 = 2 THEN page_id % 2 * 2 + 1 ELSE page_id % 4 + 1 END AS quarter, (page_id * 31 % 17)::DOUBLE AS quality, DATE '2020-01-01' + CAST(page_id % 900 AS INTEGER) AS date, url FROM pages),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, year, quarter ORDER BY quality DESC, date DESC, url) AS n FROM cand) WHERE n = 1)"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = domain.read(spark, sf_dir, "pages").where("page_id % 5 != 2 OR page_id % 4 = 1")
+    p = domain.read(spark, sf_dir, "pages")
     i = F.col("page_id")
     return p.select(
-        F.concat(F.lit("SYM"), (i % 5).cast("string")).alias("symbol"), (i % 3 + 2020).alias("year"), (i % 4 + 1).alias("quarter"), (i * 31 % 17).cast("double").alias("quality"),
+        F.concat(F.lit("SYM"), (i % 5).cast("string")).alias("symbol"), (i % 3 + 2020).alias("year"), F.when(i % 5 == 2, i % 2 * 2 + 1).otherwise(i % 4 + 1).alias("quarter"), (i * 31 % 17).cast("double").alias("quality"),
         F.date_add(F.lit("2020-01-01").cast("date"), (i % 900).cast("int")).alias("date"), "url",
     )
 
@@ -641,6 +692,6 @@ def cache_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("symbol").alias("ticker"), F.lit("2024-01-31T00:00:00Z").alias("updated_at"), F.lit("1").alias("analysis_version"), F.create_map(F.lit("weight_news"), F.lit(15.0)).alias("runtime_overrides"),
         F.struct(F.array(F.lit("Q4 2023"), F.lit("Q3 2023"), F.lit("Q4 2023")).alias("quarters"), F.round("overall_score", 4).alias("overall_score")).alias("result"),
     )
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/reports-{uuid.uuid4().hex}"
+    path = f"{base_path(spark)}/reports-{uuid.uuid4().hex}"
     reports.write_reports(rows, path)
     return reports.summaries(reports.scan_reports(spark, path))

@@ -9,7 +9,7 @@ from .functions import scoring as S
 from .functions import text as T
 from .operators import audit, candidates, feeds, metrics, neardup, pages, people, transcripts
 from .plans import report
-from .queries import BLOCK, LINES, MEANS, METRIC, STATS, all_signals, corpus_metrics, corpus_posts, merged_quarters, query, shaped
+from .queries import BLOCK, LINES, MEANS, METRIC, ROLES, all_signals, corpus_metrics, corpus_posts, merged_quarters, query, shaped
 from .sources import domain
 
 TICKER, COMPANY = "fr", "Tionsh Example Inc"
@@ -90,14 +90,26 @@ def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(audit.task_totals(t, ["run_id"]).join(audit.progress(t, ["run_id"]), "run_id"))
 
 
-@query(f"""WITH {LINES}, q AS (SELECT doc_id, count(*) AS sections, count(*) FILTER (lower(speaker) IN ('', 'unknown')) AS unknown,
-  count(*) FILTER (NOT (regexp_matches(speaker, '^[A-Z][A-Za-z.''\\-]*( [A-Z][A-Za-z.''\\-]*){{0,5}}$') OR lower(speaker) IN ('operator', 'unknown', 'moderator'))) AS implausible,
-  avg(CASE WHEN base_section = 'other' THEN 1.0 ELSE 0.0 END) AS other_share FROM tblock GROUP BY doc_id)
-  SELECT doc_id, sections, unknown, implausible, round(other_share, 4) AS other_share, CASE WHEN sections = 1 AND unknown = 1 THEN 'single_unknown_section' WHEN unknown = sections THEN 'all_unknown_speakers'
-  WHEN implausible / sections > 0.25 THEN 'implausible_speaker_labels' END AS reason, sections <= 2 OR unknown / sections >= 0.35 OR other_share >= 0.75 AS normalise_again FROM q""")
+PLAUSIBLE = r"""CASE WHEN speaker = '' THEN FALSE WHEN lower(speaker) IN ('operator', 'analyst', 'management', 'unknown', 'unidentified speaker', 'unidentified analyst', 'participant') THEN TRUE
+  WHEN lower(speaker) IN ('greetings', 'hello', 'hi', 'thanks', 'thank you', 'good afternoon', 'good morning', 'duration', 'prepared', 'prepared remarks', 'other', 'questions and answers', 'q&a', 'call participants') OR regexp_matches(speaker, '[0-9]')
+  OR length(speaker) > 80 OR contains(speaker, ':') THEN FALSE ELSE regexp_matches(speaker, '^[A-Z][A-Za-z.''\-]+(?: [A-Z][A-Za-z.''\-]+){0,5}$') END"""
+
+
+@query(f"""WITH {ROLES}, b AS (SELECT t.*, r.role FROM typed t JOIN resolved r USING (doc_id, speaker)), q AS (SELECT doc_id, count(*) AS sections, count(*) FILTER (lower(speaker) IN ('', 'unknown')) AS unknown,
+  count(*) FILTER (NOT {PLAUSIBLE}) AS implausible, count(*) FILTER (contains(text, 'self.__next_f.push') OR contains(text, '\\u003c')) AS script,
+  avg(CASE WHEN section_type = 'other' THEN 1.0 ELSE 0.0 END) AS other_share, avg(CASE WHEN role = 'unknown' THEN 1.0 ELSE 0.0 END) AS no_role_share FROM b GROUP BY doc_id),
+  d AS (SELECT DISTINCT doc_id FROM line), f AS (SELECT doc_id, 0.5 + abs(doc_id) % 5 * 0.1::DOUBLE AS confidence, abs(doc_id) % 7 = 0 AS sparse FROM d),
+  j AS (SELECT doc_id, confidence, sparse, coalesce(sections, 0) AS sections, coalesce(unknown, 0) AS unknown, coalesce(implausible, 0) AS implausible, coalesce(script, 0) AS script, coalesce(other_share, 0) AS other_share, coalesce(no_role_share, 0) AS no_role_share FROM f LEFT JOIN q USING (doc_id))
+  SELECT doc_id, sections, unknown, implausible, round(other_share, 4) AS other_share, round(no_role_share, 4) AS no_role_share,
+  CASE WHEN sections = 0 THEN 'no_sections' WHEN script > 0 THEN 'script_wrapped_text' WHEN sections = 1 AND unknown = 1 THEN 'single_unknown_section' WHEN unknown = sections THEN 'all_unknown_speakers' WHEN implausible / sections > 0.25 THEN 'implausible_speaker_labels' END AS reason,
+  CASE WHEN sections = 0 THEN 'no_sections' WHEN sections < 2 THEN 'too_few_sections' WHEN unknown = sections THEN 'all_unknown_speakers' WHEN unknown / sections > 0.9 THEN 'mostly_unknown_speakers' WHEN implausible / sections > 0.25 THEN 'implausible_speaker_labels' END AS structured_reason,
+  sections <= 2 OR confidence < 0.55 OR sparse OR unknown / sections >= 0.35 OR no_role_share >= 0.5 OR other_share >= 0.75 AS normalise_again FROM j""")
 def transcript_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = transcripts.speaker_blocks(domain.transcript_lines(spark, sf_dir)).withColumn("section_type", F.col("base_section")).withColumn("speaker_role", F.lit("x"))
-    return shaped(audit.parse_quality(b), "doc_id", "sections", "unknown", "implausible", "other_share", "reason", "normalise_again")
+    lines = domain.transcript_lines(spark, sf_dir)
+    b = transcripts.enriched(transcripts.speaker_blocks(lines)).withColumn("speaker_role", F.when(F.col("role") != "unknown", F.col("role")))
+    d = F.abs("doc_id")
+    facts = lines.select("doc_id").distinct().withColumns({"confidence": d % 5 * 0.1 + 0.5, "warnings": F.when(d % 7 == 0, F.array(F.lit("Sparse text"))).otherwise(F.array().cast("array<string>"))})
+    return shaped(audit.parse_quality(b, facts), "doc_id", "sections", "unknown", "implausible", "other_share", "no_role_share", "reason", "structured_reason", "normalise_again")
 
 
 @query("""SELECT o_orderkey, printf('%.2f', o_totalprice) AS amount, printf('%+.1f%%', greatest(-1.0, least(1.0, (o_totalprice - 200000) / 400000)) * 100) AS signed_pct,
@@ -163,9 +175,15 @@ def social_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST, LAST = ("Ann", "Bob", "Carol", "Dan"), ("Lee", "Smith", "Jones")
 
 
-@query()
+SQL_NAMES = """named AS (SELECT doc_id, i, i % 3 + 1 AS priority, order_index AS ord, trim(CASE WHEN i % 4 = 0 THEN 'Dr. ' ELSE '' END || ['Ann', 'Bob', 'Carol', 'Dan'][i % 4 + 1] || CASE WHEN i % 3 = 0 THEN ' Q.' ELSE '' END || ' ' || ['Lee', 'Smith', 'Jones'][i % 3 + 1]
+  || CASE WHEN i % 5 = 0 THEN ' CFA' ELSE '' END) AS name, lower(['Ann', 'Bob', 'Carol', 'Dan'][i % 4 + 1]) || ' ' || lower(['Lee', 'Smith', 'Jones'][i % 3 + 1]) AS who, 2 + CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS parts
+  FROM (SELECT *, doc_id + order_index AS i FROM block))"""
+
+
+@query(f"""WITH {BLOCK}, {SQL_NAMES}, best AS (SELECT doc_id, who, arg_max(name, (priority, parts, length(name), -ord)) AS canonical FROM named GROUP BY ALL)
+  SELECT DISTINCT doc_id, alias, canonical FROM (SELECT doc_id, who, who AS alias FROM named UNION SELECT doc_id, who, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) FROM named) JOIN best USING (doc_id, who)""")
 def speaker_canonicalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invented names with variants, by conversation."""
+    """Invented names with variants, by conversation: there a person is told by first and last name."""
     b = domain.blocks(spark, sf_dir)
     i = F.col("doc_id") + F.col("order_index")
     name = F.concat_ws(
@@ -191,7 +209,7 @@ def sitemap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SLICED = f"""{LINES}, pl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line_no, CASE WHEN doc_id % 4 = 3 AND regexp_matches(line, '^(Prepared|Questions)') THEN 'x' WHEN doc_id % 5 = 1 AND line_no % 1000000 = 3 THEN 'Stocks Mentioned here' ELSE line END AS line FROM line),
-st AS (SELECT doc_id, min(CASE WHEN regexp_matches(lower(line), '^(prepared remarks|questions and answers)') THEN line_no END) AS h, min(CASE WHEN regexp_matches(line, '^[A-Za-z][A-Za-z .,''&()\\-/]{{1,80}}:\\s*.{{2,}}$') THEN line_no END) AS s, max(line_no) AS last FROM pl GROUP BY doc_id)"""
+st AS (SELECT doc_id, min(CASE WHEN regexp_matches(lower(line), '^(prepared remarks|questions and answers|call participants)') THEN line_no END) AS h, min(CASE WHEN regexp_matches(line, '^[A-Za-z][A-Za-z .,''&()\\-/]{{1,80}}:\\s*.{{2,}}$') THEN line_no END) AS s, max(line_no) AS last FROM pl GROUP BY doc_id)"""
 
 
 @query(f"""WITH {SLICED} SELECT doc_id, coalesce(h, s) AS start, CASE WHEN coalesce(h, s) IS NOT NULL THEN coalesce((SELECT min(line_no) FROM pl WHERE pl.doc_id = st.doc_id AND pl.line_no > coalesce(h, s) AND contains(lower(line), 'stocks mentioned')), last + 1) END AS stop,
@@ -203,10 +221,7 @@ def transcript_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(transcripts.transcript_slice(l, ["doc_id"]))
 
 
-@query(f"""WITH {STATS}, pt AS (SELECT *, CASE WHEN routing > 0 THEN 3.5 ELSE 0 END AS h, CASE WHEN answers > 0 THEN 2.5 ELSE 0 END + CASE WHEN prepared > 0 AND questions = 0 THEN 1.5 ELSE 0 END AS m,
-  CASE WHEN questions > 0 THEN 2.5 ELSE 0 END + CASE WHEN qa > 0 AND questions = qa THEN 1 ELSE 0 END AS a FROM stat),
-  r AS (SELECT doc_id, speaker, CASE WHEN greatest(h, m, a) < 2 THEN 'unknown' WHEN h >= m AND h >= a THEN 'host_ir' WHEN m >= a THEN 'management' ELSE 'analyst' END AS role FROM pt)
-  SELECT doc_id, CAST(order_index AS BIGINT) AS order_index, speaker, section_type, role FROM typed JOIN r USING (doc_id, speaker)""")
+@query(f"WITH {ROLES} SELECT doc_id, CAST(order_index AS BIGINT) AS order_index, speaker, section_type, role FROM typed JOIN resolved USING (doc_id, speaker)")
 def speaker_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(transcripts.enriched(transcripts.speaker_blocks(domain.transcript_lines(spark, sf_dir))), "doc_id", "order_index", "speaker", "section_type", "role")
 
@@ -214,14 +229,14 @@ def speaker_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QK = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"""WITH {METRIC}, q AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN 'not said by anyone at all' ELSE sents[1] END AS quote FROM metric WHERE len(sents) > 0 AND order_index % 2 = 1),
+@query(f"""WITH {METRIC}, q AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN 'not said by anyone at all' ELSE sents[1] END AS quote FROM metric WHERE len(sents) > 0),
   h AS (SELECT q.doc_id, q.quote, b.speaker, row_number() OVER (PARTITION BY q.doc_id, q.quote ORDER BY {QK.format("b.text")} <> {QK.format("q.quote")}, b.order_index) AS n FROM q JOIN metric b ON b.doc_id = q.doc_id
     AND (contains({QK.format("b.text")}, {QK.format("q.quote")}) OR (length({QK.format("b.text")}) >= 24 AND contains({QK.format("q.quote")}, {QK.format("b.text")}))))
   SELECT q.doc_id, q.quote, coalesce(h.speaker, 'Management') AS speaker FROM q LEFT JOIN h ON h.doc_id = q.doc_id AND h.quote = q.quote AND h.n = 1""")
 def quote_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = corpus_metrics(spark, sf_dir)
     first = F.get(T.sentences(F.col("text")), F.lit(0))
-    q = m.where(first.isNotNull() & (F.col("order_index") % 2 == 1)).select(
+    q = m.where(first.isNotNull()).select(
         "doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, "not said by anyone at all").otherwise(first).alias("quote")
     )
     return transcripts.attribute_quotes(q.distinct(), m).select("doc_id", "quote", "speaker")

@@ -17,6 +17,32 @@ CORPUS_LEXICON = {
 }
 CORPUS_TOPICS = {"english": {"the": 1.0, "of": 1.0, "and": 0.9}, "french": {"les": 1.0, "la": 1.0, "que": 0.9}, "german": {"die": 1.0, "der": 1.0, "und": 0.9}, "spanish": {"los": 1.0, "el": 1.0, "por": 0.9}}
 SYMBOLS = 5
+# Blocks and transcripts whose words meet every rule, which the invented words of the test corpus don't.
+SEED_BLOCKS = (
+    "We expect guidance of 12% growth next quarter. Our outlook and pipeline are strong, with momentum and visibility in the back half.",
+    "Risk and uncertainty remain: a recession, tariff pressure and inflation. Litigation could delay the roadmap.",
+    "It depends. We may, subject to approval, potentially see it. It is too early and remains to be seen.",
+    "Gross margin was 40 percent. Revenue of 3 billion beat by 20 basis points. Backlog, bookings and capex grew. We delivered, executed and are on track.",
+    "Various customers, several orders, roughly speaking. To be clear, the number is 5. We will commit specifically.",
+    "Demand and orders were robust. Pricing and discount pressure continued. Free cash flow and buyback stay. AI and GPU inference training.",
+    "Operator here.",
+    "",
+)
+SEED_CALL = (
+    "Call Participants", "Jane Roe -- Chief Executive Officer", "Prepared Remarks", "Operator: Good day and welcome. Today's call is being recorded.", "Jane Roe: Thank you for joining. We delivered a record quarter.",
+    "Revenue rose 12%.", "Sam Poe, Investor Relations: Forward-looking statements apply.", "Questions and Answers", "Operator: Our first question comes from Max Lee. Please go ahead.",
+    "Max Lee: Thanks for taking my question. How should we think about margins?", "Jane Roe: We expect expansion.", "Ann Kim, Analyst: Could you quantify that?", "Jane Roe: About 50 basis points.",
+    "Operator: The line is open, next question.", "Max Lee: Why now?", "CFO Tom Fox: Because demand is there.", "Jane Roe: That is all the time we have for questions.", "Operator: This concludes today.", "Jane Roe: Goodbye.",
+)
+SEED_PLAIN = ("Just a line that no one speaks.", "And another one.")
+SEED_BAD_CALL = ("Unknown: one", "Unknown: two", "Unknown: three and more of it", "self.__next_f.push: x y z")
+
+
+def seeded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``blocks`` and, as document -1, SEED_BLOCKS."""
+    b = blocks(spark, sf_dir)
+    seed = spark.createDataFrame([(-1, k, f"Seed {k % 3}", ("management", "analyst")[k % 2], "qa", t) for k, t in enumerate(SEED_BLOCKS)], b.schema)
+    return b.unionByName(seed)
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -43,13 +69,15 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, line: transcripts as lines, a speaker's first one as ``Name: text``."""
+    """doc_id, line_no, line: transcripts as lines, a speaker's first one as ``Name: text``; the seeds are documents -1 to -3."""
     c = read(spark, sf_dir, "conversations")
     turns = c.select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.split(F.concat("role", F.lit(": "), "text"), "\n")).alias("part", "line"))
     heads = c.where("turn IN (0, 2)").select(
         F.col("conv_id").alias("doc_id"), "turn", F.lit(-1).alias("part"), F.when(F.col("turn") == 0, "Prepared Remarks").otherwise("Questions and Answers").alias("line")
     )
-    return turns.unionByName(heads).select("doc_id", (F.col("turn") * 1_000_000 + F.col("part") + 1).alias("line_no"), "line")
+    lines = turns.unionByName(heads).select("doc_id", (F.col("turn") * 1_000_000 + F.col("part") + 1).alias("line_no"), "line")
+    seeds = spark.createDataFrame([(-k, n, t) for k, call in ((1, SEED_CALL), (2, SEED_BAD_CALL), (3, SEED_PLAIN)) for n, t in enumerate(call)], "doc_id bigint, line_no bigint, line string")
+    return lines.unionByName(seeds)
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +89,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("provider"),
         F.col("doc_id").alias("ord"),
         F.substring("text", 1, 80).alias("title"),
-        F.substring("text", 81, 400).alias("summary"),
+        F.expr("substring(text, 81)").alias("summary"),
         F.concat(F.lit("doc://"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("url"),
         "published_ts",
     )

@@ -4,17 +4,33 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def base_path(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder under the warehouse in local sessions, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/corvane-tables"
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` (unset: the warehouse, in local sessions) and reads it back."""
+    """Writes ``df`` to shared storage and reads it back: what follows depends on files, not on executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir") + "/corvane-tables"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base_path(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
