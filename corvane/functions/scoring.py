@@ -198,6 +198,19 @@ def overall(signals: Mapping[str, Column], weights: Mapping[str, float]) -> Colu
     return clamp(reduce(lambda a, b: a + b, [F.lit(w[k]) * F.coalesce(signals[k], F.lit(0.0)) for k in w]), -1, 1)
 
 
+def feed_confidence(kind: str, items: Column) -> Column:
+    """How far a feed's signal is trusted, by how much it holds."""
+    base, step = {"fundamentals": (42.0, 12.0), "news": (30.0, 4.0), "social": (30.0, 4.0)}[kind]
+    return known(F.lit(base) + F.coalesce(items, F.lit(0)) * step, 0, 100)
+
+
+def composite(signals: Mapping[str, Column], weights: Mapping[str, float]) -> dict[str, Column]:
+    """The weighted sum without a clamp, evidence for buying and selling, and conviction, all but the first 0 to 100."""
+    w = shares(weights)
+    c = reduce(lambda a, b: a + b, [F.lit(w[k]) * F.coalesce(signals[k], F.lit(0.0)) for k in w])
+    return {"composite": c, "buy": known(c * 35 + 50, 0, 100), "sell": known(c * -35 + 50, 0, 100), "conviction": known(F.abs(c) * 100, 0, 100)}
+
+
 def recency(at: Column, as_of: Column, days: int) -> Column:
     """1 at ``as_of`` down to 0 at ``days`` before it; 0.35 for an unknown time."""
     age = F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", at, as_of) / F.lit(86400e6))

@@ -88,6 +88,23 @@ def mentions(text: Column, symbol: str) -> Column:
     return low.rlike(phrase(symbol)) | F.contains(low, F.lit(f"${symbol.lower()}"))
 
 
+def speaker_label(label: Column) -> Column:
+    """A speaker's label without what stands after a dash or, in brackets, for a title."""
+    head = F.trim(F.substring_index(compact(label), " -- ", 1))
+    bare = F.regexp_replace(head, r"(?i)\s+\([^)]*(officer|analyst|operator|relations|director|president|chief)[^)]*\)\s*$", "")
+    return F.regexp_replace(compact(bare), r"^[ \-]+|[ \-]+$", "")
+
+
+def name_and_role(text: Column) -> Column:
+    """struct<name, role> of ``Name - role`` or ``Name, role``; a name alone has no role."""
+    dash = F.regexp_replace(text, r"\s+(?:--|—|–|-)\s+", " -- ")
+    by = F.when(F.contains(dash, F.lit(" -- ")), F.lit(" -- ")).when(F.contains(dash, F.lit(",")), F.lit(","))
+    at = F.position(by, dash)
+    name = F.when(by.isNull(), dash).otherwise(F.substr(dash, F.lit(1), at - 1))
+    role = F.when(by.isNull(), F.lit("")).otherwise(F.substr(dash, at + F.length(by)))
+    return F.struct(F.trim(name).alias("name"), F.trim(role).alias("role"))
+
+
 SPEAKER_LINE = r"^([A-Za-z][A-Za-z .,'&()\-/]{1,80}):\s*(.+)$"
 
 

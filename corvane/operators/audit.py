@@ -103,10 +103,15 @@ def retry_kind(error: Column) -> Column:
     """What an error was and, with it, whether a retry may help."""
     low = F.lower(F.coalesce(error, F.lit("")))
     kind = (
-        F.when(low.rlike("timeout|timed out"), "timeout").when(low.rlike(r"\b429\b|rate limit"), "rate_limited").when(low.rlike(r"\b5[0-9]{2}\b"), "server_error").when(low.rlike("connection|reset|dns|ssl"), "network_error")
-        .when(low.rlike(r"\b(401|403)\b|forbidden|unauthori"), "blocked").when(low.rlike(r"\b404\b|not found"), "not_found").otherwise("unknown_error")
+        F.when(any_of(low, ("nodename nor servname", "name or service not known")), "dns_error").when(any_of(low, ("timed out", "read timeout")), "timeout").when(any_of(low, BROKEN_JSON), "parse_error")
+        .when(any_of(low, ("no source urls", "no parseable source urls")), "empty_source_set").otherwise("unknown_error")
     )
-    return F.struct(kind.alias("kind"), kind.isin("timeout", "rate_limited", "server_error", "network_error").alias("retry"))
+    return F.struct(kind.alias("kind"), (~any_of(low, (*UNREACHABLE, *BROKEN_JSON))).alias("retry"))
+
+
+# What errors say that no retry mends.
+UNREACHABLE = ("failed to establish a new connection", "nodename nor servname provided", "name or service not known", "temporary failure in name resolution", "no route to host")
+BROKEN_JSON = ("unterminated string", "expecting value", "expecting property name enclosed in double quotes", "extra data", "parseable structured json output")
 
 
 def discovery_totals(phases: DataFrame, failures: DataFrame, keys: list[str], most: int = 50) -> DataFrame:

@@ -89,6 +89,96 @@ def select_metric(metrics: DataFrame, predictions: DataFrame, metric: str = "con
     return rows.withColumn("source", source).withColumn("value", value).withColumn("band", F.when(F.col("source") == "model", F.col("p_band")).otherwise(S.nearest_band(F.col("value"))))
 
 
+#: The metrics a classifier gives, the score each stands beside, and the bands it knows.
+THREE, FIVE = ("low", "medium", "high"), tuple(S.BANDS)
+MODEL_METRICS = {"confidence": ("confidence", THREE), "directness": (None, THREE), "outlook_strength": ("outlook", FIVE), "specificity": ("specificity", FIVE), "risk_intensity": ("risk", FIVE)}
+
+
+def resolve_metrics(
+    metrics: DataFrame, predictions: DataFrame, *, primary: tuple[str, ...] = ("confidence", "directness"), forced: tuple[str, ...] = (), blended: tuple[str, ...] = (), blend: float = 0.35, error: str | None = None
+) -> DataFrame:
+    """doc_id, order_index, metric, lexical, value, band, source, reason: which score counts for every block and metric.
+
+    In order: a forced metric, a guarded block, a failed model and a missing prediction keep the lexicon's score (a fallback, where
+    the model is primary); then the prediction is blended in, or taken if the model is primary. Directness is lexically 100 less
+    evasiveness; evasiveness is 100 less a directness that came from the model, and its own score otherwise.
+    """
+    lexical = {name: F.lit(100.0) - F.col("evasiveness") if column is None else F.col(column) for name, (column, _) in MODEL_METRICS.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), S.known(c, 0, 100).alias("lexical")) for name, c in lexical.items()]))
+    rows = metrics.withColumn("guard", S.guard_reason(F.col("text"))).select("doc_id", "order_index", "guard", "evasiveness", each.alias("x")).select("doc_id", "order_index", "guard", "evasiveness", "x.*")
+    p = predictions.select("doc_id", "order_index", "metric", F.col("score").alias("p_score"), F.col("band").alias("p_band"))
+    rows = rows.join(p, ["doc_id", "order_index", "metric"], "left")
+    m = F.col("metric")
+    reason = F.when(m.isin(*forced), "forced_lexical_fallback").when(F.col("guard").isNotNull(), F.col("guard")).when(F.lit(error).isNotNull(), F.lit(error)).when(F.col("p_score").isNull(), "student_prediction_missing")
+    rows = rows.withColumn("reason", reason)
+    open_ = F.col("reason").isNull()
+    mixed = open_ & m.isin(*blended)
+    taken = open_ & ~mixed & m.isin(*primary)
+    value = F.when(mixed, S.known(F.col("lexical") * (1 - blend) + F.col("p_score") * blend, 0, 100)).when(taken, S.known(F.col("p_score"), 0, 100)).otherwise(F.col("lexical"))
+    source = F.when(taken, "student_primary").when(~open_ & m.isin(*primary), "lexical_fallback").otherwise("lexical_primary")
+    rows = rows.withColumns({"value": value, "source": source, "taken": taken})
+    band = F.when(F.col("taken"), F.col("p_band")).when(m.isin(*[k for k, (_, bands) in MODEL_METRICS.items() if bands == THREE]), S.nearest_band(F.col("value"), THREE)).otherwise(S.nearest_band(F.col("value")))
+    out = rows.withColumn("band", band).select("doc_id", "order_index", "metric", "lexical", "value", "band", "source", "reason", "evasiveness")
+    direct = out.where("metric = 'directness'")
+    evasive = F.when(F.col("source") == "student_primary", F.lit(100.0) - F.col("value")).otherwise(F.col("evasiveness"))
+    own = direct.withColumn("value", evasive).select("doc_id", "order_index", F.lit("evasiveness").alias("metric"), F.col("evasiveness").alias("lexical"), "value", S.nearest_band(F.col("value")).alias("band"), "source", "reason", "evasiveness")
+    return out.unionByName(own).drop("evasiveness")
+
+
+def with_model_topic(metrics: DataFrame, features: DataFrame, weight: float, least: float = 0.2) -> DataFrame:
+    """``topic`` by the model's (doc_id, order_index, ai_topic, sure), where it names one and weighs enough."""
+    out = metrics.join(features.select("doc_id", "order_index", "ai_topic", "sure"), ["doc_id", "order_index"], "left")
+    takes = (F.col("ai_topic") != "general") & (F.col("sure") * weight >= least)
+    return out.withColumn("topic", F.when(takes, F.col("ai_topic")).otherwise(F.col("topic"))).drop("ai_topic", "sure")
+
+
+def evidence(best: Column, worst: Column, text: Column, most: int = 2) -> Column:
+    """array<string>: the strongest segments for and against and the first sentences, each once, ``most`` of them."""
+    said = F.concat(F.array(F.trim(best), F.trim(worst)), F.slice(sentences(text), 1, 2))
+    return F.slice(F.array_distinct(F.filter(said, lambda x: x.isNotNull() & (x != ""))), 1, most)
+
+
+def diagnostics(metrics: DataFrame, counter_weight: float = 0.65, smoothing: float = 0.35) -> DataFrame:
+    """doc_id, order_index and a struct of how the scores came about: densities, net densities, settings, matched terms."""
+    d = lambda name: F.col(f"d_{name}")
+    n = S.known(F.col("numeric_density") * 0.65 + d("specificity") * 0.35, 0, 1)
+    net = {
+        "outlook": S.net(d("forward"), d("forward_counter"), counter_weight),
+        "confidence": S.net(d("confidence") + d("specificity") * 0.25 + d("forward") * 0.15, d("confidence_counter") + d("hedge") * 0.35 + d("risk") * 0.2, counter_weight),
+        "specificity": S.net(d("specificity") + n * 0.25, d("specificity_counter"), counter_weight),
+        "evasiveness": S.net(d("hedge") + d("risk") * 0.25, d("directness") + d("specificity") * 0.15, counter_weight),
+    }
+    parts = [F.lit("lexical_weighted").alias("method"), F.round("numeric_density", 4).alias("numeric_density"), F.lit(counter_weight).alias("counter_weight"), F.lit(smoothing).alias("density_smoothing")]
+    parts += [F.round(c, 4).alias(f"{k}_net_density") for k, c in net.items()] + [F.round(F.col("topic_density"), 4).alias("topic_score_lex"), F.col("topic").alias("topic_label_lex")]
+    return metrics.select("doc_id", "order_index", F.struct(*parts).alias("diagnostics"))
+
+
+def findings(metrics: DataFrame, keys: tuple[str, ...] = ("doc_id",), k: int = 4) -> DataFrame:
+    """Per key: a summary, takeaways and pressure points in words, from management's blocks."""
+    m = management_only(metrics)
+    lead = F.max_by(F.struct("speaker", "topic"), F.struct(F.col("outlook"), -F.col("doc_id"), -F.col("order_index")))
+    one = m.groupBy(*keys).agg(F.avg("confidence").alias("c"), F.avg("evasiveness").alias("e"), lead.alias("lead"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("evasiveness"), "doc_id", "order_index")
+    worst = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    said = F.format_string("%s: evasiveness %.1f in %s.", "speaker", "evasiveness", "topic")
+    points = worst.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", said.alias("said")))), lambda x: x["said"]).alias("pressure_points"))
+    text = F.format_string("Management transcript analysis highlights communication quality more than directional score. Confidence averaged %.1f, while evasiveness averaged %.1f.", "c", "e")
+    takeaways = F.array(
+        F.format_string("Average management confidence across speaker turns is %.1f.", "c"), F.format_string("Average evasiveness across speaker turns is %.1f.", "e"),
+        F.format_string("Strongest forward-looking language appears in %s (%s).", "lead.speaker", "lead.topic"),
+    )
+    return one.join(points, list(keys)).select(*keys, text.alias("summary"), takeaways.alias("takeaways"), "pressure_points")
+
+
+def merged_quotes(block_quotes: DataFrame, document_quotes: DataFrame, most: int = 10) -> DataFrame:
+    """doc_id, rank, quote, score of blocks' (doc_id, quote, score) and documents' quotes (doc_id, quote); the latter score by length alone. Of one wording the block's counts."""
+    own = document_quotes.select("doc_id", "quote", (F.lit(22.0) + F.least(F.lit(14.0), F.length("quote") / 10)).alias("score"), F.lit(0).alias("first"))
+    both = block_quotes.select("doc_id", "quote", "score", F.lit(1).alias("first")).unionByName(own).where(~low_information(F.col("quote"))).withColumn("key", quote_key(F.col("quote")))
+    best = both.groupBy("doc_id", "key").agg(F.max(F.struct("first", "score", F.length("quote").alias("chars"), "quote")).alias("q"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("q.score"), F.desc("q.chars"), "key")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("doc_id", "rank", "q.quote", "q.score")
+
+
 def pressure_points(metrics: DataFrame, k: int = 4) -> DataFrame:
     """The k most evasive answers of each document."""
     w = Window.partitionBy("doc_id").orderBy(F.desc("evasiveness"), "order_index")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, name_key, quote_key, sentences, speaker_line, word_count
+from ..functions.text import any_of, name_and_role, name_key, quote_key, sentences, speaker_line, word_count
 from .people import canonical_names, with_canonical
 
 # What marks the parts of a call and who speaks.
@@ -312,6 +312,62 @@ def page_roles(sections: DataFrame, participants: DataFrame) -> DataFrame:
     return b.withColumns({"role": role, "section": F.when(after, "qa").otherwise("prepared_remarks")}).drop("who", "asks", "before", "manager")
 
 
+def normalised_sections(raw: DataFrame) -> DataFrame:
+    """Sections (doc_id, ord, order_index, speaker, role, section_type, text) in one form: texts required, unknown speakers named so, roles and
+    types that are none left out, places from the list where they are missing, then numbered anew."""
+    c = lambda n: F.lower(F.trim(F.coalesce(n, F.lit(""))))
+    rows = raw.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(
+        "doc_id", F.coalesce("order_index", "ord").alias("at"), "ord", F.when(c("speaker") == "", "unknown").otherwise(F.trim("speaker")).alias("speaker"),
+        F.when(c("role").isin("operator", "analyst", "management"), c("role")).alias("role"), F.when(c("section_type").isin("prepared_remarks", "qa"), c("section_type")).otherwise("other").alias("section_type"), F.trim("text").alias("text"),
+    )
+    return rows.withColumn("order_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "ord")) - 1).drop("at", "ord")
+
+
+def sections_text(sections: DataFrame) -> DataFrame:
+    """doc_id, text: sections as lines ``Speaker: text`` in order."""
+    line = F.concat(F.when(F.trim(F.coalesce("speaker", F.lit(""))) == "", "Unknown").otherwise(F.trim("speaker")), F.lit(": "), F.trim("text"))
+    rows = sections.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id", F.struct("order_index", line.alias("line")).alias("x"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("text"))
+
+
+def section_warnings(parses: DataFrame) -> DataFrame:
+    """Adds ``warnings`` array<string> from (low, low_reason, error, method, reason) of a parse."""
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    low = F.when(F.col("low"), F.concat(F.lit("Low-confidence section parse"), F.when(said("low_reason") != "", F.concat(F.lit(" ("), said("low_reason"), F.lit(")"))).otherwise(""), F.lit(".")))
+    part = lambda name, c: F.when(said(c) != "", F.concat(F.lit(f"{name}: "), said(c)))
+    return parses.withColumn("warnings", F.array_compact(F.array(low, part("OpenAI structuring fallback error", "error"), part("Section parse method", "method"), part("Section parse reason", "reason"))))
+
+
+def packed_blocks(blocks: DataFrame, most: int = 12_000, least: int = 4_000) -> DataFrame:
+    """doc_id, chunk, text: whole ``Speaker: text`` blocks in order, packed into chunks of ``most`` characters (``least`` at least); a longer block is a chunk."""
+    most = max(least, most)
+    line = F.concat(F.when(F.trim(F.coalesce("speaker", F.lit(""))) == "", "unknown").otherwise(F.trim("speaker")), F.lit(": "), F.trim("text"))
+    rows = blocks.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id", F.struct("order_index", line.alias("line")).alias("x"))
+    each = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("lines"))
+    # which chunk each block goes to: a running size that starts again when a block doesn't fit
+    zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("chars"), F.lit(0).alias("chunk"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (F.size(acc["at"]) > 0) & (acc["chars"] + F.length(x) + 2 > most)
+        chunk = F.when(new, acc["chunk"] + 1).otherwise(acc["chunk"])
+        return F.struct(F.concat(acc["at"], F.array(chunk)).alias("at"), F.when(new, F.length(x)).otherwise(acc["chars"] + F.length(x) + 2).alias("chars"), chunk.alias("chunk"))
+
+    dealt = each.withColumn("at", F.aggregate("lines", zero, step)["at"]).select("doc_id", F.posexplode(F.arrays_zip("lines", "at")).alias("i", "x"))
+    parts = dealt.groupBy("doc_id", F.col("x.at").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("i", "x.lines"))).alias("p"))
+    return parts.select("doc_id", "chunk", F.array_join(F.transform("p", lambda p: p["lines"]), "\n\n").alias("text"))
+
+
+def listed_participants(lines: DataFrame, span: int = 40, most: int = 20) -> DataFrame:
+    """doc_id, rank, name, role: the lines (dense line_no) under a participants heading, to the next heading or ``span`` lines on."""
+    low = F.lower("line")
+    w = Window.partitionBy("doc_id")
+    n = lines.withColumn("at", F.min(F.when(F.contains(low, F.lit("call participants")), F.col("line_no"))).over(w)).where(F.col("line_no") > F.col("at"))
+    n = n.withColumn("stop", F.min(F.when(any_of(F.col("line"), ("prepared remarks", "questions and answers")), F.col("line_no"))).over(w))
+    n = n.where((F.col("stop").isNull() | (F.col("line_no") < F.col("stop"))) & (F.col("line_no") <= F.col("at") + span) & (F.length("line") >= 3))
+    n = n.withColumn("p", name_and_role(F.col("line"))).where("p.name != ''").withColumn("rank", F.row_number().over(w.orderBy("line_no")))
+    return n.where(F.col("rank") <= most).select("doc_id", "rank", "p.name", "p.role")
+
+
 def enriched(blocks: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     """Blocks with section_type and the speaker's resolved role."""
     typed = typed_sections(blocks)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scoring as S
 from .quarters import parse_label, quarter_label
 
 
@@ -87,8 +86,8 @@ def evasiveness_band(value: Column) -> Column:
 def analyst_tone(key: Column) -> Column:
     """A recommendation key in words of stance."""
     low = F.lower(F.trim(F.coalesce(key, F.lit(""))))
-    return F.when(low.isin("strong_buy", "buy", "outperform", "overweight"), "bullish").when(low.isin("sell", "strong_sell", "underperform", "underweight"), "bearish").when(low == "", "unknown").otherwise("mixed")
+    return F.when(low.isin("strong_buy", "buy", "outperform", "overweight"), "bullish").when(low.isin("sell", "strong_sell", "underperform", "underweight"), "bearish").when(low.isin("hold", "neutral", ""), "neutral").otherwise("muted")
 
 
-def stance_of(score: Column) -> Column:
-    return S.stance(score)
+def shown_recommendation(key: Column) -> Column:
+    return F.when(F.coalesce(key, F.lit("")) == "", "n/a").otherwise(F.initcap(F.trim(F.replace(key, F.lit("_"), F.lit(" ")))))

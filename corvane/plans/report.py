@@ -63,6 +63,24 @@ def overview_table(symbols: DataFrame) -> DataFrame:
     return symbols.select("symbol", F.explode(shown).alias("kpi", "value"))
 
 
+def tab_rows(tab: str, rows: DataFrame, labels: Mapping[str, Column], cap: int = 30) -> DataFrame:
+    """symbol, tab, place, label, value: a tab's figures as text, the first ``cap`` of a symbol's rows by ``place`` (0 where ``rows`` has none)."""
+    r = rows if "place" in rows.columns else rows.withColumn("place", F.lit(0))
+    cells = F.array(*[F.struct(F.lit(k).alias("label"), F.coalesce(v, F.lit("n/a")).alias("value")) for k, v in labels.items()])
+    return r.where(F.col("place") <= cap).select("symbol", F.lit(tab).alias("tab"), F.col("place").cast("bigint").alias("place"), F.explode(cells).alias("c")).select("symbol", "tab", "place", "c.*")
+
+
+def ratio_text(value: Column) -> Column:
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.2fx", value))
+
+
+def compact_text(value: Column) -> Column:
+    """1.2K, 3.4M, 5.6B, or the whole number."""
+    size = F.abs(value)
+    scaled = lambda by, unit: F.format_string(f"%.1f{unit}", value / by)
+    return F.when(value.isNull(), "n/a").when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).when(size >= 1e3, scaled(1e3, "K")).otherwise(F.format_string("%.0f", value))
+
+
 def percent_text(value: Column) -> Column:
     return F.when(value.isNull(), "n/a").otherwise(F.format_string("%+.1f%%", value * 100))
 

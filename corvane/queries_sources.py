@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import scoring as S
 from .functions import text as T
-from .operators import audit, candidates, feeds, metrics, neardup, pages, people, transcripts
+from .operators import audit, candidates, metrics, neardup, pages, people, transcripts
 from .plans import report
-from .queries import BLOCK, LINES, MEANS, METRIC, ROLES, all_signals, corpus_metrics, corpus_posts, merged_quarters, query, shaped
+from .queries import BLOCK, LINES, MEANS, METRIC, ROLES, corpus_metrics, corpus_posts, query, shaped
 from .sources import domain
 
 TICKER, COMPANY = "fr", "Tionsh Example Inc"
@@ -254,16 +254,3 @@ def block_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.join(ai, ["doc_id", "order_index"], "left")
     out = S.blended({n: F.col(f"d_{n}") for n in domain.CORPUS_LEXICON}, {n: F.col(f"ai_{n}") for n in AI}, F.col("sure"), 0.3)
     return shaped(rows.select("doc_id", "order_index", *[c.alias(f"d_{n}") for n, c in out.items()]))
-
-
-@query()
-def snapshot_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested report per symbol."""
-    m = corpus_metrics(spark, sf_dir).withColumn("symbol", F.concat(F.lit("SYM"), (F.col("doc_id") % domain.SYMBOLS).cast("string")))
-    speakers = metrics.speaker_rollup(m, ("symbol", "speaker"))
-    speakers = feeds.top(speakers, ["symbol"], [F.desc("mention_count"), F.col("speaker")], 5).select("symbol", "rank", "speaker", "mention_count", F.round("avg_direction", 4).alias("avg_direction"), "dominant_topic")
-    q = merged_quarters(spark, sf_dir).withColumn("symbol", F.concat(F.lit("SYM"), (F.length("symbol") % domain.SYMBOLS).cast("string")))
-    q = feeds.top(q.drop("rank"), ["symbol"], [F.desc("year"), F.desc("quarter"), F.col("revenue")], 4).select("symbol", "rank", "year", "quarter", F.round("revenue", 1).alias("revenue"))
-    quotes = metrics.key_quotes(m, ("symbol",)).select("symbol", "rank", "quote")
-    scores = report.snapshot_scores(report.company_scores(all_signals(spark, sf_dir))).select("symbol", F.round("overall_score", 4).alias("overall_score"), "label", "stance")
-    return report.company_reports(scores, speakers, q, quotes)

@@ -20,6 +20,12 @@ def scan_reports(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("broken IS NULL AND ticker IS NOT NULL").drop("broken")
 
 
+def delete_report(spark: SparkSession, path: str, ticker: str) -> bool:
+    """Removes one company's envelope; whether there was one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ticker_key={ticker.strip().upper()}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def point_read(spark: SparkSession, path: str, ticker: str) -> DataFrame:
     """One company's envelope; only its partition is read."""
     return scan_reports(spark, path).where(F.col("ticker_key") == ticker.strip().upper())
