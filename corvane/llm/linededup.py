@@ -130,13 +130,18 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63))), "th": F.xxhash64(whole), "text": whole})
 
 
-def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: int = 1) -> DataFrame:
     """doc, th, line: the lines (numbered from 0) that go.
 
+    ``edits``, 0 or 1, is the bound: how many words of an earlier line may differ. (Two would take a number of variants that grows
+    with the square of a line's words.)
+
     ``th``, a hash of the text, names a document together with its id: rows equal in both are one
     document and lose nothing because of each other; rows that share only the id are ordered by th. A
     null id stands for the least one. Null texts have no lines; lines without words always stay.
     """
+    if edits not in (0, 1):
+        raise ValueError(f"edits is 0 or 1, not {edits}")
     docs = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").select("doc", "th", "text")
     lines = materialize(_lines(docs), "line-hashes")
     here = F.struct("doc", "th", "line")
@@ -145,6 +150,8 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     many = firsts.where("n > 1").select("h1", "h2", "first")
     copies = lines.join(many, ["h1", "h2"]).where(here != F.col("first")).select("doc", "th", "line")
 
+    if edits == 0:
+        return copies.distinct()
     halves = firsts.select("first", F.explode("halves").alias("x")).select("first", "x.*")
     shared = halves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     near = halves.join(shared, "h").groupBy("first").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("first.*", "a", "b")
@@ -182,13 +189,15 @@ def _cut(text: pd.Series, lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed", "emptied"])
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", detail: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", detail: bool = False, edits: int = 1) -> DataFrame:
     """``docs`` with the text of what is left; ``detail`` adds n_lines, n_removed and emptied.
 
-    emptied: the document had words and all went. Extra columns stay, whatever their names (save those
-    three with ``detail``); an empty table gives an empty result.
+    emptied: the document had words and all went. Extra columns stay, whatever their names (with ``detail`` those
+    three are refused); an empty table gives an empty result; a very long text is cut where it lies.
     """
-    gone = removed_lines(docs, doc_id=doc_id, text=text)
+    if detail and {"n_lines", "n_removed", "emptied"} & set(docs.columns):
+        raise ValueError("docs has a column n_lines, n_removed or emptied")
+    gone = removed_lines(docs, doc_id=doc_id, text=text, edits=edits)
     keyed = docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns])
     keyed = _keyed(keyed, f"c_{doc_id}", f"c_{text}")
     cut_lines = F.pandas_udf(_cut, "text string, n_lines bigint, n_removed bigint, emptied boolean")

@@ -137,7 +137,7 @@ def mix_summary(docs: DataFrame, **options: object) -> DataFrame:
     """doc_id, size, source_size, target and taken (tokens the mix takes, repeats counted) of every row of ``docs``.
 
     Null texts have size 0 and are never taken; a null source is a source, weighted last; rows that
-    repeat are documents of their own; other columns are ignored; an empty table gives an empty
+    repeat are documents of their own; a very long text is spread over blocks; other columns are ignored; an empty table gives an empty
     result. No document is taken more than MAX_REPEATS times, and a rerun gives the same mix.
     """
     _, placed, mix = schedule(docs, **options)

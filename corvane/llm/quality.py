@@ -105,7 +105,7 @@ def host_verdicts(stats: DataFrame, *, max_rate: float = 0.5) -> DataFrame:
 def judge(docs: DataFrame, *, max_rate: float = 0.5, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """doc_id, STATS, n_lines, base_failed, host_ok and kept of every row of ``docs``.
 
-    A null host is a host of its own; repeated rows are judged (and counted) each; extra columns are
+    A null host is a host of its own; repeated rows are judged (and counted) each; a very long text is counted whole, in time linear in its length; extra columns are
     ignored; an empty table gives an empty result. The statistics are written once to shared storage,
     as hosts and documents both read them. A hot host is summed map-side and its share of the join is
     split by adaptive execution.

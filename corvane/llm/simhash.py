@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import materialize, same, sized
-from .components import components
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -209,7 +209,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows get a row
     each; a null doc_id is linked but never names a class unless it is alone; other columns are
-    ignored. Copies of one text share a fingerprint and meet the join once.
+    ignored; a very long text is one fingerprint like any other. Copies of one text share a fingerprint and meet the join once.
     """
     rows = materialize(fingerprints(docs, doc_id=doc_id, text=text), "fingerprints")
     each = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-firsts")

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 
 import pytest
 from helpers import awkward, empty
+from support import SMALL, database
 
 from corvane.llm import decontam
 
@@ -69,3 +71,28 @@ def test_spans_are_cut_out(spark):
     docs = spark.createDataFrame([(1, f"Keep This, {passage.upper()}! and that."), (2, "nothing"), (3, passage), (4, None)], DOC)
     got = {r.doc_id: r.text for r in decontam.decontaminate(docs, spark.createDataFrame([(1, passage)], BENCH), mode="spans").collect()}
     assert got == {1: "Keep This, and that.", 2: "nothing", 3: "", 4: None}
+
+
+def test_a_set_of_many_windows(spark):
+    """Every third text is an item itself, so there are as many windows as words; both ways give the plain version's rows."""
+    con = database(SMALL)
+    docs = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    bench = con.execute("SELECT item_id, text FROM benchmark").fetchall() + [(10_000 + d, t) for d, t in docs if d % 3 == 0]
+    where = defaultdict(set)
+    for i, t in bench:
+        w = words(t)
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            where[tuple(w[k : k + n])].add(str(i))
+    lens, want = {len(g) for g in where}, {}
+    for d, t in docs:
+        w, hit, items = words(t), set(), set()
+        for n in lens:
+            for p in range(len(w) - n + 1):
+                if (found := where.get(tuple(w[p : p + n]))) and n:
+                    hit |= set(range(p, p + n))
+                    items |= found
+        want[d] = (len(w), len(hit), tuple(sorted(items)), bool(hit) and 20 * len(hit) >= len(w))
+    for bounds in ({}, {"max_broadcast": 0}):
+        got = decontam.find_hits(spark.createDataFrame(docs, DOC), spark.createDataFrame(bench, BENCH), **bounds).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in got} == want

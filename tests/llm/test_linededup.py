@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from helpers import awkward, empty
 
 from corvane.llm import linededup as L
@@ -67,3 +68,14 @@ def test_a_document_given_twice_keeps_its_lines(spark):
     rows = [(1, "a b c d e f\nx y"), (1, "a b c d e f\nx y")]
     got = [r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert got == ["a b c d e f\nx y"] * 2
+
+
+def test_bound_and_clashes(spark):
+    rows = [(1, "one two three four five six"), (2, "one two three four five seven\none two three four five six")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = lambda edits: {r.doc_id: r.text for r in L.dedup_lines(df, edits=edits).collect()}
+    assert text(0)[2] == "one two three four five seven" and text(1)[2] == ""
+    with pytest.raises(ValueError):
+        L.dedup_lines(df, edits=2)
+    with pytest.raises(ValueError):
+        L.dedup_lines(df.withColumn("emptied", df.doc_id), detail=True)

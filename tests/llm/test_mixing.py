@@ -6,8 +6,10 @@ from collections import defaultdict
 import pytest
 from helpers import DOCS, awkward, empty
 from pyspark.sql import functions as F
+from support import SMALL, database
 
 from corvane.llm import mixing as M
+from corvane.llm import queries
 
 
 def targets(sizes):
@@ -71,3 +73,29 @@ def test_awkward_rows(spark):
     assert len(rows) == 10 and {r.doc_id: r.taken for r in rows}[3] == 0
     assert M.mix_summary(empty(spark)).count() == 0
     assert [r.taken for r in M.mix_summary(spark.createDataFrame([(1, None, "en", "a", 1), (2, "", "en", None, 1)], DOCS)).collect()] == [0, 0]
+
+
+def test_query_against_plain_schedule(spark):
+    """Slot by slot: the point, its source among the cumulative shares, the source's next block, the block's words."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sources, placed, _ = M.schedule(docs)
+    src = sorted(sources.collect(), key=lambda r: (r.source is None, r.source or ""))
+    m = sum(r.slots for r in src)
+    g = M.stride(m)
+    streams, taken, upto, ranks = defaultdict(list), defaultdict(int), [], defaultdict(int)
+    for r in placed.collect():
+        streams[r.source_no].append((r.before, r["size"], r.doc_id))
+    for r in src:
+        upto.append((upto[-1] if upto else 0) + r.slots)
+    assert all(sum(s for _, s, _ in streams[r.source_no]) == r.source_size for r in src)
+    for k in range(m):
+        at = next(n for n, u in enumerate(upto) if k * g % m < u)
+        r = src[at]
+        b = ranks[at] % r.blocks
+        ranks[at] += 1
+        lo, hi = -(-b * r.source_size // r.blocks), -(-(b + 1) * r.source_size // r.blocks)
+        for before, size, doc in streams[r.source_no]:
+            taken[doc] += max(0, min(hi, before + size) - max(lo, before))
+    words = {d: len((t or "").encode().split()) for d, t in database(SMALL).execute("SELECT doc_id, text FROM documents").fetchall()}
+    got = queries.op9_mixing(spark, SMALL).collect()
+    assert {r.doc_id: r["size"] for r in got} == words and {r.doc_id: r.taken for r in got} == {d: taken[d] for d in words}

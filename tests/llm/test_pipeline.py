@@ -6,23 +6,51 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
-from corvane.llm import linededup, quality, simhash
+from corvane.llm import linededup
 from helpers import awkward, empty, table
 from support import SMALL, database
 from test_decontam import brute as brute_hits
 from test_linededup import brute as brute_lines
 from test_mixing import targets
-from test_simhash import classes, near
+from test_quality import brute_repeats
+from test_simhash import classes, near, plain_fingerprint
+
+
+def failures(text):
+    """Which rules a text breaks, counted word by word and line by line."""
+    w = (text or "").encode().split()
+    lines = [x for x in (text or "").split("\n") if x.encode().split()]
+    return (
+        len(w) < 20 or 100 * brute_repeats(w) > 30 * len(w),
+        10 * sum((text or "").count(c) for c in "#*$%&|<>") > 3 * len(w),
+        10 * (len(lines) - len(set(lines))) > 3 * len(lines),
+        sum(len(x.decode()) for x in w) < 2 * len(w) or sum(len(x.decode()) for x in w) > 15 * len(w),
+    )
+
+
+def bad_hosts(docs):
+    """Hosts of which some rule's shrunk failure rate is over a half."""
+    by = defaultdict(list)
+    for _, t, s in docs:
+        by[s].append(failures(t))
+    bad = set()
+    for k in range(4):
+        rates = [sum(f[k] for f in fs) / len(fs) for fs in by.values()]
+        m = sum(rates) / len(rates)
+        v = sum((r - m) ** 2 for r in rates) / len(rates)
+        strength = min(max(m * (1 - m) / v - 1, 1.0), 1e6) if v > 0 else 1.0
+        bad |= {s for s, fs in by.items() if (sum(f[k] for f in fs) + m * strength) / (len(fs) + strength) > 0.5}
+    return bad
 
 
 def plain(con):
     docs = con.execute("SELECT doc_id, text, source FROM documents ORDER BY doc_id").fetchall()
-    stats = {d: quality.text_stats(t) for d, t, _ in docs}
-    keep = {d for d, s in stats.items() if not (s[0] < 20 or 100 * s[4] > 30 * s[0])}
+    bad = bad_hosts(docs)
+    keep = {d for d, t, s in docs if not failures(t)[0] and s not in bad}
     docs = [x for x in docs if x[0] in keep]
     texts = brute_lines([(d, t) for d, t, _ in docs])
     docs = [(d, texts[d], s) for d, t, s in docs if texts[d] == t or texts[d].encode().split()]
-    fp = {d: simhash.fingerprint(t) for d, t, _ in docs}
+    fp = {d: plain_fingerprint(t) for d, t, _ in docs}
     same = classes(near(sorted(set(fp.values()))), set(fp.values()))
     first: dict[int, int] = {}
     for d, f in fp.items():

@@ -1,12 +1,26 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
-from helpers import awkward, empty
+import xxhash
+from helpers import DOCS, GOOD, awkward, empty
+from support import SMALL, database
 
-from corvane.llm import components as C
+from corvane.llm import queries
 from corvane.llm import simhash as S
+from corvane.operators import graph as C
+
+
+def plain_fingerprint(text):
+    """A vote on each bit, one shingle after another."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def classes(pairs, nodes):
@@ -113,3 +127,30 @@ def test_ties_leave_a_bit_unset():
     import xxhash
 
     assert S.fingerprint("A b") == xxhash.xxh64_intdigest("a b", 42)
+
+
+def test_fingerprints_against_plain_votes():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 4, 50):
+        for _ in range(20):
+            t = "".join(rng.choice(["Alpha", "é", "日本", "x1", "\u00a0b"]) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(n))
+            assert S.fingerprint(t) == plain_fingerprint(t)
+
+
+def test_query_against_plain_version(spark):
+    docs = database(SMALL).execute("SELECT doc_id, text FROM documents").fetchall()
+    fps = {d: plain_fingerprint(t) for d, t in docs}
+    same = classes(near(sorted(set(fps.values()))), set(fps.values()))
+    least = {}
+    for d, f in fps.items():
+        least[same[f]] = min(d, least.get(same[f], d))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, SMALL).collect()}
+    assert got == {d: (f"{f:016x}", least[same[f]]) for d, f in fps.items()}
+
+
+def test_one_row_of_each_class_stays(spark):
+    other = "Quite another text of which there is no copy anywhere in this table and that shares nothing with the rest."
+    rows = [(5, GOOD), (5, GOOD), (None, GOOD), (None, GOOD), (7, GOOD), (5, other), (None, "alone without an id but with words of its own"), (None, "alone without an id but with words of its own"), (9, None), (8, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS).selectExpr("*", "1 AS __d", "2 AS class")
+    got = sorted(((r.doc_id, r.text) for r in S.drop_near_copies(df.drop("__d")).collect()), key=str)
+    assert got == sorted([(5, GOOD), (5, other), (None, "alone without an id but with words of its own"), (8, "")], key=str)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 from corvane.llm import urls
 
 
@@ -19,3 +22,14 @@ def test_as_of_intervals(spark):
             assert got[i].matched == ([key] if key else []) and got[i].blocked == bool(key)
     assert urls.filter_urls(df.unionByName(df), entries).count() == 2 * len(cases)
     assert urls.filter_urls(df.limit(0), entries).count() == 0 and urls.filter_urls(df, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_clashes_kinds_and_long_addresses(spark):
+    entries = spark.sql("SELECT kind, pattern, 'add' AS action, TIMESTAMP '2024-01-01' AS at FROM VALUES ('domain', 'a.b.org'), ('host', 'x.com'), ('hosts', 'y.com'), ('dom', 'z.com') AS t(kind, pattern)")
+    long = "http://" + "s." * 60 + "a.b.org/" + "p/" * 50_000
+    df = spark.createDataFrame([(u,) for u in (long, "http://y.com", "http://z.com", "http://x.com", "http://b.org")], "url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
+    got = {r.url: r.matched for r in urls.filter_urls(df, entries).collect()}
+    assert got == {long: ["d:a.b.org"], "http://y.com": [], "http://z.com": [], "http://x.com": ["h:x.com"], "http://b.org": []}
+    for name in ("blocked", "matched"):
+        with pytest.raises(ValueError):
+            urls.filter_urls(df.withColumn(name, F.lit(1)), entries)
