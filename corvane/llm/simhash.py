@@ -205,7 +205,7 @@ def near_links(fps: DataFrame, *, max_nodes: int = 2048) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_nodes: int = 2048) -> DataFrame:
-    """doc_id, th (hash of the text), fp and component_id (the least doc_id of the class) of every row of ``docs``.
+    """doc_id, th (hash of the text), fp, component_id (the least doc_id of the class) and class (its least fingerprint) of every row of ``docs``.
 
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows get a row
     each; a null doc_id is linked but never names a class unless it is alone; other columns are
@@ -216,10 +216,10 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     linked = components(near_links(each.select("fp"), max_nodes=max_nodes)).withColumnRenamed("node", "fp")
     member = each.join(linked, "fp")
     least = member.groupBy("component").agg(F.min("first").alias("least"))
-    moved = member.join(least, "component").select("fp", "least")
+    moved = member.join(least, "component").select("fp", "least", "component")
     # written, so that the last join is between two plain exchanges, of which adaptive execution can split a hot fingerprint's
-    ids = materialize(each.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "fingerprint-classes")
-    return rows.join(ids, "fp").select("doc_id", "th", "fp", "component_id")
+    ids = materialize(each.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "fp").alias("class")), "fingerprint-classes")
+    return rows.join(ids, "fp").select("doc_id", "th", "fp", "component_id", "class")
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,10 +229,8 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     rows that agree in both one stays. Only rows that repeat others wholly are moved by key.
     """
     classes = materialize(near_classes(docs, doc_id=doc_id, text=text), "near-classes")
-    # every class holds its component_id, so a class is named by it, and one without any id by its fingerprints' least
-    name = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    each = classes.select(name.alias("class"), rank.alias("rank"))
+    each = classes.select("class", rank.alias("rank"))
     first = each.groupBy("class").agg(F.min("rank").alias("first"))
     gone = each.join(first, "class").where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("rank.doc_id").alias("__d"), F.col("rank.th").alias("__t"))
     gone = sized(gone.distinct(), "near-copies")
