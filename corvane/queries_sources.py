@@ -161,9 +161,34 @@ def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(pages.page_lines(domain.read(spark, sf_dir, "pages")))
 
 
+CALL_PAGE = (
+    "<html><nav><li>Home</li></nav><article><h2>Call Participants</h2><p>Jane Roe -- Chief Executive Officer</p><p>Max Lee -- Analyst</p><h2>Prepared Remarks</h2><p>Operator: Welcome to the call.</p><p>Jane Roe: We grew &amp; hired.</p>"
+    "<p>More to come.</p><h2>Questions and Answers</h2><p>Operator: The first question comes from Max Lee.</p><p>Max Lee: Could you comment on margins?</p><p>Jane Roe: They rose.</p><p>Stocks Mentioned</p><p>Max Lee: not said.</p></article></html>"
+)
+
+
+def pages_and_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = domain.read(spark, sf_dir, "pages").select("page_id", "html")
+    return p.unionByName(spark.createDataFrame([(-1, CALL_PAGE)], p.schema))
+
+
 @query()
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every page that are most like a transcript."""
+    return shaped(pages.best_source(pages.page_lines(pages_and_seed(spark, sf_dir))))
+
+
+@query("""SELECT * FROM (VALUES (-1, 0, 'Operator', 'operator', 'prepared_remarks', 'Welcome to the call.'), (-1, 1, 'Jane Roe', 'management', 'prepared_remarks', 'We grew & hired. More to come.'), (-1, 2, 'Operator', 'operator', 'qa', 'The first question comes from Max Lee.'),
+  (-1, 3, 'Max Lee', 'analyst', 'qa', 'Could you comment on margins?'), (-1, 4, 'Jane Roe', 'management', 'qa', 'They rose.')) t(doc_id, order_index, speaker, role, section, text)""")
 def page_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(pages.best_source(pages.page_lines(domain.read(spark, sf_dir, "pages"))))
+    """Sections of the transcripts on all pages; in these tables only the seed is one."""
+    return shaped(pages.page_transcripts(pages_and_seed(spark, sf_dir))[0], "doc_id", "order_index", "speaker", "role", "section", "text")
+
+
+@query("SELECT -1 AS doc_id, 0.86::DOUBLE AS confidence, 'marker' AS reason, 5 AS sections, 3 AS speakers, 2 AS participants UNION ALL SELECT page_id, 0.32::DOUBLE, 'not_found', 0, 0, 0 FROM pages")
+def page_parse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each page's transcript is to be trusted."""
+    return shaped(pages.page_transcripts(pages_and_seed(spark, sf_dir))[1], "doc_id", "confidence", "reason", "sections", "speakers", "participants")
 
 
 @query()
