@@ -200,3 +200,76 @@ def test_stream_counts_each_url_once(spark, tmp_path):
     q.stop()
     got = {str(r.day): (r["items"], r["mean"]) for r in spark.table("daily").collect()}
     assert got["2024-01-01"] == (2, 0.5)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """(u1, t1), (u1, t2), (u2, t2)...: every other row stays, and the rounds don't follow the length."""
+    from corvane.operators import distinct
+
+    stored = []
+    monkeypatch.setattr(distinct, "store", lambda df, f=distinct.store: stored.append(1) or f(df))
+    rows = spark.createDataFrame([("s", k, f"u{k // 2}", f"t{(k + 1) // 2}") for k in range(1000)], "symbol string, ord int, url string, key string")
+    got = sorted(r.ord for r in feeds.greedy_distinct(rows, ["symbol"], "ord", ["url", "key"]).collect())
+    assert got == list(range(0, 1000, 2)) and len(stored) < 15
+
+
+def test_ladder_with_a_second_gate_above_the_first(spark):
+    rows = lambda scores: spark.createDataFrame([("s", x) for x in scores], "symbol string, score double")
+    steps = feeds.post_steps("reddit", 30)
+    assert steps == [(2.6, 5), (1.8, 10)]
+    count = lambda scores: feeds.ladder(rows(scores), ["symbol"], "score", steps).count()
+    assert count([3.0] * 10 + [1.0] * 4) == 10  # both gates hold
+    assert count([3.0] * 6 + [2.0] * 3 + [1.0]) == 10  # enough for the first, not for the second: all
+    assert count([3.0] * 2 + [2.0] * 8 + [1.0]) == 10 and count([3.0] * 2 + [2.0] * 3 + [1.0]) == 6
+
+
+def test_names_of_one_person(spark):
+    from corvane.operators import people
+
+    rows = [
+        (1, 3, 0, "Jonathan Smith"), (1, 1, 1, "Jonathann Smith"), (1, 1, 2, "Dr. Jonathan Q. Smith, CFA"), (1, 1, 3, "Joan Smith"), (1, 1, 4, "Ann Lee"), (1, 1, 5, "Ann B. Lee"), (1, 1, 6, "Operator"),
+        (2, 1, 0, "Ann Lee"), (2, 2, 1, "Ann Lee Jr."), (1, 1, 7, ""), (1, 1, 8, None), (1, 1, 9, "Mr."),
+    ]
+    got = {(r.doc_id, r.alias): r.canonical for r in people.canonical_names(spark.createDataFrame(rows, "doc_id bigint, priority int, ord bigint, name string")).collect()}
+    assert {got[1, a] for a in ("jonathan smith", "jonathann smith", "dr jonathan q smith cfa")} == {"Jonathan Smith"}
+    assert got[1, "joan smith"] == "Joan Smith" and got[1, "ann lee"] == got[1, "ann b lee"] == "Ann B. Lee" and got[2, "ann lee"] == "Ann Lee Jr."
+    assert not any("operator" in a for _, a in got) and len(got) == 8
+
+
+def test_participants_over_the_cap_are_returned(spark):
+    from corvane.operators import people
+
+    who = spark.createDataFrame([(1, f"n{k:02d}", f"N{k}", "r") for k in range(50)], "doc_id int, key string, name string, role string")
+    kept, dropped = people.cap_participants(who, spark.createDataFrame([(1, " N45 "), (1, "N49")], "doc_id int, speaker string"))
+    assert {r.key for r in kept.collect()} == {f"n{k:02d}" for k in range(20)} | {"n45", "n49"} and dropped.count() == 28
+
+
+def test_a_failing_model_is_neutral(spark):
+    from corvane.operators import scorers
+
+    def score(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no answer")
+        return [(1.0, 0.0, 0.0)] * len(texts)
+
+    df = spark.createDataFrame([(1, "good " * 25), (2, "bad"), (3, None), (4, "good " * 10 + "bad")], "id int, t string")
+    got = {r.id: tuple(r.triple) for r in scorers.windowed_scores(df, score, "t", tokens=10, batch=1).collect()}
+    assert got == {1: (1.0, 0.0, 0.0), 2: (0.0, 0.0, 1.0), 3: (0.0, 0.0, 1.0), 4: (0.5, 0.0, 0.5)}
+    null = scorers.score_text(df, lambda c: F.when(F.col(c) == "bad", 0.5), "t").collect()
+    assert [r.score for r in null] == [0.0, 0.5, 0.0, 0.0]
+
+
+def test_lines_of_a_page():
+    from corvane.operators import pages
+
+    html = '<p>One<br>two</p><p>One two</p><li>x &amp; y</li><script type="application/ld+json">[{"articleBody": "A: b\\n\\nc"}]</script><script>self.__next_f.push([1,"\\u003cp\\u003eJane: said\\u003c/p\\u003e\\nmore"])</script><style>no</style>'
+    got = pages.lines_of(html)
+    assert got["semantic"] == ["One two", "x & y"] and got["relaxed"] == ["One", "two", "One two", "x & y"] and got["jsonld"] == ["A: b", "c"]
+    assert "Jane: said" in got["script"] and not any("<" in x for x in got["script"])
+
+
+def test_long_remarks_that_end_in_a_transition_open_nothing(spark):
+    long = "We did well this year. " * 20
+    rows = [(1, 0, "Jane", "prepared_remarks", long + "With that, open the line."), (1, 1, "Max", "prepared_remarks", "next question please"), (2, 0, "Jane", "prepared_remarks", "open the line " + long)]
+    got = {r.doc_id: r.qa_start for r in transcripts.qa_bounds(spark.createDataFrame(rows, "doc_id int, order_index int, speaker string, base_section string, text string")).collect()}
+    assert got == {1: 1, 2: 0}
