@@ -142,10 +142,11 @@ def page_transcripts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = store(page_lines(pages))
     best = lines.join(best_source(lines).select("page_id", "kind"), ["page_id", "kind"]).select(F.col("page_id").alias("doc_id"), "kind", "line_no", "line")
     best = store(best.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))))
-    cut = transcript_slice(best, ["doc_id"])
+    cut = store(transcript_slice(best, ["doc_id"]))
     inside = best.join(cut, "doc_id").where(F.col("start").isNull() | ((F.col("line_no") >= F.col("start")) & (F.col("line_no") < F.col("stop"))))
     people = listed_participants(best)
-    sections = store(page_roles(speaker_blocks(inside.select("doc_id", "line_no", "line")), people.select("doc_id", "name", "role")).select("doc_id", "order_index", "speaker", "text", "role", "section"))
+    blocks = store(speaker_blocks(inside.select("doc_id", "line_no", "line")))  # read in every branch of the roles
+    sections = store(page_roles(blocks, people.select("doc_id", "name", "role")).select("doc_id", "order_index", "speaker", "text", "role", "section"))
     low = F.lower("line")
     seen = best.join(cut, "doc_id").groupBy("doc_id").agg(
         F.first("kind").alias("kind"), F.first("reason").alias("reason"), F.max(low.startswith("prepared remarks")).alias("prepared"), F.max(low.startswith("questions and answers")).alias("qa"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, name_and_role, name_key, quote_key, sentences, speaker_line, word_count
+from ..sources.store import release, store
 from .people import canonical_names, with_canonical
 
 # What marks the parts of a call and who speaks.
@@ -99,9 +100,9 @@ def qa_bounds(blocks: DataFrame) -> DataFrame:
     t = F.col("text")
     opens = (F.col("base_section") == "qa") | (any_of(t, QA_OPENERS) & ~ends_in_transition(t))
     asks = is_question(t) & ~F.coalesce(name_role(F.col("speaker")).isin("management", "operator", "host_ir"), F.lit(False))
-    start = blocks.groupBy("doc_id").agg(F.coalesce(F.min(F.when(opens, F.col("order_index"))), F.min(F.when(asks, F.col("order_index")))).alias("qa_start"))
-    ends = blocks.join(start, "doc_id").where(F.col("order_index") >= F.col("qa_start")).groupBy("doc_id").agg(F.min(F.when(any_of(t, QA_CLOSERS), F.col("order_index"))).alias("qa_end"))
-    return start.join(ends, "doc_id", "left")
+    closes = F.collect_list(F.when(any_of(t, QA_CLOSERS), F.col("order_index")))  # places only, few in a document
+    each = blocks.groupBy("doc_id").agg(F.coalesce(F.min(F.when(opens, F.col("order_index"))), F.min(F.when(asks, F.col("order_index")))).alias("qa_start"), closes.alias("closes"))
+    return each.select("doc_id", "qa_start", F.array_min(F.filter("closes", lambda at: at >= F.col("qa_start"))).alias("qa_end"))
 
 
 def typed_sections(blocks: DataFrame) -> DataFrame:
@@ -244,12 +245,16 @@ def assembled(lines: DataFrame, roster: DataFrame) -> DataFrame:
     """Transcript sections of (doc_id, line_no, line) with a roster (doc_id, name, title).
 
     doc_id, order_index, section_type, speaker (canonical), role (null if unknown), text, evidence (its first two sentences).
+    Blocks and what names and types them are read several times, so each step is written once instead of planned anew in every branch.
     """
-    blocks = with_unparsed(lines, speaker_blocks(lines))
+    parsed = store(speaker_blocks(lines))
+    blocks = store(with_unparsed(lines, parsed))
+    release(parsed)
     said = blocks.groupBy("doc_id", F.col("speaker").alias("name")).agg(F.min("order_index").alias("ord")).withColumn("priority", F.lit(1))
     listed = roster.select("doc_id", "name", F.lit(0).cast("bigint").alias("ord"), F.lit(3).alias("priority"))
-    aliases = canonical_names(listed.unionByName(said.select("doc_id", "name", "ord", "priority")))
-    named = with_canonical(blocks, aliases)
+    aliases = store(canonical_names(listed.unionByName(said.select("doc_id", "name", "ord", "priority"))))
+    named = store(with_canonical(blocks, aliases))
+    release(blocks)
     known = roster.withColumnRenamed("name", "speaker")
     titled = with_canonical(known, aliases).select("doc_id", F.col("speaker").alias("name"), "title")
     out = enriched(named, titled)
@@ -369,8 +374,8 @@ def listed_participants(lines: DataFrame, span: int = 40, most: int = 20) -> Dat
 
 
 def enriched(blocks: DataFrame, roster: DataFrame | None = None) -> DataFrame:
-    """Blocks with section_type and the speaker's resolved role."""
-    typed = typed_sections(blocks)
+    """Blocks with section_type and the speaker's resolved role; typed blocks are written once, as both sides of the join read them."""
+    typed = store(typed_sections(blocks))
     return typed.join(resolve_roles(speaker_stats(typed), roster), ["doc_id", "speaker"], "left")
 
 

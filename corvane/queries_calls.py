@@ -11,6 +11,7 @@ from .functions import text as T
 from .operators import audit, candidates, metrics, people, quarters, scorers, transcripts, views
 from .queries import BAND, BLOCK, COMPACT, GUARD, LINES, METRIC, ROLES, SENTENCES, corpus_metrics, query, shaped, sql_any
 from .sources import domain
+from .sources.store import store
 
 ROSTER = ((-1, "Jane Roe", "Chief Executive Officer"), (-1, "Ann Kim", "Research Analyst"))
 ALL_SECTIONS = f"""{ROLES}, part AS (SELECT doc_id, order_index, section_type, speaker, CASE WHEN role <> 'unknown' THEN role END AS role, text FROM typed JOIN resolved USING (doc_id, speaker)
@@ -33,7 +34,7 @@ def assembled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ALL_SECTIONS}, q AS (SELECT doc_id, string_agg(quote, '|' ORDER BY rank) AS quotes FROM own GROUP BY doc_id)
   SELECT doc_id, count(*) AS sections, count(DISTINCT speaker) AS speakers, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) >= 2 AS full_transcript, any_value(quotes) AS quotes FROM part LEFT JOIN q USING (doc_id) GROUP BY doc_id""")
 def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = assembled(spark, sf_dir)
+    sections = store(assembled(spark, sf_dir))
     quotes = transcripts.document_quotes(sections).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quote"))), lambda x: x["quote"]), "|").alias("quotes"))
     return shaped(transcripts.document_records(sections).join(quotes, "doc_id", "left"))
 
