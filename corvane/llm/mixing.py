@@ -9,7 +9,7 @@ a source are ranked, and rank r takes block r modulo the number of its blocks.
 
 Ranks and stream offsets are running counts over a whole source, which may hold most rows: both are
 summed in two levels (small ranges counted first, then ranks inside a range), so no task holds a
-source.
+source. Sources are numbered in the same way.
 """
 
 from __future__ import annotations
@@ -35,14 +35,18 @@ def size_of(text: Column) -> Column:
 
 
 def with_targets(sources: DataFrame) -> DataFrame:
-    """Adds weight and target to (source, source_size): 1, 2, 3 in turn by code point order, null last.
+    """Adds source_no (from 1), weight and target to (source, source_size): 1, 2, 3 in turn by code point order, null last.
 
     Shares of the total by weight stop at MAX_REPEATS times the source's size; what is over goes to the
     others by weight, until none is above. Each round is a sum over the sources; the driver sees sums.
-    The one row per source is numbered in one task.
+    Sources are numbered inside ranges of their order and by the ranges' counts (``last`` and ``range`` name the order),
+    so that no task holds all of them.
     """
-    numbered = sources.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    s = materialize(numbered.select("source", "source_size", (F.col("n") % 3 + 1).cast("double").alias("weight")), "mix-sources")
+    last = F.col("source").isNull()
+    ranged = sources.withColumn("last", last).repartitionByRange("last", "source").withColumn("range", F.spark_partition_id())
+    numbered = _running(materialize(ranged, "mix-ranges"), [], "range", ["last", "source"], F.lit(1))
+    s = numbered.select("source", "source_size", "last", "range", (F.col("before") + 1).alias("source_no"), (F.col("before") % 3 + 1).cast("double").alias("weight"))
+    s = materialize(s, "mix-sources")
     level = capped = None
     total = s.agg(F.sum("source_size")).first()[0] or 0
     while True:
@@ -102,9 +106,8 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     per_block = max(block_tokens, -(-2 * total // MAX_SLOTS))
     blocks = F.least(F.col("source_size"), F.greatest(F.lit(MIN_BLOCKS), F.ceil(F.col("source_size") / per_block))).cast("bigint")
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("bigint")
-    w = Window.orderBy(F.col("source").asc_nulls_last())
-    sources = sources.withColumn("blocks", blocks).withColumn("slots", slots).withColumn("source_no", F.row_number().over(w))
-    sources = materialize(sources.withColumn("upto", F.sum("slots").over(w.rowsBetween(Window.unboundedPreceding, 0))), "mix-targets")
+    sources = _running(sources.withColumn("blocks", blocks).withColumn("slots", slots), [], "range", ["last", "source"], F.col("slots"))
+    sources = materialize(sources.withColumn("upto", F.col("before") + F.col("slots")).drop("last", "range", "before"), "mix-targets")
 
     m = sources.agg(F.max("upto")).first()[0] or 0
     # the point of slot k in units of 1/M; the share that holds it is found on cells of equal width

@@ -99,3 +99,16 @@ def test_query_against_plain_schedule(spark):
     words = {d: len((t or "").encode().split()) for d, t in database(SMALL).execute("SELECT doc_id, text FROM documents").fetchall()}
     got = queries.op9_mixing(spark, SMALL).collect()
     assert {r.doc_id: r["size"] for r in got} == words and {r.doc_id: r.taken for r in got} == {d: taken[d] for d in words}
+
+
+def test_sources_are_numbered_over_ranges(spark):
+    names = [f"s{k:04d}" for k in range(500)] + ["", "Z", "é", "😀", None]
+    rows = spark.createDataFrame([(n, 10 + k) for k, n in enumerate(names)], "source string, source_size bigint").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = M.with_targets(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["range"] for r in got}) > 1
+    order = sorted((n for n in names if n is not None), key=str.encode) + [None]
+    assert {r["source"]: (r["source_no"], r["weight"]) for r in got} == {n: (k + 1, float(k % 3 + 1)) for k, n in enumerate(order)}
