@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmlextract, langid, linededup, mixing, pii, quality, simhash, urls
-from .common import table
+from . import chat, decontam, htmlextract, langid, linededup, mixing, periodic, pii, quality, simhash, urls
+from .common import SPACE_WORD, table
 
 #: Pseudonyms are only as secret as this key: production passes its own.
 PII_KEY = "corvane pseudonym key 1"
@@ -104,11 +104,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+#: The text of a document, in which a tenth of the documents repeat their words from one on with a period.
+PLANTED = f"""CASE WHEN h % 10 = 0 AND size(w) > 0 THEN array_join(transform(w, (x, i) -> IF(i < h div 10 % size(w), x,
+  w[CAST(h div 10 % size(w) + (i - h div 10 % size(w)) % (1 + (size(w) - h div 10 % size(w)) div (3 + h div 10 % 8)) AS INT)])), ' ') ELSE text END"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    # words are cut only where they are moved
+    moved = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0))))
+    return periodic.find_runs(moved.select("doc_id", F.expr(PLANTED).alias("text")), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality_rules, op3_decontamination, op4_url_filters, op5_line_dedup,
         op6_pii, op7_html_extraction, op8_simhash, op9_mixing, op10_language_id,
+        op13_periodic_runs,
     )
 }
 
@@ -206,10 +219,34 @@ r AS (SELECT doc_id, string_agg(CASE WHEN g.o IS NULL THEN t END, chr(10) ORDER
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(emptied, FALSE) AS emptied
 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
 
+#: CRC32 of the decimal digits of doc_id, by bits.
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+CRC_SQL = f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {_CRC_STEP})))"""
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {CRC_SQL} AS h, {WORDS_SQL} AS w FROM documents),
+g AS (SELECT doc_id, h, w, len(w) AS n, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a, 3 + h // 10 % 8 AS k FROM d),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // k) + 1] END) ELSE w END AS w FROM g),
+tri AS (SELECT doc_id, i, n, hash(w[i + 1], w[i + 2], w[i + 3]) AS v FROM (SELECT doc_id, n, w, unnest(range(0, n - 2)) AS i FROM t WHERE n >= 6)),
+eq AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM tri x JOIN tri y ON x.doc_id = y.doc_id AND x.v = y.v AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isl AS (SELECT doc_id, q, min(i) AS s, max(i) + 3 - min(i) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq) GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, s, len, min(q) AS q FROM isl WHERE len >= greatest(6, 4 * q) GROUP BY doc_id, s, len),
+drops AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, q) AS r FROM runs),
+said AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS said FROM runs GROUP BY doc_id),
+dl AS (SELECT doc_id, list(i) AS gone FROM drops GROUP BY doc_id),
+kept AS (SELECT k.doc_id, string_agg(k.x, ' ' ORDER BY k.i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(n)) AS i FROM t JOIN dl USING (doc_id)) k
+  LEFT JOIN drops ON drops.doc_id = k.doc_id AND drops.i = k.i WHERE drops.i IS NULL GROUP BY k.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(CASE WHEN dl.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
+FROM t LEFT JOIN said ON said.doc_id = t.doc_id LEFT JOIN best ON best.doc_id = t.doc_id AND r = 1 LEFT JOIN dl ON dl.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op4_url_filters": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }
