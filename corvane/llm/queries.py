@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmlextract, langid, linededup, mixing, periodic, pii, quality, simhash, urls
+from . import chat, decontam, htmlextract, langid, linededup, mixing, negatives, periodic, pii, quality, simhash, urls
 from .common import SPACE_WORD, table
 
 #: Pseudonyms are only as secret as this key: production passes its own.
@@ -104,6 +104,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
+    return negatives.hard_negatives(rows, anchor=F.col("vec_id") % 100 == 0)
+
+
 #: The text of a document, in which a tenth of the documents repeat their words from one on with a period.
 PLANTED = f"""CASE WHEN h % 10 = 0 AND size(w) > 0 THEN array_join(transform(w, (x, i) -> IF(i < h div 10 % size(w), x,
   w[CAST(h div 10 % size(w) + (i - h div 10 % size(w)) % (1 + (size(w) - h div 10 % size(w)) div (3 + h div 10 % 8)) AS INT)])), ' ') ELSE text END"""
@@ -121,7 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_format, op2_quality_rules, op3_decontamination, op4_url_filters, op5_line_dedup,
         op6_pii, op7_html_extraction, op8_simhash, op9_mixing, op10_language_id,
-        op13_periodic_runs,
+        op12_hard_negatives, op13_periodic_runs,
     )
 }
 
@@ -242,11 +247,22 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS
   sha256(coalesce(said, '')) AS runs_sha256, sha256(CASE WHEN dl.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
 FROM t LEFT JOIN said ON said.doc_id = t.doc_id LEFT JOIN best ON best.doc_id = t.doc_id AND r = 1 LEFT JOIN dl ON dl.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id"""
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label = x.label AS same, x.vec_id AS x, CAST(list_inner_product(a.vec, x.vec) AS BIGINT) AS score
+  FROM v a JOIN v x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, x) <= 5)
+SELECT p.a AS anchor_id, p.x AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.x AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.a, p.x ORDER BY s.score DESC, s.x) QUALIFY row_number() OVER w <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op3_decontamination": OP3_SQL,
     "op4_url_filters": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
