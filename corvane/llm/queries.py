@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmlextract, langid, linededup, mixing, negatives, periodic, pii, quality, simhash, urls
+from . import chat, decontam, htmlextract, langid, linededup, mixing, negatives, periodic, pii, quality, simhash, suffixdedup, urls
 from .common import SPACE_WORD, table
 
 #: Pseudonyms are only as secret as this key: production passes its own.
@@ -104,6 +104,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"))
     return negatives.hard_negatives(rows, anchor=F.col("vec_id") % 100 == 0)
@@ -126,7 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_format, op2_quality_rules, op3_decontamination, op4_url_filters, op5_line_dedup,
         op6_pii, op7_html_extraction, op8_simhash, op9_mixing, op10_language_id,
-        op12_hard_negatives, op13_periodic_runs,
+        op11_suffix_dedup, op12_hard_negatives, op13_periodic_runs,
     )
 }
 
@@ -247,6 +251,19 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS
   sha256(coalesce(said, '')) AS runs_sha256, sha256(CASE WHEN dl.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
 FROM t LEFT JOIN said ON said.doc_id = t.doc_id LEFT JOIN best ON best.doc_id = t.doc_id AND r = 1 LEFT JOIN dl ON dl.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id"""
 
+#: Texts as hex digits, cut into pieces so that no long string is searched again for each window.
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+p AS (SELECT r, k * 512 AS o, substr(x, k * 1024 + 1, 1024 + 398) AS x FROM (SELECT r, x, unnest(range(0, (length(x) // 2 - 200) // 512 + 1)) AS k FROM d WHERE length(x) >= 400)),
+w AS (SELECT r, o + i AS s, hash(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, o, x, unnest(range(0, least(512, length(x) // 2 - 199))) AS i FROM p)),
+again AS (SELECT w.r, w.s FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
+edge AS (SELECT r, s, coalesce(s - lag(s) OVER (PARTITION BY r ORDER BY s) > 200, TRUE) AS fresh FROM again),
+span AS (SELECT r, min(s) AS s, max(s) + 200 AS e FROM (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS g FROM edge) GROUP BY r, g),
+stay AS (SELECT r, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS b FROM span),
+kept AS (SELECT d.r, count(*) AS n, sum(e - s) AS gone, string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) + 1) AS x FROM stay JOIN d USING (r) GROUP BY d.r)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
 OP12_SQL = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -263,6 +280,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op4_url_filters": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op11_suffix_dedup": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }
