@@ -320,7 +320,7 @@ def _bounded(df: DataFrame, weight: Column, name: str) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, max_contexts: int = CONTEXTS) -> DataFrame:
-    """(rk, th, spans): for rows of ``docs``, named by hashes of id and text, the ranges of bytes that repeated windows cover (they may touch)."""
+    """(rk, th, spans): for rows of ``docs``, named by hashes of id and text, the maximal ranges of bytes that repeated windows cover."""
     named = docs.select(*_names(docs, doc_id, text), F.col(text).cast("string").cast("binary").alias("text"))
     rows = named.where(F.octet_length("text") >= min_bytes)
     marks = materialize(rows.mapInArrow(_marks(min_bytes), "rk bigint, th bigint, place bigint, key bigint, ctx bigint"), "suffix-marks")
@@ -359,12 +359,28 @@ def repeated_ranges(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     x, n = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(0xFFFF)
     lone = hits.where("NOT mixed").select("rk", "th", x.alias("s"), (x + n + (min_bytes - 1)).alias("e"))
     compared = hits.where("mixed").join(reduce(DataFrame.unionByName, found), ["key", "ctx"]).select("rk", "th", (x + F.col("s")).alias("s"), (x + F.col("e")).alias("e"))
-    out = materialize(lone.unionByName(compared).groupBy("rk", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "suffix-spans")
+    gathered = lone.unionByName(compared).groupBy("rk", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    out = _bounded(gathered.mapInArrow(_joined, gathered.schema), F.size("spans"), "suffix-spans")
     for df in [hits, *found]:
         release(df)
     return out
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's ranges, joined where they meet."""
+    for b in batches:
+        out = []
+        for spans in b.column("spans"):
+            ranges: list[dict] = []
+            for s, e in sorted((x["s"], x["e"]) for x in spans.as_py()):
+                if ranges and s <= ranges[-1]["e"]:
+                    ranges[-1]["e"] = max(ranges[-1]["e"], e)
+                else:
+                    ranges.append({"s": s, "e": e})
+            out.append(ranges)
+        yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("th"), pa.array(out, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], names=["rk", "th", "spans"])
+
+
 def _names(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
     whole = F.col(text).cast("string")
     return [F.xxhash64(F.col(doc_id).cast("string"), whole).alias("rk"), F.xxhash64(whole).alias("th")]
@@ -394,7 +410,7 @@ def remove_repeats(
         raise ValueError(f"columns {sorted(clash)} are added here; rename or leave them out with keep")
     if min_bytes < 16:
         raise ValueError("min_bytes is at least 16")
-    spans = _bounded(repeated_ranges(docs, doc_id=doc_id, text=text, min_bytes=min_bytes, max_contexts=max_contexts), F.size("spans"), "suffix-removed")
+    spans = repeated_ranges(docs, doc_id=doc_id, text=text, min_bytes=min_bytes, max_contexts=max_contexts)
     rk, th = _names(docs, doc_id, text)
     numbered = [F.col(c).alias(f"c{i}") for i, c in enumerate(kept_columns)]
     rows = docs.select(*numbered, F.col(text).cast("string").cast("binary").alias("text"), rk, th)
@@ -407,12 +423,7 @@ def remove_repeats(
             out = []
             for t, found in zip(b.column("text"), b.column("spans"), strict=True):
                 data = t.as_py() or b""
-                removed: list[list[int]] = []
-                for s, e in sorted((x["s"], x["e"]) for x in found.as_py() or ()):
-                    if removed and s <= removed[-1][1]:
-                        removed[-1][1] = max(removed[-1][1], e)
-                    else:
-                        removed.append([s, e])
+                removed = [(x["s"], x["e"]) for x in found.as_py() or ()]
                 stay = b"".join(data[a:z] for a, z in zip([0, *(e for _, e in removed)], [*(s for s, _ in removed), len(data)], strict=True))
                 out.append((len(data), len(data) - len(stay), len(removed), sha256(stay).hexdigest(), [{"start": s, "end": e} for s, e in removed], stay)[: len(fields)])
             ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
