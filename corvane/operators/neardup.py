@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import title_key
-from ..sources.store import store
+from ..sources.store import release, store
 from .distinct import greedy_distinct
 
 RATIO = 0.93
+#: Characters of a piece at most.
+PIECE = 6
 
 
 def alike(new: str, kept: str) -> bool:
@@ -27,68 +29,70 @@ def alike(new: str, kept: str) -> bool:
     return m.quick_ratio() >= RATIO and m.ratio() >= RATIO
 
 
-#: Distinct titles of a block; two blocks are compared in one group.
-BLOCK = 1000
-#: What title keys consist of.
-ALPHABET = b" 0123456789abcdefghijklmnopqrstuvwxyz"
-
-
-def _near(new: pd.Series, kept: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, k) of alike, unequal titles; lengths and character counts rule out most pairs, exactly as ``alike`` does."""
-    size = kept.str.len().to_numpy()
-    kept_at = np.argsort(size, kind="stable")
-    size = size[kept_at]
-    counts = lambda s: np.array([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=128)[list(ALPHABET)] for t in s], np.int32)
-    have = counts(kept)[kept_at]
-    out_i, out_k = [], []
-    for i, (t, c) in enumerate(zip(new, counts(new), strict=True)):
-        n = len(t)
-        lo, hi = np.searchsorted(size, [int(n * 0.86), int(n / 0.86) + 2])  # a little wider than RATIO / (2 - RATIO)
-        both = np.minimum(have[lo:hi], c).sum(axis=1)
-        for k in kept_at[lo:hi][2.0 * both >= RATIO * (size[lo:hi] + n) - 1e-6]:
-            if t != kept.iat[k] and alike(t, kept.iat[k]):
-                out_i.append(i)
-                out_k.append(k)
-    return np.array(out_i, np.int64), np.array(out_k, np.int64)
-
-
-def near_titles(titles: DataFrame, scope: list[str], key: str, block: int = BLOCK) -> DataFrame:
+def _lost(n: Column) -> Column:
+    """Characters that a title of n characters and an alike one that is no longer leave unmatched together, at most (a little wider than 1 - RATIO)."""
+    return F.floor(n * 2 * (1 - RATIO) + 1e-9).cast("int")
+
+
+def _size(n: Column) -> Column:
+    """Length of the pieces into which a title of n characters is cut, so that there is one piece more than can be lost."""
+    return F.least(F.floor(n / (_lost(n) + 1)), F.lit(PIECE)).cast("int")
+
+
+def _verified(names: list[str]):
+    """Candidate titles (x, y) in, the pairs that are alike out, each way by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, key, near = [], [], []
+            for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
+                for new, kept in ((x, y), (y, x)):
+                    if alike(new, kept):
+                        at.append(i)
+                        key.append(new)
+                        near.append(kept)
+            scope = [b.column(i).take(pa.array(at, pa.int64())) for i in range(b.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*scope, pa.array(key, pa.string()), pa.array(near, pa.string())], names=names)
+
+    return run
+
+
+def near_titles(titles: DataFrame, scope: list[str], key: str) -> DataFrame:
     """scope, key, near: all pairs of unequal titles where a row with ``key`` is like an earlier one with ``near``.
 
-    Distinct titles are dealt to blocks by hash and each pair of blocks is a group of at most some thousand rows, so no task holds
-    a scope. Comparisons still grow with the square of a scope's distinct titles.
+    A filter without loss comes first. Alike titles leave at most D = 0.07 * (n + m) characters unmatched, n the longer one's length, so D <= 0.14 * n.
+    The longer one is cut into D + 1 pieces or more; each unmatched character, on either side, spoils one piece at most, so one piece stands whole in
+    the other title, at most D places away. Pieces meet all stretches of their length in an equality join, lengths and places are compared in it,
+    and pairs that are left are verified. So work follows the titles that share a stretch of some six characters at about the same place. Pairs that share
+    very frequent ones make a key large, which adaptive execution splits; a title shorter than two pieces is only like itself.
     """
-    each = store(titles.where(F.col(key).isNotNull()).select(*scope, key).distinct())
-    largest = each.groupBy(*scope).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-largest // block))
-    own, other = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.col("__other")
-    dealt = each.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"__low": F.least("__own", other), "__high": F.greatest("__own", other)})
-    fields = [f for f in each.schema.fields if f.name in scope]
-    schema = StructType([*fields, StructField(key, StringType()), StructField("near", StringType())])
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = pdf["__own"] == pdf["__low"]
-        a, b = (pdf.loc[side, key].reset_index(drop=True) for side in (low, ~low))
-        parts = []
-        for new, kept in [(a, b), (b, a)] if pdf["__low"].iat[0] != pdf["__high"].iat[0] else [(a, a)]:
-            if len(new) and len(kept):
-                i, k = _near(new, kept)
-                parts.append(pd.DataFrame({key: new.to_numpy(object)[i], "near": kept.to_numpy(object)[k]}))
-        out = pd.concat(parts) if parts else pd.DataFrame({key: [], "near": []}, dtype=object)
-        for f in fields:
-            out[f.name] = pd.Series([pdf[f.name].iat[0]] * len(out), index=out.index, dtype=pdf[f.name].dtype)
-        return out[schema.names]
-
-    return dealt.groupBy(*scope, "__low", "__high").applyInPandas(compare, schema)
-
-
-def distinct_posts(posts: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    each = store(titles.where(F.col(key).isNotNull()).select(*scope, F.col(key).alias("t")).distinct().withColumn("n", F.length("t")).where("n > 1"))
+    lost, size, n = _lost(F.col("n")), _size(F.col("n")), F.col("n")
+    within = F.struct(*scope).alias("s")  # never null: nulls of a scope are one scope
+    cut = each.where(lost > 0).select(within, F.col("t").alias("x"), n.alias("nx"), lost.alias("lost"), size.alias("q"), F.explode(F.sequence(F.lit(0), F.floor(n / size).cast("int") - 1)).alias("i"))
+    pieces = cut.select("s", "x", "nx", "lost", "q", (F.col("i") * F.col("q")).alias("at"), F.substring("x", F.col("i") * F.col("q") + 1, F.col("q")).alias("gram"))
+    # the sizes that longer titles, up to RATIO / (2 - RATIO) of this one's length, are cut into
+    longer = F.sequence(n, F.floor(n * (2 - RATIO) / RATIO).cast("int") + 1)
+    sizes = F.array_distinct(F.transform(longer, _size))
+    probes = each.select(within, F.col("t").alias("y"), n.alias("ny"), F.explode(sizes).alias("q")).where("q <= ny")
+    probes = probes.select("s", "y", "ny", "q", F.explode(F.sequence(F.lit(0), F.col("ny") - F.col("q"))).alias("place"))
+    probes = probes.select("s", "y", "ny", "q", "place", F.substring("y", F.col("place") + 1, F.col("q")).alias("gram"))
+    fits = (F.col("ny") <= F.col("nx")) & (F.abs(F.col("place") - F.col("at")) <= F.col("lost")) & (2 * F.col("ny") >= F.lit(RATIO - 1e-9) * (F.col("nx") + F.col("ny")))
+    met = pieces.join(probes, ["s", "q", "gram"]).where(fits & (F.col("x") != F.col("y")))
+    # equal lengths meet from both sides
+    pairs = met.select("s", F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct().select(*[F.col(f"s.{c}").alias(c) for c in scope], "x", "y")
+    schema = StructType([*(f for c in scope for f in each.schema.fields if f.name == c), StructField(key, StringType()), StructField("near", StringType())])
+    out = store(pairs.mapInArrow(_verified(schema.names), schema))
+    release(each)
+    return out
+
+
+def distinct_posts(posts: DataFrame, keys: list[str]) -> DataFrame:
     """All posts, best first per key, without those like a better one that stays (same URL or title, or titles 0.93 alike).
 
     A null URL or title is like no other; of rows equal in score, ord, URL and title one stays.
     """
     first = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("score"), "ord", "url", "title")
     rows = posts.withColumns({"__first": first, "__key": title_key(F.col("title"))}).dropDuplicates([*keys, "__first"])
-    near = near_titles(rows, keys, "__key", block)
+    near = near_titles(rows, keys, "__key")
     return greedy_distinct(rows, keys, "__first", ["url", "__key"], near).select(*posts.columns)

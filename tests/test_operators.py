@@ -107,12 +107,58 @@ def test_distinct_posts_looks_at_all_posts(spark):
         if not any(r[4] == k[4] or neardup.alike(r[3], k[3]) for k in kept):
             kept.append(r)
     posts = spark.createDataFrame([*data, ("s", "p", 900, None, None, None), ("s", "p", 901, None, None, 1.0)], "symbol string, provider string, ord int, title string, url string, score double")
-    got = {r.ord for r in neardup.distinct_posts(posts, ["symbol"], block=90).collect()}
+    got = {r.ord for r in neardup.distinct_posts(posts, ["symbol"]).collect()}
     assert got == {r[2] for r in kept} | {900, 901} and len(kept) < 300
     far = spark.range(300).selectExpr("'s' AS symbol", "'p' AS provider", "id AS ord", "sha2(string(id), 256) AS title", "string(id) AS url", "1.0D AS score")
     assert neardup.distinct_posts(far, ["symbol"]).count() == 300
 
 
+def test_chains_of_any_length_end(spark, monkeypatch):
+    from corvane.operators import distinct
+
+    monkeypatch.setattr(distinct, "COMPONENT_ROWS", 300)
+    # each row shares its URL with the one before and its title with the one after: every second one stays
+    rows = spark.range(500).selectExpr("'s' AS symbol", "id AS ord").selectExpr("symbol", "ord", "concat('u', (ord + 1) div 2) AS url", "concat('t', ord div 2) AS key")
+    assert sorted(r.ord for r in distinct.greedy_distinct(rows, ["symbol"], "ord", ["url", "key"]).collect()) == list(range(0, 500, 2))
+    # knots: every row shares marks with several others
+    rng = random.Random(4)
+    data = [("s", i, f"u{rng.randrange(i // 2, i // 2 + 3)}", f"t{rng.randrange(i // 3, i // 3 + 2)}") for i in range(250)]
+    taken, want = set(), []
+    for _, i, u, t in data:
+        if not {u, t} & taken:
+            taken |= {u, t}
+            want.append(i)
+    got = distinct.greedy_distinct(spark.createDataFrame(data, "symbol string, ord int, url string, key string"), ["symbol"], "ord", ["url", "key"])
+    assert sorted(r.ord for r in got.collect()) == want
+
+
+def test_near_chains_end(spark, monkeypatch):
+    from corvane.operators import distinct
+
+    rows = spark.range(400).selectExpr("'s' AS symbol", "id AS ord", "concat('u', id) AS url", "concat('t', id) AS key")
+    near = spark.range(399).selectExpr("'s' AS symbol", "concat('t', id + 1) AS key", "concat('t', id) AS near")
+    monkeypatch.setattr(distinct, "COMPONENT_ROWS", 300)
+    assert sorted(r.ord for r in distinct.greedy_distinct(rows, ["symbol"], "ord", ["url", "key"], near).collect()) == list(range(0, 400, 2))
+
+
+def test_near_titles_lose_no_pair(spark):
+    rng = random.Random(12)
+    titles = set()
+    for _ in range(60):
+        base = "".join(rng.choices("abcdefgh   ", k=rng.choice([2, 5, 8, 14, 20, 33, 60, 90, 230])))
+        for _ in range(6):
+            t = list(base)
+            for _ in range(rng.randrange(1 + len(t) // 10)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz", "abc"])
+            titles.add("".join(t))
+    titles = sorted(t for t in titles if t)
+    want = {(a, b) for a in titles for b in titles if a != b and neardup.alike(a, b)}
+    df = spark.createDataFrame([(None, t) for t in titles] + [("other", titles[0]), (None, None)], "symbol string, key string")
+    got = [(r.key, r.near) for r in neardup.near_titles(df, ["symbol"], "key").collect()]
+    assert set(got) == want and len(got) == len(want) > 150
+
+
 def test_ladder_falls_through(spark):
     rows = spark.createDataFrame([("s", float(x)) for x in (2, 2, 2, 2, 1, 1, 0.5)], "symbol string, rank_score double")
     assert feeds.ladder(rows, ["symbol"], "rank_score", feeds.news_steps(12)).count() == 6
