@@ -71,10 +71,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\b\w+\b"))
 
 
+#: Words of names that tell no company.
+GENERIC = ("inc", "corp", "ltd", "plc", "group", "company", "holdings")
+
+
 def company_tokens(name: str | None) -> list[str]:
     """Words of a company's name that identify it."""
-    generic = {"inc", "corp", "ltd", "plc", "group", "company", "holdings"}
-    return [t for t in re.split(r"[^a-z0-9]+", (name or "").lower()) if len(t) >= 4 and t not in generic]
+    return [t for t in re.split(r"[^a-z0-9]+", (name or "").lower()) if len(t) >= 4 and t not in GENERIC]
 
 
 def phrase(term: str) -> str:

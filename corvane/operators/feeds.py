@@ -11,6 +11,7 @@ from ..functions import scoring as S
 from ..functions.text import company_tokens, mentions, phrase, title_key
 from ..sources.store import store
 from .distinct import greedy_distinct
+from .mentions import mentions as company_mentions
 from .neardup import distinct_posts
 
 #: Words of finance news.
@@ -31,13 +32,19 @@ def news_relevance(title: Column, summary: Column, symbol: str, company: str | N
     provider lists the symbol.
     """
     text = F.lower(F.concat_ws(" ", title, summary))
-    score = F.when(mentions(text, symbol), 2.5).otherwise(0.0) + F.least(_hits(text, finance), F.lit(5)) * 0.18
+    named, tokens = (F.contains(text, F.lit(company.lower().strip())), _hits(text, company_tokens(company))) if company else (None, None)
+    return news_score(mentions(text, symbol), _hits(text, finance), named, tokens, tagged, related)
+
+
+def news_score(mentioned: Column, finance_hits: Column, named: Column | None = None, tokens: Column | None = None, tagged: Column | None = None, related: Column | None = None) -> Column:
+    """Relevance from what a text holds: the symbol, words of finance, the company's name and words, and the provider's marks."""
+    score = F.when(mentioned, 2.5).otherwise(0.0) + F.least(finance_hits, F.lit(5)) * 0.18
     if tagged is not None:
         score = score + F.coalesce(F.lit(3.0) + tagged * 4.0, F.lit(0.0))
     if related is not None:
         score = score + F.when(related, 3.0).otherwise(0.0)
-    if company:
-        score = score + F.when(F.contains(text, F.lit(company.lower().strip())), 2.0).otherwise(0.0) + F.least(_hits(text, company_tokens(company)), F.lit(4)) * 0.45
+    if named is not None:
+        score = score + F.when(named, 2.0).otherwise(0.0) + F.least(tokens, F.lit(4)) * 0.45
     return F.when(score < 0.9, 0.0).otherwise(F.round(score, 4))
 
 
@@ -49,13 +56,35 @@ def post_relevance(title: Column, body: Column, symbol: str, forum: Column | Non
     named = F.lit(0)
     if company:
         named = F.contains(text, F.lit(company.lower().strip())).cast("int") * 2 + _hits(text, company_tokens(company))
-    score = words * 3.2 + cash * 4.0 + F.least(named, F.lit(5)) * 1.1 + _hits(text, finance) * 0.32
+    return post_score(words, cash, named, _hits(text, finance), text.rlike("https?://"), forum)
+
+
+def post_score(words: Column, cash: Column, named: Column, finance_hits: Column, linked: Column, forum: Column | None = None) -> Column:
+    """Relevance from what a text holds: the symbol as a word and behind a dollar sign, the company (2 for its name, 1 for each of its words), words of finance, a link."""
+    score = words * 3.2 + cash * 4.0 + F.least(named, F.lit(5)) * 1.1 + finance_hits * 0.32
     if forum is not None:
         score = score + F.coalesce(F.create_map(*[F.lit(x) for kv in FORUMS.items() for x in kv])[F.lower(forum)], F.lit(0.0))
-    score = score - F.when((words + cash <= 1) & (named == 0), 0.7).otherwise(0.0) - F.when(text.rlike("https?://"), 0.15).otherwise(0.0)
+    score = score - F.when((words + cash <= 1) & (named == 0), 0.7).otherwise(0.0) - F.when(linked, 0.15).otherwise(0.0)
     return F.when((words + cash == 0) & (named == 0), 0.0).otherwise(F.greatest(score, F.lit(0.0)))
 
 
+def company_scores(rows: DataFrame, key: list[str], text: Column, companies: DataFrame, finance: tuple[str, ...] = FINANCE) -> DataFrame:
+    """key, company, words, cash, named, tokens, news_relevance, post_relevance, related: every row against every company (company, symbol, name) that it names.
+
+    One pass over the texts whatever the number of companies; pairs that share nothing have no row (their relevance is 0). ``key`` names a row.
+    """
+    low = F.lower(text)
+    facts = rows.select(*key, _hits(low, finance).alias("finance_hits"), F.coalesce(low.rlike("https?://"), F.lit(False)).alias("linked"))
+    met = company_mentions(rows, key, text, companies).join(facts, key)
+    hit, named = (F.col("words") > 0) | (F.col("cash") > 0), F.col("named") > 0
+    return met.select(
+        *key, "company", "words", "cash", "named", "tokens",
+        news_score(hit, F.col("finance_hits"), named, F.col("tokens")).alias("news_relevance"),
+        post_score(F.col("words"), F.col("cash"), F.col("named") * 2 + F.col("tokens"), F.col("finance_hits"), F.col("linked")).alias("post_relevance"),
+        (hit | named | ((F.col("tokens") >= 2) & (F.col("finance_hits") >= 1))).alias("related"),
+    )
+
+
 def is_related(title: Column, body: Column, symbol: str, company: str | None = None, finance: tuple[str, ...] = FINANCE) -> Column:
     """A post names the symbol or the company, or two of the company's words and a word of finance."""
     text = F.lower(F.concat_ws(" ", title, body))

@@ -319,3 +319,48 @@ def test_long_remarks_that_end_in_a_transition_open_nothing(spark):
     rows = [(1, 0, "Jane", "prepared_remarks", long + "With that, open the line."), (1, 1, "Max", "prepared_remarks", "next question please"), (2, 0, "Jane", "prepared_remarks", "open the line " + long)]
     got = {r.doc_id: r.qa_start for r in transcripts.qa_bounds(spark.createDataFrame(rows, "doc_id int, order_index int, speaker string, base_section string, text string")).collect()}
     assert got == {1: 1, 2: 0}
+
+
+def test_mentions_equal_the_regex_way(spark):
+    import re
+
+    from corvane.functions.text import company_tokens
+    from corvane.operators import mentions
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 6))) for _ in range(300)]
+    companies = [(i, rng.choice(vocabulary).upper(), " ".join(rng.choices([*vocabulary, "Group", "Data", "data"], k=rng.randrange(1, 4)))) for i in range(10_000)] + [(-1, None, None), (-2, "", " ")]
+    joins = [" ", " ", " $", "-", "_", ", ", "²", ""]
+    texts = [(i, "".join(rng.choice([w, w.upper()]) + rng.choice(joins) for w in rng.choices(vocabulary, k=rng.randrange(25)))) for i in range(12)] + [(50, None), (51, "")]
+    want = {}
+    for i, text in texts:
+        low = (text or "").lower()
+        for c, symbol, name in companies:
+            s, n = (symbol or "").lower(), (name or "").lower().strip()
+            words = len(re.findall(rf"(?<![^\W²]){re.escape(s)}(?![^\W²])", low)) if s else 0
+            hit = (words, low.count(f"${s}") if s else 0, int(bool(n) and n in low), sum(t in low for t in company_tokens(name)))
+            if any(hit):
+                want[i, c] = hit
+    one = lambda: mentions.mentions(spark.createDataFrame(texts, "ord int, text string"), ["ord"], F.col("text"), spark.createDataFrame(companies, "company int, symbol string, name string"))
+    assert {(r.ord, r.company): (r.words, r.cash, r.named, r.tokens) for r in one().collect()} == want
+    assert len(want) > 5000
+    mentions.TERMS, most = 700, mentions.TERMS  # several automata give the same
+    try:
+        assert {(r.ord, r.company): (r.words, r.cash, r.named, r.tokens) for r in one().collect()} == want
+    finally:
+        mentions.TERMS = most
+
+
+def test_company_scores_are_those_of_one_company(spark):
+    rows = spark.createDataFrame([(1, "Acme rises, $ACM and acm: earnings of Acme Widgets Inc", "x"), (2, "widgets and guidance http://a", "x"), (3, "nothing", "x"), (4, None, "x")], "ord int, text string, company string")
+    companies = spark.createDataFrame([("a", "ACM", "Acme Widgets Inc"), ("b", "ZZZ", "Other Widgets")], "company string, symbol string, name string")
+    got = {(r.ord, r.company): r for r in feeds.company_scores(rows.drop("company"), ["ord"], F.col("text"), companies).collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (2, "a"), (2, "b")}
+    text, none = F.col("text"), F.lit(None).cast("string")
+    for c, s, n in (("a", "ACM", "Acme Widgets Inc"), ("b", "ZZZ", "Other Widgets")):
+        for r in rows.select("ord", feeds.news_relevance(text, none, s, n).alias("news"), feeds.post_relevance(text, none, s, None, n).alias("post"), feeds.is_related(text, none, s, n).alias("rel")).collect():
+            if (r.ord, c) in got:
+                g = got[r.ord, c]
+                assert (g.news_relevance, round(g.post_relevance, 6), g.related) == (r.news, round(r.post, 6), r.rel)
+            else:
+                assert r.post == 0 and r.news == 0
