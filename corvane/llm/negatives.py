@@ -131,8 +131,9 @@ class Index:
                         going = [(v := block[n].take(at), pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))[1] for n in own]
                         yield pa.RecordBatch.from_arrays([pa.array(used[j : j + 1]), *going], names=["list", *own])
 
-        # a list with very many blocks is one key: adaptive execution splits it between the two exchanges
-        meets = wanted.mapInArrow(send, StructType([StructField("list", LongType()), *wanted.schema.fields])).join(self.blocks, "list")
+        # a list with very many blocks is one key: adaptive execution splits it between the two exchanges. Neither side is to be broadcast: what is
+        # sent is larger than the anchors it is estimated by
+        meets = wanted.mapInArrow(send, StructType([StructField("list", LongType()), *wanted.schema.fields])).join(self.blocks.hint("merge"), "list")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
