@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PATH_DIM, WORD_DIM, COUNTS = 512, 64, 4
+#: Slots of names that are not in the training vocabulary: they tell nothing, so they share a few.
+UNKNOWN = 32
 HIDDEN = 16
 
 # HTML's elements by how they break text.
@@ -49,15 +51,23 @@ def _slot(token: str, size: int) -> int:
     return zlib.crc32(token.encode()) % size
 
 
+@lru_cache(maxsize=100_000)
+def _path_slot(token: str) -> int:
+    """Each token of the training vocabulary has a slot of its own; all others share UNKNOWN slots, which no known one uses."""
+    at = vocabulary().get(token)
+    return PATH_DIM // 2 - UNKNOWN + zlib.crc32(token.encode()) % UNKNOWN if at is None else at
+
+
 def path_bits(tokens: Iterable[str], before: int = 0) -> int:
     """``before`` and the bits of the tokens of one element."""
     for t in tokens:
-        before |= 1 << _slot(t, PATH_DIM)
+        before |= 1 << _path_slot(t)
     return before
 
 
 def leaf_bit(token: str) -> int:
-    return 1 << _slot(f"leaf {token}", PATH_DIM)
+    """The token of the leaf, in the other half of the slots."""
+    return 1 << (PATH_DIM // 2 + _path_slot(token))
 
 
 def path_of(tokens: tuple[str, ...]) -> int:
@@ -288,6 +298,16 @@ INSIDE = {
 }
 
 
+@lru_cache(maxsize=1)
+def vocabulary() -> dict[str, int]:
+    """The known tags and names, numbered."""
+    structure = ("html", "body", "table", "tbody", "thead", "tr", "ul", "ol", "dl", "figure", "span")
+    inside = [t for ways in INSIDE.values() for way in ways for t in way]
+    known = dict.fromkeys([*structure, *inside, *BAD_TAGS, *GOOD_TAGS, *LEAVES, *BAD_NAMES, *GOOD_NAMES, *NEUTRAL])
+    assert len(known) <= PATH_DIM // 2 - UNKNOWN
+    return {t: i for i, t in enumerate(known)}
+
+
 #: What menus, notices and the like say, and common words of running text in some languages.
 BAD_WORDS = (
     "home about contact login logout register sign menu search share tweet like follow subscribe newsletter email more read next previous back top skip content navigation "
@@ -316,12 +336,18 @@ def drawn_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     blocks: list[Block] = []
     labels: list[int] = []
     same = words(1, 4) if rng.random() < 0.15 else ""  # pages of one short line again and again
+    unknown = lambda: "x%d" % rng.integers(1_000_000)  # noqa: E731  a name that tells nothing
     base: tuple[str, ...] = ("html", "body") if rng.random() < 0.9 else ()
     for _ in range(int(rng.integers(0, 3))):
-        base += ("div", *([pick(NEUTRAL)] if rng.random() < 0.7 else []))
+        base += ("div", *([pick(NEUTRAL) if rng.random() < 0.7 else unknown()] if rng.random() < 0.7 else []))
+    if rng.random() < 0.1:  # laid out by a table
+        base += pick([("table", "tr", "td"), ("table", "tbody", "tr", "td")])
+    named = rng.random() < 0.25  # pages that name every element
 
     def leaf(path: tuple[str, ...], name: str, good: int) -> None:
         inner = pick(INSIDE[name]) if name in INSIDE and (name != "p" or rng.random() < 0.2) else (name,)
+        if named and rng.random() < 0.7:
+            inner += (unknown(),)
         long = good and name in ("p", "li", "blockquote", "td") and rng.random() < 0.8
         text = words(8, 90) if long else words(1, 14, good) if rng.random() < 0.8 else words(10, 60, good)
         if same and rng.random() < 0.6:
@@ -349,17 +375,22 @@ def drawn_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
         bare = rng.random() < 0.12
         box = () if bare else (pick(GOOD_TAGS),)
         if box and (box[0] in ("div", "section") or rng.random() < 0.3):
-            box += (pick(GOOD_NAMES),)
-        if box and rng.random() < 0.4:
+            names = pick(["known", "known", "unknown", "both", "none"])
+            box += (*([unknown()] if names in ("unknown", "both") else []), *([pick(GOOD_NAMES)] if names in ("known", "both") else []))
+        if box and rng.random() < 0.15:
+            box += ("div", unknown())
+        elif box and rng.random() < 0.4:
             box += ("div", pick(GOOD_NAMES), pick(GOOD_NAMES)) if rng.random() < 0.7 else ("section",)
         if rng.random() < 0.8:
-            leaf(base + box, "h1", 1)
+            place = rng.random()  # headlines may stand in an element of their own, in the article or before it
+            leaf(base + box if place < 0.7 else base + box + ("div", unknown()) if place < 0.85 else base + ("div", unknown()), pick(["h1", "h1", "h1", "h2"]), 1)
         for _ in range(n_good):
             if rng.random() < 0.14:
                 bad(base + box)
             name = pick(GOOD_LEAVES) if rng.random() < 0.6 else "p"
+            own = ("div", unknown()) if rng.random() < 0.08 else ()  # an info box, a list of references
             for _ in range(int(rng.integers(1, 5)) if name == "li" else 1):
-                leaf(base + box, name, 1)
+                leaf(base + box + own, name, 1)
         if rng.random() < 0.25:  # a container that is never closed
             bad(base + box)
     for _ in range(int(rng.integers(0, 4))):

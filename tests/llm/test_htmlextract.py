@@ -110,3 +110,38 @@ def test_awkward_pages(spark):
     assert len(got) == 7 and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got}[1] == ""
     assert H.extract(df.limit(0)).count() == 0
+
+
+STORY = ["The first paragraph of the story tells what happened in the town.", "Then a second one follows, with details of it and some more words.", "At last the writer says what it means for the people there."]
+
+
+def test_names_that_tell_nothing_lose_nothing(model):
+    rng = np.random.default_rng(77)
+    said = "".join(f"<p>{p}</p>" for p in STORY)
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>%s<footer><p>Copyright 2024</p></footer></body></html>"
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 12))) for _ in range(300)]
+    for name in [*names, "bodyContent", "postbody", "readable", "storyText", "mw-parser-output", "rich-text"]:
+        for attribute in ("class", "id"):
+            assert main_text(model, page % f'<div {attribute}="{name}">{said}</div>') == "\n".join(STORY), name
+
+
+def test_layouts_of_other_makes(model):
+    said, lines = "".join(f"<p>{p}</p>" for p in STORY), "\n".join(STORY)
+    page = "<html><body><nav><a href=/>Home</a></nav>%s<footer>Copyright 2024</footer></body></html>"
+    for body, want in [
+        (f"<table><tr><td class=menu><a href=/x>Home</a> <a href=/y>News</a></td></tr><tr><td>{said}</td></tr></table>", lines),
+        (f"<table><tr><td class=postbody>{said}</td></tr></table>", lines),
+        (f"<div class=zork><h1>Big news today</h1></div><div class=quux>{said}</div>", f"Big news today\n{lines}"),
+        ("<div class=wq>" + "".join(f"<p class=k{i}z>{p}</p>" for i, p in enumerate(STORY)) + "</div>", lines),
+        (f"<div class=vv><table class=infobox><tr><th>Born</th><td>1950 in the old town</td></tr></table>{said}<h2>References</h2><ol class=references><li>A book about it, 1999.</li></ol></div>", f"Born\n1950 in the old town\n{lines}\nReferences\nA book about it, 1999."),
+        (f"<main>{said}</main>", lines),
+    ]:
+        assert main_text(model, page % body) == want, body
+
+
+def test_known_names_have_slots_of_their_own():
+    known = H.vocabulary()
+    slots = {H.path_bits((t,)) for t in known} | {H.leaf_bit(t) for t in known}
+    assert len(slots) == 2 * len(known)
+    other = {H.path_bits((f"name{i}",)) for i in range(500)} | {H.leaf_bit(f"name{i}") for i in range(500)}
+    assert not slots & other and len(other) <= 2 * H.UNKNOWN
