@@ -31,6 +31,12 @@ def any_date(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMS], iso_time(t))
 
 
+def months(first: Column, last: Column) -> Column:
+    """array<date>: the first days of the months from one date to another, both included; empty if the last comes first, null for null."""
+    a, b = F.trunc(first, "month"), F.trunc(last, "month")
+    return F.when(a <= b, F.sequence(a, b, F.expr("INTERVAL 1 MONTH"))).when(a > b, F.array().cast("array<date>"))
+
+
 def number(text: Column) -> Column:
     """A number written as text; null for none, nan, null, a dash, blanks and what is no number."""
     t = F.lower(F.trim(text.cast("string")))

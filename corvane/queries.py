@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions import scoring as S
 from .functions import text as T
 from .functions.lexicons import METRICS, TOPICS
+from .functions.times import months
 from .operators import feeds, fundamentals, metrics, segments, transcripts
 from .operators.scorers import lexical_scorer, score_text
 from .plans import report
@@ -390,11 +391,19 @@ walk AS (SELECT symbol, CAST(0 AS BIGINT) AS step, CAST([] AS VARCHAR[]) AS urls
   FROM (SELECT o.*, w.urls, w.keys, NOT coalesce(list_contains(w.urls, o.url), FALSE) AND NOT coalesce(list_contains(w.keys, o.key), FALSE) AS ok FROM walk w JOIN ordered o ON o.symbol IS NOT DISTINCT FROM w.symbol AND o.step = w.step + 1) o)""".replace("ordered", f"ordered{name}").replace("walk", f"walk{name}")
 
 
-@query("WITH RECURSIVE seed AS (SELECT symbol, CAST(ord AS BIGINT) AS ord, url, key FROM (VALUES " + ", ".join("('{}', {}, {}, {})".format(s, o, *("NULL" if x is None else f"'{x}'" for x in (u, k))) for s, o, u, k in DEDUPE_SEED) + f") t(symbol, ord, url, key)), {first_wins('seed')} SELECT symbol, ord FROM walk WHERE stays")
+SEED_ROWS = ", ".join("('{}', {}, {}, {})".format(s, o, *("NULL" if x is None else f"'{x}'" for x in (u, k))) for s, o, u, k in DEDUPE_SEED)
+
+
+@query(f"""WITH RECURSIVE seed AS (SELECT symbol, CAST(ord AS BIGINT) AS ord, url, key FROM (VALUES {SEED_ROWS}) t(symbol, ord, url, key)
+  UNION ALL SELECT p_brand, p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN p_type || ' ' || p_size END, CASE WHEN p_partkey % 13 <> 0 THEN p_name || ' ' || p_partkey % 3 END FROM part), {first_wins('seed')} SELECT symbol, ord FROM walk WHERE stays""")
 def news_dedupe_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null marks, a row that only a dropped row repeats, and a chain of 400 rows."""
+    """The parts of each brand by two marks, either of which may be null; and a seed: null marks, a row that only a dropped row repeats, a chain of 400 rows."""
     rows = spark.createDataFrame(DEDUPE_SEED, "symbol string, ord bigint, url string, key string")
-    return feeds.greedy_distinct(rows, ["symbol"], "ord", ["url", "key"]).select("symbol", "ord")
+    k = F.col("p_partkey")
+    parts = domain.read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("symbol"), k.alias("ord"), F.when(k % 11 != 0, F.concat_ws(" ", "p_type", "p_size")).alias("url"), F.when(k % 13 != 0, F.concat_ws(" ", "p_name", k % 3)).alias("key")
+    )
+    return feeds.greedy_distinct(rows.unionByName(parts), ["symbol"], "ord", ["url", "key"]).select("symbol", "ord")
 
 
 @query(f"WITH RECURSIVE {NEWS}, keyed AS (SELECT symbol, ord, url, title, {TITLE_KEY.format('title')} AS key FROM news), {first_wins('keyed')} SELECT k.symbol, k.ord, k.url, k.title FROM walk w JOIN keyed k USING (symbol, ord) WHERE w.stays")
@@ -672,6 +681,13 @@ def transcript_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(transcripts.availability(transcripts.quarter_coverage(candidates(spark, sf_dir))))
 
 
-@query("SELECT CAST(m AS DATE) AS month FROM range(DATE '2022-03-01', DATE '2024-02-01', INTERVAL 1 MONTH) t(m)")
+@query("""WITH b AS (SELECT c_mktsegment AS symbol, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
+  UNION ALL SELECT * FROM (VALUES ('seed', TIMESTAMP '2022-03-01', TIMESTAMP '2024-01-01'), ('back', TIMESTAMP '2022-03-01', TIMESTAMP '2022-02-01')))
+  SELECT symbol, CAST(unnest(generate_series(date_trunc('month', first), date_trunc('month', last), INTERVAL 1 MONTH)) AS DATE) AS month FROM b""")
 def month_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.sequence(F.lit("2022-03-01").cast("date"), F.lit("2024-01-01").cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    """The months from each segment's first order to its last; none where the last comes before the first."""
+    o = domain.read(spark, sf_dir, "orders").join(domain.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = F.col("o_orderdate").cast("date")
+    bounds = o.groupBy(F.col("c_mktsegment").alias("symbol")).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    seed = spark.sql("SELECT * FROM VALUES ('seed', DATE '2022-03-01', DATE '2024-01-01'), ('back', DATE '2022-03-01', DATE '2022-02-01') AS t(symbol, first, last)")
+    return bounds.unionByName(seed).select("symbol", F.explode(months(F.col("first"), F.col("last"))).alias("month"))

@@ -60,9 +60,20 @@ LABELS = ("Jane  Roe -- CEO", "Tom Fox (Chief Financial Officer)", " Max Lee - "
 PEOPLE = ("Jane Roe -- Chief Executive Officer", "Tom Fox, CFO", "Max Lee", "Ann Kim - Analyst, Some Bank", "Bo–Li — Host")
 
 
-@query("SELECT * FROM (VALUES ('Jane  Roe -- CEO', 'Jane Roe', 'Jane  Roe', 'CEO'), ('Tom Fox (Chief Financial Officer)', 'Tom Fox', 'Tom Fox (Chief Financial Officer)', ''), (' Max Lee - ', 'Max Lee', 'Max Lee', ''), ('Ann (Boston)', 'Ann (Boston)', 'Ann (Boston)', ''), ('', '', '', ''), ('operator', 'operator', 'operator', ''), ('Jane Roe -- Chief Executive Officer', 'Jane Roe', 'Jane Roe', 'Chief Executive Officer'), ('Tom Fox, CFO', 'Tom Fox, CFO', 'Tom Fox', 'CFO'), ('Max Lee', 'Max Lee', 'Max Lee', ''), ('Ann Kim - Analyst, Some Bank', 'Ann Kim - Analyst, Some Bank', 'Ann Kim', 'Analyst, Some Bank'), ('Bo–Li — Host', 'Bo–Li — Host', 'Bo–Li', 'Host')) t(text, label, name, role)")
+LABELS_READ = "('Jane  Roe -- CEO', 'Jane Roe', 'Jane  Roe', 'CEO'), ('Tom Fox (Chief Financial Officer)', 'Tom Fox', 'Tom Fox (Chief Financial Officer)', ''), (' Max Lee - ', 'Max Lee', 'Max Lee', ''), ('Ann (Boston)', 'Ann (Boston)', 'Ann (Boston)', ''), ('', '', '', ''), ('operator', 'operator', 'operator', ''), ('Jane Roe -- Chief Executive Officer', 'Jane Roe', 'Jane Roe', 'Chief Executive Officer'), ('Tom Fox, CFO', 'Tom Fox, CFO', 'Tom Fox', 'CFO'), ('Max Lee', 'Max Lee', 'Max Lee', ''), ('Ann Kim - Analyst, Some Bank', 'Ann Kim - Analyst, Some Bank', 'Ann Kim', 'Analyst, Some Bank'), ('Bo–Li — Host', 'Bo–Li — Host', 'Bo–Li', 'Host')"
+
+
+@query(f"""WITH {BLOCK}, s AS (SELECT speaker AS who, replace(speaker, ' ', '  ') AS wide, order_index % 5 AS k, upper(speaker_role) AS r FROM block) SELECT * FROM (VALUES {LABELS_READ}) t(text, label, name, role)
+  UNION ALL SELECT wide || ' -- ' || r, who, wide, r FROM s WHERE k = 0 UNION ALL SELECT who || ' (Chief ' || r || ' Officer)', who, who || ' (Chief ' || r || ' Officer)', '' FROM s WHERE k = 1
+  UNION ALL SELECT ' ' || who || ' - ', who, who, '' FROM s WHERE k = 2 UNION ALL SELECT who || ', ' || r, who || ', ' || r, who, r FROM s WHERE k = 3 UNION ALL SELECT who || ' — ' || r, who || ' — ' || r, who, r FROM s WHERE k = 4""")
 def speaker_label_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in (*LABELS, *PEOPLE)], "text string")
+    """The speakers of all blocks in five spellings with a role, taken apart, and a seed of others."""
+    who, k, r = F.col("speaker"), F.col("order_index") % 5, F.upper("speaker_role")
+    said = (
+        F.when(k == 0, F.concat(F.replace(who, F.lit(" "), F.lit("  ")), F.lit(" -- "), r)).when(k == 1, F.concat(who, F.lit(" (Chief "), r, F.lit(" Officer)"))).when(k == 2, F.concat(F.lit(" "), who, F.lit(" - ")))
+        .when(k == 3, F.concat(who, F.lit(", "), r)).otherwise(F.concat(who, F.lit(" — "), r))
+    )
+    rows = spark.createDataFrame([(t,) for t in (*LABELS, *PEOPLE)], "text string").unionByName(domain.blocks(spark, sf_dir).select(said.alias("text")))
     return rows.withColumn("p", T.name_and_role(F.col("text"))).select("text", T.speaker_label(F.col("text")).alias("label"), "p.name", "p.role")
 
 
@@ -349,13 +360,24 @@ SLUGS = (
 )
 
 
-@query("""SELECT * FROM (VALUES ('https://www.fool.com/earnings/call-transcripts/2024/02/01/apple-aapl-q1-2024-earnings-call-transcript/', TRUE, TRUE, DATE '2024-02-01', 'Apple AAPL Q1 2024 Earnings Call Transcript', 'apple', 'Apple-AAPL-Q1-2024-Earnings-Call-Transcript'),
+SLUGS_READ = """('https://www.fool.com/earnings/call-transcripts/2024/02/01/apple-aapl-q1-2024-earnings-call-transcript/', TRUE, TRUE, DATE '2024-02-01', 'Apple AAPL Q1 2024 Earnings Call Transcript', 'apple', 'Apple-AAPL-Q1-2024-Earnings-Call-Transcript'),
   ('https://www.fool.com/earnings/2024/big-retail-group-results.aspx', FALSE, FALSE, NULL, 'Big Retail Group Results Earnings Call Transcript', 'big,retail,results,news', 'Big-Retail-Group-news'), ('https://x.org/', FALSE, FALSE, NULL, 'X.org Earnings Call Transcript', '', 'item'),
-  ('http://fool.com/earnings/call-transcripts/2023/11/30/acme-corp-acm-q4-2023-earnings-call-transcript', TRUE, TRUE, DATE '2023-11-30', 'Acme Corp Acm Q4 2023 Earnings Call Transcript', 'acme,acm', 'Conference-Call-Transcript-of-Acme')) t(url, is_title, is_url, date, title, tokens, file)""")
+  ('http://fool.com/earnings/call-transcripts/2023/11/30/acme-corp-acm-q4-2023-earnings-call-transcript', TRUE, TRUE, DATE '2023-11-30', 'Acme Corp Acm Q4 2023 Earnings Call Transcript', 'acme,acm', 'Conference-Call-Transcript-of-Acme')"""
+
+
+@query(f"""WITH p AS (SELECT page_id AS i, regexp_extract(lower(url), '//(?:[a-z]+[.])?([a-z]+)[.]example', 1) AS w, 2020 + page_id % 5 AS y, page_id % 13 + 1 AS m, page_id % 28 + 1 AS d, page_id % 4 + 1 AS q FROM pages)
+  SELECT * FROM (VALUES {SLUGS_READ}) t(url, is_title, is_url, date, title, tokens, file)
+  UNION ALL SELECT 'https://www.fool.com/earnings/call-transcripts/' || y || '/' || lpad(m::VARCHAR, 2, '0') || '/' || lpad(d::VARCHAR, 2, '0') || '/' || w || '-sym-q' || q || '-' || y || '-earnings-call-transcript' || CASE WHEN i % 2 = 0 THEN '/' ELSE '' END, TRUE, TRUE,
+  CASE WHEN m <= 12 THEN make_date(y, m, d) END, CASE WHEN w = '' THEN '' ELSE upper(left(w, 1)) || substr(w, 2) || ' ' END || 'Sym Q' || q || ' ' || y || ' Earnings Call Transcript',
+  CASE WHEN length(w) >= 3 AND w NOT IN ('earnings', 'call', 'transcript', 'conference', 'inc', 'incorporated', 'corp', 'corporation', 'company', 'class', 'common', 'stock', 'holding', 'holdings', 'group', 'global', 'limited', 'ltd', 'plc', 'the', 'and') THEN w || ',' ELSE '' END || 'sym',
+  CASE WHEN w = '' THEN '' ELSE w || '-' END || 'SYM-Q' || q || '-' || y || '-Earnings-Call-Transcript' FROM p""")
 def slug_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an address tells: whether it is a transcript, its date, a title, the company's words."""
+    """What an address tells: whether it is a transcript, its date, a title, the company's words. Addresses are made of the pages' hosts and ids, every thirteenth with a month that there is not."""
     u, t = F.col("url"), F.col("t")
-    rows = spark.createDataFrame(SLUGS, "url string, t string")
+    i, host = F.col("page_id"), F.regexp_extract(F.lower("url"), "//(?:[a-z]+[.])?([a-z]+)[.]example", 1)
+    at = F.format_string("https://www.fool.com/earnings/call-transcripts/%d/%02d/%02d/%s-sym-q%d-%d-earnings-call-transcript%s", i % 5 + 2020, i % 13 + 1, i % 28 + 1, host, i % 4 + 1, i % 5 + 2020, F.when(i % 2 == 0, "/").otherwise(""))
+    made = domain.read(spark, sf_dir, "pages").select(at.alias("url"), F.format_string("%s (SYM) Q%d %d Earnings Call Transcript", host, i % 4 + 1, i % 5 + 2020).alias("t"))
+    rows = spark.createDataFrame(SLUGS, "url string, t string").unionByName(made)
     return rows.select(
         "url", candidates.is_transcript_title(t).alias("is_title"), candidates.is_transcript_url(u, "fool.com").alias("is_url"), candidates.url_date(u).alias("date"), candidates.slug_title(u, "AAPL").alias("title"),
         F.array_join(candidates.slug_tokens(u, t, "AAPL"), ",").alias("tokens"), candidates.safe_name(F.regexp_replace(t, r"[()]", "")).alias("file"),
@@ -380,9 +402,17 @@ def near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 ERRORS = ("Read timeout after 30 s", "nodename nor servname provided", "Expecting value: line 1", "No source URLs in answer", "HTTP 500", "", "No route to host")
 
 
-@query("SELECT * FROM (VALUES ('Read timeout after 30 s', 'timeout', TRUE), ('nodename nor servname provided', 'dns_error', FALSE), ('Expecting value: line 1', 'parse_error', FALSE), ('No source URLs in answer', 'empty_source_set', TRUE), ('HTTP 500', 'unknown_error', TRUE), ('', 'unknown_error', TRUE), ('No route to host', 'unknown_error', FALSE)) t(error, kind, retry)")
+ERRORS_READ = "('Read timeout after 30 s', 'timeout', TRUE), ('nodename nor servname provided', 'dns_error', FALSE), ('Expecting value: line 1', 'parse_error', FALSE), ('No source URLs in answer', 'empty_source_set', TRUE), ('HTTP 500', 'unknown_error', TRUE), ('', 'unknown_error', TRUE), ('No route to host', 'unknown_error', FALSE)"
+
+
+@query(f"""WITH seed AS (SELECT row_number() OVER () - 1 AS k, error, kind, retry FROM (VALUES {ERRORS_READ}) t(error, kind, retry))
+  SELECT error, kind, retry FROM seed UNION ALL SELECT event_type || ' ' || event_id || ': ' || upper(error), kind, retry FROM events JOIN seed ON k = event_id % 7""")
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in ERRORS], "error string").withColumn("k", audit.retry_kind(F.col("error"))).select("error", "k.kind", "k.retry")
+    """Errors of the events' runs, a message with each, and the messages alone."""
+    seed = F.array(*[F.lit(e) for e in ERRORS])
+    said = F.concat("event_type", F.lit(" "), "event_id", F.lit(": "), F.upper(F.get(seed, (F.col("event_id") % len(ERRORS)).cast("int"))))
+    rows = spark.createDataFrame([(e,) for e in ERRORS], "error string").unionByName(domain.read(spark, sf_dir, "events").select(said.alias("error")))
+    return rows.withColumn("k", audit.retry_kind(F.col("error"))).select("error", "k.kind", "k.retry")
 
 
 @query("""WITH e AS (SELECT user_id % 9 AS run_id, event_id, event_type, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'sitemap' ELSE 'author' END AS phase FROM events),

@@ -159,17 +159,29 @@ def _values(rows: tuple) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if not isinstance(x, float) else f"{x!r}::DOUBLE" for x in r) + ")" for r in rows)
 
 
-@query(f"SELECT form, text, CAST(value AS TIMESTAMP) AS value FROM (VALUES {_values(TIMES)}) t(form, text, value)")
+@query(f"""SELECT form, text, CAST(value AS TIMESTAMP) AS value FROM (VALUES {_values(TIMES)}) t(form, text, value)
+  UNION ALL SELECT ['compact', 'iso', 'epoch', 'any'][event_id % 4 + 1], CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y%m%dT%H%M%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN CAST(CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS VARCHAR) ELSE strftime(ts, ' %Y/%m/%d ') END,
+  CASE WHEN event_id % 4 = 3 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END::TIMESTAMP FROM events""")
 def time_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in TIMES], "form string, text string")
+    """The events' times in four spellings, read back, and a seed of others."""
+    k, at = F.col("event_id") % 4, F.col("ts").cast("timestamp")
+    spelt = F.when(k == 0, F.date_format(at, "yyyyMMdd'T'HHmmss")).when(k == 1, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.unix_timestamp(at).cast("string")).otherwise(F.date_format(at, " yyyy/MM/dd "))
+    form = F.when(k == 0, "compact").when(k == 1, "iso").when(k == 2, "epoch").otherwise("any")
+    rows = spark.createDataFrame([r[:2] for r in TIMES], "form string, text string").unionByName(domain.read(spark, sf_dir, "events").select(form.alias("form"), spelt.alias("text")))
     parse = {"compact": times.compact_time, "iso": times.iso_time, "epoch": times.epoch_time, "any": times.any_date}
     value = F.coalesce(*[F.when(F.col("form") == k, f(F.col("text"))) for k, f in parse.items()])
     return rows.withColumn("value", value)
 
 
-@query(f"SELECT * FROM (VALUES {_values(NUMBERS)}) t(form, text, value)")
+@query(f"""SELECT * FROM (VALUES {_values(NUMBERS)}) t(form, text, value)
+  UNION ALL SELECT CASE WHEN k % 5 < 2 THEN 'number' ELSE 'percent' END, CASE k % 5 WHEN 0 THEN ' ' || b || ' ' WHEN 1 THEN 'None' WHEN 2 THEN b || '%' WHEN 3 THEN '$' || b ELSE a || '/' || d END,
+  CASE WHEN k % 5 = 1 THEN NULL WHEN k % 5 < 4 THEN b WHEN d = 0 THEN CAST(a || '0' AS DOUBLE) ELSE a::DOUBLE / d * 100 END FROM (SELECT c_custkey AS k, c_acctbal AS b, c_custkey % 50 AS a, c_custkey % 8 AS d FROM customer)""")
 def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:2] for r in NUMBERS], "form string, text string")
+    """Customers' balances and fractions in five spellings, read back, and a seed of others."""
+    k, b = F.col("c_custkey"), F.col("c_acctbal").cast("string")
+    said = F.when(k % 5 == 0, F.concat(F.lit(" "), b, F.lit(" "))).when(k % 5 == 1, "None").when(k % 5 == 2, F.concat(b, F.lit("%"))).when(k % 5 == 3, F.concat(F.lit("$"), b)).otherwise(F.concat_ws("/", k % 50, k % 8))
+    told = domain.read(spark, sf_dir, "customer").select(F.when(k % 5 < 2, "number").otherwise("percent").alias("form"), said.alias("text"))
+    rows = spark.createDataFrame([r[:2] for r in NUMBERS], "form string, text string").unionByName(told)
     return rows.withColumn("value", F.coalesce(F.when(F.col("form") == "number", times.number(F.col("text"))), F.when(F.col("form") == "percent", times.percent_number(F.col("text")))))
 
 

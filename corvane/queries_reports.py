@@ -215,15 +215,24 @@ def participants_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.upsert_participants(listed, spoke)
 
 
-@query("""SELECT * FROM (VALUES (' aapl ', 'AAPL', TRUE), ('brk.b', 'BRK.B', TRUE), ('a$b-c', 'AB-C', TRUE), ('$$', '', FALSE)) t(text, ticker, valid)""")
+@query("""SELECT * FROM (VALUES (' aapl ', 'AAPL', TRUE), ('brk.b', 'BRK.B', TRUE), ('a$b-c', 'AB-C', TRUE), ('$$', '', FALSE)) t(text, ticker, valid)
+  UNION ALL SELECT text, ticker, ticker <> '' FROM (SELECT text, regexp_replace(upper(text), '[^A-Z0-9.-]', '', 'g') AS ticker FROM (SELECT ' $' || CASE WHEN c_custkey % 9 <> 0 THEN lower(c_name) || '.' || left(c_mktsegment, 2) ELSE '' END || ' ' AS text FROM customer))""")
 def ticker_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.ticker(F.col("text"))
-    return spark.createDataFrame([(" aapl ",), ("brk.b",), ("a$b-c",), ("$$",)], "text string").select("text", t.alias("ticker"), (t != "").alias("valid"))
+    said = F.concat(F.lit(" $"), F.when(F.col("c_custkey") % 9 != 0, F.concat(F.lower("c_name"), F.lit("."), F.substring("c_mktsegment", 1, 2))).otherwise(""), F.lit(" "))
+    rows = spark.createDataFrame([(" aapl ",), ("brk.b",), ("a$b-c",), ("$$",)], "text string").unionByName(domain.read(spark, sf_dir, "customer").select(said.alias("text")))
+    return rows.select("text", t.alias("ticker"), (t != "").alias("valid"))
 
 
-@query("""SELECT * FROM (VALUES (NULL, 'n/a', 'n/a', 'neutral', 'n/a'), ('strong_buy', '1.50x', '1.5K', 'bullish', 'Strong Buy'), ('hold', '-0.25x', '-3.2M', 'neutral', 'Hold'), ('underperform', '12.00x', '4.8B', 'bearish', 'Underperform'), ('none_given', '0.00x', '17', 'muted', 'None Given')) t(key, ratio, compact, tone, shown)""")
+@query("""SELECT * FROM (VALUES (NULL, 'n/a', 'n/a', 'neutral', 'n/a'), ('strong_buy', '1.50x', '1.5K', 'bullish', 'Strong Buy'), ('hold', '-0.25x', '-3.2M', 'neutral', 'Hold'), ('underperform', '12.00x', '4.8B', 'bearish', 'Underperform'), ('none_given', '0.00x', '17', 'muted', 'None Given')) t(key, ratio, compact, tone, shown)
+  UNION ALL SELECT key, printf('%.2fx', b), CASE WHEN abs(n) >= 1e9 THEN printf('%.1fB', n / 1e9) WHEN abs(n) >= 1e6 THEN printf('%.1fM', n / 1e6) WHEN abs(n) >= 1e3 THEN printf('%.1fK', n / 1e3) ELSE printf('%.0f', n) END,
+  ['muted', 'bullish', 'bearish', 'neutral', 'neutral', 'bullish'][k + 1], CASE k WHEN 0 THEN upper(key[1]) || lower(key[2:]) WHEN 1 THEN 'Outperform' WHEN 2 THEN 'Strong Sell' WHEN 3 THEN 'n/a' WHEN 4 THEN 'Neutral' ELSE 'Buy' END
+  FROM (SELECT c_custkey % 6 AS k, [c_mktsegment, 'OUTPERFORM', 'strong_sell', '', ' neutral ', 'Buy'][c_custkey % 6 + 1] AS key, c_acctbal AS b, c_acctbal * 1000 * (CASE WHEN c_custkey % 4 = 0 THEN 1000 ELSE 1 END) + 7.3::DOUBLE AS n FROM customer)""")
 def report_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers and recommendations as a report shows them."""
     rows = spark.createDataFrame([(None, None, None), ("strong_buy", 1.5, 1500.0), ("hold", -0.25, -3.2e6), ("underperform", 12.0, 4.8e9), ("none_given", 0.0, 17.0)], "key string, r double, n double")
+    i, b = F.col("c_custkey"), F.col("c_acctbal")
+    key = F.get(F.array(F.col("c_mktsegment"), *[F.lit(x) for x in ("OUTPERFORM", "strong_sell", "", " neutral ", "Buy")]), (i % 6).cast("int"))
+    rows = rows.unionByName(domain.read(spark, sf_dir, "customer").select(key.alias("key"), b.alias("r"), (b * 1000 * F.when(i % 4 == 0, 1000).otherwise(1) + 7.3).alias("n")))
     return rows.select("key", report.ratio_text(F.col("r")).alias("ratio"), report.compact_text(F.col("n")).alias("compact"), views.analyst_tone(F.col("key")).alias("tone"), views.shown_recommendation(F.col("key")).alias("shown"))
 

@@ -67,14 +67,23 @@ SEED_MESSAGES = (
 MESSAGES = ", ".join(f"({k}, '{m}')" for k, m in enumerate(SEED_MESSAGES))
 
 
-@query(f"""WITH s AS (SELECT unnest([1, 2]) AS run_id), m AS (SELECT run_id, ord, trim(message) AS message FROM s, (VALUES {MESSAGES}) t(ord, message)),
-  v AS (SELECT * FROM m WHERE message <> '' AND NOT (run_id = 1 AND (contains(lower(message), 'openai normalization failed:') OR contains(lower(message), 'no yahoo finance news items returned')))),
+@query(f"""WITH s AS (SELECT unnest([1, 2]) AS run_id), t AS (SELECT CAST(ord AS BIGINT) AS ord, message FROM (VALUES {MESSAGES}) t(ord, message)),
+  m AS (SELECT run_id, ord, trim(message) AS message FROM s, t UNION ALL SELECT 10 + user_id % 9, event_id, trim(event_type || ' ' || message) FROM events JOIN t ON ord = event_id % 10 WHERE event_id % 10 <> 8 UNION ALL SELECT 10 + user_id % 9, event_id, '' FROM events WHERE event_id % 10 = 8),
+  f AS (SELECT 1 AS run_id, TRUE AS read, TRUE AS found UNION ALL SELECT 2, FALSE, FALSE UNION ALL SELECT 10 + user_id % 9, count(*) FILTER (event_type = 'error') >= 3, count(*) FILTER (event_type = 'signup') >= 3 FROM events GROUP BY ALL),
+  v AS (SELECT m.* FROM m JOIN f USING (run_id) WHERE message <> '' AND NOT (read AND contains(lower(message), 'openai normalization failed:') OR found AND contains(lower(message), 'no yahoo finance news items returned'))),
   k AS (SELECT *, CASE WHEN regexp_matches(lower(message), '\\bsection parse (method|reason):') OR contains(lower(message), 'regex_from_page_text') THEN 'diagnostic'
     WHEN contains(lower(message), 'fundamentals validation:') OR contains(lower(message), 'no yahoo finance news items returned') OR contains(lower(message), 'no reddit posts found') OR contains(lower(message), 'used json-ld fallback extraction') THEN 'notice' ELSE 'warning' END AS kind FROM v)
   SELECT CAST(run_id AS BIGINT) AS run_id, kind, message, CAST(min(ord) AS BIGINT) AS ord FROM k GROUP BY ALL""")
 def audit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the events' runs by kind, those that came to nothing left out: a run has documents and items if its events are many enough. Runs 1 and 2 are a seed."""
     m = spark.sql(f"SELECT run_id, ord, message FROM VALUES (1), (2) AS s(run_id), LATERAL (SELECT * FROM VALUES {MESSAGES} AS t(ord, message))")
     facts = spark.sql("SELECT * FROM VALUES (1, 3, 5), (2, 0, 0) AS t(run_id, documents, items)")
+    e = domain.read(spark, sf_dir, "events").withColumn("run_id", F.col("user_id") % 9 + 10)
+    k = F.col("event_id") % len(SEED_MESSAGES)
+    said = F.when(k == 8, " ").otherwise(F.concat_ws(" ", "event_type", F.get(F.array(*[F.lit(t) for t in SEED_MESSAGES]), k.cast("int"))))
+    many = lambda kind: F.greatest(F.count_if(F.col("event_type") == kind) - 2, F.lit(0))
+    m = m.unionByName(e.select("run_id", F.col("event_id").alias("ord"), said.alias("message")))
+    facts = facts.unionByName(e.groupBy("run_id").agg(many("error").alias("documents"), many("signup").alias("items")))
     return shaped(audit.classify_messages(audit.suppress(m, facts, ["run_id"]), ["run_id"]))
 
 
