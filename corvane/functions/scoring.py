@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -27,8 +28,8 @@ def known(value: Column, low: float, high: float) -> Column:
 
 
 def hits_sql(column: str, term: str) -> str:
-    """Occurrences of a term in a column, MAX_HITS at most, as SQL: one parse is far cheaper than hundreds of column calls."""
-    return f'least(regexp_count(lower({column}), r"{phrase(term)}"), {MAX_HITS})'
+    """Occurrences of a term in a column, MAX_HITS at most and none for null, as SQL: one parse is far cheaper than hundreds of column calls."""
+    return f'least(coalesce(regexp_count(lower({column}), r"{phrase(term)}"), 0), {MAX_HITS})'
 
 
 def density_sql(column: str, terms: Mapping[str, float]) -> str:
@@ -54,10 +55,73 @@ def matched_terms(column: str, terms: Mapping[str, float], most: int = 8) -> Col
     return F.expr(f"slice(array_compact(array({found})), 1, {most})")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _by_words(term: str) -> bool:
+    """Whether a term's occurrences are runs of whole pieces that never overlap: it begins and ends in ASCII letters or digits and no head of it is its tail."""
+    parts = re.findall(r"\w+|\W+", term)
+    return term.isascii() and bool(re.fullmatch(r"\w(?:.*\w)?", term, re.S)) and not any(parts[:k] == parts[-k:] for k in range(1, len(parts)))
+
+
+def term_counts(column: str, *lexicons: Mapping[str, float]) -> Column:
+    """map<term, hits>: the terms of all lexicons that occur in a text, with their hits, MAX_HITS at most; empty for null.
+
+    The text is cut once into words and what stands between them. Where a word begins a term, the runs of pieces from there, as
+    long as terms are, are looked up in the set of all terms; so the work does not grow with the number of terms. Terms that begin or end in
+    other characters, or that can overlap themselves, are counted by ``hits_sql``.
+    """
+    terms = dict.fromkeys(t.lower() for lexicon in lexicons for t, w in lexicon.items() if w > 0)
+    looked, others = [t for t in terms if _by_words(t)], [t for t in terms if not _by_words(t)]
+    entries = []
+    if looked:
+        pieces = [re.findall(r"\w+|\W+", t) for t in looked]
+        firsts, known_ = ", ".join(map(_quoted, dict.fromkeys(x[0] for x in pieces))), ", ".join(map(_quoted, looked))
+        widest = max(len(x) for x in pieces) // 2
+        entries.append(
+            rf"""transform(array(coalesce(regexp_extract_all(lower({column}), r"(?U)\w+|\W+", 0), array())), p ->
+            transform(array(flatten(transform(filter(transform(p, (x, i) -> if(x IN ({firsts}), i + 1, 0)), i -> i > 0), i ->
+              filter(transform(sequence(0, least({widest}, (size(p) - i) div 2)), k -> array_join(slice(p, i, 2 * CAST(k AS INT) + 1), '')), g -> g IN ({known_}))))), found ->
+            transform(array_distinct(found), t -> struct(t AS term, least(size(filter(found, g -> g = t)), {MAX_HITS}) AS hits)))[0])[0]"""
+        )
+    if others:
+        entries.append("filter(array(" + ", ".join(f"struct({_quoted(t)} AS term, {hits_sql(column, t)} AS hits)" for t in others) + "), e -> e.hits > 0)")
+    return F.expr(f"map_from_entries(concat({', '.join(entries)}))" if entries else "CAST(map() AS map<string, int>)")
+
+
+def _listed(terms: Mapping[str, float]) -> str:
+    return "array(" + ", ".join(f"struct({_quoted(t.lower())} AS t, {float(w)!r}D AS w)" for t, w in terms.items() if w > 0) + ")"
+
+
+def _counted_sql(hits: str, terms: Mapping[str, float]) -> str:
+    total = sum(float(w) for w in terms.values() if w > 0) * MAX_HITS
+    return f"greatest(0D, least(1D, aggregate({_listed(terms)}, 0D, (a, x) -> a + x.w * coalesce(try_element_at({hits}, x.t), 0)) / {total!r}D))" if total > 0 else "0D"
+
+
+def counted_density(hits: str, terms: Mapping[str, float]) -> Column:
+    """``density`` from a column of ``term_counts``."""
+    return F.expr(_counted_sql(hits, terms))
+
+
+def counted_topic(hits: str, topics: Mapping[str, Mapping[str, float]], least: float = 0.03) -> Column:
+    """``topic`` from a column of ``term_counts``."""
+    return F.expr(_topic_sql({name: _counted_sql(hits, t) for name, t in topics.items()}, least))
+
+
+def counted_terms(hits: str, terms: Mapping[str, float], most: int = 8) -> Column:
+    """array<string>: a lexicon's terms in a column of ``term_counts``, in the lexicon's order, ``most`` of them."""
+    return F.expr(f"slice(transform(filter({_listed(terms)}, x -> map_contains_key({hits}, x.t)), x -> x.t), 1, {most})" if any(w > 0 for w in terms.values()) else "CAST(array() AS array<string>)")
+
+
+def _topic_sql(densities: Mapping[str, str], least: float) -> str:
+    scored = ", ".join(f"struct({d} AS density, -{k} AS k, '{name}' AS topic)" for k, (name, d) in enumerate(densities.items()))
+    return f"transform(array(array_max(array({scored}))), b -> struct(if(b.density < {least!r}D, 'general', b.topic) AS topic, b.density AS density))[0]"
+
+
 def topic(column: str, topics: Mapping[str, Mapping[str, float]], least: float = 0.03) -> Column:
     """struct<topic, density>: the densest topic, the earlier one among equals; "general" below ``least``."""
-    scored = ", ".join(f"struct({density_sql(column, t)} AS density, -{k} AS k, '{name}' AS topic)" for k, (name, t) in enumerate(topics.items()))
-    return F.expr(f"transform(array(array_max(array({scored}))), b -> struct(if(b.density < {least!r}D, 'general', b.topic) AS topic, b.density AS density))[0]")
+    return F.expr(_topic_sql({name: density_sql(column, t) for name, t in topics.items()}, least))
 
 
 def numeric_density(text: Column) -> Column:

@@ -25,17 +25,25 @@ def block_metrics(
 ) -> DataFrame:
     """Blocks with nine densities (d_*), numeric density, topic, five scores and a lexical direction.
 
-    One narrow projection: no shuffle, all in the JVM. The direction stands in for a sentiment model: positive terms
-    less negative ones, -1 to 1.
+    Narrow projections: no shuffle, all in the JVM. The terms of all lexicons and topics are counted in one pass over a text. The direction
+    stands in for a sentiment model: positive terms less negative ones, -1 to 1.
     """
-    dense = {f"d_{name}": S.density("text", terms) for name, terms in lexicons.items()}
-    out = scorable(blocks).withColumns(dense | {"numeric_density": S.numeric_density(F.col("text")), "best": S.topic("text", topics)})
+    counted = scorable(blocks).withColumn("__hits", S.term_counts("text", *lexicons.values(), *topics.values()))
+    dense = {f"d_{name}": S.counted_density("__hits", terms) for name, terms in lexicons.items()}
+    out = counted.withColumns(dense | {"numeric_density": S.numeric_density(F.col("text")), "best": S.counted_topic("__hits", topics)}).drop("__hits")
     d = {name: F.col(f"d_{name}") for name in lexicons}
     scores = S.block_scores(d, F.col("numeric_density"), counter_weight=counter_weight, smoothing=smoothing)
     direction = S.known((d["confidence"] + d["forward"] - d["hedge"] - d["risk"]) * 2, -1, 1)
     return out.withColumns(scores | {"topic": F.col("best.topic"), "topic_density": F.col("best.density"), "direction": direction}).drop("best")
 
 
+def matched_terms(blocks: DataFrame, lexicons: Mapping[str, Mapping[str, float]] = METRICS, most: int = 8) -> DataFrame:
+    """doc_id, order_index, lexicon, terms: which terms of each lexicon a block holds, in the lexicon's order, ``most`` of them; no row where it holds none."""
+    counted = scorable(blocks).select("doc_id", "order_index", S.term_counts("text", *lexicons.values()).alias("hits")).where(F.size("hits") > 0)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("lexicon"), S.counted_terms("hits", terms, most).alias("terms")) for name, terms in lexicons.items()]))
+    return counted.select("doc_id", "order_index", each.alias("m")).select("doc_id", "order_index", "m.*").where(F.size("terms") > 0)
+
+
 def role_of(value: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
     return F.when(low.isin("operator", "moderator", "host"), "operator").when(low.isin("analyst", "research"), "analyst").when(low.isin("management", "executive"), "management").otherwise(low)
@@ -139,7 +147,7 @@ def evidence(best: Column, worst: Column, text: Column, most: int = 2) -> Column
 
 
 def diagnostics(metrics: DataFrame, counter_weight: float = 0.65, smoothing: float = 0.35) -> DataFrame:
-    """doc_id, order_index and a struct of how the scores came about: densities, net densities, settings, matched terms."""
+    """doc_id, order_index and a struct of how the scores came about: densities, net densities, settings (the terms: ``matched_terms``)."""
     d = lambda name: F.col(f"d_{name}")
     n = S.known(F.col("numeric_density") * 0.65 + d("specificity") * 0.35, 0, 1)
     net = {

@@ -154,13 +154,30 @@ def block_numeric_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SEEDED}, b AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM seeded) SELECT doc_id, order_index, " + ", ".join(f"round({sql_density(t)}, 4) AS d_{n}" for n, t in METRICS.items()) + " FROM b")
 def block_lexicon_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default lexicons."""
-    return shaped(domain.seeded_blocks(spark, sf_dir).select("doc_id", "order_index", *[S.density("text", t).alias(f"d_{n}") for n, t in METRICS.items()]))
+    counted = domain.seeded_blocks(spark, sf_dir).select("doc_id", "order_index", S.term_counts("text", *METRICS.values()).alias("hits"))
+    return shaped(counted.select("doc_id", "order_index", *[S.counted_density("hits", t).alias(f"d_{n}") for n, t in METRICS.items()]))
 
 
 @query(f"WITH {SEEDED}, base AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM seeded) SELECT doc_id, order_index, topic, round(best, 4) AS density FROM ({sql_topic(TOPICS)})")
 def block_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default topics."""
-    return shaped(domain.seeded_blocks(spark, sf_dir).withColumn("t", S.topic("text", TOPICS)).select("doc_id", "order_index", "t.topic", "t.density"))
+    return shaped(domain.seeded_blocks(spark, sf_dir).withColumn("hits", S.term_counts("text", *TOPICS.values())).withColumn("t", S.counted_topic("hits", TOPICS)).select("doc_id", "order_index", "t.topic", "t.density"))
+
+
+#: The default lexicons, which the seed meets, and the corpus's.
+BOTH = METRICS | {f"corpus_{name}": terms for name, terms in domain.CORPUS_LEXICON.items()}
+
+
+def sql_matched(terms: dict[str, float]) -> str:
+    held = ", ".join(f"CASE WHEN {sql_hits(t)} > 0 THEN '{t.replace(chr(39), chr(39) * 2)}' END" for t in terms)
+    return f"array_to_string(list_filter([{held}], lambda x: x IS NOT NULL)[1:8], '|')"
+
+
+@query(f"WITH {SEEDED}, b AS (SELECT doc_id, order_index, {DOUBLED} AS dbl FROM seeded WHERE {SCORABLE}) SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, order_index, '{n}' AS lexicon, {sql_matched(t)} AS terms FROM b" for n, t in BOTH.items()) + ") WHERE terms <> ''")
+def block_matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of each lexicon that a block holds."""
+    m = metrics.matched_terms(domain.seeded_blocks(spark, sf_dir), BOTH)
+    return shaped(m.select("doc_id", "order_index", "lexicon", F.array_join("terms", "|").alias("terms")))
 
 
 # --- blocks ---------------------------------------------------------------------------------------

@@ -37,6 +37,22 @@ def test_block_without_hits_or_digits(spark):
     assert (r.confidence, r.evasiveness, r.specificity) == pytest.approx((62.0913, 47.7634, 71.0839), abs=1e-3)
 
 
+def test_terms_counted_in_one_pass_equal_one_pattern_each(spark):
+    terms = {"free cash flow": 1.0, "cash": 0.7, "cash flow": 0.5, "can't comment": 1.2, "write-down": 1.0, "we": 0.3, "a b a": 0.4, "$5b": 2.0, "r&d": 0.9, "late  gap": 0.6, "Über": 0.2, "flow": 0.8, "none": 0.0}
+    other = {"flow": 1.0, "free": 0.1, "b": 0.3, "comment": 0.4}
+    texts = [
+        None, "", "flow", "Free cash flow, free  cash flow; FREE CASH\nFLOW and free cash flow. cash cash cash cash", "We can't comment: we can\u2019t. write-down writedown write - down", "a b a b a b a", "cost $5b and $5billion, r&d r & d R&D",
+        "late  gap late gap", "\u00fcber \u00dcber u\u0308ber we\u0308 \u00e9we we_ we9 we-we 'we'", "flow free cash", "free cash", "x" * 5000 + " cash flow", "cash" * 50, "free cash free cash flow cash flow",
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string").withColumn("hits", S.term_counts("text", terms, other))
+    both = [(f"{kind}{k}", x, y) for k, lexicon in enumerate((terms, other)) for kind, x, y in (("d", S.counted_density("hits", lexicon), S.density("text", lexicon)), ("m", S.counted_terms("hits", lexicon), F.transform(S.matched_terms("text", lexicon), F.lower)))]
+    pairs = {"t": terms, "o": other}
+    rows = df.select("id", *[x.alias(f"new_{n}") for n, x, _ in both], *[F.coalesce(y, F.array().cast("array<string>")).alias(f"old_{n}") if n[0] == "m" else y.alias(f"old_{n}") for n, _, y in both], S.counted_topic("hits", pairs).alias("new_p"), S.topic("text", pairs).alias("old_p")).collect()
+    for r in rows:
+        for n in [n for n, *_ in both] + ["p"]:
+            assert r[f"new_{n}"] == r[f"old_{n}"], (texts[r.id], n)
+
+
 def test_topic_ties_go_to_the_earlier_topic(spark):
     pick = lambda text, topics: spark.sql(f"SELECT '{text}' AS text").select(S.topic("text", topics)["topic"]).first()[0]
     assert pick("a b", {"x": {"a": 1.0}, "y": {"b": 1.0}}) == "x" and pick("c", {"x": {"a": 1.0}}) == "general"
