@@ -298,6 +298,52 @@ def test_names_of_one_person(spark):
     assert not any("operator" in a for _, a in got) and len(got) == 8
 
 
+def test_a_chain_of_names_does_not_join_its_ends(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from corvane.operators import people
+
+    rng = random.Random(7)
+    rows, base = [], ["christopher", "alexandrine", "maximiliana"]
+    for doc in range(12):
+        firsts = [base[doc % 3]]
+        for _ in range(14):
+            f = list(rng.choice(firsts))
+            f[rng.randrange(len(f))] = rng.choice("abcxyz")
+            firsts.append("".join(f))
+        rng.shuffle(firsts)
+        rows += [(doc, rng.randint(1, 3), k, f"{f.capitalize()} {('Lindqvist', 'Oyelaran-Mc')[k % 2]}") for k, f in enumerate(firsts)]
+
+    def ratio(a, b):
+        return SequenceMatcher(None, a, b).ratio()
+
+    want = {}
+    for doc in range(12):
+        leaders, seen, best = [], {}, {}
+        for _, p, k, name in sorted((r for r in rows if r[0] == doc), key=lambda r: (-r[1], r[2])):
+            key = name.lower().replace("-", " ")
+            first, last = key.split()[0], key.split()[-1]
+            lead = seen.get((first, last))
+            if lead is None:
+                scored = [(0.6 * ratio(first, lf) + 0.4 * ratio(key, lk), -i) for i, (lf, ll, lk) in enumerate(leaders) if ll == last and ratio(first, lf) >= 0.88]
+                top = max(scored, default=(0, 0))
+                if top[0] >= 0.92:
+                    lead = -top[1]
+                else:
+                    leaders.append((first, last, key))
+                    lead = len(leaders) - 1
+                seen[first, last] = lead
+            best[lead] = max(best.get(lead, (0,)), (p, len(key.split()), len(name), -k, name))
+            want[doc, key] = lead
+        want |= {(doc, key): best[lead][-1] for (d, key), lead in want.items() if d == doc}
+    got = {(r.doc_id, r.alias): r.canonical for r in people.canonical_names(spark.createDataFrame(rows, "doc_id bigint, priority int, ord bigint, name string")).collect()}
+    assert {k: got[k] for k in want} == want
+    three = [(1, 3, 0, "Abcdefghijkl Roe"), (1, 2, 1, "Abcdefghijkx Roe"), (1, 1, 2, "Abcdefghijyx Roe")]
+    got = {r.alias: r.canonical for r in people.canonical_names(spark.createDataFrame(three, "doc_id bigint, priority int, ord bigint, name string")).collect()}
+    assert got == {"abcdefghijkl roe": "Abcdefghijkl Roe", "abcdefghijkx roe": "Abcdefghijkl Roe", "abcdefghijyx roe": "Abcdefghijyx Roe"}
+
+
 def test_participants_over_the_cap_are_returned(spark):
     from corvane.operators import people
 
