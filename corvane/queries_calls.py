@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 from .functions import scoring as S
 from .functions import text as T
 from .operators import audit, candidates, metrics, people, quarters, scorers, transcripts, views
-from .queries import BAND, BLOCK, COMPACT, GUARD, LINES, METRIC, ROLES, SENTENCES, corpus_metrics, query, shaped, sql_any
-from .sources import domain
-from .sources.store import store
+from .queries import AS_OF, BAND, BLOCK, COMPACT, GUARD, LINES, METRIC, ROLES, SENTENCES, corpus_metrics, query, shaped, sql_any
+from .sources import cache, domain
+from .sources.store import base_path, store
 
 ROSTER = ((-1, "Jane Roe", "Chief Executive Officer"), (-1, "Ann Kim", "Research Analyst"))
 ALL_SECTIONS = f"""{ROLES}, part AS (SELECT doc_id, order_index, section_type, speaker, CASE WHEN role <> 'unknown' THEN role END AS role, text FROM typed JOIN resolved USING (doc_id, speaker)
@@ -389,6 +391,30 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain.read(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit("FR::2024-Q1::"), candidates.cache_key(F.col("url"))).alias("cache_key"))
 
 
+@query(f"""WITH r AS (SELECT page_id, substr(sha1('SYM' || page_id % 5 || '|2024-Q1|' || coalesce(url, '')), 1, 12) AS key, html FROM pages),
+  e AS (SELECT key, page_id, {AS_OF} - to_hours(page_id * 7 % 60) AS seen, 'first ' || page_id AS payload FROM r WHERE page_id % 3 <> 0 UNION ALL SELECT key, page_id, {AS_OF} - to_hours(page_id * 5 % 30 - 2), 'second ' || page_id FROM r WHERE page_id % 4 = 0),
+  n AS (SELECT key, max(seen) AS seen, arg_max(payload, (seen, payload)) AS payload FROM e WHERE seen <= {AS_OF} GROUP BY key),
+  s AS (SELECT r.*, n.seen, payload, CASE WHEN seen IS NULL THEN 'miss' WHEN {AS_OF} - seen >= INTERVAL 24 HOUR THEN 'stale' ELSE 'hit' END AS status FROM r LEFT JOIN n USING (key)),
+  f AS (SELECT key, max(length(html)) AS chars FROM s WHERE status <> 'hit' GROUP BY key)
+  SELECT page_id, key, status, CASE WHEN status = 'hit' THEN payload ELSE 'fetched ' || chars END AS payload, 'hit' AS again FROM s LEFT JOIN f USING (key)""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by what a store of two appends, then compacted, holds of them: hit, stale or miss, the payload after fetching what is not a hit, and the status of a second run."""
+    path, at, i = f"{base_path(spark)}/{uuid.uuid4().hex}", domain.as_of(), F.col("page_id")
+    key = candidates.cache_key(F.concat(F.lit("SYM"), (i % 5).cast("string")), F.lit("2024-Q1"), F.col("url"))
+    r = domain.read(spark, sf_dir, "pages").select("page_id", key.alias("key"), F.length("html").alias("chars"))
+    before = lambda hours: F.timestamp_seconds(F.unix_timestamp(at) - hours * 3600)
+    cache.append(r.where(i % 3 != 0).select("key", before(i * 7 % 60).alias("at"), F.concat(F.lit("first "), i).alias("payload")), path)
+    late = i * 5 % 30 - 2
+    second = r.where(i % 4 == 0).select("key", before(late).alias("at"), F.concat(F.lit("second "), i).alias("payload"))
+    cache.append(second, path)
+    first = store(cache.lookup(r, cache.entries(spark, path), at, 86_400).select("page_id", "key", "status"))
+    done = cache.through(r, path, lambda open_: open_.select("key", F.concat(F.lit("fetched "), "chars").alias("payload")), at, 86_400).select("page_id", "payload")
+    done = store(done)
+    cache.vacuum(spark, path, cache.compact(spark, path, at))
+    again = cache.lookup(r, cache.entries(spark, path), at, 86_400).select("page_id", F.col("status").alias("again"))
+    return first.join(done, "page_id").join(again, "page_id")
+
+
 @query(f"""WITH {WANTED}, t AS (SELECT symbol, ord, url, ord % 2 = 0 AS titled, ord % 6 = 0 AS matched FROM cq) SELECT symbol, ord, n FROM (SELECT symbol, ord, row_number() OVER (PARTITION BY symbol ORDER BY ord) AS n FROM t WHERE titled AND (symbol, url) NOT IN (SELECT (symbol, url) FROM t WHERE titled AND matched)) WHERE n <= 25""")
 def near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript-like candidates that another company's name was on."""

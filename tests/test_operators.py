@@ -344,6 +344,38 @@ def test_a_chain_of_names_does_not_join_its_ends(spark):
     assert got == {"abcdefghijkl roe": "Abcdefghijkl Roe", "abcdefghijkx roe": "Abcdefghijkl Roe", "abcdefghijyx roe": "Abcdefghijyx Roe"}
 
 
+def test_a_store_of_fetched_payloads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from corvane.sources import cache
+
+    path, at = f"file://{tmp_path}/store", F.lit("2024-01-31 00:00:00").cast("timestamp")
+    requests = spark.createDataFrame([("aa1", 1), ("ab2", 2), ("ab2", 3), (None, 4), ("cc3", 5), ("dd4", 6)], "key string, n int")
+    status = lambda: {r.n: (r.status, r.payload) for r in cache.lookup(requests, cache.entries(spark, path), at, 3600).collect()}
+    assert status() == {n: ("miss", None) for n in range(1, 7)} and cache.compact(spark, path, at) == []
+    made = lambda rows: spark.createDataFrame(rows, "key string, at string, payload string").withColumn("at", F.col("at").cast("timestamp"))
+    writes = [[("aa1", "2024-01-30 22:59:59", "old"), ("ab2", "2024-01-30 23:00:01", "x")], [("aa1", "2024-01-30 22:00:00", "older"), ("cc3", "2024-01-30 23:00:00", "edge"), ("dd4", "2024-02-01 00:00:00", "later")], [("ab2", "2024-01-30 23:00:01", "y"), (None, "2024-01-30 23:00:01", "no key"), ("dd4", None, "no time")]]
+    with ThreadPoolExecutor(3) as pool:  # writers at the same time
+        list(pool.map(lambda rows: cache.append(made(rows), path), writes))
+    want = {1: ("stale", "old"), 2: ("hit", "y"), 3: ("hit", "y"), 4: ("miss", None), 5: ("stale", "edge"), 6: ("miss", None)}
+    assert len(cache.batches(spark, path)) == 3 and status() == want
+    asked = []
+
+    def fetch(open_):
+        asked.append(sorted(r.key for r in open_.collect()))
+        return open_.where("key <> 'cc3'").select("key", F.concat(F.lit("new "), "key").alias("payload"))
+
+    fill = lambda: {r.n: (r.status, r.payload) for r in cache.through(requests, path, fetch, at, 3600).collect()}
+    want |= {1: ("hit", "new aa1"), 6: ("hit", "new dd4")}
+    assert fill() == want and fill() == want and asked == [["aa1", "cc3", "dd4"], ["cc3"]]
+    old = cache.compact(spark, path, at)
+    cache.append(made([("cc3", "2024-01-30 23:30:00", "late writer")]), path)
+    cache.vacuum(spark, path, old)
+    assert len(old) == 5 and len(cache.batches(spark, path)) == 2
+    assert status() == want | {5: ("hit", "late writer")}
+    assert cache.lookup(requests, cache.entries(spark, path), F.lit("2024-02-01 00:00:01").cast("timestamp"), 3600).where("key = 'dd4'").first().payload == "later"
+
+
 def test_participants_over_the_cap_are_returned(spark):
     from corvane.operators import people
 
