@@ -50,9 +50,10 @@ def _settle(left: DataFrame, marks: list[str], near: DataFrame | None) -> tuple[
     parts = store(components(reduce(DataFrame.unionByName, links)))
     joined = store(tagged.join(parts.withColumnRenamed("node", "__row"), "__row", "left").withColumn("component", F.coalesce("component", "__row")))
     sizes = joined.groupBy("component").count()
-    large = store(sizes.where(F.col("count") > COMPONENT_ROWS))
+    large = sizes.where(F.col("count") > COMPONENT_ROWS)
     now = joined
     if not large.isEmpty():
+        large = store(large)
         # a sample by hash says where three quarters of COMPONENT_ROWS rows end; the first row of a component is always among them
         rate = max(1, COMPONENT_ROWS * 3 // (4 * PLACES))
         sample = joined.where(F.pmod(F.xxhash64("__row"), F.lit(rate)) == 0).join(large, "component")
