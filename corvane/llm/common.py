@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: White space that separates words (space, tab, line feed, vertical tab, form feed, carriage return).
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +54,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def id_type(docs: DataFrame, name: str) -> str:
+    """The type in which an id column is kept: whole numbers as bigint, all others (text ids, say) as they are."""
+    t = docs.schema[name].dataType
+    return "bigint" if isinstance(t, IntegralType) else t.simpleString()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
+
 PATH_DIM, WORD_DIM, COUNTS = 512, 64, 4
 #: Slots of names that are not in the training vocabulary: they tell nothing, so they share a few.
 UNKNOWN = 32
@@ -429,7 +431,8 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
 
     Null or empty html gives an empty text; references are decoded, white space inside a block is one space,
     blocks are joined by a line feed. Repeated rows get equal results, other columns are ignored, and
-    pages are labelled independently of each other (no shuffle).
+    pages are labelled independently of each other (no shuffle). A very long page is read whole; an empty
+    table gives an empty result; ids may be text.
     """
     sent = pages.sparkSession.sparkContext.broadcast(trained() if model is None else model)  # of fixed size
 
@@ -442,5 +445,6 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
                 cols = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    kind = id_type(pages, page_id)
+    rows = pages.select(F.col(page_id).cast(kind).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

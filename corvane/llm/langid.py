@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
+
 DIM = 1 << 12
 #: Labelled texts per language that machines are fitted on, at most.
 SAMPLE_PER_LANG = 400
@@ -165,7 +167,8 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
     """doc_id, lang_pred and score (0 to 1) of every whole text.
 
     Null, empty and letterless texts, and all texts if the model has learned nothing, are ``und`` with
-    score 0. Rows are independent: repeated rows get equal results; other columns are ignored; a very long text is one vector like any other.
+    score 0. Rows are independent: repeated rows get equal results; other columns are ignored; a very long text is one vector like any other;
+    an empty table gives an empty result; ids may be text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages squared times DIM at most
 
@@ -182,5 +185,6 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
             langs, scores = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(predict, "doc_id bigint, lang_pred string, score double")
+    kind = id_type(docs, doc_id)
+    rows = docs.select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import id_type, materialize
 
 MIN_EDIT_WORDS = 5
 SPACES = r"[\x20\x09-\x0D]+"
@@ -71,7 +71,7 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = text.split("\n")
             rows += [(doc, th, w["line"], w["a"], w["b"], b" ".join(lines[w["line"]].encode().split()).decode()) for w in want]
         cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        kinds = (b.schema.field("doc").type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "th", "line", "a", "b", "form"])
 
 
@@ -127,7 +127,11 @@ def _with_lists(docs: DataFrame, rows: DataFrame, value: Column, name: str, how:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole = F.col(text).cast("string")
-    return docs.withColumns({"doc": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63))), "th": F.xxhash64(whole), "text": whole})
+    if id_type(docs, doc_id) == "bigint":
+        doc = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63)))
+    else:  # a mark before the text keeps the order and leaves one key below all for null
+        doc = F.coalesce(F.concat(F.lit("1"), F.col(doc_id).cast("string")), F.lit("0"))
+    return docs.withColumns({"doc": doc, "th": F.xxhash64(whole), "text": whole})
 
 
 def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: int = 1) -> DataFrame:
@@ -138,11 +142,12 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     ``th``, a hash of the text, names a document together with its id: rows equal in both are one
     document and lose nothing because of each other; rows that share only the id are ordered by th. A
-    null id stands for the least one. Null texts have no lines; lines without words always stay.
+    null id stands for the least one; ids may be text, ordered by code point (``doc`` is then "1" and the id, "0" for null). Null texts have no lines; lines without words always stay.
     """
     if edits not in (0, 1):
         raise ValueError(f"edits is 0 or 1, not {edits}")
     docs = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").select("doc", "th", "text")
+    kind = docs.schema["doc"].dataType.simpleString()
     lines = materialize(_lines(docs), "line-hashes")
     here = F.struct("doc", "th", "line")
     firsts = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
@@ -156,10 +161,10 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     shared = halves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     near = halves.join(shared, "h").groupBy("first").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("first.*", "a", "b")
     held = _with_lists(docs, near, F.struct("line", "a", "b"), "want", "inner")
-    cand = held.mapInArrow(_pick, "doc bigint, th bigint, line int, a int, b int, form string")
+    cand = held.mapInArrow(_pick, f"doc {kind}, th bigint, line int, a int, b int, form string")
     cand = materialize(cand, "line-candidates")
 
-    variants = cand.mapInArrow(_emit, "doc bigint, th bigint, line int, key bigint, place int")
+    variants = cand.mapInArrow(_emit, f"doc {kind}, th bigint, line int, key bigint, place int")
     earliest = materialize(variants.groupBy("key", "place").agg(F.min(here).alias("lo"), F.count(F.lit(1)).alias("n")), "line-variants")
     # one place: all members are within one edit of the earliest
     at_place = earliest.where("place >= 0 AND n > 1").select("key", "place", F.col("lo").alias("other"))
@@ -172,7 +177,7 @@ def removed_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     pairs = pairs.unionByName(fewer).unionByName(more).where("other < me").groupBy("me").agg(F.min("other").alias("other"))
     forms = cand.select(here.alias("me"), "form")
     checked = pairs.join(forms, "me").join(forms.select(F.col("me").alias("other"), F.col("form").alias("other_form")), "other")
-    close = checked.select("me.*", "form", F.col("other_form").alias("other")).mapInArrow(_verify, "doc bigint, th bigint, line int")
+    close = checked.select("me.*", "form", F.col("other_form").alias("other")).mapInArrow(_verify, f"doc {kind}, th bigint, line int")
     return copies.unionByName(close).distinct()
 
 

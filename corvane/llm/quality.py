@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, same, sized
+from .common import id_type, materialize, same, sized
 
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -76,9 +76,10 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_stats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, host, STATS and n_lines of every whole text; null text has no words."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_stats, "doc_id bigint, host string, " + ", ".join(f"{c} bigint" for c in (*STATS, "n_lines")))
+    """doc_id, host, STATS and n_lines of every whole text; null text has no words. Ids may be text."""
+    kind = id_type(docs, doc_id)
+    rows = docs.select(F.col(doc_id).cast(kind).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_stats, f"doc_id {kind}, host string, " + ", ".join(f"{c} bigint" for c in (*STATS, "n_lines")))
 
 
 def host_verdicts(stats: DataFrame, *, max_rate: float = 0.5) -> DataFrame:

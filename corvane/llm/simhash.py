@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import materialize, same, sized
+from .common import id_type, materialize, same, sized
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -59,10 +59,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text) and fp (the fingerprint as a signed bigint) of every whole text."""
+    """doc_id, th (hash of the text) and fp (the fingerprint as a signed bigint) of every whole text. Ids may be text; the least one is then by code point."""
     whole = F.col(text).cast("string")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("th"), whole.alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, th bigint, fp bigint")
+    kind = id_type(docs, doc_id)
+    rows = docs.select(F.col(doc_id).cast(kind).alias("doc_id"), F.xxhash64(whole).alias("th"), whole.alias("text"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, th bigint, fp bigint")
 
 
 def trie_join(fps: np.ndarray, roots: np.ndarray, budget: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +237,7 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     gone = sized(gone.distinct(), "near-copies")
     again = classes.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).count().where("count > 1").select("__d", "__t")
     again = sized(same(again, gone, ["__d", "__t"], "left_anti"), "near-repeats")
-    keyed = docs.withColumn("__d", F.col(doc_id).cast("bigint")).withColumn("__t", F.xxhash64(F.col(text).cast("string")))
+    keyed = docs.withColumn("__d", F.col(doc_id).cast(id_type(docs, doc_id))).withColumn("__t", F.xxhash64(F.col(text).cast("string")))
     left = same(keyed, gone, ["__d", "__t"], "left_anti")
     if not again.isEmpty():
         left = same(left, again, ["__d", "__t"], "left_anti").unionByName(same(left, again, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]))
