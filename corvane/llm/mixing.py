@@ -19,13 +19,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, materialize, same
+from .common import SPACE_WORD, id_type, materialize, same
 
 MAX_REPEATS = 3
 #: A source is cut into at least so many blocks, if it has the tokens.
 MIN_BLOCKS = 64
 #: Slots at most, so that k * g stays within 63 bits; block_tokens grows beyond.
 MAX_SLOTS = 2_000_000_000
+#: Bits of the levels that one pass over the sources settles.
+DIGIT = 16
 #: Slots or documents in a range of the two-level sums, at least.
 RANGE = 1 << 10
 
@@ -38,7 +40,7 @@ def with_targets(sources: DataFrame) -> DataFrame:
     """Adds source_no (from 1), weight and target to (source, source_size): 1, 2, 3 in turn by code point order, null last.
 
     Shares of the total by weight stop at MAX_REPEATS times the source's size; what is over goes to the
-    others by weight, until none is above. Each round is a sum over the sources; the driver sees sums.
+    others by weight, until none is above.
     Sources are numbered inside ranges of their order and by the ranges' counts (``last`` and ``range`` name the order),
     so that no task holds all of them.
     """
@@ -47,19 +49,37 @@ def with_targets(sources: DataFrame) -> DataFrame:
     numbered = _running(materialize(ranged, "mix-ranges"), [], "range", ["last", "source"], F.lit(1))
     s = numbered.select("source", "source_size", "last", "range", (F.col("before") + 1).alias("source_no"), (F.col("before") % 3 + 1).cast("double").alias("weight"))
     s = materialize(s, "mix-sources")
-    level = capped = None
-    total = s.agg(F.sum("source_size")).first()[0] or 0
-    while True:
-        full = F.lit(False) if level is None else F.col("weight") * level > MAX_REPEATS * F.col("source_size")
-        r = s.agg(
-            F.count(F.when(full, 1)).alias("n"),
-            F.coalesce(F.sum(F.when(full, MAX_REPEATS * F.col("source_size"))), F.lit(0)).alias("held"),
-            F.sum(F.when(~full, F.col("weight"))).alias("w"),
-        ).first()
-        if r["n"] == capped or not r["w"]:
+    return s.withColumn("target", F.least(F.col("weight") * F.lit(_level(s)), (MAX_REPEATS * F.col("source_size")).cast("double")))
+
+
+def _level(s: DataFrame) -> float:
+    """The level at which weight * level, held at MAX_REPEATS times a source's size, sums to the total.
+
+    Sources fill in the order of size over weight. Weights are 1, 2 and 3, so ``k`` = 6 * size / weight is whole; a source is full
+    if the sum is under the total at its own level, MAX_REPEATS * k / 6. The last full k is found by its digits from the top, DIGIT
+    bits a pass, from sums by digit (2 ** DIGIT rows at most), so the number of passes doesn't depend on the sources.
+    """
+    s = s.select((F.col("source_size") * F.expr("int(6 / weight)")).alias("k"), "source_size", F.col("weight").cast("bigint").alias("w"))
+    total, left, top = s.agg(F.sum("source_size"), F.sum("w"), F.max("k")).first()
+    if not total:
+        return 0.0
+    # held and left: size of the full sources, weight of the others
+    held, lo, bits = 0, 0, top.bit_length()
+    under = lambda held, left, k: 6 * MAX_REPEATS * held + left * MAX_REPEATS * k < 6 * total
+    while bits > 0:
+        here = s.where(F.col("k").between(lo, lo + 2**bits - 1))
+        bits = max(0, bits - DIGIT)
+        rows = here.groupBy(F.shiftright("k", bits).alias("digit")).agg(F.min("k"), F.max("k"), F.sum("source_size"), F.sum("w")).collect()
+        for digit, least, most, size, w in sorted(rows):
+            if under(held + size, left - w, most):
+                held, left = held + size, left - w
+                continue
+            if under(held, left, least):  # some of these
+                lo = digit << bits
+            else:
+                bits = 0
             break
-        capped, level = r["n"], (total - r["held"]) / r["w"]
-    return s.withColumn("target", F.least(F.col("weight") * F.lit(float(level or 0.0)), (MAX_REPEATS * F.col("source_size")).cast("double")))
+    return (total - MAX_REPEATS * held) / left
 
 
 def stride(m: int) -> int:
@@ -99,7 +119,7 @@ def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     ``docs``: doc_id, source_no, size, source_size, target and before (its offset in its source's stream).
     mix: slot, source_no, before, doc_id, start, tokens: slot by slot the pieces of documents that the mix consists of.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
+    rows = docs.select(F.col(doc_id).cast(id_type(docs, doc_id)).alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
     rows = materialize(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-sizes")
     sources = with_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     total, n_sources = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
@@ -141,7 +161,7 @@ def mix_summary(docs: DataFrame, **options: object) -> DataFrame:
 
     Null texts have size 0 and are never taken; a null source is a source, weighted last; rows that
     repeat are documents of their own; a very long text is spread over blocks; other columns are ignored; an empty table gives an empty
-    result. No document is taken more than MAX_REPEATS times, and a rerun gives the same mix.
+    result; ids may be text. No document is taken more than MAX_REPEATS times, and a rerun gives the same mix.
     """
     _, placed, mix = schedule(docs, **options)
     taken = mix.groupBy("source_no", "before").agg(F.sum("tokens").alias("taken"))

@@ -112,3 +112,13 @@ def test_sources_are_numbered_over_ranges(spark):
     assert len({r["range"] for r in got}) > 1
     order = sorted((n for n in names if n is not None), key=str.encode) + [None]
     assert {r["source"]: (r["source_no"], r["weight"]) for r in got} == {n: (k + 1, float(k % 3 + 1)) for k, n in enumerate(order)}
+
+
+@pytest.mark.parametrize("sizes", [[2**k for k in range(40)], [5] * 7, [0, 0, 0], [0, 9, 1], [10**6, *range(1, 200)], [1, 10**15, 3, 70_000, 70_001, 65_536]])
+def test_level_of_many_saturations(spark, sizes):
+    named = {f"s{k:04d}": v for k, v in enumerate(sizes)}
+    rows = spark.createDataFrame(list(named.items()), "source string, source_size bigint")
+    got = {r.source: r.target for r in M.with_targets(rows).collect()}
+    want = targets(named)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-12) for s in want)
+    assert sum(got.values()) == pytest.approx(sum(sizes))
