@@ -124,6 +124,21 @@ def metric_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(predictions(spark, sf_dir, "confidence").drop("probabilities"))
 
 
+@query(f"""WITH {BLOCK}, {PRED} SELECT doc_id, order_index, length({_PROMPT}) % 7 = 0 AS failed, CASE WHEN length({_PROMPT}) % 7 <> 0 THEN p_band END AS band
+  FROM block JOIN pred USING (doc_id, order_index) WHERE p_band IS NOT NULL OR length({_PROMPT}) % 7 = 0""")
+def failed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier that gives up a whole batch for each prompt of a length divisible by 7: only these prompts are lost."""
+
+    def brittle(texts: list[str]) -> tuple[list[str], np.ndarray]:
+        if any(len(t) % 7 == 0 for t in texts):
+            raise RuntimeError("no answer")
+        return by_length(texts)
+
+    read = scorers.prompt(F.col("speaker_role"), F.col("section_type"), F.col("text"))
+    p = scorers.predict_bands(domain.blocks(spark, sf_dir).withColumn("prompt", read), "confidence", brittle)
+    return shaped(p.select("doc_id", "order_index", F.col("score").isNull().alias("failed"), "band"))
+
+
 _NEAR3 = "CASE WHEN abs(30 - value) <= least(abs(50 - value), abs(70 - value)) THEN 'low' WHEN abs(50 - value) <= abs(70 - value) THEN 'medium' ELSE 'high' END"
 RESOLVED = f"""{METRIC}, {PRED}, tall AS (SELECT doc_id, order_index, text, evasiveness, metric, lexical FROM (SELECT *, unnest(['confidence', 'directness', 'outlook_strength', 'specificity', 'risk_intensity']) AS metric,
   unnest([confidence, 100.0 - evasiveness, outlook, specificity, risk]) AS lexical FROM metric)),

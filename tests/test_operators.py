@@ -393,12 +393,35 @@ def test_a_failing_model_is_neutral(spark):
         return [(1.0, 0.0, 0.0)] * len(texts)
 
     df = spark.createDataFrame([(1, "good " * 25), (2, "bad"), (3, None), (4, "good " * 10 + "bad")], "id int, t string")
-    got = {r.id: tuple(r.triple) for r in scorers.windowed_scores(df, score, "t", tokens=10, batch=1).collect()}
-    assert got == {1: (1.0, 0.0, 0.0), 2: (0.0, 0.0, 1.0), 3: (0.0, 0.0, 1.0), 4: (0.5, 0.0, 0.5)}
+    for batch in (1, 3, 16):  # the windows that share a batch with a failing one keep their answers
+        got = {r.id: (*r.triple, r.failed) for r in scorers.windowed_scores(df, score, "t", tokens=10, batch=batch).collect()}
+        assert got == {1: (1.0, 0.0, 0.0, 0), 2: (0.0, 0.0, 1.0, 1), 3: (0.0, 0.0, 1.0, 0), 4: (0.5, 0.0, 0.5, 1)}
     null = scorers.score_text(df, lambda c: F.when(F.col(c) == "bad", 0.5), "t").collect()
     assert [r.score for r in null] == [0.0, 0.5, 0.0, 0.0]
 
 
+def test_batches_are_halved_and_come_back_in_order():
+    from corvane.operators import scorers
+
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError
+        return [t.upper() for t in texts]
+
+    items = [f"{'x' * (37 * k % 23)}{k}" for k in range(64)]
+    items[40] = "bad"
+    got = scorers.by_size(model, items, 64)
+    assert got == [None if t == "bad" else t.upper() for t in items]
+    assert len(calls) == 13 and calls[0] == 64  # the whole, then two halves at each of six levels
+    assert scorers.by_size(model, [], 8) == [] and scorers.halving(lambda t: [], ["a", "b"]) == [None, None]
+    loads = []
+    twice = scorers.per_worker("test-model", lambda: loads.append(1) or model)
+    assert twice(["a"]) == ["A"] and twice(["b"]) == ["B"] and loads == [1]
+
+
 def test_lines_of_a_page():
     from corvane.operators import pages
 
