@@ -14,6 +14,7 @@ from .operators import audit, candidates, metrics, people, quarters, scorers, tr
 from .queries import AS_OF, BAND, BLOCK, COMPACT, GUARD, LINES, METRIC, ROLES, SENTENCES, corpus_metrics, query, shaped, sql_any
 from .sources import cache, domain
 from .sources.store import base_path, store
+from .streaming import jobs
 
 ROSTER = ((-1, "Jane Roe", "Chief Executive Officer"), (-1, "Ann Kim", "Research Analyst"))
 ALL_SECTIONS = f"""{ROLES}, part AS (SELECT doc_id, order_index, section_type, speaker, CASE WHEN role <> 'unknown' THEN role END AS role, text FROM typed JOIN resolved USING (doc_id, speaker)
@@ -456,6 +457,39 @@ def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("k", audit.retry_kind(F.col("error"))).select("error", "k.kind", "k.retry")
 
 
+_JOB_STAGES = {"news": 3.0, "social": 2.0, "scores": 5.0}
+_JOB_EVENTS = """n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+  e AS (SELECT user_id * 1000000 + n // 12 AS job_id, ts, event_id, ['news', 'social', 'scores'][event_id % 3 + 1] AS stage, value / 200 AS progress, CASE WHEN event_id % 10 > 0 THEN 'm' || event_id END AS message,
+    CASE WHEN n % 12 = 0 THEN 'queued' WHEN n % 12 = 1 THEN 'running' WHEN n % 12 = 11 THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'completed' END WHEN n % 12 = 9 AND n // 12 % 2 = 0 THEN 'completed'
+      ELSE ['stage_started', 'stage_progress', 'stage_completed', 'stage_failed'][event_id // 3 % 4 + 1] END AS event FROM n)"""
+_JOB_STATE = """max_by(CASE event WHEN 'stage_completed' THEN 'done' WHEN 'stage_failed' THEN 'error' ELSE 'loading' END, (ts, event_id)) FILTER (stage = '{0}' AND event LIKE 'stage%')"""
+_JOB_PART = """coalesce(max(CASE event WHEN 'stage_started' THEN 0.02 WHEN 'stage_progress' THEN greatest(0.0, least(0.99, progress)) WHEN 'stage_completed' THEN 1.0 ELSE 0.0 END::DOUBLE) FILTER (stage = '{0}'), 0.0)"""
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve events of a user in a row as a job: queued, running, stages, an end; every other job ends three events early."""
+    n = domain.read(spark, sf_dir, "events").selectExpr("*", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n")
+    return n.selectExpr(
+        "user_id * 1000000 + n DIV 12 AS job_id", "ts", "event_id AS seq", "element_at(array('news', 'social', 'scores'), int(event_id % 3) + 1) AS stage", "value / 200 AS progress", "CASE WHEN event_id % 10 > 0 THEN 'm' || event_id END AS message",
+        "CASE WHEN n % 12 = 0 THEN 'queued' WHEN n % 12 = 1 THEN 'running' WHEN n % 12 = 11 THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'completed' END WHEN n % 12 = 9 AND n DIV 12 % 2 = 0 THEN 'completed' "
+        "ELSE element_at(array('stage_started', 'stage_progress', 'stage_completed', 'stage_failed'), int(event_id DIV 3 % 4) + 1) END AS event",
+    )
+
+
+@query(f"""WITH {_JOB_EVENTS}, s AS (SELECT *, CASE WHEN event NOT LIKE 'stage%' THEN event END AS status FROM e WHERE ts <= TIMESTAMP '2024-01-25 12:00:00'),
+  p AS (SELECT *, last_value(status IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS last_ts FROM s),
+  k AS (SELECT * FROM (SELECT *, max(coalesce(was IN ('completed', 'failed') AND ts - last_ts > INTERVAL 18 HOUR, false)) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS late FROM p) WHERE NOT late),
+  g AS (SELECT job_id, max_by(status, (ts, event_id)) FILTER (status IS NOT NULL) AS status, max(ts) AS updated_ts, list(message ORDER BY ts DESC, event_id DESC)[:5] AS m,
+    {", ".join(_JOB_PART.format(s) + f" AS p{k}, coalesce({_JOB_STATE.format(s)}, 'pending') AS s{k}" for k, s in enumerate(_JOB_STAGES))} FROM k GROUP BY job_id)
+  SELECT job_id, status, round((p0 * 3 + p1 * 2 + p2 * 5) * 10, 4) AS percent, strftime(updated_ts, '%Y-%m-%d %H:%M:%S') AS updated, array_to_string(list_reverse(list_filter(m, lambda x: x IS NOT NULL)), ',') AS messages,
+    CASE WHEN s0 = 'loading' THEN 'news' WHEN s1 = 'loading' THEN 'social' WHEN s2 = 'loading' THEN 'scores' WHEN s0 <> 'done' THEN 'news' WHEN s1 <> 'done' THEN 'social' WHEN s2 <> 'done' THEN 'scores' END AS active_stage
+  FROM g WHERE status NOT IN ('completed', 'failed') OR TIMESTAMP '2024-01-25 12:00:00' - updated_ts <= INTERVAL 18 HOUR""")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State and progress of the jobs held at a moment; finished ones are kept for 18 hours here."""
+    j = jobs.job_snapshots(job_events(spark, sf_dir), F.lit("2024-01-25 12:00:00").cast("timestamp"), _JOB_STAGES, ttl_seconds=18 * 3600, most=5)
+    return shaped(j.withColumns({"messages": F.array_join("messages", ","), "updated": F.date_format("updated_ts", "yyyy-MM-dd HH:mm:ss")}).drop("updated_ts"))
+
+
 @query("""WITH e AS (SELECT user_id % 9 AS run_id, event_id, event_type, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'sitemap' ELSE 'author' END AS phase FROM events),
   p AS (SELECT run_id, count(*)::BIGINT AS pages FROM e GROUP BY run_id), f AS (SELECT run_id, phase || ':' || event_type || ': failed ' || event_id AS said, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS n FROM e)
   SELECT p.run_id, pages, count(*) AS failures, max(said) FILTER (n = 1) AS first FROM p JOIN f USING (run_id) WHERE n <= 50 GROUP BY ALL""")
