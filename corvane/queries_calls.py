@@ -417,7 +417,8 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by what a store of two appends, then compacted, holds of them: hit, stale or miss, the payload after fetching what is not a hit, and the status of a second run."""
     path, at, i = f"{base_path(spark)}/{uuid.uuid4().hex}", domain.as_of(), F.col("page_id")
     key = candidates.cache_key(F.concat(F.lit("SYM"), (i % 5).cast("string")), F.lit("2024-Q1"), F.col("url"))
-    r = domain.read(spark, sf_dir, "pages").select("page_id", key.alias("key"), F.length("html").alias("chars"))
+    # of pages with one key the longest is fetched
+    r = domain.read(spark, sf_dir, "pages").select(F.length("html").alias("chars"), key.alias("key"), "page_id")
     before = lambda hours: F.timestamp_seconds(F.unix_timestamp(at) - hours * 3600)
     cache.append(r.where(i % 3 != 0).select("key", before(i * 7 % 60).alias("at"), F.concat(F.lit("first "), i).alias("payload")), path)
     late = i * 5 % 30 - 2

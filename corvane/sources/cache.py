@@ -60,11 +60,14 @@ def lookup(requests: DataFrame, log: DataFrame, as_of: Column, ttl_seconds: int)
 def through(requests: DataFrame, path: str, fetch: Callable[[DataFrame], DataFrame], as_of: Column, ttl_seconds: int) -> DataFrame:
     """``lookup`` after what was stale or missing has been fetched and appended.
 
-    ``fetch`` takes the requests to be made, one for each key, and returns (key, payload). What it does not return stays stale or missing.
+    ``fetch`` takes the requests to be made, one for each key (that with the greatest other columns, compared in their order), and returns
+    (key, payload). What it does not return stays stale or missing.
     """
     spark = requests.sparkSession
-    open_ = lookup(requests, entries(spark, path), as_of, ttl_seconds).where("status <> 'hit' AND key IS NOT NULL")
-    append(fetch(open_.drop("at", "payload", "status").dropDuplicates(["key"])).select("key", as_of.alias("at"), "payload"), path)
+    open_ = lookup(requests, entries(spark, path), as_of, ttl_seconds).where("status <> 'hit' AND key IS NOT NULL").select(*requests.columns)
+    others = [c for c in requests.columns if c != "key"]
+    made = open_.groupBy("key").agg(F.max(F.struct(*others)).alias("r")).select("key", "r.*") if others else open_.distinct()
+    append(fetch(made.select(*requests.columns)).select("key", as_of.alias("at"), "payload"), path)
     return lookup(requests, entries(spark, path), as_of, ttl_seconds)
 
 

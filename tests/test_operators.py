@@ -376,6 +376,17 @@ def test_a_store_of_fetched_payloads(spark, tmp_path):
     assert cache.lookup(requests, cache.entries(spark, path), F.lit("2024-02-01 00:00:01").cast("timestamp"), 3600).where("key = 'dd4'").first().payload == "later"
 
 
+def test_of_requests_with_one_key_the_greatest_is_fetched(spark, tmp_path):
+    from corvane.sources import cache
+
+    path, at = f"file://{tmp_path}/store", F.lit("2024-01-31 00:00:00").cast("timestamp")
+    pages = [(k % 17, f"k{k % 3}", k) for k in range(60)]
+    r = spark.createDataFrame(pages, "chars int, key string, n int").repartition(4)
+    got = {(x.key, x.payload) for x in cache.through(r, path, lambda o: o.select("key", F.concat("chars", F.lit("/"), "n").alias("payload")), at, 3600).collect()}
+    want = {k: max((c, n) for c, key, n in pages if key == k) for k in ("k0", "k1", "k2")}
+    assert got == {(k, f"{c}/{n}") for k, (c, n) in want.items()}
+
+
 def test_participants_over_the_cap_are_returned(spark):
     from corvane.operators import people
 
