@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,16 @@ def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
+def fixed(value: Column, form: str) -> Column:
+    """``value`` in a form such as %.2f, rounded by what the double is exactly, as C and Python do: 0.15 in %.1f is 0.1, where format_string gives 0.2."""
+
+    @F.arrow_udf("string")
+    def shown(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else form % x for x in v.to_pylist()], pa.string())
+
+    return shown(value.cast("double"))
+
+
 def title_key(text: Column) -> Column:
     """Lower case, ASCII letters, digits and single spaces only."""
     kept = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", ""), r"(?U)[^a-z0-9\s]", "")

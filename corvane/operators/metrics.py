@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.lexicons import METRICS, TOPICS
-from ..functions.text import compact, quote_key, sentences, word_count
+from ..functions.text import compact, fixed, quote_key, sentences, word_count
 
 METRIC_COLUMNS = ("confidence", "evasiveness", "specificity", "outlook", "risk")
 
@@ -164,15 +164,16 @@ def diagnostics(metrics: DataFrame, counter_weight: float = 0.65, smoothing: flo
 def findings(metrics: DataFrame, keys: tuple[str, ...] = ("doc_id",), k: int = 4) -> DataFrame:
     """Per key: a summary, takeaways and pressure points in words, from management's blocks."""
     m = management_only(metrics)
+    tenths = lambda c: fixed(F.col(c), "%.1f")
     lead = F.max_by(F.struct("speaker", "topic"), F.struct(F.col("outlook"), -F.col("doc_id"), -F.col("order_index")))
     one = m.groupBy(*keys).agg(F.avg("confidence").alias("c"), F.avg("evasiveness").alias("e"), lead.alias("lead"))
     w = Window.partitionBy(*keys).orderBy(F.desc("evasiveness"), "doc_id", "order_index")
     worst = m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    said = F.format_string("%s: evasiveness %.1f in %s.", "speaker", "evasiveness", "topic")
+    said = F.format_string("%s: evasiveness %s in %s.", "speaker", tenths("evasiveness"), "topic")
     points = worst.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", said.alias("said")))), lambda x: x["said"]).alias("pressure_points"))
-    text = F.format_string("Management transcript analysis highlights communication quality more than directional score. Confidence averaged %.1f, while evasiveness averaged %.1f.", "c", "e")
+    text = F.format_string("Management transcript analysis highlights communication quality more than directional score. Confidence averaged %s, while evasiveness averaged %s.", tenths("c"), tenths("e"))
     takeaways = F.array(
-        F.format_string("Average management confidence across speaker turns is %.1f.", "c"), F.format_string("Average evasiveness across speaker turns is %.1f.", "e"),
+        F.format_string("Average management confidence across speaker turns is %s.", tenths("c")), F.format_string("Average evasiveness across speaker turns is %s.", tenths("e")),
         F.format_string("Strongest forward-looking language appears in %s (%s).", "lead.speaker", "lead.topic"),
     )
     return one.join(points, list(keys)).select(*keys, text.alias("summary"), takeaways.alias("takeaways"), "pressure_points")

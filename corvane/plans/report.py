@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions.text import fixed
 
 
 def transcript_component(means: DataFrame, *, calibrated: bool = True) -> DataFrame:
@@ -58,7 +59,7 @@ def overview_table(symbols: DataFrame) -> DataFrame:
     """Report rows (symbol, kpi, value) as text."""
     shown = F.map_from_arrays(
         F.array(*[F.lit(x) for x in ("Overall score", "Label", "News", "Social")]),
-        F.array(F.format_string("%.2f", F.col("overall_score")), F.initcap(F.replace(F.col("label"), F.lit("_"), F.lit(" "))), percent_text(F.col("news")), percent_text(F.col("social"))),
+        F.array(fixed(F.col("overall_score"), "%.2f"), F.initcap(F.replace(F.col("label"), F.lit("_"), F.lit(" "))), percent_text(F.col("news")), percent_text(F.col("social"))),
     )
     return symbols.select("symbol", F.explode(shown).alias("kpi", "value"))
 
@@ -71,25 +72,25 @@ def tab_rows(tab: str, rows: DataFrame, labels: Mapping[str, Column], cap: int =
 
 
 def ratio_text(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.2fx", value))
+    return F.when(value.isNull(), "n/a").otherwise(fixed(value, "%.2fx"))
 
 
 def compact_text(value: Column) -> Column:
     """1.2K, 3.4M, 5.6B, or the whole number."""
     size = F.abs(value)
-    scaled = lambda by, unit: F.format_string(f"%.1f{unit}", value / by)
-    return F.when(value.isNull(), "n/a").when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).when(size >= 1e3, scaled(1e3, "K")).otherwise(F.format_string("%.0f", value))
+    scaled = lambda by, unit: fixed(value / by, f"%.1f{unit}")
+    return F.when(value.isNull(), "n/a").when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).when(size >= 1e3, scaled(1e3, "K")).otherwise(fixed(value, "%.0f"))
 
 
 def percent_text(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%+.1f%%", value * 100))
+    return F.when(value.isNull(), "n/a").otherwise(fixed(value * 100, "%+.1f%%"))
 
 
 def money_text(value: Column) -> Column:
     """1.23T, 4.56B, 7.89M, or the number."""
     size = F.abs(value)
-    scaled = lambda by, unit: F.format_string(f"%.2f{unit}", value / by)
-    return F.when(value.isNull(), "n/a").when(size >= 1e12, scaled(1e12, "T")).when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).otherwise(F.format_string("%.2f", value))
+    scaled = lambda by, unit: fixed(value / by, f"%.2f{unit}")
+    return F.when(value.isNull(), "n/a").when(size >= 1e12, scaled(1e12, "T")).when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).otherwise(fixed(value, "%.2f"))
 
 
 def company_reports(scores: DataFrame, speakers: DataFrame, quarters: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: c.cast("string")
     c = F.col
     tabs = (
-        ("overview", scores, {"Overall score": F.format_string("%.2f", c("overall_score")), "Label": F.initcap(F.replace(c("label"), F.lit("_"), F.lit(" "))), "News": report.percent_text(c("news")), "Social": report.percent_text(c("social"))}),
+        ("overview", scores, {"Overall score": T.fixed(c("overall_score"), "%.2f"), "Label": F.initcap(F.replace(c("label"), F.lit("_"), F.lit(" "))), "News": report.percent_text(c("news")), "Social": report.percent_text(c("social"))}),
         ("transcript", cover, {"coverage": F.concat(text(c("found")), F.lit("/"), text(c("wanted"))), "availability": c("availability")}),
         ("speakers", top, {"speaker": c("speaker"), "mentions": text(c("mention_count"))}),
         ("market_reaction", counts, {"news": text(c("n")), "social": text(F.coalesce("p", F.lit(0)))}),

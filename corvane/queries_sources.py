@@ -128,7 +128,7 @@ def number_and_label_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = domain.read(spark, sf_dir, "orders")
     p, y, q = F.col("o_totalprice"), F.year("o_orderdate").cast("string"), F.quarter("o_orderdate").cast("string")
     return o.select(
-        "o_orderkey", F.format_string("%.2f", p).alias("amount"), report.percent_text(S.clamp((p - 200000) / 400000, -1, 1)).alias("signed_pct"), report.money_text(p * 1000 + 123.4567).alias("money"),
+        "o_orderkey", T.fixed(p, "%.2f").alias("amount"), report.percent_text(S.clamp((p - 200000) / 400000, -1, 1)).alias("signed_pct"), report.money_text(p * 1000 + 123.4567).alias("money"),
         F.concat(y, F.lit("-Q"), q).alias("label"), F.concat(F.lit("Q"), q, F.lit(" "), y).alias("shown"),
     )
 

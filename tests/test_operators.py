@@ -387,6 +387,18 @@ def test_of_requests_with_one_key_the_greatest_is_fetched(spark, tmp_path):
     assert got == {(k, f"{c}/{n}") for k, (c, n) in want.items()}
 
 
+def test_numbers_are_rounded_by_their_exact_value(spark):
+    from corvane.plans import report
+
+    values = [0.0015, 0.0025, -0.0015, 1.005, 1234567.0, 2.675, None, 0.125, 1_005_000.0, -0.0, float("nan"), 8.5, 1e12]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(1)
+    got = [tuple(r) for r in df.select(report.percent_text(F.col("v")), report.money_text(F.col("v")), report.ratio_text(F.col("v"))).collect()]
+    money = lambda v: f"{v:.2f}" if not abs(v) >= 1e6 else f"{v / 1e6:.2f}M" if abs(v) < 1e9 else f"{v / 1e12:.2f}T"
+    want = [("n/a",) * 3 if v is None else (f"{v * 100:+.1f}%", money(v), f"{v:.2f}x") for v in values]
+    assert [g for g, v in zip(got, values, strict=True) if v == v] == [w for w, v in zip(want, values, strict=True) if v == v]
+    assert got[0][0] == "+0.1%" and got[7][1] == "0.12"
+
+
 def test_participants_over_the_cap_are_returned(spark):
     from corvane.operators import people
 
