@@ -9,7 +9,7 @@ from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from .transcripts import document_records, listed_participants, page_roles, spea
 
 LINE_TAGS = {"h1", "h2", "h3", "h4", "p", "li"}
 SKIPPED = {"script", "style", "noscript"}
+#: Characters of lines that a worker gathers before it hands them on.
+OUT_CHARS = 1_000_000
 FIELDS = "page_id bigint, kind string, line_no int, line string"
 
 
@@ -98,14 +100,28 @@ def lines_of(html: str) -> dict[str, list[str]]:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """page_id, kind, line_no, line of (page_id, html); malformed pages give what can be read."""
+    """page_id, kind, line_no, line of (page_id, html); malformed pages give what can be read. A worker holds the lines of some OUT_CHARS characters, or of one page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, chars = [[], [], [], []], 0
         for b in batches:
-            rows = [(i, kind, n, line) for i, h in zip(b["page_id"], b["html"], strict=True) for kind, lines in lines_of(h or "").items() for n, line in enumerate(lines)]
-            yield pd.DataFrame(rows, columns=["page_id", "kind", "line_no", "line"])
-
-    return pages.select("page_id", "html").mapInPandas(run, FIELDS)
+            for row in range(b.num_rows):
+                i, h = b.column(0)[row].as_py(), b.column(1)[row].as_py()
+                for kind, lines in lines_of(h or "").items():
+                    for part, more in zip(cols, ([i] * len(lines), [kind] * len(lines), range(len(lines)), lines), strict=True):
+                        part.extend(more)
+                    chars += sum(map(len, lines))
+                if chars >= OUT_CHARS:
+                    yield _line_batch(cols)
+                    cols, chars = [[], [], [], []], 0
+        yield _line_batch(cols)
+
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInArrow(run, FIELDS)
+
+
+def _line_batch(cols: list[list]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "kind", "line_no", "line"])
 
 
 # What marks a transcript on a page, and what marks the site around it.

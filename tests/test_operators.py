@@ -445,6 +445,32 @@ def test_batches_are_halved_and_come_back_in_order():
     assert twice(["a"]) == ["A"] and twice(["b"]) == ["B"] and loads == [1]
 
 
+def test_lines_are_handed_on_in_small_batches(spark, monkeypatch):
+    from corvane.operators import pages
+
+    monkeypatch.setattr(pages, "OUT_CHARS", 100)
+    html = [(k, f"<p>{'x' * 40} {k}</p><div>{'y' * 30}</div>" if k % 5 else None) for k in range(50)]
+    df = spark.createDataFrame(html, "page_id bigint, html string").coalesce(1)
+    sizes = []
+
+    class Spy:
+        """Hands the operator's generator its rows as one batch, as Spark would, and keeps what it yields."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            ids, texts = zip(*html, strict=True)
+            sizes.extend(b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.string())], names=["page_id", "html"])])))
+
+    pages.page_lines(Spy())
+    got = sorted((r.page_id, r.kind, r.line_no, r.line) for r in pages.page_lines(df).collect())
+    assert got == sorted((k, kind, n, line) for k, h in html for kind, lines in pages.lines_of(h or "").items() for n, line in enumerate(lines))
+    assert len(sizes) > 10 and sum(sizes) == len(got) and max(sizes) <= 6
+
+
 def test_lines_of_a_page():
     from corvane.operators import pages
 
