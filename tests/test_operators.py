@@ -175,6 +175,30 @@ def test_near_titles_lose_no_pair(spark):
     assert set(got) == want and len(got) == len(want) > 150
 
 
+def test_unlike_titles_of_one_vocabulary_are_hardly_compared(spark, monkeypatch):
+    """Titles of common syllables share six characters at about the same place with very many others; only those that share nine of a block are compared."""
+    rng = random.Random(5)
+    titles = sorted({"".join(rng.choices("the |er|ing |on|th|ed |an|re|st|ou|ha|tion|es |in|of |to ".split("|"), k=40))[:96] for _ in range(300)})
+    met = spark.sparkContext.accumulator(0)
+    verified = neardup._verified
+
+    def counted(names):
+        def run(batches):
+            def through():
+                for b in batches:
+                    met.add(b.num_rows)
+                    yield b
+
+            yield from verified(names)(through())
+
+        return run
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    df = spark.createDataFrame([("s", t) for t in titles], "symbol string, key string")
+    assert neardup.near_titles(df, ["symbol"], "key").count() == 0
+    assert met.value < len(titles) * (len(titles) - 1) // 2 // 10
+
+
 def test_ladder_falls_through(spark):
     rows = spark.createDataFrame([("s", float(x)) for x in (2, 2, 2, 2, 1, 1, 0.5)], "symbol string, rank_score double")
     assert feeds.ladder(rows, ["symbol"], "rank_score", feeds.news_steps(12)).count() == 6
