@@ -19,7 +19,7 @@ COMPANY = "With Have Inc"
 
 def news_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Payloads of both news providers: English and French documents come from the first one, the rest from the other."""
-    n = domain.news(spark, sf_dir).join(domain.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord")
+    n = domain.news(spark, sf_dir, "lang").where("ord IS NOT NULL")
     first = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False))
     i, url = F.col("ord"), F.when(F.col("ord") % 11 != 0, F.col("url"))
     third = lambda k, c: F.when(i % 3 == k, c)

@@ -80,18 +80,22 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(seeds)
 
 
-def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, provider, ord, title, summary, url, published_ts."""
-    d = read(spark, sf_dir, "documents")
+def news(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """symbol, provider, ord, title, summary, url, published_ts, and ``more`` columns of the documents.
+
+    Texts are cut before the join, so that a query moves only the parts it reads.
+    """
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", *more, F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("summary"))
     e = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("published_ts"))
     return d.join(e, "doc_id", "left").select(
         F.concat(F.lit("SYM"), (F.col("doc_id") % SYMBOLS).cast("string")).alias("symbol"),
         F.col("source").alias("provider"),
         F.col("doc_id").alias("ord"),
-        F.substring("text", 1, 80).alias("title"),
-        F.expr("substring(text, 81)").alias("summary"),
+        "title",
+        "summary",
         F.concat(F.lit("doc://"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("url"),
         "published_ts",
+        *more,
     )
 
 
