@@ -131,4 +131,7 @@ def greedy_distinct(rows: DataFrame, scope: list[str], order: str, marks: list[s
         release(last)
     if kept is None:
         return rows.limit(0)
+    if {*rows.columns} <= {*scope, order, *marks}:  # what was kept holds all there is
+        held = {order: F.col(f"__order.{order}")} | {c: F.col(f"__scope.{c}") for c in scope} | {m: F.col(m) for m in marks}
+        return kept.select(*[held[c].alias(c) for c in rows.columns])
     return rows.withColumns({"__scope": within, "__order": at}).join(kept.select("__scope", "__order"), ["__scope", "__order"], "left_semi").select(*rows.columns)

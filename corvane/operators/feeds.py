@@ -31,9 +31,14 @@ def news_relevance(title: Column, summary: Column, symbol: str, company: str | N
     ``tagged`` is the provider's own relevance for the symbol (null if it has none), ``related`` whether the
     provider lists the symbol.
     """
+    return news_score(**_news_facts(title, summary, symbol, company, finance), tagged=tagged, related=related)
+
+
+def _news_facts(title: Column, summary: Column, symbol: str, company: str | None, finance: tuple[str, ...]) -> dict[str, Column]:
+    """What ``news_score`` asks of a text."""
     text = F.lower(F.concat_ws(" ", title, summary))
-    named, tokens = (F.contains(text, F.lit(company.lower().strip())), _hits(text, company_tokens(company))) if company else (None, None)
-    return news_score(mentions(text, symbol), _hits(text, finance), named, tokens, tagged, related)
+    facts = {"mentioned": mentions(text, symbol), "finance_hits": _hits(text, finance)}
+    return facts | ({"named": F.contains(text, F.lit(company.lower().strip())), "tokens": _hits(text, company_tokens(company))} if company else {})
 
 
 def news_score(mentioned: Column, finance_hits: Column, named: Column | None = None, tokens: Column | None = None, tagged: Column | None = None, related: Column | None = None) -> Column:
@@ -103,14 +108,15 @@ def ladder(rows: DataFrame, keys: list[str], score: str, steps: list[tuple[float
     """The strictest tier with enough rows, per key.
 
     ``steps`` are (least score, rows it must give). Each gate looks at what was chosen so far: with fewer rows than the gate asks
-    for, the next step is taken, after the last one all rows. Counts are summed map-side and joined back.
+    for, the next step is taken, after the last one all rows. Counts are summed map-side; the tiers, one row a key, are stored, so that
+    their size is known and the rows are not moved to meet them.
     """
     counts = rows.groupBy(*keys).agg(*[F.count_if(F.col(score) >= t).alias(f"__n{k}") for k, (t, _) in enumerate(steps)], F.count(F.lit(1)).alias(f"__n{len(steps)}"))
     tier, n = F.lit(0), F.col("__n0")
     for k, (_, must) in enumerate(steps):
         tier, n = F.when(n < must, k + 1).otherwise(tier), F.when(n < must, F.col(f"__n{k + 1}")).otherwise(n)
     least = reduce(lambda c, k: c.when(F.col("__tier") == k, F.lit(steps[k][0])), range(1, len(steps)), F.when(F.col("__tier") == 0, F.lit(steps[0][0])))
-    picked = counts.select(*keys, tier.alias("__tier"))
+    picked = store(counts.select(*keys, tier.alias("__tier")))
     return rows.join(picked, keys).where((F.col("__tier") == len(steps)) | (F.col(score) >= least)).drop("__tier")
 
 
@@ -133,22 +139,29 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], limit: int, rank:
 FRESH = {"reddit": 2.4, "stocktwits": 1.8}
 
 
-def provider_news(rows: DataFrame, symbol: str, as_of: Column, *, days: int = 30, limit: int = 200, company: str | None = None, finance: tuple[str, ...] = FINANCE) -> tuple[DataFrame, DataFrame]:
-    """(fetched, kept) of one provider's rows: lookback, relevance, ladder; then first wins, best first, ``limit`` per symbol."""
-    r = within_lookback(store(rows), "published_ts", as_of, days)  # payloads are parsed once
-    r = r.withColumn("relevance", news_relevance(F.col("title"), F.col("summary"), symbol, company, finance, F.col("tagged"), F.col("related"))).where("relevance > 0")
-    r = store(r).withColumn("rank_score", F.round(F.col("relevance") * 0.72 + S.recency(F.col("published_ts"), as_of, days) * 1.28, 4))
-    fetched = ladder(r, ["symbol"], "rank_score", news_steps(limit)).withColumn("key", title_key(F.col("title"))).withColumn("place", F.struct((-F.col("rank_score")).alias("score"), "ord"))
-    fetched = store(fetched)
-    kept = greedy_distinct(fetched, ["symbol"], "place", ["url", "key"])
-    return fetched, top(kept, ["symbol"], [F.col("place")], limit)
+def provider_news(rows: DataFrame, symbol: str, as_of: Column, *, days: int = 30, limit: int = 200, company: str | None = None, finance: tuple[str, ...] = FINANCE, keys: tuple[str, ...] = ("symbol",)) -> tuple[DataFrame, DataFrame]:
+    """(fetched, kept) of providers' rows: lookback, relevance, ladder; then first wins, best first, ``limit`` per ``keys``.
+
+    With the provider among ``keys``, each provider's rows are treated apart from the others', in the same jobs. Texts are read once, where relevance is
+    stored with them, before anything filters by it; first wins moves keys and marks only, and few rows fetch their texts.
+    """
+    facts = _news_facts(F.col("title"), F.col("summary"), symbol, company, finance)
+    r = within_lookback(rows, "published_ts", as_of, days).withColumns({f"__{k}": c for k, c in facts.items()})
+    r = r.withColumn("relevance", news_score(**{k: F.col(f"__{k}") for k in facts}, tagged=F.col("tagged"), related=F.col("related"))).drop(*[f"__{k}" for k in facts])
+    r = r.withColumn("rank_score", F.round(F.col("relevance") * 0.72 + S.recency(F.col("published_ts"), as_of, days) * 1.28, 4))
+    r = store(r.withColumn("key", title_key(F.col("title"))).withColumn("place", F.struct((-F.col("rank_score")).alias("score"), "ord"))).where("relevance > 0")
+    fetched = ladder(r, list(keys), "rank_score", news_steps(limit))
+    once = greedy_distinct(fetched.select(*keys, "place", "url", "key"), list(keys), "place", ["url", "key"])
+    best = top(once, list(keys), [F.col("place")], limit).select(F.struct(*keys).alias("__scope"), "place").distinct()
+    kept = fetched.withColumn("__scope", F.struct(*keys)).join(store(best), ["__scope", "place"], "left_semi").select(*fetched.columns)
+    return fetched, store(top(kept, list(keys), [F.col("place")], limit))
 
 
 def combined_news(providers: list[tuple[DataFrame, DataFrame]], limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fetched, deduped, shown) of several providers' (fetched, kept): united in their order, first wins, then by relevance and time."""
     fetched = reduce(DataFrame.unionByName, [f for f, _ in providers])
     union = reduce(DataFrame.unionByName, [k.withColumn("place", F.struct(F.lit(n).alias("provider"), F.col("rank").alias("rank"))) for n, (_, k) in enumerate(providers)])
-    deduped = store(greedy_distinct(store(union), ["symbol"], "place", ["url", "key"]))
+    deduped = store(greedy_distinct(union, ["symbol"], "place", ["url", "key"]))
     order = [F.desc("relevance"), F.desc(F.coalesce("published_ts", F.timestamp_seconds(F.lit(0)))), F.col("place")]
     return fetched, deduped, top(deduped.drop("rank"), ["symbol"], order, limit)
 

@@ -41,7 +41,8 @@ def news_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def provider_news(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
     a, b = news_items(spark, sf_dir)
-    return [feeds.provider_news(rows, NAME, domain.as_of(), finance=WORDS_FIN) for rows in (providers.news_a(a), providers.news_b(b))]
+    fetched, kept = feeds.provider_news(providers.news_a(a).unionByName(providers.news_b(b)), NAME, domain.as_of(), finance=WORDS_FIN, keys=("symbol", "provider"))
+    return [(fetched.where(F.col("provider") == name), kept.where(F.col("provider") == name)) for name in providers.NEWS_PROVIDERS]
 
 
 _SECOND = "date_trunc('second', published_ts)"

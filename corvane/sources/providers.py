@@ -31,7 +31,8 @@ def first_text(*columns: Column) -> Column:
 
 
 def _parsed(items: DataFrame, schema: str) -> DataFrame:
-    return items.select("symbol", "ord", F.from_json("payload", schema).alias("p")).where("p IS NOT NULL")
+    # a generated column: filters on its fields stay above it, while on a projected one each would parse the payload again
+    return items.select("symbol", "ord", F.explode(F.array(F.from_json("payload", schema))).alias("p")).where("p IS NOT NULL")
 
 
 def _required(rows: DataFrame, *columns: str) -> DataFrame:

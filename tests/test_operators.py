@@ -554,3 +554,45 @@ def test_company_scores_are_those_of_one_company(spark):
                 assert (g.news_relevance, round(g.post_relevance, 6), g.related) == (r.news, round(r.post, 6), r.rel)
             else:
                 assert r.post == 0 and r.news == 0
+
+
+def test_payloads_are_parsed_once(spark):
+    from corvane.sources import providers
+
+    items = spark.createDataFrame([("S", 1, '{"title": "t", "url": "u", "link": "u"}'), ("S", 2, '{"title": "t"}'), ("S", 3, "no"), ("S", 4, None)], "symbol string, ord bigint, payload string")
+    for parse in (providers.news_a, providers.news_b):
+        rows = parse(items)
+        assert [r.ord for r in rows.collect()] == [1]
+        assert rows._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1  # filters on what was parsed would parse again
+
+
+def test_news_of_two_providers_move_few_texts(spark, monkeypatch):
+    """Both at once give what each gives apart; of all tables written one holds all texts, the others none or those shown."""
+    from corvane.operators import distinct
+
+    rng, at = random.Random(3), "2024-01-20 00:00:00"
+    data = [(f"s{k % 2}", ("alpha", "yahoo")[k % 3 == 0], k, f"Title {rng.randrange(40)}", "that stock" + " the" * (k % 3), f"u{rng.randrange(60)}", "x", at, None, k % 5 == 0) for k in range(120)]
+    schema = "symbol string, provider string, ord bigint, title string, summary string, url string, source string, published_ts string, tagged double, related boolean"
+    rows = spark.createDataFrame(data, schema).withColumn("published_ts", F.col("published_ts").cast("timestamp"))
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    apart = []
+    for name in ("alpha", "yahoo"):
+        f, k = feeds.provider_news(rows.where(F.col("provider") == name), "that", as_of, limit=9)
+        apart.append((f.count(), sorted((r.symbol, r.ord, r["rank"], r.summary) for r in k.collect())))
+    texts, plain = [], feeds.store
+
+    def stored(df):
+        out = plain(df)
+        if "summary" in df.columns:
+            texts.append(out.count())
+        return out
+
+    monkeypatch.setattr(feeds, "store", stored)
+    monkeypatch.setattr(distinct, "store", stored)
+    fetched, kept = feeds.provider_news(rows, "that", as_of, limit=9, keys=("symbol", "provider"))
+    for name, (n, best) in zip(("alpha", "yahoo"), apart, strict=True):
+        own = kept.where(F.col("provider") == name)
+        assert fetched.where(F.col("provider") == name).count() == n and sorted((r.symbol, r.ord, r["rank"], r.summary) for r in own.collect()) == best
+    assert texts == [120, kept.count()] and kept.count() <= 36
+    # the tiers come to the rows, not the rows to the tiers
+    assert "Exchange hashpartitioning" not in fetched._jdf.queryExecution().executedPlan().toString()
