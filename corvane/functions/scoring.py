@@ -126,8 +126,8 @@ def topic(column: str, topics: Mapping[str, Mapping[str, float]], least: float =
 
 def numeric_density(text: Column) -> Column:
     """Share of sentences that hold a digit."""
-    s = sentences(text)
-    return F.coalesce(F.try_divide(F.size(F.filter(s, lambda x: x.rlike(r"\d"))).cast("double"), F.size(s)), F.lit(0.0))
+    share = lambda s: F.coalesce(F.try_divide(F.size(F.filter(s, lambda x: x.rlike(r"\d"))).cast("double"), F.size(s)), F.lit(0.0))
+    return F.get(F.transform(F.array(sentences(text)), share), F.lit(0))  # a text is cut once
 
 
 def net(positive: Column, counter: Column, weight: float) -> Column:

@@ -48,8 +48,8 @@ def ticker(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """array<string>: a sentence ends at . ! or ? before white space."""
-    return F.filter(F.split(compact(text), r"(?<=[.!?])\s+"), lambda s: s != "")
+    """array<string>: a sentence ends at . ! or ? before white space, which a compact text has as single spaces."""
+    return F.filter(F.split(compact(text), " (?<=[.!?] )"), lambda s: s != "")
 
 
 def excerpt(text: Column, chars: int = 160) -> Column:
@@ -92,8 +92,9 @@ def company_tokens(name: str | None) -> list[str]:
 
 
 def phrase(term: str) -> str:
-    """A pattern for the whole word or phrase, not inside another word."""
-    return rf"(?U)(?<!\w)\Q{term.lower()}\E(?!\w)"
+    """A pattern for the whole word or phrase, not inside another word. The term comes first: what stands before it is looked at only where it is found."""
+    t = rf"\Q{term.lower()}\E"
+    return rf"(?U){t}(?!\w)(?<!\w{t})"
 
 
 def mentions(text: Column, symbol: str) -> Column:

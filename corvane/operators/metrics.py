@@ -16,8 +16,9 @@ METRIC_COLUMNS = ("confidence", "evasiveness", "specificity", "outlook", "risk")
 
 def scorable(blocks: DataFrame) -> DataFrame:
     """Without blank blocks and short remarks that name the operator."""
-    text = compact(F.coalesce("text", F.lit("")))
-    return blocks.where((text != "") & ~((word_count(text) < 7) & F.contains(F.lower(text), F.lit("operator"))))
+    text = F.coalesce("text", F.lit(""))
+    # words are counted of texts that name the operator only
+    return blocks.where(text.rlike(r"(?U)\S") & ~(F.contains(F.lower(text), F.lit("operator")) & (word_count(text) < 7)))
 
 
 def block_metrics(
@@ -200,14 +201,21 @@ EMPTY_QUOTES = ("yes", "yeah", "sure", "okay", "ok", "thank you", "thanks", "hi"
 
 def low_information(text: Column, chars: int = 45) -> Column:
     c = compact(F.coalesce(text, F.lit("")))
-    key = quote_key(c)
-    return (F.length(c) < chars) | key.isin(*EMPTY_QUOTES) | (F.size(F.filter(F.split(key, " "), lambda w: w != "")) < 6)
+    return _says_nothing(c, quote_key(c), chars)
+
+
+def _says_nothing(text: Column, key: Column, chars: int = 45) -> Column:
+    """``low_information`` of a compact text and its key."""
+    return (F.length(text) < chars) | key.isin(*EMPTY_QUOTES) | (F.size(F.filter(F.split(key, " "), lambda w: w != "")) < 6)
 
 
 def key_quotes(metrics: DataFrame, keys: tuple[str, ...] = ("doc_id",), k: int = 10, per_block: int = 2) -> DataFrame:
     """The k best quotes per key: a block's first sentences, each once (where it is said first), by the block's scores and length."""
-    s = metrics.select(*dict.fromkeys((*keys, "doc_id", "order_index", "direction", *METRIC_COLUMNS)), F.posexplode(F.slice(sentences(F.col("text")), 1, per_block)).alias("pos", "quote"))
-    s = s.where(~low_information(F.col("quote"))).withColumn("key", quote_key(F.col("quote")))
+    # sentences are compact; their keys come with them from the generator, as filters on a projected key would make it again for each use. The
+    # outer form cuts a text once (of the inner one Spark asks beforehand whether there is a sentence); a null quote says nothing and goes
+    said = F.transform(F.slice(sentences(F.col("text")), 1, per_block), lambda q: F.struct(q.alias("quote"), quote_key(q).alias("key")))
+    s = metrics.select(*dict.fromkeys((*keys, "doc_id", "order_index", "direction", *METRIC_COLUMNS)), F.posexplode_outer(said).alias("pos", "q"))
+    s = s.where(~_says_nothing(F.col("q.quote"), F.col("q.key"))).select("*", "q.quote", "q.key").drop("q")
     first = s.groupBy(*keys, "key").agg(F.min_by(F.struct("quote", "direction", *METRIC_COLUMNS), F.struct("doc_id", "order_index", "pos")).alias("q"), F.min(F.struct("doc_id", "order_index", "pos")).alias("at"))
     score = (
         F.abs("q.direction") * 34 + F.col("q.confidence") * 0.28 + F.col("q.evasiveness") * 0.24 + F.col("q.specificity") * 0.2 + F.col("q.outlook") * 0.18

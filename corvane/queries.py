@@ -476,23 +476,32 @@ SENT = f"""nsent AS (SELECT published_ts AS at_ts, symbol, coalesce({sql_directi
 psent AS (SELECT created_ts AS at_ts, symbol, coalesce({sql_direction("concat_ws('. ', title, body)")}, 0.0) AS score FROM post)"""
 
 
-def scored(rows: DataFrame, at: str, body: str) -> DataFrame:
-    """Items scored by what they say (title. body); what can't be scored is neutral."""
-    said = rows.select(F.col(at).alias("at"), "symbol", F.concat_ws(". ", "title", body).alias("said"))
-    return score_text(said, lexical_scorer(domain.CORPUS_LEXICON["forward"], domain.CORPUS_LEXICON["hedge"]), "said").select("at", "symbol", "score")
+def scored(spark: SparkSession, sf_dir: str, rows: DataFrame, key: str, body: str) -> DataFrame:
+    """Items scored by what they say (title. body) and then given their times (of the event ``key``), so that no text is moved; what can't be scored is neutral."""
+    said = rows.select(key, "symbol", F.concat_ws(". ", "title", body).alias("said"))
+    scores = score_text(said, lexical_scorer(domain.CORPUS_LEXICON["forward"], domain.CORPUS_LEXICON["hedge"]), "said").select(key, "symbol", "score")
+    return domain.timed(scores, spark, sf_dir, key, "at").select("at", "symbol", "score")
+
+
+def scored_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, domain.untimed_news(spark, sf_dir), "ord", "summary")
+
+
+def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, domain.untimed_posts(spark, sf_dir), "conv_id", "body")
 
 
 @query(f"""WITH {NEWS}, {POST}, {SENT}, d AS (SELECT CAST(at_ts AS DATE) AS day, score AS n, NULL::DOUBLE AS p FROM nsent UNION ALL SELECT CAST(at_ts AS DATE), NULL, score FROM psent)
   SELECT day, round(coalesce(avg(n), 0.0), 4) AS news_avg, round(coalesce(avg(p), 0.0), 4) AS social_avg, round(coalesce((avg(n) + avg(p)) / 2, avg(n), avg(p), 0.0), 4) AS blended FROM d WHERE day IS NOT NULL GROUP BY day""")
 def sentiment_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(feeds.day_sentiment(scored(domain.news(spark, sf_dir), "published_ts", "summary"), scored(domain.posts(spark, sf_dir), "created_ts", "body")))
+    return shaped(feeds.day_sentiment(scored_news(spark, sf_dir), scored_posts(spark, sf_dir)))
 
 
 @query(f"""WITH {NEWS}, {POST}, {SENT}, c AS (SELECT symbol, count(*) AS items, avg(score) AS mean, count(*) FILTER (score >= 0.12) AS bullish, count(*) FILTER (score <= -0.12) AS bearish FROM nsent GROUP BY symbol)
   SELECT symbol, items, round(mean, 4) AS mean, bullish, bearish, CASE WHEN mean >= 0.12 THEN 'bullish' WHEN mean <= -0.12 THEN 'bearish' ELSE 'mixed' END AS stance,
   round(bullish * 100.0::DOUBLE / items, 4) AS bullish_pct, round(bearish * 100.0::DOUBLE / items, 4) AS bearish_pct, round(100.0 - bullish * 100.0::DOUBLE / items - bearish * 100.0::DOUBLE / items, 4) AS neutral_pct FROM c""")
 def sentiment_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(feeds.sentiment_shares(scored(domain.news(spark, sf_dir), "published_ts", "summary"), ["symbol"]))
+    return shaped(feeds.sentiment_shares(scored_news(spark, sf_dir), ["symbol"]))
 
 
 @query(f"""WITH {NEWS}, p AS (SELECT * FROM (SELECT symbol, ord, row_number() OVER (PARTITION BY symbol ORDER BY ord DESC) AS place FROM news) WHERE place <= 30)
@@ -580,8 +589,9 @@ sig2 AS (SELECT *, CASE WHEN rec IS NULL THEN up WHEN up IS NULL THEN rec ELSE {
 signal AS (SELECT *, CASE WHEN analyst IS NULL THEN growth_signal ELSE {CL.format("growth_signal * 0.8::DOUBLE + analyst * 0.2::DOUBLE")} END AS fundamentals FROM sig2)"""
 
 
-def corpus_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = fundamentals.growth(merged_quarters(spark, sf_dir))
+def corpus_signals(spark: SparkSession, sf_dir: str, merged: DataFrame | None = None) -> DataFrame:
+    """Signals of ``merged`` quarters, where the caller has them."""
+    g = fundamentals.growth(merged_quarters(spark, sf_dir) if merged is None else merged)
     rec = F.when(F.col("symbol") != "BUILDING", (F.length("symbol") % 4 + 1).cast("double"))
     up = F.when(F.col("symbol") != "MACHINERY", F.coalesce("revenue_growth_pct", F.lit(0.0)))
     g = g.withColumn("growth_signal", S.growth_signal(F.col("revenue_growth_pct"), F.col("reported_eps_growth_pct"))).withColumn("analyst", S.analyst_signal(rec, up))
@@ -614,12 +624,13 @@ ns AS (SELECT symbol, avg(score) AS news FROM nsent GROUP BY symbol), ps AS (SEL
 allsig AS (SELECT tr.symbol, transcript, news, social, fundamentals, revenue_growth, eps_growth FROM tr LEFT JOIN ns USING (symbol) LEFT JOIN ps USING (symbol) LEFT JOIN fu USING (symbol))"""
 
 
-def all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = metrics.management_means(corpus_metrics(spark, sf_dir))
+def all_signals(spark: SparkSession, sf_dir: str, scored_blocks: DataFrame | None = None, merged: DataFrame | None = None) -> DataFrame:
+    """All signals per symbol; a caller that reads the blocks' metrics or the merged quarters itself stores them and gives them."""
+    means = metrics.management_means(corpus_metrics(spark, sf_dir) if scored_blocks is None else scored_blocks)
     tr = report.transcript_component(means).groupBy(F.concat(F.lit("SYM"), (F.col("doc_id") % domain.SYMBOLS).cast("string")).alias("symbol")).agg(F.avg("component").alias("transcript"))
-    ns = scored(domain.news(spark, sf_dir), "published_ts", "summary").groupBy("symbol").agg(F.avg("score").alias("news"))
-    ps = scored(domain.posts(spark, sf_dir), "created_ts", "body").groupBy("symbol").agg(F.avg(F.when(F.col("symbol") != "SYM3", F.col("score"))).alias("social"))
-    fu = corpus_signals(spark, sf_dir).groupBy(F.concat(F.lit("SYM"), (F.length("symbol") % domain.SYMBOLS).cast("string")).alias("symbol"))
+    ns = scored_news(spark, sf_dir).groupBy("symbol").agg(F.avg("score").alias("news"))
+    ps = scored_posts(spark, sf_dir).groupBy("symbol").agg(F.avg(F.when(F.col("symbol") != "SYM3", F.col("score"))).alias("social"))
+    fu = corpus_signals(spark, sf_dir, merged).groupBy(F.concat(F.lit("SYM"), (F.length("symbol") % domain.SYMBOLS).cast("string")).alias("symbol"))
     fu = fu.agg(F.avg("fundamentals").alias("fundamentals"), F.avg("revenue_growth_pct").alias("revenue_growth"), F.avg("reported_eps_growth_pct").alias("eps_growth"))
     return tr.join(ns, "symbol", "left").join(ps, "symbol", "left").join(fu, "symbol", "left")
 

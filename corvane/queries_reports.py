@@ -78,12 +78,14 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEFT JOIN sa USING (symbol) LEFT JOIN qa USING (symbol) LEFT JOIN ba USING (symbol)""")
 def snapshot_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested report per symbol, its lists joined to text here."""
-    m = corpus_metrics(spark, sf_dir).withColumn("symbol", F.concat(F.lit("SYM"), (F.col("doc_id") % domain.SYMBOLS).cast("string")))
+    blocks = store(corpus_metrics(spark, sf_dir).select("doc_id", "order_index", "speaker", "speaker_role", "text", "topic", "direction", *metrics.METRIC_COLUMNS))
+    merged = store(merged_quarters(spark, sf_dir))
+    m = blocks.withColumn("symbol", F.concat(F.lit("SYM"), (F.col("doc_id") % domain.SYMBOLS).cast("string")))
     speakers = feeds.top(metrics.speaker_rollup(m, ("symbol", "speaker")), ["symbol"], [F.desc("mention_count"), F.col("speaker")], 5).select("symbol", "rank", "speaker", "mention_count")
-    q = merged_quarters(spark, sf_dir).withColumn("symbol", F.concat(F.lit("SYM"), (F.length("symbol") % domain.SYMBOLS).cast("string")))
+    q = merged.withColumn("symbol", F.concat(F.lit("SYM"), (F.length("symbol") % domain.SYMBOLS).cast("string")))
     q = feeds.top(q.drop("rank"), ["symbol"], [F.desc("year"), F.desc("quarter"), F.col("revenue")], 4).select("symbol", "rank", "year", "quarter")
     quotes = metrics.key_quotes(m, ("symbol",)).select("symbol", "rank", "quote")
-    scores = report.snapshot_scores(report.company_scores(all_signals(spark, sf_dir))).select("symbol", "overall_score", "label", "stance")
+    scores = report.snapshot_scores(report.company_scores(all_signals(spark, sf_dir, blocks, merged))).select("symbol", "overall_score", "label", "stance")
     nested = report.company_reports(scores, speakers, q, quotes)
     joined = lambda c, f, by: F.array_join(F.transform(c, f), by).alias(c)
     text = lambda x: x.cast("string")

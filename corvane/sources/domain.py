@@ -80,40 +80,50 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(seeds)
 
 
-def news(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """symbol, provider, ord, title, summary, url, published_ts, and ``more`` columns of the documents.
+def timed(rows: DataFrame, spark: SparkSession, sf_dir: str, key: str, at: str) -> DataFrame:
+    """``rows`` with the time (``at``) of the event of that number; rows without one stay."""
+    return rows.join(read(spark, sf_dir, "events").select(F.col("event_id").alias(key), F.col("ts").alias(at)), key, "left")
 
-    Texts are cut before the join, so that a query moves only the parts it reads.
-    """
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", *more, F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("summary"))
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("published_ts"))
-    return d.join(e, "doc_id", "left").select(
+
+def untimed_news(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """symbol, provider, ord, title, summary, url, and ``more`` columns of the documents."""
+    return read(spark, sf_dir, "documents").select(
         F.concat(F.lit("SYM"), (F.col("doc_id") % SYMBOLS).cast("string")).alias("symbol"),
         F.col("source").alias("provider"),
         F.col("doc_id").alias("ord"),
-        "title",
-        "summary",
+        F.substring("text", 1, 80).alias("title"),
+        F.expr("substring(text, 81)").alias("summary"),
         F.concat(F.lit("doc://"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("url"),
-        "published_ts",
         *more,
     )
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, provider, ord, title, body, url, created_ts: social posts."""
-    c = read(spark, sf_dir, "conversations").where("role = 'user'")
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("conv_id"), F.col("ts").alias("created_ts"))
-    return c.join(e, "conv_id", "left").select(
+def news(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """symbol, provider, ord, title, summary, url, published_ts, and ``more`` columns of the documents.
+
+    Texts are cut before the join, so that a query moves only the parts it reads.
+    """
+    return timed(untimed_news(spark, sf_dir, *more), spark, sf_dir, "ord", "published_ts").select("symbol", "provider", "ord", "title", "summary", "url", "published_ts", *more)
+
+
+def untimed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, symbol, provider, ord, title, body, url: social posts and the conversations they are from."""
+    return read(spark, sf_dir, "conversations").where("role = 'user'").select(
+        "conv_id",
         F.concat(F.lit("SYM"), (F.col("conv_id") % SYMBOLS).cast("string")).alias("symbol"),
         F.element_at(F.array(F.lit("reddit"), F.lit("stocktwits"), F.lit("forum")), (F.col("turn") % 3 + 1).cast("int")).alias("provider"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
         F.substring("text", 1, 96).alias("title"),
         F.col("text").alias("body"),
         F.concat(F.lit("post://"), "conv_id", F.lit("/"), "turn").alias("url"),
-        "created_ts",
     )
 
 
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, provider, ord, title, body, url, created_ts: social posts."""
+    return timed(untimed_posts(spark, sf_dir), spark, sf_dir, "conv_id", "created_ts").drop("conv_id")
+
+
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, provider, year, quarter, revenue, net_income, reported_eps, eps_estimate of two providers."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
@@ -125,7 +135,8 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("year") + F.col("quarter")) % 3 != 0, F.col("eps")).alias("reported_eps"), (F.col("eps") * 0.97).alias("eps_estimate"),
     )
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
-    b = lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).groupBy(*keys).agg(F.sum("paid").alias("revenue"), (F.avg("paid") / 250).alias("reported_eps"))
+    # an order is one row: those of a partition are held, and the many lines pass by unsorted
+    b = lines.join(o.hint("shuffle_hash"), lines["l_orderkey"] == o["o_orderkey"]).groupBy(*keys).agg(F.sum("paid").alias("revenue"), (F.avg("paid") / 250).alias("reported_eps"))
     none = F.lit(None).cast("double")
     b = b.select("symbol", F.lit("B").alias("provider"), "year", "quarter", "revenue", none.alias("net_income"), "reported_eps", none.alias("eps_estimate"))
     return a.unionByName(b)

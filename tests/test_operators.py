@@ -596,3 +596,46 @@ def test_news_of_two_providers_move_few_texts(spark, monkeypatch):
     assert texts == [120, kept.count()] and kept.count() <= 36
     # the tiers come to the rows, not the rows to the tiers
     assert "Exchange hashpartitioning" not in fetched._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_report_reads_each_table_once_and_moves_no_text(spark):
+    from support import SMALL
+
+    from corvane import queries as library
+    from corvane import queries_reports  # noqa: F401 (registers the query)
+
+    plan = plan_of(library.QUERIES["snapshot_and_report"](spark, SMALL))
+    assert "/lineitem.parquet" not in plan and r"\w+|\W+" not in plan  # quarters and blocks' metrics are stored, and read by what needs them
+    for scored in (library.scored_news(spark, SMALL), library.scored_posts(spark, SMALL)):
+        plan = plan_of(scored)
+        assert plan.index("Join") < plan.index(r"\Qthe\E")  # scores, not texts, are joined with times
+
+
+def test_texts_are_cut_once(spark):
+    text = "A first sentence of more than six words, which says something. Short one. A second one that is long enough, and is not asked for?"
+    df = spark.createDataFrame([(1, 0, text), (1, 1, None), (1, 2, " \n"), (1, 3, "A first  sentence of more than\nsix words which says something.")], "doc_id int, order_index int, text string")
+    m = df.withColumns({"direction": F.lit(0.0)} | {c: F.lit(1.0) for c in metrics.METRIC_COLUMNS})
+    quotes = metrics.key_quotes(m)
+    assert plan_of(quotes).count("[^a-z0-9 ]") == 1 and plan_of(df.select(S.numeric_density(F.col("text")).alias("n"))).count("[.!?]") == 1
+    assert [r.quote for r in quotes.collect()] == [text.split(" Short")[0]]
+
+
+def test_blocks_that_are_not_scored(spark):
+    texts = ["", " ", "  \n", None, "Operator here.", "the OPERATOR says one two three four", "the operator says one two three four", "next question please", " x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "order_index int, text string")
+    assert sorted(r.order_index for r in metrics.scorable(rows).collect()) == [5, 6, 7, 8]
+
+
+def test_phrases_found_first_are_those_looked_at_all_places(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(["the", "of the", " ", "é", ".", "ai", "\U0001d41a", "_", "7", "́", "thethe"], k=rng.randrange(30))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for term in ("the", "of the", "ai", "7"):
+        old = rf"(?U)(?<!\w)\Q{term}\E(?!\w)"
+        r = df.select(F.regexp_count("text", F.lit(T.phrase(term))).alias("new"), F.regexp_count("text", F.lit(old)).alias("old")).where("new != old OR old > 0")
+        rows = r.collect()
+        assert rows and all(x.new == x.old for x in rows)
